@@ -11,7 +11,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pyspark.sql import functions as F
+
+from ..operators import proportion as prop_ops
 from ..operators import releases as rel_ops
+from ..operators import tickets as tk_ops
 from ..sources import analogs
 from ..sources.tables import Tables
 
@@ -44,6 +48,22 @@ class Inputs:
     def issues(self) -> DataFrame:
         return self._get("issues", lambda: analogs.issues(self.t, self.releases))
 
+    @property
+    def release_ord(self) -> DataFrame:
+        return self._get("release_ord", lambda: analogs.release_ordinals(self.releases))
+
+    @property
+    def versions(self) -> DataFrame:
+        return self._get("versions", lambda: tk_ops.ticket_versions(self.issues, self.release_ord))
+
+    @property
+    def valid(self) -> DataFrame:
+        return self._get("valid", lambda: tk_ops.valid_tickets(self.versions))
+
+    @property
+    def proportion(self) -> DataFrame:
+        return self._get("proportion", lambda: prop_ops.project_proportion(self.valid))
+
     @property
     def snapshots(self) -> DataFrame:
         return self._get("snapshots", lambda: analogs.snapshots(self.t, self.file_changes, self.commits,
@@ -55,6 +75,47 @@ def q_release_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rel_ops.release_activity(i.commits, i.releases)
 
 
+def q_ticket_versions(spark, sf_dir):
+    i = Inputs(spark, sf_dir)
+    return i.valid.select("project", "ticket_key", "created", "resolved", "ov_release_id", "fv_release_id",
+                          "iv_release_id", "n_av")
+
+
+def q_ticket_rejects(spark, sf_dir):
+    i = Inputs(spark, sf_dir)
+    return tk_ops.reject_counts(i.issues, i.releases)
+
+
+def q_affected_versions(spark, sf_dir):
+    i = Inputs(spark, sf_dir)
+    av = tk_ops.affected_versions(i.issues, i.releases)
+    return av.select("project", "ticket_key", F.posexplode("affected").alias("p", "a")).select(
+        "project", "ticket_key", (F.col("p") + 1).alias("av_pos"),
+        F.col("a.release_id").alias("release_id"), F.col("a.release_date").alias("release_date"))
+
+
+def q_proportion_by_project(spark, sf_dir):
+    i = Inputs(spark, sf_dir)
+    return i.proportion
+
+
+def q_proportion_incremental(spark, sf_dir):
+    i = Inputs(spark, sf_dir)
+    return prop_ops.incremental_proportion(i.valid, cold=i.proportion)
+
+
+def q_injected_versions(spark, sf_dir):
+    i = Inputs(spark, sf_dir)
+    est = prop_ops.estimate_injected(i.valid, i.release_ord, i.proportion)
+    return est.select("project", "ticket_key", "iv_release_id", "fv_release_id", "estimated", "n_affected")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "release_activity": q_release_activity,
+    "ticket_versions": q_ticket_versions,
+    "ticket_rejects": q_ticket_rejects,
+    "affected_versions": q_affected_versions,
+    "proportion_by_project": q_proportion_by_project,
+    "proportion_incremental": q_proportion_incremental,
+    "injected_versions": q_injected_versions,
 }

@@ -69,6 +69,68 @@ FROM (SELECT c.*, coalesce(
 LEFT JOIN releases r ON r.project = c.project AND r.release_date = c.rd""")
 
 
+view("issues", "commits", "releases")("""
+SELECT a.project, a.ticket_key, a.created, a.resolved,
+       CASE WHEN a.k_ % 40 = 11 THEN list_concat(['0.0-unknown'], CASE WHEN r.name IS NULL THEN []::VARCHAR[] ELSE [r.name] END)
+            ELSE CASE WHEN r.name IS NULL THEN []::VARCHAR[] ELSE [r.name] END END AS affected_names
+FROM (SELECT b.*, (SELECT min(r.release_date) FROM releases r
+                    WHERE r.project = b.project AND r.release_date >= b.probe) AS av_date
+      FROM (SELECT *, CASE WHEN k_ % 30 = 0 THEN day_ + 120 WHEN k_ % 3 = 0 THEN created - 150 END AS probe
+            FROM (SELECT c.c_mktsegment AS project, c.c_mktsegment || '-' || CAST(o.o_orderkey AS VARCHAR) AS ticket_key,
+                         CAST(o.o_orderdate AS DATE) - CAST(o.o_orderkey % 200 AS INTEGER) AS created,
+                         CASE WHEN (o.o_orderkey // 7) % 50 = 7 THEN NULL ELSE CAST(o.o_orderdate AS DATE) END AS resolved,
+                         CAST(o.o_orderdate AS DATE) AS day_, o.o_orderkey // 7 AS k_
+                  FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey
+                  WHERE o.o_orderkey % 7 = 0) x) b) a
+LEFT JOIN releases r ON r.project = a.project AND r.release_date = a.av_date""")
+
+view("affected", "issues", "releases")("""
+SELECT i.project, i.ticket_key, r.release_date, r.release_id,
+       row_number() OVER (PARTITION BY i.project, i.ticket_key ORDER BY r.release_date, r.release_id) AS av_pos
+FROM (SELECT project, ticket_key, unnest(affected_names) AS name FROM issues) i
+JOIN releases r ON r.project = i.project AND r.name = i.name""")
+
+view("ticket_versions", "issues", "release_ord", "affected")("""
+SELECT t.project, t.ticket_key, t.created, t.resolved,
+       ro.release_id AS ov_release_id, t.ov_date AS ov_release_date, ro.ord AS ov_ord,
+       rf.release_id AS fv_release_id, t.fv_date AS fv_release_date, rf.ord AS fv_ord,
+       coalesce(a.n_av, 0) AS n_av, a.first_id AS iv_release_id, a.first_date AS iv_release_date, ri.ord AS iv_ord,
+       CASE WHEN ro.release_id IS NULL THEN 'no_opening_version'
+            WHEN rf.release_id IS NULL THEN 'no_fixed_version'
+            WHEN t.ov_date > t.fv_date THEN 'opening_after_fixed'
+            WHEN a.n_av > 0 AND t.ov_date < a.first_date THEN 'opening_before_first_affected'
+            WHEN a.n_av > 0 AND t.fv_date <= a.last_date THEN 'fixed_not_after_last_affected' END AS reject_reason
+FROM (SELECT i.*,
+        (SELECT min(r.release_date) FROM release_ord r WHERE r.project = i.project AND r.release_date >= i.created) AS ov_date,
+        (SELECT min(r.release_date) FROM release_ord r WHERE r.project = i.project AND r.release_date >= i.resolved) AS fv_date
+      FROM issues i WHERE i.resolved IS NOT NULL) t
+LEFT JOIN release_ord ro ON ro.project = t.project AND ro.release_date = t.ov_date
+LEFT JOIN release_ord rf ON rf.project = t.project AND rf.release_date = t.fv_date
+LEFT JOIN (SELECT project, ticket_key, count(*) AS n_av,
+                  max(CASE WHEN av_pos = 1 THEN release_id END) AS first_id,
+                  max(CASE WHEN av_pos = 1 THEN release_date END) AS first_date,
+                  max(release_date) AS last_date
+           FROM affected GROUP BY 1, 2) a ON a.project = t.project AND a.ticket_key = t.ticket_key
+LEFT JOIN release_ord ri ON ri.project = t.project AND ri.release_id = a.first_id""")
+
+view("valid_tickets", "ticket_versions")("""
+SELECT *, CASE WHEN iv_release_date IS NOT NULL AND fv_release_date - ov_release_date > 0
+               THEN CAST(fv_release_date - iv_release_date AS DOUBLE) / (fv_release_date - ov_release_date) END AS p_
+FROM ticket_versions WHERE reject_reason IS NULL""")
+
+view("proportion", "valid_tickets")("""
+SELECT project, n_known, n_computable, p_mean, p_cold,
+       CASE WHEN n_known >= 5 THEN p_mean ELSE p_cold END AS p_used,
+       CASE WHEN n_known >= 5 THEN 'mean' ELSE 'cold_start' END AS method
+FROM (SELECT p.*, coalesce((SELECT median(o.p_mean) FROM
+                              (SELECT project, coalesce(avg(CASE WHEN p_ >= 0 THEN p_ END), -1.0) AS p_mean
+                               FROM valid_tickets GROUP BY project) o
+                            WHERE o.project <> p.project AND o.p_mean >= 0), 0.5) AS p_cold
+      FROM (SELECT project, count(iv_release_id) AS n_known, count(CASE WHEN p_ >= 0 THEN 1 END) AS n_computable,
+                   coalesce(avg(CASE WHEN p_ >= 0 THEN p_ END), -1.0) AS p_mean
+            FROM valid_tickets GROUP BY project) p) q""")
+
+
 def sql(name: str) -> str:
     return QUERIES[name]()
 
@@ -79,6 +141,66 @@ SELECT project, release_id, release_date, count(*) AS n_commits, count(DISTINCT
 FROM commit_release GROUP BY project, release_id, release_date"""
 
 
+def _ticket_versions() -> str:
+    return with_views("ticket_versions") + """
+SELECT project, ticket_key, created, resolved, ov_release_id, fv_release_id, iv_release_id, n_av
+FROM ticket_versions WHERE reject_reason IS NULL"""
+
+
+def _ticket_rejects() -> str:
+    return with_views("ticket_versions") + """
+SELECT project, reason, count(*) AS n_tickets FROM (
+  SELECT project, coalesce(reject_reason, 'valid') AS reason FROM ticket_versions
+  UNION ALL SELECT project, 'unresolved' FROM issues WHERE resolved IS NULL) GROUP BY 1, 2"""
+
+
+def _affected_versions() -> str:
+    return with_views("affected") + """
+SELECT project, ticket_key, av_pos, release_id, release_date FROM affected"""
+
+
+def _proportion_by_project() -> str:
+    return with_views("proportion") + "SELECT * FROM proportion"
+
+
+def _proportion_incremental() -> str:
+    return with_views("proportion") + """
+SELECT project, ticket_key, resolved, known_before,
+       CASE WHEN known_before >= 5 THEN coalesce(mean_before, -1.0) ELSE p_cold END AS p_used
+FROM (SELECT v.project, v.ticket_key, v.resolved, p.p_cold,
+             count(v.iv_release_id) OVER w AS known_before,
+             avg(CASE WHEN v.p_ >= 0 THEN v.p_ END) OVER w AS mean_before
+      FROM valid_tickets v JOIN proportion p ON p.project = v.project
+      WINDOW w AS (PARTITION BY v.project ORDER BY v.resolved, v.ticket_key
+                   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) x"""
+
+
+def _injected_versions() -> str:
+    return with_views("proportion") + """
+, est AS (
+  SELECT v.*, v.fv_release_date - CAST(trunc((v.fv_release_date - v.ov_release_date) * p.p_used) AS INTEGER) AS est_day
+  FROM valid_tickets v JOIN proportion p ON p.project = v.project WHERE v.iv_release_id IS NULL),
+est_rel AS (
+  SELECT e.*, coalesce((SELECT min(r.release_date) FROM release_ord r WHERE r.project = e.project AND r.release_date >= e.est_day),
+                       (SELECT max(r.release_date) FROM release_ord r WHERE r.project = e.project)) AS e_date
+  FROM est e),
+allv AS (
+  SELECT e.project, e.ticket_key, r.release_id AS iv_release_id, r.release_date AS iv_release_date, e.fv_release_id,
+         e.fv_release_date, TRUE AS estimated, e.fv_ord - r.ord AS n_affected
+  FROM est_rel e JOIN release_ord r ON r.project = e.project AND r.release_date = e.e_date
+  UNION ALL
+  SELECT project, ticket_key, iv_release_id, iv_release_date, fv_release_id, fv_release_date, FALSE, n_av
+  FROM valid_tickets WHERE iv_release_id IS NOT NULL)
+SELECT project, ticket_key, iv_release_id, fv_release_id, estimated, n_affected FROM allv
+WHERE iv_release_date <= fv_release_date"""
+
+
 QUERIES = {
     "release_activity": _release_activity,
+    "ticket_versions": _ticket_versions,
+    "ticket_rejects": _ticket_rejects,
+    "affected_versions": _affected_versions,
+    "proportion_by_project": _proportion_by_project,
+    "proportion_incremental": _proportion_incremental,
+    "injected_versions": _injected_versions,
 }
