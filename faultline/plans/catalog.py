@@ -13,7 +13,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
+from ..functions.paths import snapshot_file
+from ..operators import history as hist_ops
+from ..operators import labels as lab_ops
 from ..operators import proportion as prop_ops
+from ..operators.asof import asof_release
 from ..operators import releases as rel_ops
 from ..operators import tickets as tk_ops
 from ..sources import analogs
@@ -21,36 +25,47 @@ from ..sources.tables import Tables
 
 
 class Inputs:
-    """The analog engine tables of one data directory, built lazily once."""
+    """The analog engine tables of one data directory, built lazily once.
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
+    The analog tables stand for *landed* tables (commits, releases, issues,
+    file changes, snapshots, ...).  Each is materialised once with a reliable
+    ``checkpoint()`` into ``spark.checkpoint.dir`` the first time a query
+    needs it: downstream jobs then start from stored data, as they would from
+    landed tables, and plans do not re-embed the derivation lineage.
+    """
+
+    def __init__(self, spark: SparkSession, sf_dir: str, materialize: bool = True):
         self.t = Tables(spark, sf_dir)
+        self.materialize = materialize
         self._cache: dict[str, DataFrame] = {}
 
-    def _get(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    def _get(self, name: str, build: Callable[[], DataFrame], store: bool = False) -> DataFrame:
         if name not in self._cache:
-            self._cache[name] = build()
+            df = build()
+            if store and self.materialize:
+                df = df.checkpoint(eager=True)
+            self._cache[name] = df
         return self._cache[name]
 
     @property
     def commits(self) -> DataFrame:
-        return self._get("commits", lambda: analogs.commits(self.t))
+        return self._get("commits", lambda: analogs.commits(self.t), store=True)
 
     @property
     def releases(self) -> DataFrame:
-        return self._get("releases", lambda: analogs.releases(self.t, self.commits))
+        return self._get("releases", lambda: analogs.releases(self.t, self.commits), store=True)
 
     @property
     def file_changes(self) -> DataFrame:
-        return self._get("file_changes", lambda: analogs.file_changes(self.t, self.commits))
+        return self._get("file_changes", lambda: analogs.file_changes(self.t, self.commits), store=True)
 
     @property
     def issues(self) -> DataFrame:
-        return self._get("issues", lambda: analogs.issues(self.t, self.releases))
+        return self._get("issues", lambda: analogs.issues(self.t, self.releases), store=True)
 
     @property
     def release_ord(self) -> DataFrame:
-        return self._get("release_ord", lambda: analogs.release_ordinals(self.releases))
+        return self._get("release_ord", lambda: analogs.release_ordinals(self.releases), store=True)
 
     @property
     def versions(self) -> DataFrame:
@@ -58,16 +73,56 @@ class Inputs:
 
     @property
     def valid(self) -> DataFrame:
-        return self._get("valid", lambda: tk_ops.valid_tickets(self.versions))
+        return self._get("valid", lambda: tk_ops.valid_tickets(self.versions), store=True)
 
     @property
     def proportion(self) -> DataFrame:
-        return self._get("proportion", lambda: prop_ops.project_proportion(self.valid))
+        return self._get("proportion", lambda: prop_ops.project_proportion(self.valid), store=True)
 
     @property
     def snapshots(self) -> DataFrame:
         return self._get("snapshots", lambda: analogs.snapshots(self.t, self.file_changes, self.commits,
-                                                                self.releases))
+                                                                self.releases), store=True)
+
+    @property
+    def java_snapshots(self) -> DataFrame:
+        return self._get("java_snapshots", lambda: self.snapshots.filter(snapshot_file()))
+
+    @property
+    def commits_rel(self) -> DataFrame:
+        return self._get("commits_rel", lambda: asof_release(
+            self.commits, F.to_date("committed_at"), self.release_ord, fallback="last", extra=("ord",)),
+            store=True)
+
+    @property
+    def final_tickets(self) -> DataFrame:
+        return self._get("final_tickets", lambda: prop_ops.estimate_injected(
+            self.valid, self.release_ord, self.proportion), store=True)
+
+    @property
+    def fixing(self) -> DataFrame:
+        return self._get("fixing", lambda: hist_ops.fixing_commits(self.commits_rel, self.final_tickets))
+
+    @property
+    def fix_files(self) -> DataFrame:
+        return self._get("fix_files", lambda: hist_ops.fix_files(self.fixing, self.file_changes))
+
+    def links(self, link: str = "ticket") -> DataFrame:
+        return self._get(f"links_{link}", lambda: lab_ops.effective_links(
+            lab_ops.injected_links(self.fixing, self.final_tickets, link), self.commits_rel))
+
+    @property
+    def intervals(self) -> DataFrame:
+        return self._get("intervals", lambda: lab_ops.buggy_intervals(self.links(), self.fix_files,
+                                                                      self.releases))
+
+    @property
+    def labelled(self) -> DataFrame:
+        return self._get("labelled", lambda: lab_ops.label_snapshots(self.java_snapshots, self.intervals))
+
+    @property
+    def touched(self) -> DataFrame:
+        return self._get("touched", lambda: hist_ops.touched(self.file_changes, self.commits_rel))
 
 
 def q_release_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,6 +165,60 @@ def q_injected_versions(spark, sf_dir):
     return est.select("project", "ticket_key", "iv_release_id", "fv_release_id", "estimated", "n_affected")
 
 
+def q_fix_commits(spark, sf_dir):
+    i = Inputs(spark, sf_dir)
+    n = i.fix_files.groupBy("project", "sha").agg(F.count(F.lit(1)).alias("n_fix_files"))
+    return (i.fixing.join(n, ["project", "sha"], "left")
+            .select("project", "sha", "ticket_key", "release_id",
+                    F.coalesce("n_fix_files", F.lit(0)).alias("n_fix_files")))
+
+
+def q_bug_introducing_pairs(spark, sf_dir):
+    i = Inputs(spark, sf_dir)
+    return lab_ops.bug_introducing_counts(i.links(), i.commits_rel)
+
+
+def q_bug_introducing_pairs_release(spark, sf_dir):
+    i = Inputs(spark, sf_dir)
+    return lab_ops.bug_introducing_counts(i.links("release"), i.commits_rel)
+
+
+def q_buggy_commits(spark, sf_dir):
+    i = Inputs(spark, sf_dir)
+    return (lab_ops.buggy_commits(i.links(), i.commits_rel)
+            .groupBy("project", "release_id").agg(F.count(F.lit(1)).alias("n_buggy_commits")))
+
+
+def q_labelled_snapshots(spark, sf_dir):
+    i = Inputs(spark, sf_dir)
+    return i.labelled.select("project", "release_id", "path", "buggy")
+
+
+def q_label_counters(spark, sf_dir):
+    i = Inputs(spark, sf_dir)
+    return lab_ops.label_counters(i.fix_files, i.links(), i.intervals, i.labelled)
+
+
+def q_file_history(spark, sf_dir):
+    i = Inputs(spark, sf_dir)
+    return hist_ops.file_history(i.touched)
+
+
+def q_file_churn(spark, sf_dir):
+    i = Inputs(spark, sf_dir)
+    return hist_ops.file_churn(i.touched, i.java_snapshots)
+
+
+def q_line_churn(spark, sf_dir):
+    i = Inputs(spark, sf_dir)
+    return hist_ops.line_churn(analogs.revisions(i.t))
+
+
+def q_release_snapshot(spark, sf_dir):
+    i = Inputs(spark, sf_dir)
+    return hist_ops.release_snapshot_commit(i.commits_rel)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "release_activity": q_release_activity,
     "ticket_versions": q_ticket_versions,
@@ -118,4 +227,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "proportion_by_project": q_proportion_by_project,
     "proportion_incremental": q_proportion_incremental,
     "injected_versions": q_injected_versions,
+    "fix_commits": q_fix_commits,
+    "bug_introducing_pairs": q_bug_introducing_pairs,
+    "bug_introducing_pairs_release": q_bug_introducing_pairs_release,
+    "buggy_commits": q_buggy_commits,
+    "labelled_snapshots": q_labelled_snapshots,
+    "label_counters": q_label_counters,
+    "file_history": q_file_history,
+    "file_churn": q_file_churn,
+    "line_churn": q_line_churn,
+    "release_snapshot": q_release_snapshot,
 }

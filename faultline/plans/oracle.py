@@ -59,14 +59,37 @@ SELECT *, row_number() OVER (PARTITION BY project ORDER BY release_date, release
 FROM releases""")
 
 # J-1 in SQL: smallest release date on/after the commit day, else the last one.
-view("commit_release", "commits", "releases")("""
-SELECT c.*, r.release_id, r.release_date
+view("commit_release", "commits", "release_ord")("""
+SELECT c.*, r.release_id, r.release_date, r.ord
 FROM (SELECT c.*, coalesce(
-        (SELECT min(r.release_date) FROM releases r
+        (SELECT min(r.release_date) FROM release_ord r
           WHERE r.project = c.project AND r.release_date >= CAST(c.committed_at AS DATE)),
-        (SELECT max(r.release_date) FROM releases r WHERE r.project = c.project)) AS rd
+        (SELECT max(r.release_date) FROM release_ord r WHERE r.project = c.project)) AS rd
       FROM commits c) c
-LEFT JOIN releases r ON r.project = c.project AND r.release_date = c.rd""")
+LEFT JOIN release_ord r ON r.project = c.project AND r.release_date = c.rd""")
+
+view("file_changes", "commits")("""
+SELECT c.project, f.sha, f.path,
+       CASE WHEN f.r_ = 1 THEN 'MODIFY' WHEN f.a_ = 1 THEN 'ADD' ELSE 'DELETE' END AS change_type, f.added, f.deleted
+FROM (SELECT sha, path, max(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS r_,
+             max(CASE WHEN l_returnflag = 'A' THEN 1 ELSE 0 END) AS a_,
+             CAST(sum(l_quantity) AS BIGINT) AS added, CAST(sum(CAST(round(l_discount * 100) AS BIGINT)) AS BIGINT) AS deleted
+      FROM (SELECT CAST(l_orderkey AS VARCHAR) AS sha,
+                   'core/src/' || CASE WHEN l_suppkey % 10 = 0 THEN 'test/' WHEN l_suppkey % 10 = 1 THEN 'main/test/'
+                                       ELSE 'main/' END
+                   || 'F' || CAST(l_partkey % 200 AS VARCHAR) || CASE WHEN l_suppkey % 10 = 2 THEN '.kt' ELSE '.java' END AS path,
+                   l_quantity, l_discount, l_returnflag FROM lineitem) x
+      GROUP BY sha, path) f
+JOIN commits c ON c.sha = f.sha""")
+
+view("snapshots", "file_changes", "commits", "release_ord")("""
+SELECT ft.project, r.release_id, r.release_date, r.ord, ft.path
+FROM (SELECT f.project, f.path, min(CAST(c.committed_at AS DATE)) AS first_day
+      FROM file_changes f JOIN commits c ON c.project = f.project AND c.sha = f.sha GROUP BY 1, 2) ft
+JOIN release_ord r ON r.project = ft.project AND r.release_date >= ft.first_day""")
+
+view("java_snapshots", "snapshots")("""
+SELECT * FROM snapshots WHERE ends_with(path, '.java') AND NOT contains(path, '/src/test/')""")
 
 
 view("issues", "commits", "releases")("""
@@ -131,6 +154,70 @@ FROM (SELECT p.*, coalesce((SELECT median(o.p_mean) FROM
             FROM valid_tickets GROUP BY project) p) q""")
 
 
+view("final_tickets", "proportion", "release_ord")("""
+WITH est AS (
+  SELECT v.*, v.fv_release_date - CAST(trunc((v.fv_release_date - v.ov_release_date) * p.p_used) AS INTEGER) AS est_day
+  FROM valid_tickets v JOIN proportion p ON p.project = v.project WHERE v.iv_release_id IS NULL),
+est_rel AS (
+  SELECT e.*, coalesce((SELECT min(r.release_date) FROM release_ord r WHERE r.project = e.project AND r.release_date >= e.est_day),
+                       (SELECT max(r.release_date) FROM release_ord r WHERE r.project = e.project)) AS e_date
+  FROM est e),
+allv AS (
+  SELECT e.project, e.ticket_key, r.release_id AS iv_release_id, r.release_date AS iv_release_date, e.fv_release_id,
+         e.fv_release_date, TRUE AS estimated, e.fv_ord - r.ord AS n_affected
+  FROM est_rel e JOIN release_ord r ON r.project = e.project AND r.release_date = e.e_date
+  UNION ALL
+  SELECT project, ticket_key, iv_release_id, iv_release_date, fv_release_id, fv_release_date, FALSE, n_av
+  FROM valid_tickets WHERE iv_release_id IS NOT NULL)
+SELECT * FROM allv WHERE iv_release_date <= fv_release_date""")
+
+view("fixing", "commit_release", "final_tickets")("""
+SELECT c.* FROM (SELECT *, upper(nullif(regexp_extract(message, '(?i)' || project || '-[0-9]+'), '')) AS ticket_key
+                 FROM commit_release) c
+WHERE c.ticket_key IN (SELECT upper(t.ticket_key) FROM final_tickets t WHERE t.project = c.project)""")
+
+view("fix_files", "fixing", "file_changes")("""
+SELECT f.project, f.sha, f.path FROM file_changes f
+WHERE f.change_type IN ('ADD', 'MODIFY') AND ends_with(f.path, '.java')
+  AND NOT contains(f.path, '/test/') AND NOT contains(f.path, '/src/test/')
+  AND EXISTS (SELECT 1 FROM fixing x WHERE x.project = f.project AND x.sha = f.sha)""")
+
+view("links", "fixing", "final_tickets", "commit_release")("""
+SELECT DISTINCT x.project, x.sha, x.release_id AS fix_release_id, t.iv_release_id
+FROM fixing x JOIN final_tickets t ON t.project = x.project AND upper(t.ticket_key) = x.ticket_key
+WHERE EXISTS (SELECT 1 FROM commit_release c WHERE c.project = x.project AND c.release_id = t.iv_release_id)""")
+
+view("links_release", "fixing", "final_tickets", "commit_release")("""
+SELECT DISTINCT x.project, x.sha, x.release_id AS fix_release_id, t.iv_release_id
+FROM fixing x JOIN final_tickets t ON t.project = x.project AND t.fv_release_id = x.release_id
+WHERE EXISTS (SELECT 1 FROM commit_release c WHERE c.project = x.project AND c.release_id = t.iv_release_id)""")
+
+view("intervals", "links", "fix_files", "releases")("""
+SELECT DISTINCT f.project, f.path, ri.release_date AS iv_date, rf.release_date AS fv_date
+FROM fix_files f JOIN links l ON l.project = f.project AND l.sha = f.sha
+JOIN releases ri ON ri.project = l.project AND ri.release_id = l.iv_release_id
+JOIN releases rf ON rf.project = l.project AND rf.release_id = l.fix_release_id""")
+
+view("labelled", "java_snapshots", "intervals")("""
+SELECT s.*, EXISTS (SELECT 1 FROM intervals i WHERE i.project = s.project AND i.path = s.path
+                    AND i.iv_date <= s.release_date AND s.release_date < i.fv_date) AS buggy
+FROM java_snapshots s""")
+
+view("touched", "file_changes", "commit_release")("""
+SELECT f.project, f.path, f.sha, f.added, f.deleted, c.author, c.committed_at, c.ord,
+       row_number() OVER (PARTITION BY f.project, f.path ORDER BY c.committed_at, f.sha) AS rn
+FROM file_changes f JOIN commit_release c ON c.project = f.project AND c.sha = f.sha
+WHERE ends_with(f.path, '.java') AND NOT contains(f.path, '/src/test/')""")
+
+view("file_churn", "touched", "java_snapshots")("""
+SELECT s.project, s.release_id, s.path, count(DISTINCT t.sha) AS revisions, count(DISTINCT t.author) AS authors,
+       CAST(coalesce(sum(CASE WHEN t.rn > 1 THEN t.added + t.deleted END), 0) AS BIGINT) AS total_churn,
+       CAST(coalesce(max(CASE WHEN t.rn > 1 THEN t.added END), 0) AS BIGINT) AS max_churn,
+       coalesce(avg(CASE WHEN t.rn > 1 THEN t.added END), 0.0) AS avg_churn
+FROM java_snapshots s LEFT JOIN touched t ON t.project = s.project AND t.path = s.path AND t.ord <= s.ord
+GROUP BY s.project, s.release_id, s.path""")
+
+
 def sql(name: str) -> str:
     return QUERIES[name]()
 
@@ -176,23 +263,82 @@ FROM (SELECT v.project, v.ticket_key, v.resolved, p.p_cold,
 
 
 def _injected_versions() -> str:
-    return with_views("proportion") + """
-, est AS (
-  SELECT v.*, v.fv_release_date - CAST(trunc((v.fv_release_date - v.ov_release_date) * p.p_used) AS INTEGER) AS est_day
-  FROM valid_tickets v JOIN proportion p ON p.project = v.project WHERE v.iv_release_id IS NULL),
-est_rel AS (
-  SELECT e.*, coalesce((SELECT min(r.release_date) FROM release_ord r WHERE r.project = e.project AND r.release_date >= e.est_day),
-                       (SELECT max(r.release_date) FROM release_ord r WHERE r.project = e.project)) AS e_date
-  FROM est e),
-allv AS (
-  SELECT e.project, e.ticket_key, r.release_id AS iv_release_id, r.release_date AS iv_release_date, e.fv_release_id,
-         e.fv_release_date, TRUE AS estimated, e.fv_ord - r.ord AS n_affected
-  FROM est_rel e JOIN release_ord r ON r.project = e.project AND r.release_date = e.e_date
-  UNION ALL
-  SELECT project, ticket_key, iv_release_id, iv_release_date, fv_release_id, fv_release_date, FALSE, n_av
-  FROM valid_tickets WHERE iv_release_id IS NOT NULL)
-SELECT project, ticket_key, iv_release_id, fv_release_id, estimated, n_affected FROM allv
-WHERE iv_release_date <= fv_release_date"""
+    return with_views("final_tickets") + """
+SELECT project, ticket_key, iv_release_id, fv_release_id, estimated, n_affected FROM final_tickets"""
+
+
+def _fix_commits() -> str:
+    return with_views("fixing", "fix_files") + """
+SELECT x.project, x.sha, x.ticket_key, x.release_id,
+       (SELECT count(*) FROM fix_files f WHERE f.project = x.project AND f.sha = x.sha) AS n_fix_files
+FROM fixing x"""
+
+
+def _bic_pairs(links: str) -> str:
+    return with_views(links) + f"""
+SELECT l.project, l.sha, l.fix_release_id, count(*) AS n_iv_releases, CAST(sum(n.n) AS BIGINT) AS n_bug_introducing
+FROM {links} l JOIN (SELECT project, release_id, count(*) AS n FROM commit_release GROUP BY 1, 2) n
+  ON n.project = l.project AND n.release_id = l.iv_release_id
+GROUP BY l.project, l.sha, l.fix_release_id"""
+
+
+def _buggy_commits() -> str:
+    return with_views("links") + """
+SELECT c.project, c.release_id, count(*) AS n_buggy_commits FROM commit_release c
+WHERE EXISTS (SELECT 1 FROM links l WHERE l.project = c.project AND l.iv_release_id = c.release_id)
+GROUP BY 1, 2"""
+
+
+def _labelled_snapshots() -> str:
+    return with_views("labelled") + "SELECT project, release_id, path, buggy FROM labelled"
+
+
+def _label_counters() -> str:
+    return with_views("labelled", "links", "fix_files") + """
+SELECT s.project, coalesce(a.n_fix_commits, 0) AS n_fix_commits, coalesce(a.n_fix_files, 0) AS n_fix_files,
+       coalesce(b.n_intervals, 0) AS n_intervals, s.n_buggy_snapshots, s.n_snapshots
+FROM (SELECT project, count(CASE WHEN buggy THEN 1 END) AS n_buggy_snapshots, count(*) AS n_snapshots
+      FROM labelled GROUP BY 1) s
+LEFT JOIN (SELECT project, count(DISTINCT sha) AS n_fix_commits, count(*) AS n_fix_files FROM fix_files f
+           WHERE EXISTS (SELECT 1 FROM links l WHERE l.project = f.project AND l.sha = f.sha) GROUP BY 1) a
+  ON a.project = s.project
+LEFT JOIN (SELECT project, count(*) AS n_intervals FROM intervals GROUP BY 1) b ON b.project = s.project"""
+
+
+def _file_history() -> str:
+    return with_views("touched") + """
+SELECT project, path, count(DISTINCT sha) AS revisions, count(DISTINCT author) AS authors,
+       min(CAST(committed_at AS DATE)) AS first_day, max(CAST(committed_at AS DATE)) AS last_day
+FROM touched GROUP BY 1, 2"""
+
+
+def _file_churn() -> str:
+    return with_views("file_churn") + "SELECT * FROM file_churn"
+
+
+def _line_churn() -> str:
+    return """
+WITH rv AS (SELECT 'conv/' || CAST(conv_id AS VARCHAR) AS path, turn AS rev, text AS content FROM conversations),
+pairs AS (SELECT * FROM (SELECT path, rev, lag(rev) OVER (PARTITION BY path ORDER BY rev) AS prev FROM rv)
+          WHERE prev IS NOT NULL),
+lines AS (SELECT path, rev, line, count(*) AS n
+          FROM (SELECT path, rev, unnest(string_split_regex(regexp_replace(content, '(\r?\n)+$', ''), '\r?\n')) AS line
+                FROM rv) GROUP BY 1, 2, 3),
+cur AS (SELECT p.path, p.rev, l.line, l.n FROM pairs p JOIN lines l ON l.path = p.path AND l.rev = p.rev),
+prv AS (SELECT p.path, p.rev, l.line, l.n FROM pairs p JOIN lines l ON l.path = p.path AND l.rev = p.prev),
+d AS (SELECT coalesce(cur.path, prv.path) AS path, coalesce(cur.rev, prv.rev) AS rev,
+             coalesce(cur.n, 0) - coalesce(prv.n, 0) AS d
+      FROM cur FULL OUTER JOIN prv ON cur.path = prv.path AND cur.rev = prv.rev AND cur.line = prv.line)
+SELECT path, rev, CAST(sum(greatest(d, 0)) AS BIGINT) AS added, CAST(sum(greatest(-d, 0)) AS BIGINT) AS deleted
+FROM d GROUP BY 1, 2"""
+
+
+def _release_snapshot() -> str:
+    return with_views("commit_release") + """
+SELECT project, release_id, sha, CAST(committed_at AS DATE) AS commit_day, n_commits
+FROM (SELECT *, row_number() OVER (PARTITION BY project, release_id ORDER BY committed_at DESC, sha DESC) AS rn,
+             count(*) OVER (PARTITION BY project, release_id) AS n_commits FROM commit_release) x
+WHERE rn = 1"""
 
 
 QUERIES = {
@@ -203,4 +349,14 @@ QUERIES = {
     "proportion_by_project": _proportion_by_project,
     "proportion_incremental": _proportion_incremental,
     "injected_versions": _injected_versions,
+    "fix_commits": _fix_commits,
+    "bug_introducing_pairs": lambda: _bic_pairs("links"),
+    "bug_introducing_pairs_release": lambda: _bic_pairs("links_release"),
+    "buggy_commits": _buggy_commits,
+    "labelled_snapshots": _labelled_snapshots,
+    "label_counters": _label_counters,
+    "file_history": _file_history,
+    "file_churn": _file_churn,
+    "line_churn": _line_churn,
+    "release_snapshot": _release_snapshot,
 }

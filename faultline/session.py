@@ -32,6 +32,8 @@ def get_spark(master: str | None = None, app: str = "faultline",
     if master:
         builder = builder.master(master)
     conf = dict(BASE_CONF)
+    if master and master.startswith("local"):
+        conf["spark.driver.memory"] = "12g"  # local mode: the driver JVM runs the executors too
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})

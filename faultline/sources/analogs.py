@@ -127,7 +127,7 @@ def release_ordinals(rel: DataFrame) -> DataFrame:
 
 def snapshots(t: Tables, fc: DataFrame | None = None, cm: DataFrame | None = None,
               rel: DataFrame | None = None) -> DataFrame:
-    """snapshots(project, release_id, release_date, path): files present at each release.
+    """snapshots(project, release_id, release_date, ord, path): files present at each release.
 
     A file is present in every release from the one its first change falls in
     (as-of) to the last: the ordinal range is exploded and equi-joined back to
@@ -145,7 +145,7 @@ def snapshots(t: Tables, fc: DataFrame | None = None, cm: DataFrame | None = Non
     x = x.filter(F.col("f_ord").isNotNull()).select(
         "project", "path", F.explode(F.sequence("f_ord", "f_n_releases")).alias("ord"))
     return x.join(ro.select("project", "ord", "release_id", "release_date"), ["project", "ord"]).select(
-        "project", "release_id", "release_date", "path")
+        "project", "release_id", "release_date", "ord", "path")
 
 
 def revisions(t: Tables) -> DataFrame:
