@@ -14,7 +14,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.paths import snapshot_file
+from ..operators import dataset as ds_ops
 from ..operators import history as hist_ops
+from ..operators import smells as smell_ops
+from ..operators import structure as st_ops
 from ..operators import labels as lab_ops
 from ..operators import proportion as prop_ops
 from ..operators.asof import asof_release
@@ -120,6 +123,35 @@ class Inputs:
     def labelled(self) -> DataFrame:
         return self._get("labelled", lambda: lab_ops.label_snapshots(self.java_snapshots, self.intervals))
 
+    @property
+    def page_metrics(self) -> DataFrame:
+        def build():
+            pages = self.t.pages
+            ev = st_ops.html_events(pages)
+            m = st_ops.structural_metrics(ev, st_ops.rules_frame(self.t.spark), ["page_id"])
+            loc = pages.select("page_id", st_ops.line_count("html").alias("loc"))
+            return m.join(loc, "page_id", "right").withColumnRenamed("page_id", "method_ord")
+        return self._get("page_metrics", build, store=True)
+
+    @property
+    def methods(self) -> DataFrame:
+        return self._get("methods", lambda: analogs.snapshot_methods(self.java_snapshots,
+                                                                     analogs.page_methods(self.t)))
+
+    @property
+    def smells(self) -> DataFrame:
+        return self._get("smells", lambda: smell_ops.smell_counts(smell_ops.match_violations(
+            analogs.violations(self.t), self.releases, self.methods)))
+
+    @property
+    def churn(self) -> DataFrame:
+        return self._get("churn", lambda: hist_ops.file_churn(self.touched, self.java_snapshots))
+
+    @property
+    def dataset(self) -> DataFrame:
+        return self._get("dataset", lambda: ds_ops.assemble(
+            self.methods, self.page_metrics, self.churn, self.labelled, self.smells, self.releases), store=True)
+
     @property
     def touched(self) -> DataFrame:
         return self._get("touched", lambda: hist_ops.touched(self.file_changes, self.commits_rel))
@@ -219,6 +251,48 @@ def q_release_snapshot(spark, sf_dir):
     return hist_ops.release_snapshot_commit(i.commits_rel)
 
 
+def q_nesting_depth(spark, sf_dir):
+    i = Inputs(spark, sf_dir)
+    return i.page_metrics.select(F.col("method_ord").alias("page_id"), "n_nodes", "nesting")
+
+
+def q_weighted_complexity(spark, sf_dir):
+    i = Inputs(spark, sf_dir)
+    return i.page_metrics.select(F.col("method_ord").alias("page_id"), "params", "cyclomatic", "cognitive")
+
+
+def q_text_size(spark, sf_dir):
+    d = Tables(spark, sf_dir).documents
+    return d.select("doc_id", F.length("text").cast("bigint").alias("n_chars"),
+                    st_ops.line_count("text").alias("n_lines"))
+
+
+def q_smell_counts(spark, sf_dir):
+    return Inputs(spark, sf_dir).smells
+
+
+def q_method_dataset(spark, sf_dir):
+    return Inputs(spark, sf_dir).dataset
+
+
+def q_dataset_cut(spark, sf_dir):
+    i = Inputs(spark, sf_dir)
+    cut = ds_ops.release_cut(i.dataset, 0.34, order="date", releases=i.releases, project="ProjectName")
+    return cut.groupBy("ProjectName", "Release").agg(F.count(F.lit(1)).alias("n_rows"),
+                                                     F.count(F.when(F.col("Bugginess") == "yes", 1)).alias("n_buggy"))
+
+
+def q_dataset_cut_by_name(spark, sf_dir):
+    i = Inputs(spark, sf_dir)
+    cut = ds_ops.release_cut(i.dataset, 0.34, order="name", project="ProjectName")
+    return cut.groupBy("ProjectName", "Release").agg(F.count(F.lit(1)).alias("n_rows"),
+                                                     F.count(F.when(F.col("Bugginess") == "yes", 1)).alias("n_buggy"))
+
+
+def q_column_profile(spark, sf_dir):
+    return ds_ops.column_profile(Inputs(spark, sf_dir).dataset)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "release_activity": q_release_activity,
     "ticket_versions": q_ticket_versions,
@@ -237,4 +311,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "file_churn": q_file_churn,
     "line_churn": q_line_churn,
     "release_snapshot": q_release_snapshot,
+    "nesting_depth": q_nesting_depth,
+    "weighted_complexity": q_weighted_complexity,
+    "text_size": q_text_size,
+    "smell_counts": q_smell_counts,
+    "method_dataset": q_method_dataset,
+    "dataset_cut": q_dataset_cut,
+    "dataset_cut_by_name": q_dataset_cut_by_name,
+    "column_profile": q_column_profile,
 }

@@ -7,6 +7,9 @@ lineitem, ...) are views the checker registers over the same Parquet files.
 
 from __future__ import annotations
 
+from ..operators.structure import HTML_TAG_KINDS, JAVA_RULES, TAG_PATTERN
+from ..sources.analogs import PROJECTS
+
 # name -> (dependencies, body)
 VIEWS: dict[str, tuple[tuple[str, ...], str]] = {}
 
@@ -218,6 +221,110 @@ FROM java_snapshots s LEFT JOIN touched t ON t.project = s.project AND t.path =
 GROUP BY s.project, s.release_id, s.path""")
 
 
+_TAG_CASE = "CASE name " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in HTML_TAG_KINDS) + " ELSE name END"
+_RULES = "VALUES " + ", ".join("('%s', %d, %d, %d, %d, %d)" % r for r in JAVA_RULES)
+
+view("page_events")(f"""
+SELECT page_id, seq, {_TAG_CASE} AS kind, CASE WHEN starts_with(tag, '</') THEN 'exit' ELSE 'enter' END AS phase
+FROM (SELECT page_id, seq, tag, lower(regexp_extract(tag, '^</?([a-zA-Z][a-zA-Z0-9]*)', 1)) AS name
+      FROM (SELECT page_id, unnest(tags) AS tag, unnest(range(len(tags))) AS seq
+            FROM (SELECT page_id, regexp_extract_all(html, '{TAG_PATTERN}') AS tags FROM pages) a) b) c""")
+
+view("page_metrics", "page_events")(f"""
+SELECT p.page_id AS method_ord, m.n_nodes, m.params, m.cyclomatic, m.nesting, m.cognitive,
+       {{line_count('p.html')}} AS loc
+FROM pages p LEFT JOIN (
+  SELECT page_id, count(CASE WHEN phase = 'enter' THEN 1 END) AS n_nodes,
+         count(CASE WHEN phase = 'enter' AND kind = 'param' THEN 1 END) AS params,
+         CAST(1 + coalesce(sum(CASE WHEN phase = 'enter' THEN cyclo END), 0) AS BIGINT) AS cyclomatic,
+         CAST(greatest(coalesce(max(depth), 0), 0) AS BIGINT) AS nesting,
+         CAST(coalesce(sum(CASE WHEN phase = 'enter' THEN cog_flat + cog_nested * (level_after - l_) END), 0) AS BIGINT)
+           AS cognitive
+  FROM (SELECT e.*, sum(d_) OVER w AS depth, sum(l_) OVER w AS level_after
+        FROM (SELECT e.page_id, e.seq, e.kind, e.phase, coalesce(r.cyclo, 0) AS cyclo,
+                     coalesce(r.cog_flat, 0) AS cog_flat, coalesce(r.cog_nested, 0) AS cog_nested,
+                     CASE WHEN e.phase = 'enter' THEN 1 ELSE -1 END * coalesce(r.opens_depth, 0) AS d_,
+                     CASE WHEN e.phase = 'enter' THEN 1 ELSE -1 END * coalesce(r.opens_level, 0) AS l_
+              FROM page_events e LEFT JOIN ({_RULES}) r(kind, cyclo, opens_depth, opens_level, cog_flat, cog_nested)
+                ON r.kind = e.kind) e
+        WINDOW w AS (PARTITION BY page_id ORDER BY seq, CASE WHEN phase = 'enter' THEN 1 ELSE 0 END
+                     ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) x
+  GROUP BY page_id) m ON m.page_id = p.page_id""".replace("{line_count('p.html')}", "{LC_p}"))
+
+view("page_methods")("""
+SELECT page_id AS method_ord, 'F' || CAST(page_id % 200 AS VARCHAR) AS class, 'm' || CAST(page_id % 100 AS VARCHAR) AS simple_name,
+       'm' || CAST(page_id % 100 AS VARCHAR) || '(' || CAST(page_id AS VARCHAR) || ')' AS signature
+FROM pages""")
+
+view("methods", "java_snapshots", "page_methods")(r"""
+SELECT s.project, s.release_id, s.path, m.method_ord, m.simple_name, m.signature
+FROM java_snapshots s JOIN page_methods m ON m.class = regexp_replace(regexp_extract(s.path, '([^/]*)$', 1), '\.java$', '')""")
+
+view("violations")(f"""
+SELECT ({list(PROJECTS)!r})[user_id % 5 + 1] AS project, '1.' || CAST(event_id % 26 AS VARCHAR) AS release_name,
+       'F' || CAST(user_id % 200 AS VARCHAR) AS class, 'm' || json_extract_string(props, '$.k') AS method,
+       'R' || CAST(event_id % 4 AS VARCHAR) AS rule, CAST(event_id % 100 AS INTEGER) AS beginline
+FROM events WHERE event_type = 'error'""")
+
+view("smells", "violations", "methods", "releases")(r"""
+SELECT c.project, c.release_id, c.path, c.method_ord, count(*) AS n_smells
+FROM (SELECT v.project, r.release_id, v.class, v.method FROM violations v
+      JOIN releases r ON r.project = v.project AND r.name = v.release_name) v
+JOIN (SELECT m.project, m.release_id, m.class, m.simple_name, min(m.method_ord) AS method_ord, min(m.path) AS path
+      FROM (SELECT *, regexp_replace(regexp_extract(path, '([^/]*)$', 1), '\.java$', '') AS class FROM methods) m
+      JOIN (SELECT project, release_id, regexp_replace(regexp_extract(path, '([^/]*)$', 1), '\.java$', '') AS class,
+                   min(path) AS path FROM methods GROUP BY 1, 2, 3) f
+        ON f.project = m.project AND f.release_id = m.release_id AND f.class = m.class AND f.path = m.path
+      GROUP BY 1, 2, 3, 4) c
+  ON c.project = v.project AND c.release_id = v.release_id AND c.class = v.class AND c.simple_name = v.method
+GROUP BY 1, 2, 3, 4""")
+
+view("dataset", "methods", "page_metrics", "file_churn", "labelled", "smells", "releases")("""
+SELECT m.project AS ProjectName, r.name AS Release, m.path || '/' || m.signature AS MethodName,
+       CAST(coalesce(pm.loc, 0) AS BIGINT) AS LOC, CAST(coalesce(pm.params, 0) AS BIGINT) AS ParameterCount,
+       CAST(coalesce(pm.cyclomatic, 0) AS BIGINT) AS CycloComplexity,
+       CAST(coalesce(pm.cognitive, 0) AS BIGINT) AS CognitiveComplexity,
+       CAST(coalesce(pm.nesting, 0) AS BIGINT) AS NestingDepth,
+       CAST(coalesce(ch.revisions, 0) AS BIGINT) AS Revisions, CAST(coalesce(ch.authors, 0) AS BIGINT) AS Authors,
+       CAST(coalesce(ch.total_churn, 0) AS BIGINT) AS TotalChurn, CAST(coalesce(ch.max_churn, 0) AS BIGINT) AS MaxChurn,
+       coalesce(ch.avg_churn, 0.0) AS AvgChurn, CAST(coalesce(sm.n_smells, 0) AS BIGINT) AS NumberOfCodeSmells,
+       CASE WHEN coalesce(lb.buggy, FALSE) THEN 'yes' ELSE 'no' END AS Bugginess
+FROM methods m
+LEFT JOIN page_metrics pm ON pm.method_ord = m.method_ord
+LEFT JOIN file_churn ch ON ch.project = m.project AND ch.release_id = m.release_id AND ch.path = m.path
+LEFT JOIN labelled lb ON lb.project = m.project AND lb.release_id = m.release_id AND lb.path = m.path
+LEFT JOIN smells sm ON sm.project = m.project AND sm.release_id = m.release_id AND sm.path = m.path
+     AND sm.method_ord = m.method_ord
+JOIN releases r ON r.project = m.project AND r.release_id = m.release_id""")
+
+
+def line_count(c: str) -> str:
+    return (f"CAST(CASE WHEN {c} IS NULL THEN 0 WHEN {c} = '' THEN 1 "
+            f"WHEN regexp_replace({c}, '(\r?\n)+$', '') = '' THEN 0 "
+            f"ELSE len(string_split_regex(regexp_replace({c}, '(\r?\n)+$', ''), '\r?\n')) END AS BIGINT)")
+
+
+VIEWS["page_metrics"] = (VIEWS["page_metrics"][0], VIEWS["page_metrics"][1].replace("{LC_p}", line_count("p.html")))
+
+
+def _cut(order: str) -> str:
+    if order == "date":
+        sort = "r.release_date, d.Release"
+        src = ("(SELECT DISTINCT d.ProjectName, d.Release, r.release_date FROM dataset d "
+               "LEFT JOIN releases r ON r.project = d.ProjectName AND r.name = d.Release) d")
+        sort = "release_date, Release"
+    else:
+        src = "(SELECT DISTINCT ProjectName, Release FROM dataset) d"
+        sort = "Release"
+    return with_views("dataset") + f"""
+, rel AS (SELECT ProjectName, Release, row_number() OVER (PARTITION BY ProjectName ORDER BY {sort}) AS rn,
+                 count(*) OVER (PARTITION BY ProjectName) AS n FROM {src}),
+kept AS (SELECT ProjectName, Release FROM rel WHERE rn <= least(greatest(floor(n * 0.34 + 0.5), 1), n))
+SELECT d.ProjectName, d.Release, count(*) AS n_rows, count(CASE WHEN d.Bugginess = 'yes' THEN 1 END) AS n_buggy
+FROM dataset d JOIN kept k ON k.ProjectName = d.ProjectName AND k.Release = d.Release
+GROUP BY 1, 2"""
+
+
 def sql(name: str) -> str:
     return QUERIES[name]()
 
@@ -341,6 +448,26 @@ FROM (SELECT *, row_number() OVER (PARTITION BY project, release_id ORDER BY com
 WHERE rn = 1"""
 
 
+def _nesting_depth() -> str:
+    return with_views("page_metrics") + "SELECT method_ord AS page_id, n_nodes, nesting FROM page_metrics"
+
+
+def _weighted_complexity() -> str:
+    return with_views("page_metrics") + "SELECT method_ord AS page_id, params, cyclomatic, cognitive FROM page_metrics"
+
+
+def _text_size() -> str:
+    return f"SELECT doc_id, CAST(length(text) AS BIGINT) AS n_chars, {line_count('text')} AS n_lines FROM documents"
+
+
+def _column_profile() -> str:
+    cols = ("ProjectName", "Release", "MethodName", "Bugginess")
+    union = " UNION ALL ".join(f"SELECT '{c}' AS column_name, count(DISTINCT {c}) AS n_distinct FROM dataset" for c in cols)
+    return with_views("dataset") + f"""
+SELECT column_name, n_distinct, CASE WHEN n_distinct BETWEEN 1 AND 49 THEN 'nominal' ELSE 'text' END AS kind
+FROM ({union}) x"""
+
+
 QUERIES = {
     "release_activity": _release_activity,
     "ticket_versions": _ticket_versions,
@@ -359,4 +486,12 @@ QUERIES = {
     "file_churn": _file_churn,
     "line_churn": _line_churn,
     "release_snapshot": _release_snapshot,
+    "nesting_depth": _nesting_depth,
+    "weighted_complexity": _weighted_complexity,
+    "text_size": _text_size,
+    "smell_counts": lambda: with_views("smells") + "SELECT * FROM smells",
+    "method_dataset": lambda: with_views("dataset") + "SELECT * FROM dataset",
+    "dataset_cut": lambda: _cut("date"),
+    "dataset_cut_by_name": lambda: _cut("name"),
+    "column_profile": _column_profile,
 }

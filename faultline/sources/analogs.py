@@ -202,5 +202,24 @@ def violations(t: Tables) -> DataFrame:
         (F.col("event_id") % 100).cast("int").alias("beginline"))
 
 
+def page_methods(t: Tables) -> DataFrame:
+    """Methods from ``pages``: page p is method ``m<p % 100>`` of class ``F<p % 200>``."""
+    p = t.pages.select("page_id")
+    name = F.concat(F.lit("m"), (F.col("page_id") % 100).cast("string"))
+    return p.select(F.col("page_id").alias("method_ord"),
+                    F.concat(F.lit("F"), (F.col("page_id") % 200).cast("string")).alias("class"),
+                    name.alias("simple_name"),
+                    F.concat(name, F.lit("("), F.col("page_id").cast("string"), F.lit(")")).alias("signature"))
+
+
+def snapshot_methods(java_snapshots: DataFrame, pm: DataFrame) -> DataFrame:
+    """methods(project, release_id, path, method_ord, simple_name, signature):
+    every method of the class a snapshot file declares."""
+    from ..functions.paths import class_of
+
+    s = java_snapshots.select("project", "release_id", "path", class_of("path").alias("class"))
+    return s.join(pm, "class").select("project", "release_id", "path", "method_ord", "simple_name", "signature")
+
+
 # The market segments of the test data, which act as projects.
 PROJECTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
