@@ -17,6 +17,7 @@ from ..functions.paths import snapshot_file
 from ..operators import dataset as ds_ops
 from ..operators import history as hist_ops
 from ..operators import smells as smell_ops
+from ..operators import stats as stat_ops
 from ..operators import structure as st_ops
 from ..operators import labels as lab_ops
 from ..operators import proportion as prop_ops
@@ -293,6 +294,34 @@ def q_column_profile(spark, sf_dir):
     return ds_ops.column_profile(Inputs(spark, sf_dir).dataset)
 
 
+ML_FEATURES = list(analogs.METHOD_FEATURES)
+
+
+def _rows(spark, sf_dir):
+    return analogs.method_rows(Tables(spark, sf_dir))
+
+
+def q_spearman_ranking(spark, sf_dir):
+    rho = stat_ops.spearman(_rows(spark, sf_dir), ML_FEATURES, "buggy")
+    r = stat_ops.feature_ranking(rho)
+    return r.select("rank", "feature", F.round("spearman_rho", 6).alias("spearman_rho"), "actionable")
+
+
+def q_best_actionable(spark, sf_dir):
+    r = stat_ops.feature_ranking(stat_ops.spearman(_rows(spark, sf_dir), ML_FEATURES, "buggy"))
+    return stat_ops.best_actionable(r).select("feature", F.round("spearman_rho", 6).alias("spearman_rho"))
+
+
+def q_worst_method(spark, sf_dir):
+    rows = _rows(spark, sf_dir)
+    return stat_ops.worst_method(rows, "NestingDepth", "buggy", "id")
+
+
+def q_info_gain_fixed_bins(spark, sf_dir):
+    ig = stat_ops.info_gain_fixed_bins(_rows(spark, sf_dir), ML_FEATURES, "buggy", bins=10)
+    return ig.select("feature", "n_bins", F.round("info_gain", 6).alias("info_gain"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "release_activity": q_release_activity,
     "ticket_versions": q_ticket_versions,
@@ -319,4 +348,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "dataset_cut": q_dataset_cut,
     "dataset_cut_by_name": q_dataset_cut_by_name,
     "column_profile": q_column_profile,
+    "spearman_ranking": q_spearman_ranking,
+    "best_actionable": q_best_actionable,
+    "worst_method": q_worst_method,
+    "info_gain_fixed_bins": q_info_gain_fixed_bins,
 }

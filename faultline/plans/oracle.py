@@ -298,6 +298,39 @@ LEFT JOIN smells sm ON sm.project = m.project AND sm.release_id = m.release_id A
 JOIN releases r ON r.project = m.project AND r.release_id = m.release_id""")
 
 
+view("method_rows")("""
+SELECT concat_ws('-', CAST(l_orderkey AS VARCHAR), CAST(l_linenumber AS VARCHAR), CAST(l_partkey AS VARCHAR),
+                 CAST(l_suppkey AS VARCHAR), CAST(CAST(round(l_extendedprice * 100) AS BIGINT) AS VARCHAR)) AS id,
+       '1.' || CAST(year(l_shipdate) AS VARCHAR) AS Release,
+       l_quantity AS LOC, round(l_discount * 100) AS NestingDepth, round(l_tax * 100) AS ParameterCount,
+       l_extendedprice AS TotalChurn, CASE WHEN l_returnflag = 'R' THEN 1.0 ELSE 0.0 END AS ReturnFlag,
+       CASE WHEN b THEN 'yes' ELSE 'no' END AS Bugginess, CAST(b AS INTEGER) AS buggy
+FROM (SELECT *, 0.02 * l_quantity + 0.08 * round(l_discount * 100)
+                + CAST(('0x' || substr(md5(CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR) || '-42'), 1, 8))
+                       AS BIGINT) / 4294967296.0 > 1.6 AS b
+      FROM lineitem) x""")
+
+ML_FEATURES = ("LOC", "NestingDepth", "ParameterCount", "TotalChurn", "ReturnFlag")
+
+view("ml_long", "method_rows")("\nUNION ALL\n".join(
+    f"SELECT id, buggy, '{f}' AS feature, CAST({f} AS DOUBLE) AS value FROM method_rows" for f in ML_FEATURES))
+
+view("spearman", "ml_long")("""
+SELECT feature, count(*) AS n, corr(rx, ry) AS rho FROM (
+  SELECT feature, (rank() OVER (PARTITION BY feature ORDER BY value)
+                   + count(*) OVER (PARTITION BY feature, value) - 1 + rank() OVER (PARTITION BY feature ORDER BY value)) / 2.0 AS rx,
+                  (rank() OVER (PARTITION BY feature ORDER BY buggy)
+                   + count(*) OVER (PARTITION BY feature, buggy) - 1 + rank() OVER (PARTITION BY feature ORDER BY buggy)) / 2.0 AS ry
+  FROM ml_long WHERE value IS NOT NULL) x
+GROUP BY feature""")
+
+view("feature_ranking", "spearman")("""
+SELECT row_number() OVER (ORDER BY abs(rho) DESC, feature) AS rank, feature, rho AS spearman_rho,
+       lower(regexp_replace(feature, '[^a-zA-Z0-9]', '', 'g')) IN ('numberofcodesmells', 'cyclocomplexity', 'loc',
+             'cognitivecomplexity', 'parametercount', 'nestingdepth') AS actionable
+FROM spearman WHERE rho IS NOT NULL AND NOT isnan(rho)""")
+
+
 def line_count(c: str) -> str:
     return (f"CAST(CASE WHEN {c} IS NULL THEN 0 WHEN {c} = '' THEN 1 "
             f"WHEN regexp_replace({c}, '(\r?\n)+$', '') = '' THEN 0 "
@@ -468,6 +501,24 @@ SELECT column_name, n_distinct, CASE WHEN n_distinct BETWEEN 1 AND 49 THEN 'nomi
 FROM ({union}) x"""
 
 
+def _entropy(a: str, b: str) -> str:
+    t = f"({a} + {b})"
+    return (f"(CASE WHEN {t} > 0 THEN (CASE WHEN {a} > 0 THEN -({a} / {t}) * log2({a} / {t}) ELSE 0 END)"
+            f" + (CASE WHEN {b} > 0 THEN -({b} / {t}) * log2({b} / {t}) ELSE 0 END) ELSE 0 END)")
+
+
+def _info_gain_fixed_bins() -> str:
+    return with_views("ml_long") + f"""
+, b AS (SELECT l.feature, l.buggy,
+               CASE WHEN r.hi - r.lo > 0 THEN least(floor((l.value - r.lo) / (r.hi - r.lo) * 10), 9) ELSE 0 END AS bin
+        FROM ml_long l JOIN (SELECT feature, min(value) AS lo, max(value) AS hi FROM ml_long GROUP BY 1) r
+          ON r.feature = l.feature),
+h AS (SELECT feature, bin, CAST(sum(buggy) AS DOUBLE) AS n1, CAST(sum(1 - buggy) AS DOUBLE) AS n0 FROM b GROUP BY 1, 2)
+SELECT feature, count(*) AS n_bins,
+       round({_entropy('sum(n0)', 'sum(n1)')} - sum((n0 + n1) * {_entropy('n0', 'n1')}) / (sum(n0) + sum(n1)), 6) AS info_gain
+FROM h GROUP BY feature"""
+
+
 QUERIES = {
     "release_activity": _release_activity,
     "ticket_versions": _ticket_versions,
@@ -494,4 +545,13 @@ QUERIES = {
     "dataset_cut": lambda: _cut("date"),
     "dataset_cut_by_name": lambda: _cut("name"),
     "column_profile": _column_profile,
+    "spearman_ranking": lambda: with_views("feature_ranking")
+    + "SELECT rank, feature, round(spearman_rho, 6) AS spearman_rho, actionable FROM feature_ranking",
+    "best_actionable": lambda: with_views("feature_ranking")
+    + "SELECT feature, round(spearman_rho, 6) AS spearman_rho FROM feature_ranking "
+      "WHERE actionable AND spearman_rho > 0 ORDER BY rank LIMIT 1",
+    "worst_method": lambda: with_views("method_rows")
+    + "SELECT 'NestingDepth' AS feature, id, NestingDepth AS value FROM method_rows WHERE buggy = 1 "
+      "ORDER BY NestingDepth DESC, id LIMIT 1",
+    "info_gain_fixed_bins": _info_gain_fixed_bins,
 }
