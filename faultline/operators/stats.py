@@ -43,8 +43,9 @@ def average_ranks(hist: DataFrame, group: str, value: str, count: str = "c",
     """
     spark = hist.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # Materialised once: both phases must see the same range bounds.
     h = (hist.select(group, value, count).repartitionByRange(n, group, value)
-         .withColumn("_pid", F.spark_partition_id()))
+         .withColumn("_pid", F.spark_partition_id()).checkpoint(eager=True))
     tot = h.groupBy(group, "_pid").agg(F.sum(count).alias("_t"))
     w_off = Window.partitionBy(group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     off = tot.select(group, "_pid", F.coalesce(F.sum("_t").over(w_off), F.lit(0)).alias("_off"))

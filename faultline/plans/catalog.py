@@ -17,6 +17,8 @@ from ..functions.paths import snapshot_file
 from ..operators import dataset as ds_ops
 from ..operators import history as hist_ops
 from ..operators import smells as smell_ops
+from ..operators import evaluation as ev_ops
+from ..operators import sampling as samp_ops
 from ..operators import stats as stat_ops
 from ..operators import structure as st_ops
 from ..operators import labels as lab_ops
@@ -322,6 +324,66 @@ def q_info_gain_fixed_bins(spark, sf_dir):
     return ig.select("feature", "n_bins", F.round("info_gain", 6).alias("info_gain"))
 
 
+# Deterministic rule "classifiers": (name, score expression, prediction expression).
+RULE_MODELS = (
+    ("rule_loc", "LOC / 50.0", "LOC >= 30"),
+    ("rule_nest", "NestingDepth / 10.0", "NestingDepth >= 6"),
+    ("rule_mix", "0.02 * LOC + 0.08 * NestingDepth", "0.02 * LOC + 0.08 * NestingDepth >= 1.1"),
+)
+CV_FOLDS, CV_REPEATS = 5, 2
+
+
+def _folds(spark, sf_dir):
+    return samp_ops.stratified_folds(_rows(spark, sf_dir), "id", "buggy", k=CV_FOLDS, repeats=CV_REPEATS)
+
+
+def rule_predictions(spark, sf_dir) -> DataFrame:
+    """predictions(model, rep, fold, id, label, score, pred) of the rule models,
+    every row scored once per repetition in its test fold."""
+    rows = _rows(spark, sf_dir)
+    f = _folds(spark, sf_dir).drop("buggy").join(rows, "id")
+    parts = [f.select(F.lit(name).alias("model"), "rep", "fold", "id", F.col("buggy").alias("label"),
+                      F.expr(score).cast("double").alias("score"), F.expr(pred).cast("int").alias("pred"))
+             for name, score, pred in RULE_MODELS]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def _r6(df: DataFrame) -> DataFrame:
+    return df.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+def q_folds(spark, sf_dir):
+    return _folds(spark, sf_dir)
+
+
+def q_downsample(spark, sf_dir):
+    return samp_ops.downsample(_rows(spark, sf_dir), 20000, "id", seed=42).select("id", "buggy")
+
+
+def _fold_metrics(spark, sf_dir):
+    i = Inputs(spark, sf_dir)
+    return i._get("fold_metrics", lambda: ev_ops.fold_metrics(rule_predictions(spark, sf_dir)), store=True)
+
+
+def q_fold_metrics(spark, sf_dir):
+    return _r6(_fold_metrics(spark, sf_dir))
+
+
+def q_cv_summary(spark, sf_dir):
+    return _r6(ev_ops.cv_summary(_fold_metrics(spark, sf_dir)))
+
+
+def q_composite_ranking(spark, sf_dir):
+    return _r6(ev_ops.composite_ranking(ev_ops.cv_summary(_fold_metrics(spark, sf_dir))))
+
+
+def q_metric_distribution(spark, sf_dir):
+    return _r6(ev_ops.metric_distribution(_fold_metrics(spark, sf_dir)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "release_activity": q_release_activity,
     "ticket_versions": q_ticket_versions,
@@ -352,4 +414,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "best_actionable": q_best_actionable,
     "worst_method": q_worst_method,
     "info_gain_fixed_bins": q_info_gain_fixed_bins,
+    "folds": q_folds,
+    "downsample": q_downsample,
+    "fold_metrics": q_fold_metrics,
+    "cv_summary": q_cv_summary,
+    "composite_ranking": q_composite_ranking,
+    "metric_distribution": q_metric_distribution,
 }

@@ -331,6 +331,61 @@ SELECT row_number() OVER (ORDER BY abs(rho) DESC, feature) AS rank, feature, rho
 FROM spearman WHERE rho IS NOT NULL AND NOT isnan(rho)""")
 
 
+view("folds", "method_rows")("""
+SELECT id, buggy, rep, CAST((row_number() OVER (PARTITION BY rep, buggy
+                                    ORDER BY md5(id || '-' || CAST(rep AS VARCHAR) || '-42'), id) - 1) % 5 AS INTEGER) AS fold
+FROM method_rows, (SELECT CAST(range AS INTEGER) AS rep FROM range(2)) r""")
+
+
+def _rule_models():
+    from .catalog import RULE_MODELS
+    return RULE_MODELS
+
+
+view("predictions", "folds", "method_rows")("\nUNION ALL\n".join(
+    f"SELECT '{n}' AS model, f.rep, f.fold, f.id, f.buggy AS label, CAST({sc} AS DOUBLE) AS score, "
+    f"CAST({pr} AS INTEGER) AS pred FROM folds f JOIN method_rows m ON m.id = f.id"
+    for n, sc, pr in (("rule_loc", "m.LOC / 50.0", "m.LOC >= 30"),
+                      ("rule_nest", "m.NestingDepth / 10.0", "m.NestingDepth >= 6"),
+                      ("rule_mix", "0.02 * m.LOC + 0.08 * m.NestingDepth", "0.02 * m.LOC + 0.08 * m.NestingDepth >= 1.1"))))
+
+view("fold_metrics", "predictions")("""
+SELECT model, rep, fold,
+       CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0 END AS precision,
+       CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0.0 END AS recall,
+       CASE WHEN tp + fp > 0 AND tp + fn > 0 AND tp > 0
+            THEN 2 * (tp / (tp + fp)) * (tp / (tp + fn)) / ((tp / (tp + fp)) + (tp / (tp + fn))) ELSE 0.0 END AS f1,
+       CASE WHEN tp + fn > 0 AND fp + tn > 0 THEN (rs - (tp + fn) * (tp + fn + 1) / 2) / ((tp + fn) * (fp + tn))
+            ELSE 'NaN'::DOUBLE END AS auc,
+       CASE WHEN pe < 1 THEN (po - pe) / (1 - pe) ELSE 1.0 END AS kappa, po AS accuracy,
+       CASE WHEN tp + fn > 0 THEN coalesce(found, 0) / (tp + fn) ELSE 0.0 END AS npofb20
+FROM (SELECT *, (tp + tn) / (tp + fp + fn + tn) AS po,
+             ((tp + fp) * (tp + fn) + (fn + tn) * (fp + tn)) / ((tp + fp + fn + tn) * (tp + fp + fn + tn)) AS pe
+      FROM (SELECT model, rep, fold,
+                   CAST(sum(CASE WHEN label = 1 AND pred = 1 THEN 1 ELSE 0 END) AS DOUBLE) AS tp,
+                   CAST(sum(CASE WHEN label = 0 AND pred = 1 THEN 1 ELSE 0 END) AS DOUBLE) AS fp,
+                   CAST(sum(CASE WHEN label = 1 AND pred = 0 THEN 1 ELSE 0 END) AS DOUBLE) AS fn,
+                   CAST(sum(CASE WHEN label = 0 AND pred = 0 THEN 1 ELSE 0 END) AS DOUBLE) AS tn,
+                   sum(CASE WHEN label = 1 THEN ar END) AS rs,
+                   sum(CASE WHEN label = 1 AND pos <= least(ceil(n * 0.2), nb) THEN 1 ELSE 0 END) AS found
+            FROM (SELECT *, (rank() OVER (PARTITION BY model, rep, fold ORDER BY score) * 2
+                             + count(*) OVER (PARTITION BY model, rep, fold, score) - 1) / 2.0 AS ar,
+                         row_number() OVER (PARTITION BY model, rep, fold ORDER BY score DESC, id) AS pos,
+                         count(*) OVER (PARTITION BY model, rep, fold) AS n,
+                         sum(label) OVER (PARTITION BY model, rep, fold) AS nb
+                  FROM predictions) p
+            GROUP BY 1, 2, 3) c) k""")
+
+_METRICS = ("precision", "recall", "f1", "auc", "kappa", "accuracy", "npofb20")
+
+view("cv_summary", "fold_metrics")("""
+SELECT model, """ + ", ".join(
+    f"avg(CASE WHEN NOT isnan({m}) THEN {m} END) AS avg_{m}, arg_max({m}, rep) AS last_{m}" for m in _METRICS) + """,
+       count(*) AS runs
+FROM (SELECT model, rep, """ + ", ".join(f"avg({m}) AS {m}" for m in _METRICS) + """ FROM fold_metrics GROUP BY 1, 2) r
+GROUP BY model""")
+
+
 def line_count(c: str) -> str:
     return (f"CAST(CASE WHEN {c} IS NULL THEN 0 WHEN {c} = '' THEN 1 "
             f"WHEN regexp_replace({c}, '(\r?\n)+$', '') = '' THEN 0 "
@@ -519,6 +574,37 @@ SELECT feature, count(*) AS n_bins,
 FROM h GROUP BY feature"""
 
 
+def _round6(cols: str) -> str:
+    return cols
+
+
+def _fold_metrics_q() -> str:
+    return with_views("fold_metrics") + "SELECT model, rep, fold, " + ", ".join(
+        f"round({m}, 6) AS {m}" for m in _METRICS) + " FROM fold_metrics"
+
+
+def _cv_summary_q() -> str:
+    cols = ", ".join(f"round(avg_{m}, 6) AS avg_{m}, round(last_{m}, 6) AS last_{m}" for m in _METRICS)
+    return with_views("cv_summary") + f"SELECT model, {cols}, runs FROM cv_summary"
+
+
+def _composite_q() -> str:
+    comp = ("0.30 * avg_auc + 0.40 * avg_recall + 0.20 * least(greatest(avg_npofb20 / 1.0, 0.0), 1.0) "
+            "+ 0.10 * (avg_kappa + 1.0) / 2.0")
+    return with_views("cv_summary") + f"""
+SELECT row_number() OVER (ORDER BY {comp} DESC, model) AS position, model, round({comp}, 6) AS composite
+FROM cv_summary"""
+
+
+def _metric_distribution_q() -> str:
+    union = " UNION ALL ".join(f"SELECT model, '{m}' AS metric, {m} AS value FROM fold_metrics" for m in _METRICS)
+    return with_views("fold_metrics") + f"""
+SELECT model, metric, round(quantile_cont(value, 0.25), 6) AS q1, round(quantile_cont(value, 0.5), 6) AS median,
+       round(quantile_cont(value, 0.75), 6) AS q3, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std,
+       round(min(value), 6) AS min, round(max(value), 6) AS max, round(max(value) - min(value), 6) AS range
+FROM ({union}) x GROUP BY 1, 2"""
+
+
 QUERIES = {
     "release_activity": _release_activity,
     "ticket_versions": _ticket_versions,
@@ -554,4 +640,11 @@ QUERIES = {
     + "SELECT 'NestingDepth' AS feature, id, NestingDepth AS value FROM method_rows WHERE buggy = 1 "
       "ORDER BY NestingDepth DESC, id LIMIT 1",
     "info_gain_fixed_bins": _info_gain_fixed_bins,
+    "folds": lambda: with_views("folds") + "SELECT * FROM folds",
+    "downsample": lambda: with_views("method_rows")
+    + "SELECT id, buggy FROM method_rows ORDER BY md5(id || '-42'), id LIMIT 20000",
+    "fold_metrics": _fold_metrics_q,
+    "cv_summary": _cv_summary_q,
+    "composite_ranking": _composite_q,
+    "metric_distribution": _metric_distribution_q,
 }
