@@ -18,6 +18,8 @@ from ..operators import dataset as ds_ops
 from ..operators import history as hist_ops
 from ..operators import smells as smell_ops
 from ..operators import evaluation as ev_ops
+from ..operators import models as ml_ops
+from ..operators import whatif as wi_ops
 from ..operators import sampling as samp_ops
 from ..operators import stats as stat_ops
 from ..operators import structure as st_ops
@@ -384,6 +386,96 @@ def q_metric_distribution(spark, sf_dir):
     return _r6(ev_ops.metric_distribution(_fold_metrics(spark, sf_dir)))
 
 
+NB_FEATURES = ["LOC", "NestingDepth", "ParameterCount", "TotalChurn"]
+
+
+def q_gaussian_nb_scores(spark, sf_dir):
+    rows = _rows(spark, sf_dir)
+    model = ml_ops.gaussian_nb_fit(rows, NB_FEATURES, "buggy")
+    return ml_ops.gaussian_nb_score(rows, model, NB_FEATURES).select(
+        "id", F.round("score", 6).alias("score"), "pred")
+
+
+def q_knn_scores(spark, sf_dir):
+    emb = Tables(spark, sf_dir).embeddings.select("vec_id", F.col("embedding").cast("array<double>").alias("v"),
+                                                  "label")
+    scaled = ml_ops.minmax_scale_vector(emb, "v")
+    nn = ml_ops.knn(scaled, scaled, "v", "vec_id", k=5, exclude_self=True)
+    vote = ml_ops.knn_vote(nn, emb, "vec_id", "label")
+    return vote.select(F.col("query_id").cast("bigint").alias("vec_id"), "pred_label",
+                       F.round("score", 6).alias("score"))
+
+
+WHATIF_FEATURE = "NestingDepth"
+WHATIF_RULE = ("0.02 * LOC + 0.08 * NestingDepth", "0.02 * LOC + 0.08 * NestingDepth >= 0.9")
+
+
+def _whatif_scored(spark, sf_dir):
+    sets = wi_ops.tagged_sets(_rows(spark, sf_dir), WHATIF_FEATURE)
+    return sets.withColumn("pred", F.expr(WHATIF_RULE[1]).cast("int"))
+
+
+def q_whatif_split(spark, sf_dir):
+    sets = wi_ops.tagged_sets(_rows(spark, sf_dir), WHATIF_FEATURE)
+    return sets.groupBy("dataset").agg(F.count(F.lit(1)).alias("n_rows"),
+                                       F.sum(F.col(WHATIF_FEATURE)).alias("feature_sum"))
+
+
+def q_whatif_summary(spark, sf_dir):
+    return wi_ops.summary(_whatif_scored(spark, sf_dir))
+
+
+def q_whatif_verdict(spark, sf_dir):
+    v = wi_ops.verdict(wi_ops.summary(_whatif_scored(spark, sf_dir)))
+    return v.select(F.round("avoided_share", 6).alias("avoided_share"), "rows_conserved", "actual_conserved",
+                    "predicted_conserved")
+
+
+def q_smote_balance(spark, sf_dir):
+    rows = _rows(spark, sf_dir)
+    bal = samp_ops.smote(rows, NB_FEATURES, "buggy", "id", percent=65.0, k=5, seed=42)
+    return bal.groupBy("buggy", "synthetic").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+def q_forest_cv(spark, sf_dir):
+    rows = _rows(spark, sf_dir)
+    folds = samp_ops.stratified_folds(rows, "id", "buggy", k=3, repeats=1)
+    pred = ml_ops.cross_validate(rows, folds, NB_FEATURES, ["NaiveBayes", "RandomForest"])
+    return ev_ops.cv_summary(ev_ops.fold_metrics(pred))
+
+
+def q_whatif_forest(spark, sf_dir):
+    rows = _rows(spark, sf_dir)
+    feats = NB_FEATURES
+    train = rows.select("id", *[F.col(f).cast("double").alias(f) for f in feats], F.col("buggy").cast("double")
+                        .alias("label"))
+    model = ml_ops.build_classifier("Bagging", feats).fit(train)
+    sets = wi_ops.tagged_sets(rows, WHATIF_FEATURE).select(
+        "dataset", "buggy", *[F.col(f).cast("double").alias(f) for f in feats])
+    scored = model.transform(sets).withColumn("pred", F.col("prediction").cast("int"))
+    return wi_ops.summary(scored)
+
+
+ACTIONABLE = ["LOC", "ParameterCount", "CycloComplexity", "CognitiveComplexity", "NestingDepth", "NumberOfCodeSmells"]
+
+
+def q_refactor_verdict(spark, sf_dir):
+    """M-14 / K-9 / A-14: naive Bayes on the six actionable metrics of the
+    training releases (release cut), scoring the methods of each project's last
+    release; totals and percentages per project."""
+    i = Inputs(spark, sf_dir)
+    d = i.dataset.withColumn("buggy", (F.col("Bugginess") == "yes").cast("int"))
+    train = ds_ops.release_cut(d, 0.34, order="date", releases=i.releases, project="ProjectName")
+    model = ml_ops.gaussian_nb_fit(train, ACTIONABLE, "buggy")
+    last = i.release_ord.filter(F.col("ord") == F.col("n_releases")).select(
+        F.col("project").alias("ProjectName"), F.col("name").alias("Release"))
+    test = d.join(last, ["ProjectName", "Release"], "left_semi")
+    scored = ml_ops.gaussian_nb_score(test, model, ACTIONABLE)
+    return scored.groupBy("ProjectName").agg(
+        F.count(F.lit(1)).alias("n_scored"), F.sum("pred").cast("bigint").alias("n_predicted_buggy"),
+        F.round(F.avg("pred") * 100, 6).alias("pct_predicted_buggy"), F.round(F.max("score"), 6).alias("max_score"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "release_activity": q_release_activity,
     "ticket_versions": q_ticket_versions,
@@ -420,4 +512,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "cv_summary": q_cv_summary,
     "composite_ranking": q_composite_ranking,
     "metric_distribution": q_metric_distribution,
+    "gaussian_nb_scores": q_gaussian_nb_scores,
+    "knn_scores": q_knn_scores,
+    "whatif_split": q_whatif_split,
+    "whatif_summary": q_whatif_summary,
+    "whatif_verdict": q_whatif_verdict,
+    "smote_balance": q_smote_balance,
+    "forest_cv": q_forest_cv,
+    "whatif_forest": q_whatif_forest,
+    "refactor_verdict": q_refactor_verdict,
 }

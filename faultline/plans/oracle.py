@@ -605,6 +605,84 @@ SELECT model, metric, round(quantile_cont(value, 0.25), 6) AS q1, round(quantile
 FROM ({union}) x GROUP BY 1, 2"""
 
 
+def _nb_sql(src: str, train: str, feats: list[str], label: str) -> str:
+    """Gaussian NB in SQL: per-class prior/mean/var_pop, log-likelihood, P(1)."""
+    stats = ", ".join(f"avg(CAST({f} AS DOUBLE)) AS m_{f}, greatest(coalesce(var_pop(CAST({f} AS DOUBLE)), 0), 1e-9) AS v_{f}"
+                      for f in feats)
+    def ll(c):
+        terms = " + ".join(f"(-0.5 * ln(2 * pi() * {c}.v_{f}) - pow(CAST(x.{f} AS DOUBLE) - {c}.m_{f}, 2) / (2 * {c}.v_{f}))"
+                           for f in feats)
+        return f"ln({c}.prior) + {terms}"
+    return f"""
+, nb AS (SELECT {label} AS cls, count(*) / (SELECT count(*) FROM {train}) AS prior, {stats} FROM {train} GROUP BY 1),
+nb_scored AS (SELECT x.*, 1.0 / (1.0 + exp(({ll('n')}) - ({ll('p')}))) AS score
+              FROM {src} x, (SELECT * FROM nb WHERE cls = 1) p, (SELECT * FROM nb WHERE cls = 0) n)"""
+
+
+_NB_FEATS = ["LOC", "NestingDepth", "ParameterCount", "TotalChurn"]
+_ACTIONABLE = ["LOC", "ParameterCount", "CycloComplexity", "CognitiveComplexity", "NestingDepth", "NumberOfCodeSmells"]
+
+
+def _gaussian_nb_scores() -> str:
+    return with_views("method_rows") + _nb_sql("method_rows", "method_rows", _NB_FEATS, "buggy") + """
+SELECT id, round(score, 6) AS score, CAST(score >= 0.5 AS INTEGER) AS pred FROM nb_scored"""
+
+
+def _knn_scores() -> str:
+    return """
+WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, label FROM embeddings),
+d AS (SELECT i, min(x) AS lo, max(x) AS hi FROM (SELECT unnest(v) AS x, unnest(range(len(v))) AS i FROM e) GROUP BY i),
+s AS (SELECT e.vec_id, e.label, u.i, CASE WHEN d.hi > d.lo THEN (u.x - d.lo) / (d.hi - d.lo) ELSE 0.0 END AS x
+      FROM e, LATERAL (SELECT unnest(e.v) AS x, unnest(range(len(e.v))) AS i) u JOIN d ON d.i = u.i),
+pairs AS (SELECT a.vec_id AS q, b.vec_id AS n, sqrt(sum((a.x - b.x) * (a.x - b.x))) AS dist
+          FROM s a JOIN s b ON a.i = b.i AND a.vec_id <> b.vec_id GROUP BY 1, 2),
+top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY dist, CAST(n AS VARCHAR)) AS r FROM pairs)
+        WHERE r <= 5),
+w AS (SELECT t.q, e.label AS c, sum(1.0 / (t.dist + 1e-6)) AS wc FROM top t JOIN e ON e.vec_id = t.n GROUP BY 1, 2)
+SELECT q AS vec_id, arg_min(c, (-wc, c)) AS pred_label, round(max(wc) / sum(wc), 6) AS score FROM w GROUP BY q"""
+
+
+_TAGGED = """
+, split AS (SELECT *, CASE WHEN NestingDepth > 0 AND NOT isnan(CAST(NestingDepth AS DOUBLE)) THEN 'B+' ELSE 'C' END AS part
+            FROM method_rows),
+tagged AS (SELECT * EXCLUDE (part), 'A' AS dataset FROM split
+           UNION ALL BY NAME SELECT * EXCLUDE (part), part AS dataset FROM split
+           UNION ALL BY NAME SELECT * EXCLUDE (part, NestingDepth), 0.0 AS NestingDepth, 'B' AS dataset
+           FROM split WHERE part = 'B+'),
+scored AS (SELECT *, CAST(0.02 * LOC + 0.08 * NestingDepth >= 0.9 AS INTEGER) AS pred FROM tagged),
+summ AS (SELECT dataset, CASE WHEN dataset = 'B' THEN NULL ELSE CAST(sum(buggy) AS BIGINT) END AS actual,
+                CAST(sum(pred) AS BIGINT) AS predicted, count(*) AS n_rows FROM scored GROUP BY 1)"""
+
+
+def _whatif_verdict() -> str:
+    return with_views("method_rows") + _TAGGED + """
+SELECT round(CASE WHEN eb > 0 THEN (eb - e_b) / eb ELSE 0.0 END, 6) AS avoided_share,
+       na = nbp + nc AS rows_conserved, aa = abp + ac AS actual_conserved, ea = eb + ec AS predicted_conserved
+FROM (SELECT CAST(max(CASE WHEN dataset = 'B+' THEN predicted END) AS DOUBLE) AS eb,
+             max(CASE WHEN dataset = 'B' THEN predicted END) AS e_b,
+             max(CASE WHEN dataset = 'A' THEN predicted END) AS ea, max(CASE WHEN dataset = 'C' THEN predicted END) AS ec,
+             max(CASE WHEN dataset = 'A' THEN actual END) AS aa, max(CASE WHEN dataset = 'B+' THEN actual END) AS abp,
+             max(CASE WHEN dataset = 'C' THEN actual END) AS ac,
+             max(CASE WHEN dataset = 'A' THEN n_rows END) AS na, max(CASE WHEN dataset = 'B+' THEN n_rows END) AS nbp,
+             max(CASE WHEN dataset = 'C' THEN n_rows END) AS nc FROM summ) x"""
+
+
+def _refactor_verdict() -> str:
+    cut = """
+, d AS (SELECT *, CAST(Bugginess = 'yes' AS INTEGER) AS buggy FROM dataset),
+rel AS (SELECT d.ProjectName, d.Release, row_number() OVER (PARTITION BY d.ProjectName ORDER BY r.release_date, d.Release) AS rn,
+               count(*) OVER (PARTITION BY d.ProjectName) AS n
+        FROM (SELECT DISTINCT ProjectName, Release FROM dataset) d
+        LEFT JOIN releases r ON r.project = d.ProjectName AND r.name = d.Release),
+train AS (SELECT d.* FROM d JOIN rel USING (ProjectName, Release) WHERE rn <= least(greatest(floor(n * 0.34 + 0.5), 1), n)),
+test AS (SELECT d.* FROM d JOIN release_ord o ON o.project = d.ProjectName AND o.name = d.Release
+         WHERE o.ord = o.n_releases)"""
+    return with_views("dataset", "release_ord") + cut + _nb_sql("test", "train", _ACTIONABLE, "buggy") + """
+SELECT ProjectName, count(*) AS n_scored, CAST(sum(CAST(score >= 0.5 AS INTEGER)) AS BIGINT) AS n_predicted_buggy,
+       round(avg(CAST(score >= 0.5 AS INTEGER)) * 100, 6) AS pct_predicted_buggy, round(max(score), 6) AS max_score
+FROM nb_scored GROUP BY 1"""
+
+
 QUERIES = {
     "release_activity": _release_activity,
     "ticket_versions": _ticket_versions,
@@ -647,4 +725,14 @@ QUERIES = {
     "cv_summary": _cv_summary_q,
     "composite_ranking": _composite_q,
     "metric_distribution": _metric_distribution_q,
+    "gaussian_nb_scores": _gaussian_nb_scores,
+    "knn_scores": _knn_scores,
+    "whatif_split": lambda: with_views("method_rows") + _TAGGED
+    + " SELECT dataset, count(*) AS n_rows, sum(NestingDepth) AS feature_sum FROM tagged GROUP BY 1",
+    "whatif_summary": lambda: with_views("method_rows") + _TAGGED + " SELECT * FROM summ",
+    "whatif_verdict": _whatif_verdict,
+    "smote_balance": lambda: with_views("method_rows") + """
+SELECT buggy, FALSE AS synthetic, count(*) AS n_rows FROM method_rows GROUP BY 1
+UNION ALL SELECT 1, TRUE, CAST(floor(count(*) * 65 / 100) AS BIGINT) FROM method_rows WHERE buggy = 1""",
+    "refactor_verdict": _refactor_verdict,
 }
