@@ -449,7 +449,8 @@ def q_whatif_forest(spark, sf_dir):
     feats = NB_FEATURES
     train = rows.select("id", *[F.col(f).cast("double").alias(f) for f in feats], F.col("buggy").cast("double")
                         .alias("label"))
-    model = ml_ops.build_classifier("Bagging", feats).fit(train)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    model = ml_ops.build_classifier("Bagging", feats).fit(train.repartition(n).checkpoint(eager=True))
     sets = wi_ops.tagged_sets(rows, WHATIF_FEATURE).select(
         "dataset", "buggy", *[F.col(f).cast("double").alias(f) for f in feats])
     scored = model.transform(sets).withColumn("pred", F.col("prediction").cast("int"))
