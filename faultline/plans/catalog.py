@@ -29,6 +29,7 @@ from ..operators.asof import asof_release
 from ..operators import releases as rel_ops
 from ..operators import tickets as tk_ops
 from ..sources import analogs
+from ..sources import results_store
 from ..sources.tables import Tables
 
 
@@ -477,6 +478,23 @@ def q_refactor_verdict(spark, sf_dir):
         F.round(F.avg("pred") * 100, 6).alias("pct_predicted_buggy"), F.round(F.max("score"), 6).alias("max_score"))
 
 
+def q_project_results_upsert(spark, sf_dir):
+    """K-5 / U-2: a store holding the results of a first run (repetition 0
+    only) receives a newer run of one classifier; the store keeps the latest
+    record per (project, classifier)."""
+    fm = _fold_metrics(spark, sf_dir)
+
+    def results(folds, ts):
+        s = ev_ops.cv_summary(folds)
+        return s.select(F.lit("method_rows").alias("project"), F.col("model").alias("classifier"),
+                        F.lit(ts).alias("run_ts"), "avg_auc", "avg_recall", "runs")
+    old = results(fm.filter(F.col("rep") == 0), 1)
+    new = results(fm, 2).filter(F.col("classifier") == "rule_mix")
+    up = results_store.upsert(old, new)
+    return up.select("project", "classifier", "run_ts", F.round("avg_auc", 6).alias("avg_auc"),
+                     F.round("avg_recall", 6).alias("avg_recall"), "runs")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "release_activity": q_release_activity,
     "ticket_versions": q_ticket_versions,
@@ -522,4 +540,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "forest_cv": q_forest_cv,
     "whatif_forest": q_whatif_forest,
     "refactor_verdict": q_refactor_verdict,
+    "project_results_upsert": q_project_results_upsert,
 }
