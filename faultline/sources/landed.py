@@ -64,7 +64,10 @@ def read_issue_pages(spark: SparkSession, path: str) -> tuple[DataFrame, DataFra
     several pages are kept once."""
     raw = (spark.read.schema(ISSUE_PAGE_SCHEMA).option("multiLine", True).option("mode", "PERMISSIVE")
            .option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
-           .withColumn("_file", F.col("_metadata.file_name")))
+           .withColumn("_file", F.col("_metadata.file_name"))
+           # Spark refuses queries that read only the corrupt-record column of raw
+           # files; the parsed pages are cached (recomputable) as it advises.
+           .cache())
     corrupt = raw.filter(F.col("_corrupt_record").isNotNull()).select("_file", "_corrupt_record")
     ok = raw.filter(F.col("_corrupt_record").isNull())
     x = ok.select(F.explode("issues").alias("i"))
@@ -105,7 +108,7 @@ def read_results(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     ignored; unreadable files go to the second (corrupt) frame."""
     raw = (spark.read.schema(RESULTS_SCHEMA).option("multiLine", True).option("mode", "PERMISSIVE")
            .option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
-           .withColumn("_file", F.col("_metadata.file_name")))
+           .withColumn("_file", F.col("_metadata.file_name")).cache())
     corrupt = raw.filter(F.col("_corrupt_record").isNotNull()).select("_file", "_corrupt_record")
     return raw.filter(F.col("_corrupt_record").isNull()).drop("_corrupt_record"), corrupt
 
