@@ -60,7 +60,8 @@ def asof_release(df: DataFrame, day, releases: DataFrame, prefix: str = "",
     bounds = last_release(releases, project, extra)
     cal = release_calendar(releases, project, extra).select(
         F.col(project).alias("_cp"), "cal_day", *[F.col(c).alias(f"_c_{c}") for c in cols])
-    x = df.withColumn("_day", day.cast("date")).join(bounds, project, "left")
+    # One row per project: a size bounded by the project list, broadcast.
+    x = df.withColumn("_day", day.cast("date")).join(F.broadcast(bounds), project, "left")
     x = x.withColumn("_key", F.when(F.col("_day") < F.col("_first_date"), F.col("_first_date"))
                      .otherwise(F.col("_day")))
     x = x.join(cal, (x[project] == cal["_cp"]) & (x["_key"] == cal["cal_day"]), "left")

@@ -11,25 +11,27 @@ def row_positions(df: DataFrame, group: list[str], order: list[Column | str],
     """Exact ``row_number()`` within ``group`` by ``order`` (``_pos``, 1-based),
     without one window over a whole group.
 
-    Two phases: range-partition on (group, order); count rows per (group,
-    partition); offsets = running sum of those counts over the partitions of a
-    group (a groups × partitions table); position = offset + local row number
-    inside the partition.  A group holding a third of the data is spread over
-    many tasks.
+    One range shuffle on (group, order) with a sort inside each partition;
+    ``monotonically_increasing_id`` then numbers rows in partition order.  A
+    (group, partition) count/min table — groups × partitions rows, bounded by
+    configuration, broadcast — gives each group's offset in the earlier
+    partitions; position = offset + index − first index of the group in the
+    partition + 1.  A group holding a third of the data is spread over many
+    tasks, and the data is shuffled once.
     """
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    order_cols = [F.col(o) if isinstance(o, str) else o for o in order]
-    # Materialised once: both phases must see the same range bounds (a
-    # re-sampled range partitioner would assign other partition ids).
-    h = (df.repartitionByRange(n, *[F.col(g) for g in group], *order_cols)
-         .withColumn("_pid", F.spark_partition_id()).checkpoint(eager=True))
-    tot = h.groupBy(*group, "_pid").agg(F.count(F.lit(1)).alias("_t"))
+    keys = [F.col(g) for g in group] + [F.col(o) if isinstance(o, str) else o for o in order]
+    # Materialised once: later reads must see the same range bounds and order.
+    h = (df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+         .withColumn("_mid", F.monotonically_increasing_id()).checkpoint(eager=True))
+    h = h.withColumn("_pid", F.shiftright("_mid", 33)).withColumn("_idx", F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1)))
+    tot = h.groupBy(*group, "_pid").agg(F.count(F.lit(1)).alias("_t"), F.min("_idx").alias("_first"))
     w_off = Window.partitionBy(*group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    off = tot.select(*group, "_pid", F.coalesce(F.sum("_t").over(w_off), F.lit(0)).alias("_off"))
-    local = h.withColumn("_loc", F.row_number().over(Window.partitionBy(*group, "_pid").orderBy(*order_cols)))
-    return local.join(off, [*group, "_pid"]).withColumn("_pos", F.col("_loc") + F.col("_off")) \
-        .drop("_loc", "_off", "_pid")
+    off = tot.select(*group, "_pid", "_first", F.coalesce(F.sum("_t").over(w_off), F.lit(0)).alias("_off"))
+    x = h.join(F.broadcast(off), [*group, "_pid"])
+    return (x.withColumn("_pos", F.col("_off") + F.col("_idx") - F.col("_first") + 1)
+            .drop("_mid", "_pid", "_idx", "_first", "_off"))
 
 
 def seeded_hash(*cols: str | Column, seed: int = 42) -> Column:

@@ -51,7 +51,8 @@ def average_ranks(hist: DataFrame, group: str, value: str, count: str = "c",
     off = tot.select(group, "_pid", F.coalesce(F.sum("_t").over(w_off), F.lit(0)).alias("_off"))
     w_loc = Window.partitionBy(group, "_pid").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     local = h.withColumn("_cum", F.sum(count).over(w_loc))
-    x = local.join(off, [group, "_pid"])
+    # groups × partitions rows (bounded by configuration): broadcast.
+    x = local.join(F.broadcast(off), [group, "_pid"])
     cum = F.col("_cum") + F.col("_off")
     return x.select(group, value, count, (cum - F.col(count) + (F.col(count) + 1) / 2.0).alias("rank"))
 
@@ -65,7 +66,8 @@ def spearman(df: DataFrame, features: list[str], label: str) -> DataFrame:
     """
     long = to_long(df.withColumn("_y", F.col(label).cast("double")), features, ["_y"]) \
         .filter(F.col("_y").isNotNull())
-    h = long.groupBy("feature", "value", "_y").agg(F.count(F.lit(1)).alias("c"))
+    # The (feature, value, label) histogram feeds three branches: materialise it once.
+    h = long.groupBy("feature", "value", "_y").agg(F.count(F.lit(1)).alias("c")).checkpoint(eager=True)
     rx = average_ranks(h.groupBy("feature", "value").agg(F.sum("c").alias("c")), "feature", "value") \
         .select("feature", "value", F.col("rank").alias("rx"))
     ry = average_ranks(h.groupBy("feature", "_y").agg(F.sum("c").alias("c")), "feature", "_y") \

@@ -7,6 +7,7 @@ DuckDB SQL of each key lives in :mod:`faultline.plans.oracle`.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,6 +30,7 @@ from ..operators.asof import asof_release
 from ..operators import releases as rel_ops
 from ..operators import tickets as tk_ops
 from ..sources import analogs
+from ..session import materialize
 from ..sources import results_store
 from ..sources.tables import Tables
 
@@ -46,13 +48,14 @@ class Inputs:
     def __init__(self, spark: SparkSession, sf_dir: str, materialize: bool = True):
         self.t = Tables(spark, sf_dir)
         self.materialize = materialize
+        self.run = uuid.uuid4().hex
         self._cache: dict[str, DataFrame] = {}
 
     def _get(self, name: str, build: Callable[[], DataFrame], store: bool = False) -> DataFrame:
         if name not in self._cache:
             df = build()
             if store and self.materialize:
-                df = df.checkpoint(eager=True)
+                df = materialize(df, name, self.run)
             self._cache[name] = df
         return self._cache[name]
 
@@ -368,7 +371,9 @@ def q_downsample(spark, sf_dir):
 
 def _fold_metrics(spark, sf_dir):
     i = Inputs(spark, sf_dir)
-    return i._get("fold_metrics", lambda: ev_ops.fold_metrics(rule_predictions(spark, sf_dir)), store=True)
+    # The predictions table is a stage border: stored once, read by every measure.
+    pred = i._get("predictions", lambda: rule_predictions(spark, sf_dir), store=True)
+    return i._get("fold_metrics", lambda: ev_ops.fold_metrics(pred), store=True)
 
 
 def q_fold_metrics(spark, sf_dir):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -64,3 +65,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="faultline-ckpt-", dir=os.environ.get("TMPDIR", "/tmp")))
         return sc.getCheckpointDir()
     raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
+
+
+def materialize(df, name: str, run: str | None = None):
+    """Write ``df`` as a Parquet table under the shared checkpoint folder and
+    read it back: lineage is cut, the data survives executor loss, and the
+    planner gets real file sizes (so small tables are broadcast by plan, not
+    by chance) plus column pruning and filter pushdown on re-reads."""
+    spark = df.sparkSession
+    root = ensure_checkpoint_dir(spark).rstrip("/")
+    path = f"{root}/tables/{run or uuid.uuid4().hex}/{name}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
