@@ -155,3 +155,105 @@ def info_gain_fixed_bins(df: DataFrame, features: list[str], label: str = "buggy
     n = F.col("n0") + F.col("n1")
     ig = entropy_bits(F.col("n0"), F.col("n1")) - F.col("_cond") / n
     return per.select("feature", F.col("n_bins").cast("bigint").alias("n_bins"), ig.alias("info_gain"))
+
+
+def running_sums(df: DataFrame, group: list[str], order: str, sums: list[str],
+                 partitions: int | None = None) -> DataFrame:
+    """Inclusive running sums of ``sums`` within ``group`` in ``order`` (columns
+    ``cum_<name>``), two-phase like :func:`average_ranks`: range partitions,
+    per-(group, partition) totals turned into broadcast offsets, then a window
+    over one partition's rows of one group."""
+    spark = df.sparkSession
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    h = (df.repartitionByRange(n, *group, order).withColumn("_pid", F.spark_partition_id())
+         .checkpoint(eager=True))
+    tot = h.groupBy(*group, "_pid").agg(*[F.sum(s).alias(f"_t_{s}") for s in sums])
+    w_off = Window.partitionBy(*group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    off = tot.select(*group, "_pid", *[F.coalesce(F.sum(f"_t_{s}").over(w_off), F.lit(0)).alias(f"_o_{s}")
+                                       for s in sums])
+    w = Window.partitionBy(*group, "_pid").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    local = h.select("*", *[F.sum(s).over(w).alias(f"_l_{s}") for s in sums])
+    x = local.join(F.broadcast(off), [*group, "_pid"])  # groups × partitions rows
+    return x.select(*df.columns, *[(F.col(f"_l_{s}") + F.col(f"_o_{s}")).alias(f"cum_{s}") for s in sums])
+
+
+def _h2(a: Column, b: Column) -> Column:
+    return entropy_bits(a.cast("double"), b.cast("double"))
+
+
+def _k(a: Column, b: Column) -> Column:
+    return (F.when(a > 0, 1).otherwise(0) + F.when(b > 0, 1).otherwise(0)).cast("double")
+
+
+def mdl_cuts(df: DataFrame, features: list[str], label: str = "buggy", max_levels: int = 32) -> DataFrame:
+    """(feature, cut) of :func:`mdl_discretize`."""
+    return mdl_discretize(df, features, label, max_levels)[0]
+
+
+def mdl_discretize(df: DataFrame, features: list[str], label: str = "buggy",
+                   max_levels: int = 32) -> tuple[DataFrame, DataFrame]:
+    """Supervised discretisation (Fayyad & Irani 1993, MDL stopping rule) of each
+    feature against a 0/1 label: (feature, cut) with a cut meaning "≤ cut".
+
+    Works on the (feature, value) → (n0, n1) histogram, level by level: every
+    open interval of every feature gets its best boundary (least weighted
+    class entropy; ties → smallest value) from two-phase running sums, and
+    the MDL test accepts or closes it.  A level is a few distributed jobs; no
+    interval is ever gathered into one task.
+    """
+    long = to_long(df.withColumn("_y", F.col(label).cast("int")), features, ["_y"])
+    hist = (long.groupBy("feature", "value")
+            .agg(F.sum(F.when(F.col("_y") == 1, 0).otherwise(1)).alias("n0"),
+                 F.sum(F.when(F.col("_y") == 1, 1).otherwise(0)).alias("n1"))
+            .withColumn("seg", F.lit(1).cast("long")).withColumn("open", F.lit(True))
+            .checkpoint(eager=True))
+    spark = df.sparkSession
+    cuts = spark.createDataFrame([], "feature string, cut double")
+    for _ in range(max_levels):
+        act = hist.filter("open")
+        if act.isEmpty():
+            break
+        c = running_sums(act, ["feature", "seg"], "value", ["n0", "n1"])
+        tot = act.groupBy("feature", "seg").agg(F.sum("n0").alias("t0"), F.sum("n1").alias("t1"))
+        c = c.join(tot, ["feature", "seg"])
+        l0, l1 = F.col("cum_n0"), F.col("cum_n1")
+        r0, r1 = F.col("t0") - l0, F.col("t1") - l1
+        n = (F.col("t0") + F.col("t1")).cast("double")
+        nl, nr = (l0 + l1).cast("double"), (r0 + r1).cast("double")
+        ent = (nl * _h2(l0, l1) + nr * _h2(r0, r1)) / n
+        cand = c.filter(nr > 0).select("feature", "seg", "value", ent.alias("e"), l0.alias("l0"), l1.alias("l1"),
+                                       "t0", "t1")
+        best = cand.groupBy("feature", "seg").agg(
+            F.min_by(F.struct("value", "e", "l0", "l1", "t0", "t1"), F.struct("e", "value")).alias("b"))
+        b = best.select("feature", "seg", "b.*")
+        t0, t1, bl0, bl1 = F.col("t0"), F.col("t1"), F.col("l0"), F.col("l1")
+        br0, br1 = t0 - bl0, t1 - bl1
+        nn = (t0 + t1).cast("double")
+        hs, h1, h2 = _h2(t0, t1), _h2(bl0, bl1), _h2(br0, br1)
+        k, k1, k2 = _k(t0, t1), _k(bl0, bl1), _k(br0, br1)
+        delta = F.log2(F.pow(F.lit(3.0), k) - 2) - (k * hs - k1 * h1 - k2 * h2)
+        accept = (hs - F.col("e")) > (F.log2(nn - 1) + delta) / nn
+        dec = b.select("feature", "seg", F.col("value").alias("cut"), accept.alias("accept")).checkpoint(eager=True)
+        cuts = cuts.unionByName(dec.filter("accept").select("feature", "cut"))
+        # Open segments with no candidate (a single value) or a rejected cut close.
+        h = hist.join(dec, ["feature", "seg"], "left")
+        split = F.col("open") & F.coalesce(F.col("accept"), F.lit(False))
+        hist = h.select("feature", "value", "n0", "n1",
+                        F.when(split, F.col("seg") * 2 + F.when(F.col("value") > F.col("cut"), 1).otherwise(0))
+                        .otherwise(F.col("seg")).alias("seg"),
+                        split.alias("open")).checkpoint(eager=True)
+    return cuts, hist
+
+
+def info_gain_mdl(df: DataFrame, features: list[str], label: str = "buggy") -> DataFrame:
+    """M-2: information gain of each feature discretised by MDL (one bin when
+    no cut is accepted, gain 0).  The bins are the final intervals of the
+    value histogram, so no join with the cut list is needed."""
+    _, hist = mdl_discretize(df, features, label)
+    per_bin = hist.groupBy("feature", "seg").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    per = per_bin.groupBy("feature").agg(
+        F.sum("n0").alias("n0"), F.sum("n1").alias("n1"),
+        F.sum((F.col("n0") + F.col("n1")) * _h2(F.col("n0"), F.col("n1"))).alias("_cond"),
+        F.count(F.lit(1)).alias("n_bins"))
+    ig = _h2(F.col("n0"), F.col("n1")) - F.col("_cond") / (F.col("n0") + F.col("n1"))
+    return per.select("feature", F.col("n_bins").cast("bigint").alias("n_bins"), ig.alias("info_gain"))

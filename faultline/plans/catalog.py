@@ -10,7 +10,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 
 from pyspark.sql import functions as F
 
@@ -500,6 +500,37 @@ def q_project_results_upsert(spark, sf_dir):
                      F.round("avg_recall", 6).alias("avg_recall"), "runs")
 
 
+def q_info_gain_mdl(spark, sf_dir):
+    ig = stat_ops.info_gain_mdl(_rows(spark, sf_dir), ML_FEATURES, "buggy")
+    return ig.select("feature", "n_bins", F.round("info_gain", 6).alias("info_gain"))
+
+
+def q_method_feature_ranking(spark, sf_dir):
+    """W-3 → W-4 → W-8 / J-11: the best actionable feature, the buggy method
+    with its largest value, and that method's features ranked with the focus
+    feature first."""
+    rows = _rows(spark, sf_dir)
+    ranking = stat_ops.feature_ranking(stat_ops.spearman(rows, ML_FEATURES, "buggy"))
+    focus = stat_ops.best_actionable(ranking).first()["feature"]  # one feature name
+    worst = stat_ops.worst_method(rows, focus, "buggy", "id").select("id")
+    one = rows.join(worst, "id", "left_semi")
+    long = stat_ops.to_long(one, ML_FEATURES, ["id"])
+    x = long.join(F.broadcast(ranking.select("feature", "spearman_rho")), "feature")  # one row per feature
+    w = Window.orderBy((F.col("feature") == F.lit(focus)).desc(), F.abs("spearman_rho").desc(), "feature")
+    return x.select(F.row_number().over(w).alias("rank"), "feature", F.col("value").alias("feature_value"),
+                    F.round("spearman_rho", 6).alias("spearman_rho"))
+
+
+def q_tickets_per_release(spark, sf_dir):
+    """A-9: per project and release, tickets fixed in it and tickets injected in it."""
+    t = Inputs(spark, sf_dir).final_tickets
+    fixed = t.groupBy("project", F.col("fv_release_id").alias("release_id")).agg(F.count(F.lit(1)).alias("n_fixed"))
+    inj = t.groupBy("project", F.col("iv_release_id").alias("release_id")).agg(F.count(F.lit(1)).alias("n_injected"))
+    return fixed.join(inj, ["project", "release_id"], "full_outer").select(
+        "project", "release_id", F.coalesce("n_fixed", F.lit(0)).alias("n_fixed"),
+        F.coalesce("n_injected", F.lit(0)).alias("n_injected"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "release_activity": q_release_activity,
     "ticket_versions": q_ticket_versions,
@@ -546,4 +577,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "whatif_forest": q_whatif_forest,
     "refactor_verdict": q_refactor_verdict,
     "project_results_upsert": q_project_results_upsert,
+    "info_gain_mdl": q_info_gain_mdl,
+    "method_feature_ranking": q_method_feature_ranking,
+    "tickets_per_release": q_tickets_per_release,
 }

@@ -735,6 +735,19 @@ QUERIES = {
 SELECT buggy, FALSE AS synthetic, count(*) AS n_rows FROM method_rows GROUP BY 1
 UNION ALL SELECT 1, TRUE, CAST(floor(count(*) * 65 / 100) AS BIGINT) FROM method_rows WHERE buggy = 1""",
     "refactor_verdict": _refactor_verdict,
+    "method_feature_ranking": lambda: with_views("feature_ranking", "ml_long") + """
+, focus AS (SELECT feature FROM feature_ranking WHERE actionable AND spearman_rho > 0 ORDER BY rank LIMIT 1),
+worst AS (SELECT id FROM ml_long WHERE buggy = 1 AND feature = (SELECT feature FROM focus)
+          ORDER BY value DESC, id LIMIT 1)
+SELECT row_number() OVER (ORDER BY (l.feature = (SELECT feature FROM focus)) DESC, abs(r.spearman_rho) DESC, l.feature)
+         AS rank, l.feature, l.value AS feature_value, round(r.spearman_rho, 6) AS spearman_rho
+FROM ml_long l JOIN feature_ranking r ON r.feature = l.feature WHERE l.id = (SELECT id FROM worst)""",
+    "tickets_per_release": lambda: with_views("final_tickets") + """
+SELECT coalesce(f.project, i.project) AS project, coalesce(f.release_id, i.release_id) AS release_id,
+       coalesce(f.n_fixed, 0) AS n_fixed, coalesce(i.n_injected, 0) AS n_injected
+FROM (SELECT project, fv_release_id AS release_id, count(*) AS n_fixed FROM final_tickets GROUP BY 1, 2) f
+FULL OUTER JOIN (SELECT project, iv_release_id AS release_id, count(*) AS n_injected FROM final_tickets GROUP BY 1, 2) i
+  ON f.project = i.project AND f.release_id = i.release_id""",
     "project_results_upsert": lambda: with_views("fold_metrics") + """
 , per_rep AS (SELECT model, rep, avg(auc) AS auc, avg(recall) AS recall FROM fold_metrics GROUP BY 1, 2),
 old AS (SELECT 'method_rows' AS project, model AS classifier, 1 AS run_ts,

@@ -99,3 +99,61 @@ def test_row_positions_and_folds(spark):
         for y in (0, 1):
             sizes = [sum(1 for r in f if r["rep"] == rep and r["y"] == y and r["fold"] == k) for k in range(4)]
             assert max(sizes) - min(sizes) <= 1
+
+
+def _brute_mdl(values, labels):
+    """Reference implementation of recursive Fayyad–Irani MDL on one feature."""
+    import math
+
+    def h(a, b):
+        n = a + b
+        return -sum((x / n) * math.log2(x / n) for x in (a, b) if x > 0) if n else 0.0
+
+    def k(a, b):
+        return (a > 0) + (b > 0)
+
+    pts = sorted(zip(values, labels))
+    distinct = sorted(set(values))
+    cuts = []
+
+    def split(lo, hi):  # values in (lo, hi]
+        seg = [(v, y) for v, y in pts if (lo is None or v > lo) and (hi is None or v <= hi)]
+        vals = sorted(set(v for v, _ in seg))
+        t0 = sum(1 for _, y in seg if y == 0)
+        t1 = len(seg) - t0
+        best = None
+        for c in vals[:-1]:
+            l0 = sum(1 for v, y in seg if v <= c and y == 0)
+            l1 = sum(1 for v, y in seg if v <= c and y == 1)
+            r0, r1 = t0 - l0, t1 - l1
+            n = len(seg)
+            e = ((l0 + l1) * h(l0, l1) + (r0 + r1) * h(r0, r1)) / n
+            if best is None or e < best[0]:
+                best = (e, c, l0, l1, r0, r1)
+        if best is None:
+            return
+        e, c, l0, l1, r0, r1 = best
+        n = len(seg)
+        delta = math.log2(3 ** k(t0, t1) - 2) - (k(t0, t1) * h(t0, t1) - k(l0, l1) * h(l0, l1) - k(r0, r1) * h(r0, r1))
+        if h(t0, t1) - e > (math.log2(n - 1) + delta) / n:
+            cuts.append(c)
+            split(lo, c)
+            split(c, hi)
+
+    split(None, None)
+    return sorted(cuts), distinct
+
+
+def test_mdl_matches_brute_force(spark):
+    rnd = random.Random(21)
+    rows = []
+    for i in range(400):
+        x = rnd.randint(0, 30)
+        y = int(rnd.random() < (0.1 if x < 10 else 0.5 if x < 20 else 0.9))
+        rows.append((x, y))
+    df = spark.createDataFrame(rows, "x int, y int")
+    got = sorted(r["cut"] for r in stats.mdl_cuts(df, ["x"], "y").collect())
+    want, _ = _brute_mdl([float(x) for x, _ in rows], [y for _, y in rows])
+    assert got == want and len(want) >= 1
+    ig = stats.info_gain_mdl(df, ["x"], "y").first()
+    assert ig["n_bins"] == len(want) + 1 and ig["info_gain"] > 0
