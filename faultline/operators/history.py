@@ -139,12 +139,17 @@ def line_churn(revisions: DataFrame, path: str = "path", rev: str = "rev", conte
     Each revision's line counts enter twice: +n for itself and −n for the
     revision that follows it; one ``groupBy(file, revision, line)`` then gives
     the per-line difference, so the work is a single shuffle of the lines.
-    ``lag``/``lead`` run over the narrow (file, revision) list only.
+    Consecutive revisions come from exact positions per file.
     """
+    from .sampling import row_positions
+
     revs = revisions.select(path, rev, content)
-    w = Window.partitionBy(path).orderBy(rev)
-    order = (revs.select(path, rev).withColumn("_prev", F.lag(rev).over(w))
-             .withColumn("_next", F.lead(rev).over(w)))
+    # Revision order per file from exact positions (no window over a whole
+    # file's history); the next revision is the one at position + 1.
+    pos = row_positions(revs.select(path, rev), [path], [rev], broadcast_offsets=False)
+    nxt = pos.select(path, (F.col("_pos") - 1).alias("_pos"), F.col(rev).alias("_next"))
+    order = (pos.join(nxt, [path, "_pos"], "left")
+             .select(path, rev, F.when(F.col("_pos") > 1, F.lit(1)).alias("_prev"), "_next"))
     text = F.regexp_replace(F.col(content), r"(\r?\n)+$", "")
     lines = (revs.select(path, rev, F.explode(F.split(text, r"\r?\n")).alias("line"))
              .groupBy(path, rev, "line").agg(F.count(F.lit(1)).alias("n"))

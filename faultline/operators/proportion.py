@@ -58,10 +58,9 @@ def _median_of_others(per: DataFrame) -> DataFrame:
     """
     contrib = per.filter(F.col("p_mean") >= 0).select("project", "p_mean")
     ranked = contrib.withColumn("rn", F.row_number().over(Window.orderBy("p_mean", "project")))
-    n = contrib.agg(F.count(F.lit(1)).alias("n"))
-    x = (per.join(ranked.select("project", F.col("rn").alias("my_rn")), "project", "left")
-         .crossJoin(F.broadcast(n)))  # one-row frame
-    m = F.col("n") - F.when(F.col("my_rn").isNotNull(), 1).otherwise(0)
+    n = contrib.count()  # number of contributing projects: a scalar
+    x = per.join(ranked.select("project", F.col("rn").alias("my_rn")), "project", "left")
+    m = F.lit(n) - F.when(F.col("my_rn").isNotNull(), 1).otherwise(0)
     x = x.withColumn("_m", m)
     lo_j = F.floor((F.col("_m") + 1) / 2)       # 1-based index into the others' sorted list
     hi_j = F.floor(F.col("_m") / 2) + 1
@@ -105,17 +104,29 @@ def incremental_proportion(valid: DataFrame, threshold: int = COLD_START_THRESHO
     """R-3 ``mode="incremental"``: each ticket's P is the mean computable P of the
     tickets of its project resolved *before* it (ties by key), when at least
     ``threshold`` of those had a known IV; otherwise the project's cold-start
-    value (``cold``: project, p_cold; default 0.5)."""
-    w = Window.partitionBy("project").orderBy("resolved", "ticket_key").rowsBetween(Window.unboundedPreceding, -1)
+    value (``cold``: project, p_cold; default 0.5).
+
+    The "before me" sums are two-phase running sums over (resolved, key)
+    within the project (range partitions + offsets), minus the ticket's own
+    contribution, so a project holding most tickets is still spread over
+    many tasks.
+    """
+    from .stats import running_sums
+
     p = ticket_p()
-    x = (valid.withColumn("_p", F.when(p >= 0, p))
-         .withColumn("known_before", F.count("iv_release_id").over(w))
-         .withColumn("_mean", F.avg("_p").over(w)))
+    x = valid.select("project", "ticket_key", "resolved",
+                     F.when(F.col("iv_release_id").isNotNull(), 1).otherwise(0).alias("_k"),
+                     F.when(p >= 0, 1).otherwise(0).alias("_c"),
+                     F.when(p >= 0, p).otherwise(F.lit(0.0)).alias("_s"))
+    r = running_sums(x, ["project"], ["resolved", "ticket_key"], ["_k", "_c", "_s"])
+    known = F.col("cum__k") - F.col("_k")
+    cnt = F.col("cum__c") - F.col("_c")
+    mean = F.when(cnt > 0, (F.col("cum__s") - F.col("_s")) / cnt).otherwise(F.lit(NOT_COMPUTABLE))
+    r = r.withColumn("known_before", known.cast("bigint")).withColumn("_mean", mean)
     if cold is not None:
-        x = x.join(cold.select("project", "p_cold"), "project", "left")
+        r = r.join(F.broadcast(cold.select("project", "p_cold")), "project", "left")  # one row per project
     else:
-        x = x.withColumn("p_cold", F.lit(COLD_START_DEFAULT))
-    mean = F.coalesce("_mean", F.lit(NOT_COMPUTABLE))
-    return x.select("project", "ticket_key", "resolved", "known_before",
-                    F.when(F.col("known_before") >= threshold, mean)
+        r = r.withColumn("p_cold", F.lit(COLD_START_DEFAULT))
+    return r.select("project", "ticket_key", "resolved", "known_before",
+                    F.when(F.col("known_before") >= threshold, F.col("_mean"))
                     .otherwise(F.coalesce("p_cold", F.lit(COLD_START_DEFAULT))).alias("p_used"))

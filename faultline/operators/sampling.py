@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 def row_positions(df: DataFrame, group: list[str], order: list[Column | str],
-                  partitions: int | None = None) -> DataFrame:
+                  partitions: int | None = None, broadcast_offsets: bool = True) -> DataFrame:
     """Exact ``row_number()`` within ``group`` by ``order`` (``_pos``, 1-based),
     without one window over a whole group.
 
@@ -17,7 +17,8 @@ def row_positions(df: DataFrame, group: list[str], order: list[Column | str],
     configuration, broadcast — gives each group's offset in the earlier
     partitions; position = offset + index − first index of the group in the
     partition + 1.  A group holding a third of the data is spread over many
-    tasks, and the data is shuffled once.
+    tasks, and the data is shuffled once.  ``broadcast_offsets=False`` when
+    the number of groups grows with the data (e.g. one group per file).
     """
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -29,7 +30,7 @@ def row_positions(df: DataFrame, group: list[str], order: list[Column | str],
     tot = h.groupBy(*group, "_pid").agg(F.count(F.lit(1)).alias("_t"), F.min("_idx").alias("_first"))
     w_off = Window.partitionBy(*group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     off = tot.select(*group, "_pid", "_first", F.coalesce(F.sum("_t").over(w_off), F.lit(0)).alias("_off"))
-    x = h.join(F.broadcast(off), [*group, "_pid"])
+    x = h.join(F.broadcast(off) if broadcast_offsets else off, [*group, "_pid"])
     return (x.withColumn("_pos", F.col("_off") + F.col("_idx") - F.col("_first") + 1)
             .drop("_mid", "_pid", "_idx", "_first", "_off"))
 

@@ -157,7 +157,7 @@ def info_gain_fixed_bins(df: DataFrame, features: list[str], label: str = "buggy
     return per.select("feature", F.col("n_bins").cast("bigint").alias("n_bins"), ig.alias("info_gain"))
 
 
-def running_sums(df: DataFrame, group: list[str], order: str, sums: list[str],
+def running_sums(df: DataFrame, group: list[str], order: str | list[str], sums: list[str],
                  partitions: int | None = None) -> DataFrame:
     """Inclusive running sums of ``sums`` within ``group`` in ``order`` (columns
     ``cum_<name>``), two-phase like :func:`average_ranks`: range partitions,
@@ -165,13 +165,14 @@ def running_sums(df: DataFrame, group: list[str], order: str, sums: list[str],
     over one partition's rows of one group."""
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    h = (df.repartitionByRange(n, *group, order).withColumn("_pid", F.spark_partition_id())
+    order = [order] if isinstance(order, str) else list(order)
+    h = (df.repartitionByRange(n, *group, *order).withColumn("_pid", F.spark_partition_id())
          .checkpoint(eager=True))
     tot = h.groupBy(*group, "_pid").agg(*[F.sum(s).alias(f"_t_{s}") for s in sums])
     w_off = Window.partitionBy(*group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     off = tot.select(*group, "_pid", *[F.coalesce(F.sum(f"_t_{s}").over(w_off), F.lit(0)).alias(f"_o_{s}")
                                        for s in sums])
-    w = Window.partitionBy(*group, "_pid").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy(*group, "_pid").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     local = h.select("*", *[F.sum(s).over(w).alias(f"_l_{s}") for s in sums])
     x = local.join(F.broadcast(off), [*group, "_pid"])  # groups × partitions rows
     return x.select(*df.columns, *[(F.col(f"_l_{s}") + F.col(f"_o_{s}")).alias(f"cum_{s}") for s in sums])
