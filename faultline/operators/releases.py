@@ -24,3 +24,13 @@ def release_activity(commits: DataFrame, releases: DataFrame, approx_authors: bo
     authors = F.approx_count_distinct("author") if approx_authors else F.count_distinct("author")
     return (x.groupBy("project", "release_id", "release_date")
             .agg(F.count(F.lit(1)).alias("n_commits"), authors.alias("n_authors")))
+
+
+def releases_with_commits(releases: DataFrame, commits_rel: DataFrame) -> DataFrame:
+    """P-8: releases that received at least one commit (semi join)."""
+    return releases.join(commits_rel.select("project", "release_id"), ["project", "release_id"], "left_semi")
+
+
+def keep_releases(df: DataFrame, releases: DataFrame, on: list[str]) -> DataFrame:
+    """P-9: rows of a set of releases (semi join; the release list is small)."""
+    return df.join(releases.select(*on).distinct(), on, "left_semi")

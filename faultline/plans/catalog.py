@@ -444,9 +444,12 @@ def q_smote_balance(spark, sf_dir):
 
 
 def q_forest_cv(spark, sf_dir):
+    """M-9 with information-gain selection (> 0.01) and SMOTE (65 %) inside
+    each training fold; 1 repetition × 3 folds of naive Bayes and a forest."""
     rows = _rows(spark, sf_dir)
     folds = samp_ops.stratified_folds(rows, "id", "buggy", k=3, repeats=1)
-    pred = ml_ops.cross_validate(rows, folds, NB_FEATURES, ["NaiveBayes", "RandomForest"])
+    pred = ml_ops.cross_validate(rows, folds, ML_FEATURES, ["NaiveBayes", "RandomForest"], select=0.01,
+                                 smote_percent=65.0)
     return ev_ops.cv_summary(ev_ops.fold_metrics(pred))
 
 
@@ -456,6 +459,8 @@ def q_whatif_forest(spark, sf_dir):
     train = rows.select("id", *[F.col(f).cast("double").alias(f) for f in feats], F.col("buggy").cast("double")
                         .alias("label"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # M-13: rebalance A (SMOTE 20 %) before fitting the bagging model.
+    train = samp_ops.smote(train, feats, "label", "id", percent=20.0).drop("synthetic")
     model = ml_ops.build_classifier("Bagging", feats).fit(train.repartition(n).checkpoint(eager=True))
     sets = wi_ops.tagged_sets(rows, WHATIF_FEATURE).select(
         "dataset", "buggy", *[F.col(f).cast("double").alias(f) for f in feats])

@@ -120,11 +120,31 @@ def read_fold_results(spark: SparkSession, path: str) -> DataFrame:
     return df.select(*[F.col(c).cast("double").alias(c) if c != "Model" else F.col(c) for c in df.columns])
 
 
+def read_projects(spark: SparkSession, path: str) -> DataFrame:
+    """S-13: the project list (a JSON object name → repository URL) as rows."""
+    raw = spark.read.option("multiLine", True).json(path)
+    cols = [c for c in raw.columns if c != "_corrupt_record"]
+    if not cols:
+        return spark.createDataFrame([], "project string, url string")
+    stack = "stack({}, {}) as (project, url)".format(len(cols), ", ".join(f"'{c}', `{c}`" for c in cols))
+    return raw.selectExpr(stack)
+
+
+def read_snapshot_files(spark: SparkSession, path: str, project: str, release_id: str) -> DataFrame:
+    """S-7 / P-7: the source files of one release checkout, one row per file
+    (whole text), test folders left out: (project, release_id, path, content)."""
+    from ..functions.paths import snapshot_file
+    raw = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path)
+    x = raw.select(F.lit(project).alias("project"), F.lit(release_id).alias("release_id"),
+                   F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
+    return x.filter(snapshot_file("path"))
+
+
 def read_dataset(spark: SparkSession, path: str) -> DataFrame:
     """S-9 (see :func:`faultline.operators.dataset.read_dataset_csv`)."""
     from ..operators.dataset import read_dataset_csv
     return read_dataset_csv(spark, path)
 
 
-__all__ = ["read_releases", "read_issue_pages", "read_violations", "read_refactored_csv", "read_results",
+__all__ = ["read_projects", "read_snapshot_files", "read_releases", "read_issue_pages", "read_violations", "read_refactored_csv", "read_results",
            "read_fold_results", "read_dataset", "DATASET_SCHEMA"]

@@ -56,3 +56,14 @@ def test_smote_counts(spark, data):
     # Synthetic points lie inside the minority bounding box.
     lo, hi = d.filter("buggy = 1").agg(F.min("loc"), F.max("loc")).first()
     assert syn.filter((F.col("loc") < lo) | (F.col("loc") > hi)).count() == 0
+
+
+def test_cross_validate_in_fold_and_leaky(spark, data):
+    d = data.fillna(0.0)
+    folds = sampling.stratified_folds(d, "id", "buggy", k=3, repeats=1)
+    for leaky in (False, True):
+        pred = models.cross_validate(d, folds, ["nest", "loc"], ["NaiveBayes"], smote_percent=50.0, leaky=leaky,
+                                     parallelism=2)
+        n = pred.count()
+        assert (n == d.count()) if not leaky else (n > d.count())
+        assert pred.filter((F.col("score") < 0) | (F.col("score") > 1)).count() == 0
