@@ -91,7 +91,7 @@ def composite_ranking(summary: DataFrame, np_scale: float = 1.0) -> DataFrame:
     The summary has one row per classifier."""
     x = summary.withColumn("composite", composite_score(np_scale))
     w = Window.orderBy(F.col("composite").desc(), F.col("model"))
-    return x.select(F.row_number().over(w).alias("position"), "model", "composite")
+    return x.select(F.row_number().over(w).cast("bigint").alias("position"), "model", "composite")
 
 
 def metric_distribution(folds: DataFrame) -> DataFrame:

@@ -91,7 +91,7 @@ def estimate_injected(versions: DataFrame, releases: DataFrame, proportion: Data
             .withColumn("iv_release_date", F.col("e_release_date"))
             .withColumn("iv_ord", F.col("e_ord"))
             .withColumn("estimated", F.lit(True))
-            .withColumn("n_affected", F.col("fv_ord") - F.col("e_ord")))
+            .withColumn("n_affected", (F.col("fv_ord") - F.col("e_ord")).cast("bigint")))
     done = done.withColumn("estimated", F.lit(False)).withColumn("n_affected", F.col("n_av"))
     cols = ["project", "ticket_key", "created", "resolved", "ov_release_id", "fv_release_id", "fv_release_date",
             "iv_release_id", "iv_release_date", "estimated", "n_affected"]

@@ -90,7 +90,7 @@ def feature_ranking(rho: DataFrame) -> DataFrame:
     left out, with the actionable flag.  The input has one row per feature."""
     r = rho.filter(~F.isnan("spearman_rho") & F.col("spearman_rho").isNotNull())
     w = Window.orderBy(F.abs("spearman_rho").desc(), F.col("feature"))
-    return r.select(F.row_number().over(w).alias("rank"), "feature", "spearman_rho",
+    return r.select(F.row_number().over(w).cast("bigint").alias("rank"), "feature", "spearman_rho",
                     is_actionable("feature").alias("actionable"))
 
 
@@ -125,7 +125,7 @@ def method_feature_ranking(df: DataFrame, ranking: DataFrame, features: list[str
     x = row.join(F.broadcast(ranking.select("feature", "spearman_rho")), "feature")
     first = (F.col("feature") == F.lit(focus)) if focus else F.lit(False)
     w = Window.partitionBy(id_col).orderBy(first.desc(), F.abs("spearman_rho").desc(), F.col("feature"))
-    return x.select(F.row_number().over(w).alias("rank"), "feature", F.col("value").alias("feature_value"),
+    return x.select(F.row_number().over(w).cast("bigint").alias("rank"), "feature", F.col("value").alias("feature_value"),
                     "spearman_rho")
 
 

@@ -47,7 +47,7 @@ def ticket_versions(issues: DataFrame, releases: DataFrame) -> DataFrame:
     x = asof_release(x, "created", releases, prefix="ov_", fallback=None, extra=extra)
     x = asof_release(x, "resolved", releases, prefix="fv_", fallback=None, extra=extra)
     av = affected_versions(issues, releases)
-    x = x.join(av, KEY, "left").withColumn("n_av", F.coalesce(F.size("affected"), F.lit(0)))
+    x = x.join(av, KEY, "left").withColumn("n_av", F.coalesce(F.size("affected"), F.lit(0)).cast("bigint"))
     first_av = F.element_at("affected", 1)
     last_av = F.element_at("affected", -1)
     has_av = F.col("n_av") > 0

@@ -186,7 +186,7 @@ def q_affected_versions(spark, sf_dir):
     i = Inputs(spark, sf_dir)
     av = tk_ops.affected_versions(i.issues, i.releases)
     return av.select("project", "ticket_key", F.posexplode("affected").alias("p", "a")).select(
-        "project", "ticket_key", (F.col("p") + 1).alias("av_pos"),
+        "project", "ticket_key", (F.col("p") + 1).cast("bigint").alias("av_pos"),
         F.col("a.release_id").alias("release_id"), F.col("a.release_date").alias("release_date"))
 
 
@@ -522,7 +522,7 @@ def q_method_feature_ranking(spark, sf_dir):
     long = stat_ops.to_long(one, ML_FEATURES, ["id"])
     x = long.join(F.broadcast(ranking.select("feature", "spearman_rho")), "feature")  # one row per feature
     w = Window.orderBy((F.col("feature") == F.lit(focus)).desc(), F.abs("spearman_rho").desc(), "feature")
-    return x.select(F.row_number().over(w).alias("rank"), "feature", F.col("value").alias("feature_value"),
+    return x.select(F.row_number().over(w).cast("bigint").alias("rank"), "feature", F.col("value").alias("feature_value"),
                     F.round("spearman_rho", 6).alias("spearman_rho"))
 
 
