@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.hints import broadcast_if_small
+
 # Column order of the dataset file.
 DATASET_COLUMNS = ("ProjectName", "Release", "MethodName", "LOC", "ParameterCount", "CycloComplexity",
                    "CognitiveComplexity", "NestingDepth", "Revisions", "Authors", "TotalChurn", "MaxChurn",
@@ -35,7 +37,8 @@ def assemble(methods: DataFrame, metrics: DataFrame, churn: DataFrame, labelled:
          .join(churn, k_file, "left")
          .join(labelled.select(*k_file, "buggy"), k_file, "left")
          .join(smells, [*k_file, "method_ord"], "left")
-         .join(releases.select("project", "release_id", F.col("name").alias("Release")), ["project", "release_id"]))
+         .join(broadcast_if_small(releases.select("project", "release_id", F.col("name").alias("Release"))),
+               ["project", "release_id"]))
     z = F.lit(0)
     return x.select(
         F.col("project").alias("ProjectName"), "Release",

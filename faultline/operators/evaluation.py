@@ -44,8 +44,10 @@ def fold_metrics(pred: DataFrame, top_share: float = 0.2) -> DataFrame:
            .groupBy(*GROUP).agg(F.sum(F.col("c1") * F.col("rank")).alias("_rs")))
     # NPofB20: exact positions by (score desc, id) within each group.
     pos = row_positions(pred.select(*GROUP, "id", "label", "score"), GROUP, [F.col("score").desc(), F.col("id")])
-    found = (pos.join(conf.select(*GROUP, (F.col("tp") + F.col("fn")).alias("_nb"),
-                                  (F.col("tp") + F.col("fn") + F.col("fp") + F.col("tn")).alias("_n")), GROUP)
+    # conf has one row per (model, rep, fold): bounded by configuration, broadcast.
+    sizes = conf.select(*GROUP, (F.col("tp") + F.col("fn")).alias("_nb"),
+                        (F.col("tp") + F.col("fn") + F.col("fp") + F.col("tn")).alias("_n"))
+    found = (pos.join(F.broadcast(sizes), GROUP)
              .filter(F.col("_pos") <= F.least(F.ceil(F.col("_n") * top_share), F.col("_nb")))
              .groupBy(*GROUP).agg(F.sum("label").alias("_found")))
     x = conf.join(auc, GROUP, "left").join(found, GROUP, "left")

@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.hints import broadcast_if_small
+
 
 def injected_links(fixing: DataFrame, tickets: DataFrame, link: str = "ticket") -> DataFrame:
     """(project, sha, fix_release_id, iv_release_id), distinct.
@@ -37,7 +39,8 @@ def bug_introducing_counts(links: DataFrame, commits_rel: DataFrame) -> DataFram
     """Per fixing commit: injected releases that have commits and the size of
     its bug-introducing commit set (the union of their commits, U-1)."""
     per_release = commits_rel.groupBy("project", "release_id").agg(F.count(F.lit(1)).alias("n"))
-    x = links.join(per_release.withColumnRenamed("release_id", "iv_release_id"), ["project", "iv_release_id"])
+    x = links.join(broadcast_if_small(per_release.withColumnRenamed("release_id", "iv_release_id")),
+                   ["project", "iv_release_id"])
     return x.groupBy("project", "sha", "fix_release_id").agg(
         F.count(F.lit(1)).alias("n_iv_releases"), F.sum("n").cast("bigint").alias("n_bug_introducing"))
 
@@ -52,7 +55,7 @@ def buggy_commits(links: DataFrame, commits_rel: DataFrame) -> DataFrame:
 def buggy_intervals(links: DataFrame, fix_files: DataFrame, releases: DataFrame) -> DataFrame:
     """Distinct (project, path, iv_date, fv_date) from fixing commits with fix
     files and a linked injected release that has commits."""
-    r = releases.select("project", "release_id", "release_date")
+    r = broadcast_if_small(releases.select("project", "release_id", "release_date"))
     x = (fix_files.join(links, ["project", "sha"])
          .join(r.withColumnRenamed("release_id", "iv_release_id").withColumnRenamed("release_date", "iv_date"),
                ["project", "iv_release_id"])

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.hints import broadcast_if_small
 from ..functions.paths import class_of
 
 
@@ -25,7 +26,7 @@ def match_violations(violations: DataFrame, releases: DataFrame, methods: DataFr
     by equality.
     """
     rel = releases.select("project", F.col("name").alias("release_name"), "release_id")
-    v = violations.join(rel, ["project", "release_name"])
+    v = violations.join(broadcast_if_small(rel), ["project", "release_name"])
     m = methods.withColumn("class", class_of("path"))
     first_file = (m.groupBy("project", "release_id", "class").agg(F.min("path").alias("path")))
     m = m.join(first_file, ["project", "release_id", "class", "path"])

@@ -72,7 +72,9 @@ def spearman(df: DataFrame, features: list[str], label: str) -> DataFrame:
         .select("feature", "value", F.col("rank").alias("rx"))
     ry = average_ranks(h.groupBy("feature", "_y").agg(F.sum("c").alias("c")), "feature", "_y") \
         .select("feature", "_y", F.col("rank").alias("ry"))
-    j = h.join(rx, ["feature", "value"]).join(ry, ["feature", "_y"])
+    # ry has features × label values rows: broadcast (the histogram is not
+    # shuffled on the few (feature, label) keys).
+    j = h.join(rx, ["feature", "value"]).join(F.broadcast(ry), ["feature", "_y"])
     c, x, y = F.col("c"), F.col("rx"), F.col("ry")
     s = j.groupBy("feature").agg(F.sum(c).alias("n"), F.sum(c * x).alias("sx"), F.sum(c * y).alias("sy"),
                                  F.sum(c * x * x).alias("sxx"), F.sum(c * y * y).alias("syy"),
@@ -145,7 +147,9 @@ def info_gain_fixed_bins(df: DataFrame, features: list[str], label: str = "buggy
     width = F.col("hi") - F.col("lo")
     b = F.when(width > 0, F.least(F.floor((F.col("value") - F.col("lo")) / width * bins), F.lit(bins - 1))) \
         .otherwise(F.lit(0))
-    h = (long.join(rng, "feature").withColumn("bin", b)
+    # One row per feature (bounded by the feature list): broadcast, so the long
+    # table is never shuffled on the few feature keys.
+    h = (long.join(F.broadcast(rng), "feature").withColumn("bin", b)
          .groupBy("feature", "bin").agg(F.sum(F.when(F.col("_y") == 1, 1).otherwise(0)).alias("n1"),
                                         F.sum(F.when(F.col("_y") == 1, 0).otherwise(1)).alias("n0")))
     per = h.groupBy("feature").agg(
