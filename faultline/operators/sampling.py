@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoint_dir
+
 
 def row_positions(df: DataFrame, group: list[str], order: list[Column | str],
                   partitions: int | None = None, broadcast_offsets: bool = True) -> DataFrame:
@@ -20,6 +22,7 @@ def row_positions(df: DataFrame, group: list[str], order: list[Column | str],
     tasks, and the data is shuffled once.  ``broadcast_offsets=False`` when
     the number of groups grows with the data (e.g. one group per file).
     """
+    ensure_checkpoint_dir(df.sparkSession)
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = [F.col(g) for g in group] + [F.col(o) if isinstance(o, str) else o for o in order]

@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoint_dir
+
 # Features a developer can act on.
 ACTIONABLE_FEATURES = ("NumberOfCodeSmells", "CycloComplexity", "LOC",
                        "CognitiveComplexity", "ParameterCount", "NestingDepth")
@@ -41,6 +43,7 @@ def average_ranks(hist: DataFrame, group: str, value: str, count: str = "c",
     partitions of that group (a table of groups × partitions); the running sum
     inside a partition is a window over that partition's rows only.
     """
+    ensure_checkpoint_dir(hist.sparkSession)
     spark = hist.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     # Materialised once: both phases must see the same range bounds.
@@ -64,6 +67,7 @@ def spearman(df: DataFrame, features: list[str], label: str) -> DataFrame:
     statistic.  Result: (feature, n, spearman_rho); rho is NaN for a constant
     feature.
     """
+    ensure_checkpoint_dir(df.sparkSession)
     long = to_long(df.withColumn("_y", F.col(label).cast("double")), features, ["_y"]) \
         .filter(F.col("_y").isNotNull())
     # The (feature, value, label) histogram feeds three branches: materialise it once.
@@ -167,6 +171,7 @@ def running_sums(df: DataFrame, group: list[str], order: str | list[str], sums:
     ``cum_<name>``), two-phase like :func:`average_ranks`: range partitions,
     per-(group, partition) totals turned into broadcast offsets, then a window
     over one partition's rows of one group."""
+    ensure_checkpoint_dir(df.sparkSession)
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = [order] if isinstance(order, str) else list(order)
@@ -206,6 +211,7 @@ def mdl_discretize(df: DataFrame, features: list[str], label: str = "buggy",
     the MDL test accepts or closes it.  A level is a few distributed jobs; no
     interval is ever gathered into one task.
     """
+    ensure_checkpoint_dir(df.sparkSession)
     long = to_long(df.withColumn("_y", F.col(label).cast("int")), features, ["_y"])
     hist = (long.groupBy("feature", "value")
             .agg(F.sum(F.when(F.col("_y") == 1, 0).otherwise(1)).alias("n0"),

@@ -30,7 +30,7 @@ from ..operators.asof import asof_release
 from ..operators import releases as rel_ops
 from ..operators import tickets as tk_ops
 from ..sources import analogs
-from ..session import materialize
+from ..session import ensure_checkpoint_dir, materialize
 from ..sources import results_store
 from ..sources.tables import Tables
 
@@ -536,7 +536,18 @@ def q_tickets_per_release(spark, sf_dir):
         F.coalesce("n_injected", F.lit(0)).alias("n_injected"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+def _with_checkpoint_dir(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """Every query may cut lineage: make sure the session names a checkpoint
+    folder (the cluster's shared one; a scratch folder only in local mode)."""
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ensure_checkpoint_dir(spark)
+        return fn(spark, sf_dir)
+    run.__name__ = fn.__name__
+    run.__doc__ = fn.__doc__
+    return run
+
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "release_activity": q_release_activity,
     "ticket_versions": q_ticket_versions,
     "ticket_rejects": q_ticket_rejects,
@@ -586,3 +597,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "method_feature_ranking": q_method_feature_ranking,
     "tickets_per_release": q_tickets_per_release,
 }
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: _with_checkpoint_dir(v) for k, v in _QUERIES.items()}
