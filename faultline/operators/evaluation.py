@@ -66,15 +66,37 @@ def fold_metrics(pred: DataFrame, top_share: float = 0.2) -> DataFrame:
                     kappa.alias("kappa"), po.alias("accuracy"), np20.alias("npofb20"))
 
 
-def cv_summary(folds: DataFrame) -> DataFrame:
+def _reference_running_mean(m: str) -> F.Column:
+    """A-12 exact parity: the reference's incremental mean over repetitions in
+    order, whose run counter also counts NaN runs (so weights drift after a
+    NaN).  Folded over the repetitions of one model (a short, bounded list)."""
+    arr = F.array_sort(F.collect_list(F.struct("rep", F.col(m).alias("x"))))
+    init = F.struct(F.lit(None).cast("double").alias("avg"), F.lit(0).alias("n"))
+
+    def step(acc, e):
+        x, avg, n = e["x"], acc["avg"], acc["n"]
+        new = (F.when(n == 0, x).when(F.isnan(x), avg).when(F.isnan(avg), x)
+               .otherwise((avg * n + x) / (n + 1)))
+        return F.struct(new.alias("avg"), (n + 1).alias("n"))
+
+    return F.aggregate(arr, init, step, lambda acc: acc["avg"])
+
+
+def cv_summary(folds: DataFrame, running_mean: str = "skip_nan") -> DataFrame:
     """A-11 + A-12: fold measures → mean per repetition (a NaN poisons its
     repetition, as a plain sum does) → per model the mean over repetitions
     skipping NaN (``avg_*``), the last repetition's values (``last_*``) and
-    the number of repetitions (``runs``)."""
+    the number of repetitions (``runs``).  ``running_mean="reference"``
+    reproduces the reference's drifting incremental mean instead."""
     per_rep = folds.groupBy("model", "rep").agg(*[F.avg(m).alias(m) for m in METRICS])
     aggs = []
     for m in METRICS:
-        aggs.append(F.avg(F.when(~F.isnan(m), F.col(m))).alias(f"avg_{m}"))
+        if running_mean == "reference":
+            aggs.append(_reference_running_mean(m).alias(f"avg_{m}"))
+        elif running_mean == "skip_nan":
+            aggs.append(F.avg(F.when(~F.isnan(m), F.col(m))).alias(f"avg_{m}"))
+        else:
+            raise ValueError("running_mean must be 'skip_nan' or 'reference'")
         aggs.append(F.max_by(m, "rep").alias(f"last_{m}"))
     return per_rep.groupBy("model").agg(*aggs, F.count(F.lit(1)).alias("runs"))
 

@@ -75,3 +75,25 @@ def test_results_json_and_store(spark, tmpdir_path):
     results_store.append(spark, store, new)
     got = {(r["classifier"], r["run_ts"]) for r in results_store.load(spark, store).collect()}
     assert got == {("RF", 2), ("NB", 1)}
+
+
+def test_projects_snapshots_columns_and_sinks(spark, tmpdir_path):
+    from faultline.functions import columns
+    from faultline.sources import sinks
+
+    write(f"{tmpdir_path}/cfg/config.json", json.dumps({"STORM": "https://x/storm.git", "BOOKKEEPER": "https://x/bk.git"}))
+    p = {r["project"]: r["url"] for r in landed.read_projects(spark, f"{tmpdir_path}/cfg").collect()}
+    assert p == {"STORM": "https://x/storm.git", "BOOKKEEPER": "https://x/bk.git"}
+    write(f"{tmpdir_path}/snap/a/src/main/A.java", "class A {}\n")
+    write(f"{tmpdir_path}/snap/a/src/test/T.java", "class T {}\n")
+    write(f"{tmpdir_path}/snap/a/README.md", "x")
+    s = landed.read_snapshot_files(spark, f"{tmpdir_path}/snap", "P", "r1").collect()
+    assert len(s) == 1 and s[0]["path"].endswith("src/main/A.java") and s[0]["content"] == "class A {}\n"
+    df = spark.createDataFrame([(" 'LOC' ", "YES"), ("x", "no")], ["a", "b"]).toDF(" \"LOC\" ", "Bugginess")
+    c = columns.clean_columns(df)
+    assert c.columns == ["LOC", "Bugginess"] and columns.find_column(c, "loc") == "LOC"
+    assert [r[0] for r in c.select(columns.label_to_int("Bugginess")).collect()] == [1, 0]
+    rk = spark.createDataFrame([(1, "LOC", 0.5, True)], "rank int, feature string, spearman_rho double, actionable boolean")
+    sinks.write_feature_ranking(rk, f"{tmpdir_path}/rank")
+    back = spark.read.option("header", True).csv(f"{tmpdir_path}/rank").collect()
+    assert back[0]["Feature"] == "LOC" and back[0]["Rank"] == "1"

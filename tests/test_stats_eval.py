@@ -83,6 +83,9 @@ def test_cv_summary_skips_nan(spark):
             folds = folds.withColumn(c, F.lit(1.0))
     s = evaluation.cv_summary(folds).first()
     assert s["avg_auc"] == pytest.approx(0.6) and s["last_auc"] == 0.7 and s["runs"] == 3
+    # The reference's counter also counts the NaN run: (0.5 * 2 + 0.7) / 3.
+    r = evaluation.cv_summary(folds, running_mean="reference").first()
+    assert r["avg_auc"] == pytest.approx((0.5 * 2 + 0.7) / 3) and r["avg_precision"] == 1.0
 
 
 def test_row_positions_and_folds(spark):
