@@ -88,7 +88,7 @@ def test_projects_snapshots_columns_and_sinks(spark, tmpdir_path):
     write(f"{tmpdir_path}/snap/a/src/test/T.java", "class T {}\n")
     write(f"{tmpdir_path}/snap/a/README.md", "x")
     s = landed.read_snapshot_files(spark, f"{tmpdir_path}/snap", "P", "r1").collect()
-    assert len(s) == 1 and s[0]["path"].endswith("src/main/A.java") and s[0]["content"] == "class A {}\n"
+    assert len(s) == 1 and s[0]["path"].endswith("src/main/A.java") and s[0]["content"].rstrip("\n") == "class A {}"
     df = spark.createDataFrame([(" 'LOC' ", "YES"), ("x", "no")], ["a", "b"]).toDF(" \"LOC\" ", "Bugginess")
     c = columns.clean_columns(df)
     assert c.columns == ["LOC", "Bugginess"] and columns.find_column(c, "loc") == "LOC"
