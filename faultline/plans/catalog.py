@@ -325,6 +325,13 @@ def q_worst_method(spark, sf_dir):
     return stat_ops.worst_method(rows, "NestingDepth", "buggy", "id")
 
 
+def q_text_feature_ranking(spark, sf_dir):
+    """M-1 / W-2 on a second dataset: whole-text features of labelled documents."""
+    rows = analogs.text_methods(Tables(spark, sf_dir))
+    r = stat_ops.feature_ranking(stat_ops.spearman(rows, list(analogs.TEXT_FEATURES), "buggy"))
+    return r.select("rank", "feature", F.round("spearman_rho", 6).alias("spearman_rho"), "actionable")
+
+
 def q_info_gain_fixed_bins(spark, sf_dir):
     ig = stat_ops.info_gain_fixed_bins(_rows(spark, sf_dir), ML_FEATURES, "buggy", bins=10)
     return ig.select("feature", "n_bins", F.round("info_gain", 6).alias("info_gain"))
@@ -577,6 +584,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "best_actionable": q_best_actionable,
     "worst_method": q_worst_method,
     "info_gain_fixed_bins": q_info_gain_fixed_bins,
+    "text_feature_ranking": q_text_feature_ranking,
     "folds": q_folds,
     "downsample": q_downsample,
     "fold_metrics": q_fold_metrics,

@@ -683,6 +683,31 @@ SELECT ProjectName, count(*) AS n_scored, CAST(sum(CAST(score >= 0.5 AS INTEGER)
 FROM nb_scored GROUP BY 1"""
 
 
+def _text_feature_ranking() -> str:
+    feats = ("n_chars", "n_words", "non_letter_share", "distinct_word_share", "distinct_line_share")
+    long = " UNION ALL ".join(f"SELECT id, buggy, '{f}' AS feature, {f} AS value FROM tm" for f in feats)
+    return r"""
+WITH tm AS (
+  SELECT CAST(d.doc_id AS VARCHAR) AS id, CAST(length(text) AS DOUBLE) AS n_chars,
+         CAST(len(string_split_regex(text, '\s+')) AS DOUBLE) AS n_words,
+         CASE WHEN length(text) > 0 THEN length(regexp_replace(text, '\pL', '', 'g')) / length(text) ELSE 0.0 END
+           AS non_letter_share,
+         len(list_distinct(string_split_regex(text, '\s+'))) / len(string_split_regex(text, '\s+')) AS distinct_word_share,
+         len(list_distinct(string_split_regex(text, '\n'))) / len(string_split_regex(text, '\n')) AS distinct_line_share,
+         CAST(l.quality = 0 AS INTEGER) AS buggy
+  FROM documents d JOIN labels l ON l.doc_id = d.doc_id),
+long AS (""" + long + """),
+sp AS (SELECT feature, corr(rx, ry) AS rho FROM (
+  SELECT feature, (rank() OVER (PARTITION BY feature ORDER BY value) * 2
+                   + count(*) OVER (PARTITION BY feature, value) - 1) / 2.0 AS rx,
+                  (rank() OVER (PARTITION BY feature ORDER BY buggy) * 2
+                   + count(*) OVER (PARTITION BY feature, buggy) - 1) / 2.0 AS ry
+  FROM long WHERE value IS NOT NULL) x GROUP BY feature)
+SELECT row_number() OVER (ORDER BY abs(rho) DESC, feature) AS rank, feature, round(rho, 6) AS spearman_rho,
+       FALSE AS actionable
+FROM sp WHERE rho IS NOT NULL AND NOT isnan(rho)"""
+
+
 QUERIES = {
     "release_activity": _release_activity,
     "ticket_versions": _ticket_versions,
@@ -718,6 +743,7 @@ QUERIES = {
     + "SELECT 'NestingDepth' AS feature, id, NestingDepth AS value FROM method_rows WHERE buggy = 1 "
       "ORDER BY NestingDepth DESC, id LIMIT 1",
     "info_gain_fixed_bins": _info_gain_fixed_bins,
+    "text_feature_ranking": _text_feature_ranking,
     "folds": lambda: with_views("folds") + "SELECT * FROM folds",
     "downsample": lambda: with_views("method_rows")
     + "SELECT id, buggy FROM method_rows ORDER BY md5(id || '-42'), id LIMIT 20000",

@@ -184,6 +184,27 @@ def method_rows(t: Tables) -> DataFrame:
 
 METHOD_FEATURES = ("LOC", "NestingDepth", "ParameterCount", "TotalChurn", "ReturnFlag")
 
+TEXT_FEATURES = ("n_chars", "n_words", "non_letter_share", "distinct_word_share", "distinct_line_share")
+
+
+def text_methods(t: Tables) -> DataFrame:
+    """documents ⋈ labels as a small second dataset: whole-text features of
+    each labelled document and ``buggy`` = (quality = 0)."""
+    d = t.documents.select("doc_id", "text")
+    lab = t.labels.select("doc_id", "quality")
+    words = F.split(F.col("text"), r"\s+")
+    lines = F.split(F.col("text"), r"\n")
+    n = F.length("text")
+    x = d.join(lab, "doc_id").select(
+        F.col("doc_id").cast("string").alias("id"),
+        n.cast("double").alias("n_chars"),
+        F.size(words).cast("double").alias("n_words"),
+        F.when(n > 0, F.length(F.regexp_replace("text", r"\p{L}", "")) / n).otherwise(0.0).alias("non_letter_share"),
+        (F.size(F.array_distinct(words)) / F.size(words)).alias("distinct_word_share"),
+        (F.size(F.array_distinct(lines)) / F.size(lines)).alias("distinct_line_share"),
+        (F.col("quality") == 0).cast("int").alias("buggy"))
+    return x
+
 
 def violations(t: Tables) -> DataFrame:
     """violations(project, release_name, class, method, rule, beginline) from ``events``.
