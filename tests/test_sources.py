@@ -97,3 +97,20 @@ def test_projects_snapshots_columns_and_sinks(spark, tmpdir_path):
     sinks.write_feature_ranking(rk, f"{tmpdir_path}/rank")
     back = spark.read.option("header", True).csv(f"{tmpdir_path}/rank").collect()
     assert back[0]["Feature"] == "LOC" and back[0]["Rank"] == "1"
+
+
+def test_dataset_column_operations(spark):
+    from faultline.functions import columns
+    from faultline.operators import models
+
+    df = spark.createDataFrame([("S", "1.0", "m", "3", "x", "yes"), ("S", "1.0", "m", "3", "x", "yes")],
+                               "ProjectName string, Release string, MethodName string, LOC string, Note string, "
+                               "Bugginess string")
+    c = dataset.coerce_numeric(df, ["LOC", "Note"])
+    assert c.first()["LOC"] == 3.0 and c.first()["Note"] == 0.0
+    f = columns.features_and_label(c.drop("Note"))
+    assert f.columns == ["LOC", "Bugginess"]
+    assert columns.drop_string_columns(c, keep=("Bugginess",)).columns == ["LOC", "Note", "Bugginess"]
+    assert columns.distinct_rows(df).count() == 1
+    a = models.align_columns(c, ["LOC", "Revisions"])
+    assert a.columns == ["LOC", "Revisions"] and a.first()["Revisions"] is None
