@@ -19,6 +19,9 @@ from pyspark.sql import functions as F
 
 _BASE = ("release_id", "release_date")
 
+# Calendars up to this many rows (project × day) are broadcast.
+CALENDAR_BROADCAST_ROWS = 2_000_000
+
 
 def release_calendar(releases: DataFrame, project: str = "project",
                      extra: tuple[str, ...] = ()) -> DataFrame:
@@ -64,7 +67,7 @@ def asof_release(df: DataFrame, day, releases: DataFrame, prefix: str = "",
     x = df.withColumn("_day", day.cast("date")).join(F.broadcast(bounds), project, "left")
     x = x.withColumn("_key", F.when(F.col("_day") < F.col("_first_date"), F.col("_first_date"))
                      .otherwise(F.col("_day")))
-    x = x.join(cal, (x[project] == cal["_cp"]) & (x["_key"] == cal["cal_day"]), "left")
+    x = x.join(_calendar_hint(cal, bounds), (x[project] == cal["_cp"]) & (x["_key"] == cal["cal_day"]), "left")
     if fallback == "last":
         past = F.col("_day") > F.col("_last_date")
         out = [F.when(past, F.col(f"_l_{c}")).otherwise(F.col(f"_c_{c}")).alias(prefix + c) for c in cols]
@@ -73,3 +76,18 @@ def asof_release(df: DataFrame, day, releases: DataFrame, prefix: str = "",
     else:
         raise ValueError(f"fallback must be 'last' or None, not {fallback!r}")
     return x.select(*[x[c] for c in df.columns], *out)
+
+
+def calendar_rows(bounds: DataFrame) -> int:
+    """Exact row count of the release calendar: Σ over projects of
+    (last − first + 1) days, from the per-project bounds (one row each)."""
+    n = bounds.agg(F.sum(F.datediff("_last_date", "_first_date") + 1)).first()[0]
+    return int(n or 0)
+
+
+def _calendar_hint(cal: DataFrame, bounds: DataFrame) -> DataFrame:
+    """Spark's size estimate for ``explode`` ignores how many rows it makes, so
+    the calendar's real size is computed and the join strategy fixed: a
+    broadcast below ``CALENDAR_BROADCAST_ROWS``, a shuffle-hash join on
+    (project, day) — an evenly spread key — above it."""
+    return F.broadcast(cal) if calendar_rows(bounds) <= CALENDAR_BROADCAST_ROWS else cal.hint("shuffle_hash")

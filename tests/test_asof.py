@@ -42,3 +42,13 @@ def test_same_day_first_release_wins(spark):
     ev = spark.createDataFrame([("x", "A", D(2020, 1, 10)), ("y", "A", D(2020, 1, 1))], "id string, project string, d date")
     got = {r["id"]: r["release_id"] for r in asof_release(ev, "d", r).collect()}
     assert got == {"x": "r1", "y": "r1"}
+
+
+def test_calendar_size_check_and_large_calendar_path(spark, monkeypatch):
+    from faultline.operators import asof
+    r = rel(spark, [("A", "r1", D(2020, 1, 10)), ("A", "r2", D(2020, 2, 1)), ("B", "s1", D(2021, 1, 1))])
+    assert asof.calendar_rows(asof.last_release(r)) == 23 + 1
+    ev = spark.createDataFrame([("x", "A", D(2020, 1, 20)), ("y", "B", D(2019, 1, 1))], "id string, project string, d date")
+    monkeypatch.setattr(asof, "CALENDAR_BROADCAST_ROWS", 0)  # take the shuffle-hash path
+    got = {row["id"]: row["release_id"] for row in asof.asof_release(ev, "d", r).collect()}
+    assert got == {"x": "r2", "y": "s1"}
