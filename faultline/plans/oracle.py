@@ -337,11 +337,6 @@ SELECT id, buggy, rep, CAST((row_number() OVER (PARTITION BY rep, buggy
 FROM method_rows, (SELECT CAST(range AS INTEGER) AS rep FROM range(2)) r""")
 
 
-def _rule_models():
-    from .catalog import RULE_MODELS
-    return RULE_MODELS
-
-
 view("predictions", "folds", "method_rows")("\nUNION ALL\n".join(
     f"SELECT '{n}' AS model, f.rep, f.fold, f.id, f.buggy AS label, CAST({sc} AS DOUBLE) AS score, "
     f"CAST({pr} AS INTEGER) AS pred FROM folds f JOIN method_rows m ON m.id = f.id"
@@ -574,10 +569,6 @@ SELECT feature, count(*) AS n_bins,
 FROM h GROUP BY feature"""
 
 
-def _round6(cols: str) -> str:
-    return cols
-
-
 def _fold_metrics_q() -> str:
     return with_views("fold_metrics") + "SELECT model, rep, fold, " + ", ".join(
         f"round({m}, 6) AS {m}" for m in _METRICS) + " FROM fold_metrics"
