@@ -78,11 +78,19 @@ def asof_release(df: DataFrame, day, releases: DataFrame, prefix: str = "",
     return x.select(*[x[c] for c in df.columns], *out)
 
 
+_CALENDAR_ROWS: dict[int, int] = {}
+
+
 def calendar_rows(bounds: DataFrame) -> int:
     """Exact row count of the release calendar: Σ over projects of
-    (last − first + 1) days, from the per-project bounds (one row each)."""
-    n = bounds.agg(F.sum(F.datediff("_last_date", "_first_date") + 1)).first()[0]
-    return int(n or 0)
+    (last − first + 1) days, from the per-project bounds (one row each).
+    Remembered per bounds plan, so repeated as-of joins against the same
+    releases run the (small) job once."""
+    key = bounds.semanticHash()
+    if key not in _CALENDAR_ROWS:
+        n = bounds.agg(F.sum(F.datediff("_last_date", "_first_date") + 1)).first()[0]
+        _CALENDAR_ROWS[key] = int(n or 0)
+    return _CALENDAR_ROWS[key]
 
 
 def _calendar_hint(cal: DataFrame, bounds: DataFrame) -> DataFrame:
