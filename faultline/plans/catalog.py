@@ -260,6 +260,18 @@ def q_release_snapshot(spark, sf_dir):
     return hist_ops.release_snapshot_commit(i.commits_rel)
 
 
+def q_release_snapshot_log_last(spark, sf_dir):
+    """J-9 parity: the oldest commit of each release, as the reference's list order gives."""
+    i = Inputs(spark, sf_dir)
+    return hist_ops.release_snapshot_commit(i.commits_rel, snapshot="log_last")
+
+
+def q_file_churn_all_history(spark, sf_dir):
+    """J-10 parity: churn over a file's whole history, later releases included."""
+    i = Inputs(spark, sf_dir)
+    return hist_ops.file_churn(i.touched, i.java_snapshots, history="all")
+
+
 def q_nesting_depth(spark, sf_dir):
     i = Inputs(spark, sf_dir)
     return i.page_metrics.select(F.col("method_ord").alias("page_id"), "n_nodes", "nesting")
@@ -572,6 +584,8 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "file_churn": q_file_churn,
     "line_churn": q_line_churn,
     "release_snapshot": q_release_snapshot,
+    "release_snapshot_log_last": q_release_snapshot_log_last,
+    "file_churn_all_history": q_file_churn_all_history,
     "nesting_depth": q_nesting_depth,
     "weighted_complexity": q_weighted_complexity,
     "text_size": q_text_size,

@@ -717,6 +717,18 @@ QUERIES = {
     "file_churn": _file_churn,
     "line_churn": _line_churn,
     "release_snapshot": _release_snapshot,
+    "release_snapshot_log_last": lambda: with_views("commit_release") + """
+SELECT project, release_id, sha, CAST(committed_at AS DATE) AS commit_day, n_commits
+FROM (SELECT *, row_number() OVER (PARTITION BY project, release_id ORDER BY committed_at, sha) AS rn,
+             count(*) OVER (PARTITION BY project, release_id) AS n_commits FROM commit_release) x
+WHERE rn = 1""",
+    "file_churn_all_history": lambda: with_views("touched", "java_snapshots") + """
+SELECT s.project, s.release_id, s.path, count(DISTINCT t.sha) AS revisions, count(DISTINCT t.author) AS authors,
+       CAST(coalesce(sum(CASE WHEN t.rn > 1 THEN t.added + t.deleted END), 0) AS BIGINT) AS total_churn,
+       CAST(coalesce(max(CASE WHEN t.rn > 1 THEN t.added END), 0) AS BIGINT) AS max_churn,
+       coalesce(avg(CASE WHEN t.rn > 1 THEN t.added END), 0.0) AS avg_churn
+FROM java_snapshots s LEFT JOIN touched t ON t.project = s.project AND t.path = s.path
+GROUP BY s.project, s.release_id, s.path""",
     "nesting_depth": _nesting_depth,
     "weighted_complexity": _weighted_complexity,
     "text_size": _text_size,
