@@ -195,6 +195,12 @@ def q_proportion_by_project(spark, sf_dir):
     return i.proportion
 
 
+def q_proportion_self_cold_start(spark, sf_dir):
+    """A-8 parity: the cold-start list holds only the project's own value."""
+    i = Inputs(spark, sf_dir)
+    return prop_ops.project_proportion(i.valid, cold_start="self")
+
+
 def q_proportion_incremental(spark, sf_dir):
     i = Inputs(spark, sf_dir)
     return prop_ops.incremental_proportion(i.valid, cold=i.proportion)
@@ -573,6 +579,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "affected_versions": q_affected_versions,
     "proportion_by_project": q_proportion_by_project,
     "proportion_incremental": q_proportion_incremental,
+    "proportion_self_cold_start": q_proportion_self_cold_start,
     "injected_versions": q_injected_versions,
     "fix_commits": q_fix_commits,
     "bug_introducing_pairs": q_bug_introducing_pairs,

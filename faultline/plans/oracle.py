@@ -706,6 +706,14 @@ QUERIES = {
     "affected_versions": _affected_versions,
     "proportion_by_project": _proportion_by_project,
     "proportion_incremental": _proportion_incremental,
+    "proportion_self_cold_start": lambda: with_views("valid_tickets") + """
+SELECT project, n_known, n_computable, p_mean, p_cold,
+       CASE WHEN n_known >= 5 THEN p_mean ELSE p_cold END AS p_used,
+       CASE WHEN n_known >= 5 THEN 'mean' ELSE 'cold_start' END AS method
+FROM (SELECT *, CASE WHEN p_mean >= 0 THEN p_mean ELSE 0.5 END AS p_cold
+      FROM (SELECT project, count(iv_release_id) AS n_known, count(CASE WHEN p_ >= 0 THEN 1 END) AS n_computable,
+                   coalesce(avg(CASE WHEN p_ >= 0 THEN p_ END), -1.0) AS p_mean
+            FROM valid_tickets GROUP BY project) p) q""",
     "injected_versions": _injected_versions,
     "fix_commits": _fix_commits,
     "bug_introducing_pairs": lambda: _bic_pairs("links"),
