@@ -76,6 +76,15 @@ def materialize(df, name: str, run: str | None = None):
     by chance) plus column pruning and filter pushdown on re-reads."""
     spark = df.sparkSession
     root = ensure_checkpoint_dir(spark).rstrip("/")
-    path = f"{root}/tables/{run or uuid.uuid4().hex}/{name}"
+    folder = f"{root}/tables/{run or uuid.uuid4().hex}"
+    path = f"{folder}/{name}"
     df.write.mode("overwrite").parquet(path)
+    _remove_at_exit(spark, folder)
     return spark.read.parquet(path)
+
+
+def _remove_at_exit(spark: SparkSession, path: str) -> None:
+    """Hadoop removes ``path`` when the driver ends: results may be read lazily
+    until then, and no folder of stored stages is left behind after it."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
