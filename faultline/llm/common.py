@@ -19,3 +19,23 @@ def row_key(df: DataFrame, first: list[str]) -> Column:
     hashed; they are left out."""
     rest = [F.col(f"`{c}`") for c, t in df.dtypes if "map<" not in t]
     return F.struct(*[F.col(f"`{c}`") for c in first], F.xxhash64(*rest).alias("_tie"))
+
+
+def map_texts(df: DataFrame, columns: list[Column], fn, schema: str) -> DataFrame:
+    """Apply ``fn(values) -> columns`` to Arrow batches of ``columns``: one list
+    per input column in, one list per column of ``schema`` out.  Rows stay in
+    their partition, so a lost executor costs its own tasks only, and memory
+    is bounded by one batch."""
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                out = fn(*[c.to_pylist() for c in batch.columns])
+                yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(out, arrow, strict=True)], schema=arrow)
+
+    return df.select(*[c.alias(f"_{i}") for i, c in enumerate(columns)]).mapInArrow(run, schema)

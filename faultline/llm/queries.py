@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
 from ..sources.tables import Tables
-from . import exact_dedup, mixing, order_minhash
+from . import exact_dedup, mixing, order_minhash, pii, secrets_scan, simhash
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,6 +15,16 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Tables(spark, sf_dir).documents
 
 
+def _tokenizer_file(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_pii(_documents(spark, sf_dir))
+
+
 def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sizes(_documents(spark, sf_dir))
 
@@ -26,4 +37,14 @@ def op7_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.edit_study(_documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op2_source_mix, op4_exact_dedup, op7_order_minhash)}
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets_scan.find_secrets(_documents(spark, sf_dir), _tokenizer_file("byte_bpe_50k.tiktoken"))
+
+
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_groups(_documents(spark, sf_dir))
+    return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
+                        F.col("component").alias("component_id"))
+
+
+QUERIES = {f.__name__: f for f in (op1_pii, op2_source_mix, op4_exact_dedup, op5_secrets, op7_order_minhash, op10_simhash)}
