@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
 from ..sources.tables import Tables
-from . import exact_dedup, mixing, order_minhash, pii, secrets_scan, simhash
+from . import bpe, exact_dedup, langid, mixing, order_minhash, pii, secrets_scan, simhash
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,10 +41,19 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets_scan.find_secrets(_documents(spark, sf_dir), _tokenizer_file("byte_bpe_50k.tiktoken"))
 
 
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode(_documents(spark, sf_dir), _tokenizer_file("word_bpe_49k.json"), digests=True)
+
+
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    return langid.predict(docs, langid.train(docs))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_groups(_documents(spark, sf_dir))
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
                         F.col("component").alias("component_id"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_source_mix, op4_exact_dedup, op5_secrets, op7_order_minhash, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_source_mix, op4_exact_dedup, op5_secrets, op7_order_minhash, op8_bpe, op9_language, op10_simhash)}
