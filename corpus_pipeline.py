@@ -4,22 +4,52 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from faultline.llm import exact_dedup, mixing
+from faultline.llm import bpe, exact_dedup, langid, mixing, simhash
 from faultline.session import ensure_checkpoint_dir, materialize
 
+TOKENIZER = "word_bpe_49k.json"
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language the CRF identifies; it learns from ``docs``."""
+    ensure_checkpoint_dir(spark)
+    return langid.keep_identified(docs, langid.train(docs))
+
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each text, the one with the largest id."""
     ensure_checkpoint_dir(spark)
     return exact_dedup.drop_copies(docs)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group linked by SimHash, the one with the least id."""
+    ensure_checkpoint_dir(spark)
+    return simhash.keep_one(docs)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it."""
     ensure_checkpoint_dir(spark)
     return mixing.mix(docs)
 
 
-STAGES = [("exact dedup", drop_exact_copies), ("mixing sources to target weights", mix_sources)]
+def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Number of tokens of each document of the mix, and digests of its ids and decoded text."""
+    import public_tokenizers
+
+    return bpe.encode(docs, public_tokenizers.path(TOKENIZER), digests=True)
+
+
+STAGES = [
+    ("language ID", identify_language),
+    ("exact dedup", drop_exact_copies),
+    ("SimHash near-dedup", drop_near_copies),
+    ("mixing sources to target weights", mix_sources),
+    ("BPE encoding and decoding", encode_tokens),
+]
 
+# Models and fingerprints are beyond SQL; tests compare with a brute-force version.
 ORACLE_SQL = None
 
 

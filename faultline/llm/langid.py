@@ -302,3 +302,24 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
     kind = docs.schema[id_col].dataType.simpleString()
     return map_texts(docs, [F.col(f"`{id_col}`"), held_out(id_col), text_or_empty(text_col)], work,
                      f"`{id_col}` {kind}, held_out boolean, lang_pred string, score double")
+
+
+MIN_SCORE = 0.4
+
+
+def keep_identified(docs: DataFrame, model: Model | None, text_col: str = "text", min_score: float = MIN_SCORE) -> DataFrame:
+    """Rows of ``docs`` (all columns) whose text has a language with at least
+    ``min_score``; null texts, texts without a letter, and everything when
+    nothing could be learned go.  Rows are judged where they are read."""
+    import pandas as pd
+
+    state: list = []
+
+    def identified(texts: pd.Series) -> pd.Series:
+        if model is None:
+            return pd.Series([False] * len(texts))
+        if not state:
+            state.append(Labeller(model))
+        return pd.Series([c != UNKNOWN and s >= min_score for c, s in state[0].documents(list(texts))], dtype=bool)
+
+    return docs.filter(F.pandas_udf(identified, "boolean")(text_or_empty(text_col)))

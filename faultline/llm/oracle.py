@@ -31,4 +31,20 @@ SELECT doc_id, size::BIGINT AS size, source_size, target,
        (size * (whole + CASE WHEN upto - size / 2.0 < want THEN 1 ELSE 0 END))::BIGINT AS taken FROM r
 """
 
-ORACLE = {"op2_source_mix": OP2, "op4_exact_dedup": OP4}
+OP6 = """
+WITH u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS r FROM pages),
+p AS (SELECT page_id, translate(regexp_extract(r, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+             regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+h AS (SELECT *, '.' || host AS dotted, CASE WHEN path = '' THEN '/' ELSE path END AS p1 FROM p),
+v AS (SELECT *,
+  CASE WHEN ends_with(dotted, '.example.net') AND starts_with(path, '/en/') THEN 'example.net/en/'
+       WHEN ends_with(dotted, '.example.com') AND starts_with(path, '/de/') THEN 'example.com/de/'
+       WHEN ends_with(dotted, '.org') AND starts_with(path, '/fr/') THEN 'org/fr/'
+       WHEN ends_with(dotted, '.net') AND starts_with(path, '/') THEN 'net/' END AS rule,
+  starts_with(p1, '/') AND regexp_matches(dotted, '\\.(adult-x|casino-win)\\.example\\.(com|net|org)$') AS listed FROM h)
+SELECT page_id, host, path, rule,
+       CASE rule WHEN 'example.net/en/' THEN 'allow' WHEN 'org/fr/' THEN 'allow' WHEN 'net/' THEN 'block' WHEN 'example.com/de/' THEN 'block'
+                 ELSE CASE WHEN listed THEN 'block' ELSE 'allow' END END AS verdict, listed FROM v
+"""
+
+ORACLE = {"op2_source_mix": OP2, "op4_exact_dedup": OP4, "op6_url_filter": OP6}

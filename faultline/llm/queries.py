@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
 from ..sources.tables import Tables
-from . import bpe, exact_dedup, langid, mixing, order_minhash, pii, secrets_scan, simhash
+from . import bpe, exact_dedup, html_text, langid, mixing, order_minhash, pii, secrets_scan, simhash, urls
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,10 +29,26 @@ def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sizes(_documents(spark, sf_dir))
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ensure_checkpoint_dir(spark)
+    return html_text.extract(Tables(spark, sf_dir).pages)
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.group_copies(_documents(spark, sf_dir))
 
 
+# The rules of the query, and listed sites for urls that no rule fits.
+URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
+URL_LIST = [f"{site}.example.{top}/" for site in ("adult-x", "casino-win") for top in ("com", "net", "org")]
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ensure_checkpoint_dir(spark)
+    rows = [(k, v, True) for k, v in URL_RULES] + [(k, "block", False) for k in URL_LIST]
+    return urls.judge(Tables(spark, sf_dir).pages, spark.createDataFrame(rows, "key string, verdict string, is_rule boolean"))
+
+
 def op7_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.edit_study(_documents(spark, sf_dir))
 
@@ -56,4 +72,4 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.col("component").alias("component_id"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_source_mix, op4_exact_dedup, op5_secrets, op7_order_minhash, op8_bpe, op9_language, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_source_mix, op3_html_text, op4_exact_dedup, op5_secrets, op6_url_filter, op7_order_minhash, op8_bpe, op9_language, op10_simhash)}
