@@ -20,6 +20,7 @@ from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -311,8 +312,6 @@ def keep_identified(docs: DataFrame, model: Model | None, text_col: str = "text"
     """Rows of ``docs`` (all columns) whose text has a language with at least
     ``min_score``; null texts, texts without a letter, and everything when
     nothing could be learned go.  Rows are judged where they are read."""
-    import pandas as pd
-
     state: list = []
 
     def identified(texts: pd.Series) -> pd.Series:
