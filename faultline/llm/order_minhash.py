@@ -118,12 +118,12 @@ def with_next(df: DataFrame, id_col: str, carried: list[str], buckets: int) -> D
     # one row per bucket at most, in the number of buckets
     heads = materialize(x.groupBy("_b").agg(F.max(order).alias("_head")), "bucket_heads")
     names = sorted(r[0] for r in heads.select("_b").collect())
-    before = {b: names[i - 1] for i, b in enumerate(names)}
-    to = F.create_map(*[F.lit(v) for kv in before.items() for v in kv]) if before else F.lit(None)
     first = (x.join(F.broadcast(heads.withColumnRenamed("_b", "_hb")), (F.col("_b") == F.col("_hb")) & order.eqNullSafe(F.col("_head")))
              .dropDuplicates(["_b"]).drop("_hb", "_head"))
-    first = first.withColumn("_last", F.col("_b") == names[0] if names else F.lit(False)).withColumn("_b", to[F.col("_b")] if before else F.col("_b"))
-    both = x.withColumn("_copy", F.lit(0)).unionByName(first.drop("_last").withColumn("_copy", F.lit(1)))
+    if names:
+        before = F.create_map(*[F.lit(v) for i, b in enumerate(names) for v in (b, names[i - 1])])
+        first = first.withColumn("_b", before[F.col("_b")])
+    both = x.withColumn("_copy", F.lit(0)).unionByName(first.withColumn("_copy", F.lit(1)))
     w = Window.partitionBy("_b").orderBy(F.col("_copy"), F.col(f"`{id_col}`").desc_nulls_last(), F.col("_tie").desc())
     return (both.select("*", *[F.lead(c).over(w).alias(f"next_{c}") for c in carried])
             .filter("_copy = 0").drop("_copy", "_b", "_tie"))

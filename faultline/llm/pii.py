@@ -174,12 +174,17 @@ class SpelledDigits:
         return sorted(found)
 
 
+#: Suffixes that a host without brackets must end in.
+SUFFIXES = "com|org|net|edu|gov|mil|info|biz|io|dev|app|eu|uk|us|de|fr|ch|nl|it|es"
+
+
 class AtDot:
     """[at], (dot) and the like anywhere; bare ``at`` and ``dot`` only as
-    ``name at host dot suffix``, so that ordinary prose stays as it is."""
+    ``name at host dot suffix`` with a common suffix, so that ordinary prose
+    stays as it is."""
 
     MARK = re.compile(rf"\s?[\[({{<]\s?(?:(@|{AT})|(\.|{POINT}))\s?[\])}}>]\s?", re.I)
-    BARE = re.compile(rf"(?<![\w.+-])(?:[\w%+-]{{1,64}}\s(?:{POINT})\s)?[\w.%+-]{{1,64}}(?P<at>\s(?:{AT})\s|\s?@\s?)[A-Za-z0-9-]{{1,63}}(?:(?:\s(?:{POINT})\s|\.)[A-Za-z0-9-]{{1,63}})*(?:\s(?:{POINT})\s)[A-Za-z]{{2,24}}(?!\w)", re.I)
+    BARE = re.compile(rf"(?<![\w.+-])(?:[\w%+-]{{1,64}}\s(?:{POINT})\s)?[\w.%+-]{{1,64}}(?P<at>\s(?:{AT})\s|\s?@\s?)[A-Za-z0-9-]{{1,63}}(?:(?:\s(?:{POINT})\s|\.)[A-Za-z0-9-]{{1,63}})*(?:\s(?:{POINT})\s)(?:{SUFFIXES})(?!\w)", re.I)
     DOT = re.compile(rf"\s(?:{POINT})\s", re.I)
 
     def edits(self, text: str) -> list[tuple[int, int, str]]:

@@ -282,5 +282,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     gone = found.join(best, found["component"].eqNullSafe(best["component"])).filter(
         ~(F.col("id").eqNullSafe(found["component"])) | (F.col("text_hash") != F.col("best")))
     gone = materialize(gone.select(F.col("id").alias("_id"), F.col("text_hash").alias("_hash")).distinct(), "dropped")
-    same = F.col(f"`{id_col}`").eqNullSafe(F.col("_id")) & (F.xxhash64(text_or_empty(text_col)) == F.col("_hash"))
-    return docs.join(broadcast_if_small(gone), same, "left_anti")
+    # The caller's columns travel in one struct: no name can clash.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(f"`{id_col}`").alias("_doc"),
+                       F.xxhash64(text_or_empty(text_col)).alias("_text"))
+    same = F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_hash"))
+    return rows.join(broadcast_if_small(gone), same, "left_anti").select("_row.*")
