@@ -10,10 +10,13 @@ ranks, never from rows joined back.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
+from ..functions.hints import broadcast_if_small
+from ..session import ensure_checkpoint_dir, materialize
 
 # Features a developer can act on.
 ACTIONABLE_FEATURES = ("NumberOfCodeSmells", "CycloComplexity", "LOC",
@@ -60,25 +63,32 @@ def average_ranks(hist: DataFrame, group: str, value: str, count: str = "c",
     return x.select(group, value, count, (cum - F.col(count) + (F.col(count) + 1) / 2.0).alias("rank"))
 
 
-def spearman(df: DataFrame, features: list[str], label: str) -> DataFrame:
-    """M-1: Spearman rho of each feature with ``label`` (ties → average ranks).
+#: Joins a group and a feature name in one key; no name contains it.
+UNIT = "\x1f"
+
+
+def spearman(df: DataFrame, features: list[str], label: str, by: str | None = None) -> DataFrame:
+    """M-1: Spearman rho of each feature with ``label`` (ties → average ranks),
+    within each value of ``by`` if given.
 
     Rows with a null feature value or label are left out of that feature's
-    statistic.  Result: (feature, n, spearman_rho); rho is NaN for a constant
-    feature.
+    statistic.  Result: (by, feature, n, spearman_rho); rho is NaN for a
+    constant feature.
     """
     ensure_checkpoint_dir(df.sparkSession)
-    long = to_long(df.withColumn("_y", F.col(label).cast("double")), features, ["_y"]) \
-        .filter(F.col("_y").isNotNull())
+    keep = ["_y", by] if by else ["_y"]
+    long = to_long(df.withColumn("_y", F.col(label).cast("double")), features, keep).filter(F.col("_y").isNotNull())
+    if by:
+        long = long.withColumn("feature", F.concat_ws(UNIT, by, "feature"))
     # The (feature, value, label) histogram feeds three branches: materialise it once.
-    h = long.groupBy("feature", "value", "_y").agg(F.count(F.lit(1)).alias("c")).checkpoint(eager=True)
+    h = materialize(long.groupBy("feature", "value", "_y").agg(F.count(F.lit(1)).alias("c")), "spearman_histogram")
     rx = average_ranks(h.groupBy("feature", "value").agg(F.sum("c").alias("c")), "feature", "value") \
         .select("feature", "value", F.col("rank").alias("rx"))
     ry = average_ranks(h.groupBy("feature", "_y").agg(F.sum("c").alias("c")), "feature", "_y") \
         .select("feature", "_y", F.col("rank").alias("ry"))
-    # ry has features × label values rows: broadcast (the histogram is not
-    # shuffled on the few (feature, label) keys).
-    j = h.join(rx, ["feature", "value"]).join(F.broadcast(ry), ["feature", "_y"])
+    # ry has features × label values rows: broadcast by its stored size only,
+    # since a numeric label makes it grow with the data.
+    j = h.join(rx, ["feature", "value"]).join(broadcast_if_small(materialize(ry, "label_ranks")), ["feature", "_y"])
     c, x, y = F.col("c"), F.col("rx"), F.col("ry")
     s = j.groupBy("feature").agg(F.sum(c).alias("n"), F.sum(c * x).alias("sx"), F.sum(c * y).alias("sy"),
                                  F.sum(c * x * x).alias("sxx"), F.sum(c * y * y).alias("syy"),
@@ -88,15 +98,21 @@ def spearman(df: DataFrame, features: list[str], label: str) -> DataFrame:
     vx = F.col("sxx") - F.col("sx") * F.col("sx") / n
     vy = F.col("syy") - F.col("sy") * F.col("sy") / n
     rho = F.when((vx > 0) & (vy > 0), cov / F.sqrt(vx * vy)).otherwise(F.lit(float("nan")))
-    return s.select("feature", F.col("n").cast("bigint").alias("n"), rho.alias("spearman_rho"))
+    names = [F.col("feature")]
+    if by:
+        at = F.split("feature", UNIT)
+        names = [at[0].alias(by), at[1].alias("feature")]
+    return s.select(*names, F.col("n").cast("bigint").alias("n"), rho.alias("spearman_rho"))
 
 
-def feature_ranking(rho: DataFrame) -> DataFrame:
+def feature_ranking(rho: DataFrame, by: str | None = None) -> DataFrame:
     """W-2 / K-3: rank by |rho| descending (1-based, ties by name), NaN rho
-    left out, with the actionable flag.  The input has one row per feature."""
+    left out, with the actionable flag, within each value of ``by`` if given.
+    The input has one row per (group and) feature."""
     r = rho.filter(~F.isnan("spearman_rho") & F.col("spearman_rho").isNotNull())
-    w = Window.orderBy(F.abs("spearman_rho").desc(), F.col("feature"))
-    return r.select(F.row_number().over(w).cast("bigint").alias("rank"), "feature", "spearman_rho",
+    keys = [by] if by else []
+    w = Window.partitionBy(*keys).orderBy(F.abs("spearman_rho").desc(), F.col("feature"))
+    return r.select(*keys, F.row_number().over(w).cast("bigint").alias("rank"), "feature", "spearman_rho",
                     is_actionable("feature").alias("actionable"))
 
 
@@ -195,48 +211,97 @@ def _k(a: Column, b: Column) -> Column:
     return (F.when(a > 0, 1).otherwise(0) + F.when(b > 0, 1).otherwise(0)).cast("double")
 
 
-def mdl_cuts(df: DataFrame, features: list[str], label: str = "buggy", max_levels: int = 32) -> DataFrame:
+#: Intervals of at most this many distinct values are finished in one task.
+LOCAL_VALUES = 10_000
+
+_BINS = "feature string, cut double, seg double, n0 long, n1 long"
+
+
+def _entropy(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Entropy in bits of class counts, elementwise."""
+    total = np.maximum(a + b, 1)
+    return sum(-np.where(c > 0, c / total * np.log2(np.maximum(c, 1) / total), 0.0) for c in (a, b))
+
+
+def _finish_interval(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    """All cuts and final bins inside one interval with a bounded number of values."""
+    pdf = pdf.sort_values("value")
+    value, n0, n1 = (pdf[c].to_numpy() for c in ("value", "n0", "n1"))
+    out, todo = [], [(0, len(value), float(key[1]))]
+    while todo:
+        lo, hi, seg = todo.pop()
+        l0, l1 = np.cumsum(n0[lo:hi], dtype="float64"), np.cumsum(n1[lo:hi], dtype="float64")
+        t0, t1 = l0[-1], l1[-1]
+        at = None
+        if hi - lo > 1:
+            l0, l1 = l0[:-1], l1[:-1]
+            r0, r1, n = t0 - l0, t1 - l1, t0 + t1
+            e = np.round(((l0 + l1) * _entropy(l0, l1) + (r0 + r1) * _entropy(r0, r1)) / n, 12)
+            i = int(np.argmin(e))  # the first of equals: the smallest value
+            hs, h1, h2 = (float(_entropy(np.float64(x), np.float64(y))) for x, y in ((t0, t1), (l0[i], l1[i]), (r0[i], r1[i])))
+            k, k1, k2 = (int(x > 0) + int(y > 0) for x, y in ((t0, t1), (l0[i], l1[i]), (r0[i], r1[i])))
+            delta = np.log2(3.0 ** k - 2) - (k * hs - k1 * h1 - k2 * h2)
+            if hs - e[i] > (np.log2(n - 1) + delta) / n:
+                at = lo + i + 1
+        if at is None:
+            out.append((key[0], None, seg, int(t0), int(t1)))
+        else:
+            cut = float(value[at - 1])
+            out.append((key[0], cut, None, None, None))
+            todo += [(lo, at, seg), (at, hi, cut)]
+    return pd.DataFrame(out, columns=["feature", "cut", "seg", "n0", "n1"]).astype({"n0": "Int64", "n1": "Int64"})
+
+
+def mdl_cuts(df: DataFrame, features: list[str], label: str = "buggy") -> DataFrame:
     """(feature, cut) of :func:`mdl_discretize`."""
-    return mdl_discretize(df, features, label, max_levels)[0]
+    return mdl_discretize(df, features, label)[0]
 
 
 def mdl_discretize(df: DataFrame, features: list[str], label: str = "buggy",
-                   max_levels: int = 32) -> tuple[DataFrame, DataFrame]:
+                   local_values: int = LOCAL_VALUES) -> tuple[DataFrame, DataFrame]:
     """Supervised discretisation (Fayyad & Irani 1993, MDL stopping rule) of each
-    feature against a 0/1 label: (feature, cut) with a cut meaning "≤ cut".
-
-    Works on the (feature, value) → (n0, n1) histogram, level by level: every
-    open interval of every feature gets its best boundary (least weighted
-    class entropy; ties → smallest value) from two-phase running sums, and
-    the MDL test accepts or closes it.  A level is a few distributed jobs; no
-    interval is ever gathered into one task.
+    feature against a 0/1 label: cuts (feature, cut), with a cut meaning
+    "≤ cut", and final bins (feature, seg, n0, n1), ``seg`` being the cut
+    below the bin (−∞ for the first).
+
+    Works on the (feature, value) → (n0, n1) histogram until no interval is
+    open.  An interval with more than ``local_values`` distinct values is cut
+    by jobs: its best boundary (least weighted class entropy; ties → smallest
+    value; entropies equal in 12 decimals tie) comes from two-phase running sums, and the MDL test splits or
+    closes it.  Smaller intervals are finished in one task each, by the same
+    rule.  Only open intervals are carried on, and per-interval totals and
+    decisions (one row per open interval) are stored, so joins with them are
+    broadcast by their size.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    long = to_long(df.withColumn("_y", F.col(label).cast("int")), features, ["_y"])
-    hist = (long.groupBy("feature", "value")
-            .agg(F.sum(F.when(F.col("_y") == 1, 0).otherwise(1)).alias("n0"),
-                 F.sum(F.when(F.col("_y") == 1, 1).otherwise(0)).alias("n1"))
-            .withColumn("seg", F.lit(1).cast("long")).withColumn("open", F.lit(True))
-            .checkpoint(eager=True))
     spark = df.sparkSession
-    cuts = spark.createDataFrame([], "feature string, cut double")
-    for _ in range(max_levels):
-        act = hist.filter("open")
-        if act.isEmpty():
+    ensure_checkpoint_dir(spark)
+    long = to_long(df.withColumn("_y", F.col(label).cast("int")), features, ["_y"])
+    open_ = materialize(long.groupBy("feature", "value")
+                        .agg(F.sum(F.when(F.col("_y") == 1, 0).otherwise(1)).alias("n0"),
+                             F.sum(F.when(F.col("_y") == 1, 1).otherwise(0)).alias("n1"))
+                        .withColumn("seg", F.lit(float("-inf"))), "mdl_histogram")
+    key = ["feature", "seg"]
+    done = None
+    while True:
+        sizes = materialize(open_.groupBy(*key).agg(F.count(F.lit(1)).alias("_m"), F.sum("n0").alias("t0"),
+                                                    F.sum("n1").alias("t1")), "mdl_intervals")
+        small = open_.join(broadcast_if_small(sizes.filter(F.col("_m") <= local_values).select(*key)), key, "left_semi")
+        part = materialize(small.groupBy(*key).applyInPandas(_finish_interval, _BINS), "mdl_finished")
+        done = part if done is None else done.unionByName(part)
+        large = sizes.filter(F.col("_m") > local_values).drop("_m")
+        if large.isEmpty():
             break
-        c = running_sums(act, ["feature", "seg"], "value", ["n0", "n1"])
-        tot = act.groupBy("feature", "seg").agg(F.sum("n0").alias("t0"), F.sum("n1").alias("t1"))
-        c = c.join(tot, ["feature", "seg"])
+        act = open_.join(broadcast_if_small(large.select(*key)), key, "left_semi")
+        c = running_sums(act, key, "value", ["n0", "n1"]).join(broadcast_if_small(large), key)
         l0, l1 = F.col("cum_n0"), F.col("cum_n1")
         r0, r1 = F.col("t0") - l0, F.col("t1") - l1
         n = (F.col("t0") + F.col("t1")).cast("double")
         nl, nr = (l0 + l1).cast("double"), (r0 + r1).cast("double")
-        ent = (nl * _h2(l0, l1) + nr * _h2(r0, r1)) / n
-        cand = c.filter(nr > 0).select("feature", "seg", "value", ent.alias("e"), l0.alias("l0"), l1.alias("l1"),
-                                       "t0", "t1")
-        best = cand.groupBy("feature", "seg").agg(
+        ent = F.round((nl * _h2(l0, l1) + nr * _h2(r0, r1)) / n, 12)
+        cand = c.filter(nr > 0).select(*key, "value", ent.alias("e"), l0.alias("l0"), l1.alias("l1"), "t0", "t1")
+        best = cand.groupBy(*key).agg(
             F.min_by(F.struct("value", "e", "l0", "l1", "t0", "t1"), F.struct("e", "value")).alias("b"))
-        b = best.select("feature", "seg", "b.*")
+        b = best.select(*key, "b.*")
         t0, t1, bl0, bl1 = F.col("t0"), F.col("t1"), F.col("l0"), F.col("l1")
         br0, br1 = t0 - bl0, t1 - bl1
         nn = (t0 + t1).cast("double")
@@ -244,27 +309,28 @@ def mdl_discretize(df: DataFrame, features: list[str], label: str = "buggy",
         k, k1, k2 = _k(t0, t1), _k(bl0, bl1), _k(br0, br1)
         delta = F.log2(F.pow(F.lit(3.0), k) - 2) - (k * hs - k1 * h1 - k2 * h2)
         accept = (hs - F.col("e")) > (F.log2(nn - 1) + delta) / nn
-        dec = b.select("feature", "seg", F.col("value").alias("cut"), accept.alias("accept")).checkpoint(eager=True)
-        cuts = cuts.unionByName(dec.filter("accept").select("feature", "cut"))
-        # Open segments with no candidate (a single value) or a rejected cut close.
-        h = hist.join(dec, ["feature", "seg"], "left")
-        split = F.col("open") & F.coalesce(F.col("accept"), F.lit(False))
-        hist = h.select("feature", "value", "n0", "n1",
-                        F.when(split, F.col("seg") * 2 + F.when(F.col("value") > F.col("cut"), 1).otherwise(0))
-                        .otherwise(F.col("seg")).alias("seg"),
-                        split.alias("open")).checkpoint(eager=True)
-    return cuts, hist
+        dec = materialize(b.select(*key, F.col("value").alias("cut"), "t0", "t1", accept.alias("accept")), "mdl_decisions")
+        null = F.lit(None)
+        part = dec.select("feature", F.when(F.col("accept"), F.col("cut")).alias("cut"),
+                          F.when(F.col("accept"), null).otherwise(F.col("seg")).cast("double").alias("seg"),
+                          F.when(F.col("accept"), null).otherwise(F.col("t0")).cast("long").alias("n0"),
+                          F.when(F.col("accept"), null).otherwise(F.col("t1")).cast("long").alias("n1"))
+        done = done.unionByName(part)
+        split = act.join(broadcast_if_small(dec.filter("accept").select(*key, "cut")), key)
+        open_ = materialize(split.select("feature", "value", "n0", "n1", F.when(F.col("value") > F.col("cut"), F.col("cut"))
+                                         .otherwise(F.col("seg")).alias("seg")), "mdl_open")
+    return (done.filter(F.col("cut").isNotNull()).select("feature", "cut"),
+            done.filter(F.col("cut").isNull()).select("feature", "seg", "n0", "n1"))
 
 
 def info_gain_mdl(df: DataFrame, features: list[str], label: str = "buggy") -> DataFrame:
-    """M-2: information gain of each feature discretised by MDL (one bin when
-    no cut is accepted, gain 0).  The bins are the final intervals of the
-    value histogram, so no join with the cut list is needed."""
-    _, hist = mdl_discretize(df, features, label)
-    per_bin = hist.groupBy("feature", "seg").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    per = per_bin.groupBy("feature").agg(
+    """M-2: information gain of each feature discretised by MDL; exactly 0 when
+    no cut is accepted (one bin)."""
+    _, bins = mdl_discretize(df, features, label)
+    per = bins.groupBy("feature").agg(
         F.sum("n0").alias("n0"), F.sum("n1").alias("n1"),
         F.sum((F.col("n0") + F.col("n1")) * _h2(F.col("n0"), F.col("n1"))).alias("_cond"),
         F.count(F.lit(1)).alias("n_bins"))
     ig = _h2(F.col("n0"), F.col("n1")) - F.col("_cond") / (F.col("n0") + F.col("n1"))
-    return per.select("feature", F.col("n_bins").cast("bigint").alias("n_bins"), ig.alias("info_gain"))
+    return per.select("feature", F.col("n_bins").cast("bigint").alias("n_bins"),
+                      F.when(F.col("n_bins") == 1, F.lit(0.0)).otherwise(ig).alias("info_gain"))

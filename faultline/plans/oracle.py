@@ -569,6 +569,34 @@ SELECT feature, count(*) AS n_bins,
 FROM h GROUP BY feature"""
 
 
+def _info_gain_mdl() -> str:
+    """Level by level: a row moves on while its interval is cut; its last level names its bin."""
+    k = lambda a, b: f"(CASE WHEN {a} > 0 THEN 1 ELSE 0 END + CASE WHEN {b} > 0 THEN 1 ELSE 0 END)"
+    return with_views("ml_long").replace("WITH ", "WITH RECURSIVE ", 1) + f"""
+, hist AS MATERIALIZED (
+  SELECT feature, value, CAST(count(*) FILTER (buggy <> 1) AS DOUBLE) AS n0, CAST(count(*) FILTER (buggy = 1) AS DOUBLE) AS n1
+  FROM ml_long WHERE value IS NOT NULL GROUP BY 1, 2),
+lv AS (
+  SELECT feature, value, n0, n1, CAST('-Infinity' AS DOUBLE) AS seg, 0 AS level FROM hist
+  UNION ALL
+  SELECT feature, value, n0, n1, CASE WHEN value > cut THEN cut ELSE seg END, level + 1 FROM (
+    SELECT *, {_entropy('t0', 't1')} AS hs, {_entropy('b0', 'b1')} AS h1, {_entropy('(t0 - b0)', '(t1 - b1)')} AS h2,
+           {k('t0', 't1')} AS k, {k('b0', 'b1')} AS k1, {k('(t0 - b0)', '(t1 - b1)')} AS k2 FROM (
+      SELECT *, best[1] AS e, best[2] AS cut, best[3] AS b0, best[4] AS b1 FROM (
+        SELECT *, min(CASE WHEN t0 + t1 > l0 + l1 THEN
+                 [round(((l0 + l1) * {_entropy('l0', 'l1')} + (t0 + t1 - l0 - l1) * {_entropy('(t0 - l0)', '(t1 - l1)')}) / (t0 + t1), 12),
+                  value, l0, l1] END) OVER (PARTITION BY feature, seg) AS best FROM (
+          SELECT *, sum(n0) OVER w AS l0, sum(n1) OVER w AS l1, sum(n0) OVER p AS t0, sum(n1) OVER p AS t1
+          FROM lv WINDOW w AS (PARTITION BY feature, seg ORDER BY value ROWS UNBOUNDED PRECEDING), p AS (PARTITION BY feature, seg)) a) b
+      WHERE best IS NOT NULL) c) d
+  WHERE hs - e > (log2(t0 + t1 - 1) + log2(pow(3.0, k) - 2) - (k * hs - k1 * h1 - k2 * h2)) / (t0 + t1)),
+bins AS (SELECT feature, seg, sum(n0) AS n0, sum(n1) AS n1 FROM (
+  SELECT feature, value, arg_max(seg, level) AS seg, any_value(n0) AS n0, any_value(n1) AS n1 FROM lv GROUP BY 1, 2) x GROUP BY 1, 2)
+SELECT feature, count(*) AS n_bins, CASE WHEN count(*) = 1 THEN 0.0 ELSE
+       round({_entropy('sum(n0)', 'sum(n1)')} - sum((n0 + n1) * {_entropy('n0', 'n1')}) / (sum(n0) + sum(n1)), 6) END AS info_gain
+FROM bins GROUP BY feature"""
+
+
 def _fold_metrics_q() -> str:
     return with_views("fold_metrics") + "SELECT model, rep, fold, " + ", ".join(
         f"round({m}, 6) AS {m}" for m in _METRICS) + " FROM fold_metrics"
@@ -754,6 +782,7 @@ GROUP BY s.project, s.release_id, s.path""",
     + "SELECT 'NestingDepth' AS feature, id, NestingDepth AS value FROM method_rows WHERE buggy = 1 "
       "ORDER BY NestingDepth DESC, id LIMIT 1",
     "info_gain_fixed_bins": _info_gain_fixed_bins,
+    "info_gain_mdl": _info_gain_mdl,
     "text_feature_ranking": _text_feature_ranking,
     "folds": lambda: with_views("folds") + "SELECT * FROM folds",
     "downsample": lambda: with_views("method_rows")

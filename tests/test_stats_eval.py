@@ -160,3 +160,31 @@ def test_mdl_matches_brute_force(spark):
     assert got == want and len(want) >= 1
     ig = stats.info_gain_mdl(df, ["x"], "y").first()
     assert ig["n_bins"] == len(want) + 1 and ig["info_gain"] > 0
+
+
+def test_mdl_cuts_a_chain_of_blocks_without_a_level_cap(spark):
+    """40 alternating pure blocks of 40 rows need 39 cuts at depth 39."""
+    rows = [(float(b * 40 + i), b % 2) for b in range(40) for i in range(40)]
+    df = spark.createDataFrame(rows, "x double, y int")
+    got = sorted(r["cut"] for r in stats.mdl_cuts(df, ["x"], "y").collect())
+    assert got == sorted(_brute_mdl([x for x, _ in rows], [y for _, y in rows])[0]) and len(got) == 39
+    small = df.filter("x < 200")  # the same rule by jobs, interval by interval
+    by_jobs = sorted(r["cut"] for r in stats.mdl_discretize(small, ["x"], "y", local_values=45)[0].collect())
+    assert by_jobs == sorted(r["cut"] for r in stats.mdl_cuts(small, ["x"], "y").collect()) and len(by_jobs) == 4
+
+
+def test_one_bin_has_no_gain(spark):
+    df = spark.createDataFrame([(float(i % 7), i % 2, "ab"[i % 2]) for i in range(98)], "x double, y int, g string")
+    r = stats.info_gain_mdl(df, ["x"], "y").first()
+    assert (r["n_bins"], r["info_gain"]) == (1, 0.0)
+
+
+def test_spearman_by_group_equals_one_group_at_a_time(spark):
+    rows = [(float((i * 7) % 13), float(i % 5), int((i * 7) % 13 > 5), f"p{i % 3}") for i in range(300)]
+    df = spark.createDataFrame(rows, "a double, b double, y int, project string")
+    got = {(r["project"], r["feature"]): (r["n"], round(r["spearman_rho"], 9)) for r in stats.spearman(df, ["a", "b"], "y", by="project").collect()}
+    for p in ("p0", "p1", "p2"):
+        for r in stats.spearman(df.filter(f"project = '{p}'"), ["a", "b"], "y").collect():
+            assert got[p, r["feature"]] == (r["n"], round(r["spearman_rho"], 9))
+    ranks = stats.feature_ranking(stats.spearman(df, ["a", "b"], "y", by="project"), by="project").collect()
+    assert sorted((r["project"], r["rank"]) for r in ranks) == [(f"p{i}", k) for i in range(3) for k in (1, 2)]
