@@ -44,14 +44,16 @@ def seeded_hash(*cols: str | Column, seed: int = 42) -> Column:
 
 
 def stratified_folds(df: DataFrame, id_col: str = "id", label: str = "buggy", k: int = 10,
-                     repeats: int = 1, seed: int = 42) -> DataFrame:
-    """W-11: (id, label, rep, fold).  For each repetition rows of each class are
-    shuffled by md5(id, rep, seed) and dealt round-robin to the k folds, so
-    fold sizes differ by at most one per class."""
-    x = df.select(id_col, label).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
+                     repeats: int = 1, seed: int = 42, by: str | None = None) -> DataFrame:
+    """W-11: (by, id, label, rep, fold).  For each repetition rows of each class
+    (of each value of ``by`` if given) are shuffled by md5(id, rep, seed) and
+    dealt round-robin to the k folds, so fold sizes differ by at most one per
+    class."""
+    keep = [by] if by else []
+    x = df.select(*keep, id_col, label).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
     x = x.withColumn("_h", seeded_hash(id_col, "rep", seed=seed))
-    x = row_positions(x, ["rep", label], ["_h", id_col])
-    return x.select(id_col, label, "rep", ((F.col("_pos") - 1) % k).cast("int").alias("fold"))
+    x = row_positions(x, [*keep, "rep", label], ["_h", id_col], broadcast_offsets=not by)
+    return x.select(*keep, id_col, label, "rep", ((F.col("_pos") - 1) % k).cast("int").alias("fold"))
 
 
 def downsample(df: DataFrame, n: int, id_col: str = "id", seed: int = 42) -> DataFrame:
@@ -62,7 +64,7 @@ def downsample(df: DataFrame, n: int, id_col: str = "id", seed: int = 42) -> Dat
 
 def smote(df: DataFrame, features: list[str], label: str = "buggy", id_col: str = "id",
           percent: float = 65.0, k: int = 5, seed: int = 42, minority=None,
-          block_rows: int = 2048) -> DataFrame:
+          max_train: int | None = None) -> DataFrame:
     """M-3 / U-6: SMOTE (Chawla et al. 2002) on the minority class.
 
     ``floor(n_min · percent / 100)`` synthetic rows are made; each picks one
@@ -72,18 +74,22 @@ def smote(df: DataFrame, features: list[str], label: str = "buggy", id_col: str
     gap in [0, 1) from md5.  Returns original rows ∪ synthetic rows with a
     ``synthetic`` flag; ids of synthetic rows are ``<id>~s<j>``.
     """
-    from .models import knn, minmax_scale
+    from .models import MAX_TRAIN, knn, minmax_scale
 
+    plain = df.select(id_col, *features, label).withColumn("synthetic", F.lit(False))
     if minority is None:
         counts = df.groupBy(label).count()
-        minority = counts.orderBy("count", label).first()[0]  # one row per class
+        least = counts.orderBy("count", label).first()  # one row per class
+        if least is None:
+            return plain
+        minority = least[0]
     mino = df.filter(F.col(label) == F.lit(minority))
-    scaled, _ = minmax_scale(mino, features)
-    nn = knn(scaled, scaled, features, id_col, k=k, exclude_self=True, block_rows=block_rows)
     n_min = mino.count()
     n_syn = int(n_min * percent // 100)
     if n_syn == 0 or n_min < 2:
-        return df.withColumn("synthetic", F.lit(False))
+        return plain
+    scaled, _ = minmax_scale(mino, features)
+    nn = knn(scaled, scaled, features, id_col, k=k, exclude_self=True, max_train=max_train or MAX_TRAIN, seed=seed)
     order = row_positions(mino.select(id_col).withColumn("_h", seeded_hash(id_col, seed=seed))
                           .withColumn("_g", F.lit(0)), ["_g"], ["_h", id_col]).select(id_col, "_pos")
     # Synthetic j (0-based) uses the row at position (j mod n_min) + 1.
@@ -104,4 +110,4 @@ def smote(df: DataFrame, features: list[str], label: str = "buggy", id_col: str
     syn = x.select(F.concat(F.col(id_col), F.lit("~s"), F.col("_j").cast("string")).alias(id_col),
                    *[(F.col(f) + F.col("_gap") * (F.col(f"_n_{f}") - F.col(f))).alias(f) for f in features],
                    F.lit(minority).alias(label), F.lit(True).alias("synthetic"))
-    return df.select(id_col, *features, label).withColumn("synthetic", F.lit(False)).unionByName(syn)
+    return plain.unionByName(syn)

