@@ -32,7 +32,7 @@ def touched_file(path: str = "path") -> Column:
     return source_file(path, (TEST_DIR,))
 
 
-def snapshot_file(path: str = "path") -> Column:
+def snapshot_file(path: str | Column = "path") -> Column:
     """P-7: a file of a release snapshot: ``.java`` outside ``/src/test/``."""
     return source_file(path, (TEST_DIR,))
 

@@ -124,8 +124,8 @@ def best_actionable(ranking: DataFrame) -> DataFrame:
 def worst_method(df: DataFrame, feature: str, label: str = "buggy", id_col: str = "id",
                  release: str | None = None, release_value=None) -> DataFrame:
     """W-4: the buggy method with the largest value of ``feature``; ties → the
-    smallest id.  ``release``/``release_value`` restrict to one release (the
-    intent: the last release; the reference lets all releases compete).
+    smallest id.  ``release``/``release_value`` restrict to one release, the
+    last one (see :func:`last_release`); without them all releases compete.
     One global aggregate (``min_by`` over (−value, id)), no sort."""
     x = df.filter(F.col(label) == 1)
     if release is not None:
@@ -138,6 +138,21 @@ def worst_method(df: DataFrame, feature: str, label: str = "buggy", id_col: str
                     F.col("_w.value").alias("value")))
 
 
+def last_release(df: DataFrame, release: str = "Release", releases: DataFrame | None = None,
+                 project: str | None = None) -> DataFrame:
+    """Rows of the last release of each project: the latest date in
+    ``releases`` (project, name, release_date), or the largest name without it."""
+    keys = [project] if project else []
+    names = df.select(*keys, release).distinct()
+    if releases is not None:
+        cols = [F.col("project").alias(project)] if project else []
+        names = names.join(releases.select(*cols, F.col("name").alias(release), "release_date"), [*keys, release])
+    else:
+        names = names.withColumn("release_date", F.col(release))
+    last = names.groupBy(*keys).agg(F.max_by(release, F.struct("release_date", release)).alias(release))
+    return df.join(broadcast_if_small(last), [*keys, release], "left_semi")
+
+
 def method_feature_ranking(df: DataFrame, ranking: DataFrame, features: list[str], method_id,
                            id_col: str = "id", focus: str | None = None) -> DataFrame:
     """W-8 / J-11 / K-4: for one method, every ranked feature with its value and

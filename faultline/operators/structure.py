@@ -5,8 +5,8 @@ a table.  Input here is an *event* table, one row per node entry and exit in
 document order::
 
     events(<unit columns>, seq, kind, phase ['enter'|'exit'],
-           [in_if_condition, in_else_if, operator, parent_operator,
-            call_name, unit_name, extra_cyclo])
+           [in_if_condition, in_else_if, is_else_if, operator,
+            parent_operator, call_name, unit_name, extra_cyclo])
 
 and a small fixed **rules** table (kind → weights).  Everything is computed by
 one running sum per unit (a window partitioned by the unit, e.g. one method,
@@ -18,7 +18,8 @@ ordered by ``seq``) and one aggregate:
   running count of open ``opens_level`` nodes above the node.
 
 ``rules="intent"`` counts logical operators only and visits if-conditions and
-else-if branches; ``rules="reference"`` reproduces the three confirmed quirks:
+else-if branches (an ``if`` that continues a chain, ``is_else_if``, costs 1
+without nesting and opens no level of its own); ``rules="reference"`` reproduces the three confirmed quirks:
 if-conditions are not visited, every binary expression counts unless it is an
 arithmetic one under the same operator, and else-if branches are not visited.
 """
@@ -91,17 +92,21 @@ def structural_metrics(events: DataFrame, rules: DataFrame, unit: list[str],
         visited = ~F.coalesce(in_cond, F.lit(False)) & ~F.coalesce(in_else_if, F.lit(False))
         # Every binary expression counts unless arithmetic under the same operator.
         binary_extra = F.when((F.col("kind") == "binary") & ~F.coalesce(parent_op == op, F.lit(False)), 1).otherwise(0)
+        else_if = F.lit(False)
     else:
         binary_extra = F.lit(0)
+        # An else-if continues the chain: +1 without nesting, and no level of its own.
+        else_if = (F.col("kind") == "if") & F.coalesce(_opt(events, "is_else_if", False).cast("boolean"), F.lit(False))
     call_extra = F.when((F.col("kind") == "call") & F.coalesce(recursive, F.lit(False)), 1).otherwise(0)
     w = Window.partitionBy(*unit).orderBy("seq", F.when(enter, 1).otherwise(0)).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     e = (e.withColumn("_d", sign * F.col("opens_depth"))
-         .withColumn("_l", sign * F.col("opens_level") * F.when(visited, 1).otherwise(0))
+         .withColumn("_l", sign * F.col("opens_level") * F.when(visited & ~else_if, 1).otherwise(0))
          .withColumn("depth", F.sum("_d").over(w))
          .withColumn("level_after", F.sum("_l").over(w)))
     level = F.col("level_after") - F.col("_l")  # level of the node itself, before it opens one
-    cog = F.when(enter & visited, F.col("cog_flat") + F.col("cog_nested") * level + binary_extra + call_extra)
+    nested = F.when(else_if, 1).otherwise(F.col("cog_flat") + F.col("cog_nested") * level)
+    cog = F.when(enter & visited, nested + binary_extra + call_extra)
     cyc = F.when(enter, F.col("cyclo") + _opt(events, "extra_cyclo", 0))
     return e.groupBy(*unit).agg(
         F.count(F.when(enter, 1)).alias("n_nodes"),

@@ -339,8 +339,13 @@ def q_best_actionable(spark, sf_dir):
 
 
 def q_worst_method(spark, sf_dir):
-    rows = _rows(spark, sf_dir)
-    return stat_ops.worst_method(rows, "NestingDepth", "buggy", "id")
+    """W-4 in the last release."""
+    return stat_ops.worst_method(stat_ops.last_release(_rows(spark, sf_dir)), "NestingDepth", "buggy", "id")
+
+
+def q_worst_method_all_releases(spark, sf_dir):
+    """W-4 with all releases competing, as the reference does."""
+    return stat_ops.worst_method(_rows(spark, sf_dir), "NestingDepth", "buggy", "id")
 
 
 def q_text_feature_ranking(spark, sf_dir):
@@ -658,6 +663,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "spearman_ranking": q_spearman_ranking,
     "best_actionable": q_best_actionable,
     "worst_method": q_worst_method,
+    "worst_method_all_releases": q_worst_method_all_releases,
     "info_gain_fixed_bins": q_info_gain_fixed_bins,
     "text_feature_ranking": q_text_feature_ranking,
     "folds": q_folds,

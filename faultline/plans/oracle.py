@@ -826,6 +826,9 @@ GROUP BY s.project, s.release_id, s.path""",
     + "SELECT feature, round(spearman_rho, 6) AS spearman_rho FROM feature_ranking "
       "WHERE actionable AND spearman_rho > 0 ORDER BY rank LIMIT 1",
     "worst_method": lambda: with_views("method_rows")
+    + "SELECT 'NestingDepth' AS feature, id, NestingDepth AS value FROM method_rows WHERE buggy = 1 "
+      "AND Release = (SELECT max(Release) FROM method_rows) ORDER BY NestingDepth DESC, id LIMIT 1",
+    "worst_method_all_releases": lambda: with_views("method_rows")
     + "SELECT 'NestingDepth' AS feature, id, NestingDepth AS value FROM method_rows WHERE buggy = 1 "
       "ORDER BY NestingDepth DESC, id LIMIT 1",
     "info_gain_fixed_bins": _info_gain_fixed_bins,

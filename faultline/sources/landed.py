@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.dataset import DATASET_COLUMNS, DATASET_SCHEMA
+from ..session import materialize
 
 RELEASES_SCHEMA = T.StructType([T.StructField("versions", T.ArrayType(T.StructType([
     T.StructField("id", T.StringType()), T.StructField("name", T.StringType()),
@@ -45,11 +46,12 @@ def _parent_dir() -> F.Column:
 
 
 def read_releases(spark: SparkSession, path: str) -> DataFrame:
-    """S-1 / P-1: one JSON document per project (file stem = project); entries
+    """S-1 / P-1: one JSON document per project (file stem = project, in upper
+    case everywhere, as issue keys have it); entries
     lacking id, name or date are dropped; (project, release_id, name,
     release_date).  Sorting happens only inside windows downstream."""
     raw = spark.read.schema(RELEASES_SCHEMA).option("multiLine", True).json(path)
-    x = raw.select(_file_stem().alias("project"), F.explode("versions").alias("v"))
+    x = raw.select(F.upper(_file_stem()).alias("project"), F.explode("versions").alias("v"))
     x = x.select("project", F.col("v.id").alias("release_id"), F.col("v.name").alias("name"),
                  F.try_to_date(F.col("v.releaseDate")).alias("release_date"))
     return x.dropna(subset=["release_id", "name", "release_date"])
@@ -65,9 +67,10 @@ def read_issue_pages(spark: SparkSession, path: str) -> tuple[DataFrame, DataFra
     raw = (spark.read.schema(ISSUE_PAGE_SCHEMA).option("multiLine", True).option("mode", "PERMISSIVE")
            .option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
            .withColumn("_file", F.col("_metadata.file_name"))
-           # Spark refuses queries that read only the corrupt-record column of raw
-           # files; the parsed pages are cached (recomputable) as it advises.
-           .cache())
+           )
+    # Spark refuses queries that read only the corrupt-record column of raw
+    # files, so the parsed pages are stored.
+    raw = materialize(raw, "issue_pages")
     corrupt = raw.filter(F.col("_corrupt_record").isNotNull()).select("_file", "_corrupt_record")
     ok = raw.filter(F.col("_corrupt_record").isNull())
     x = ok.select(F.explode("issues").alias("i"))
@@ -87,7 +90,7 @@ def read_violations(spark: SparkSession, path: str) -> DataFrame:
     ``_beginline``.  A release without a report simply has no rows."""
     schema = T.StructType([T.StructField(c, T.StringType()) for c in ("_class", "_method", "_rule", "_beginline")])
     raw = spark.read.format("xml").option("rowTag", "violation").schema(schema).load(path)
-    return raw.select(_parent_dir().alias("project"), _file_stem().alias("release_name"),
+    return raw.select(F.upper(_parent_dir()).alias("project"), _file_stem().alias("release_name"),
                       F.col("_class").alias("class"), F.col("_method").alias("method"), F.col("_rule").alias("rule"),
                       F.col("_beginline").cast("int").alias("beginline"))
 
@@ -108,7 +111,8 @@ def read_results(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     ignored; unreadable files go to the second (corrupt) frame."""
     raw = (spark.read.schema(RESULTS_SCHEMA).option("multiLine", True).option("mode", "PERMISSIVE")
            .option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
-           .withColumn("_file", F.col("_metadata.file_name")).cache())
+           .withColumn("_file", F.col("_metadata.file_name")))
+    raw = materialize(raw, "results")
     corrupt = raw.filter(F.col("_corrupt_record").isNotNull()).select("_file", "_corrupt_record")
     return raw.filter(F.col("_corrupt_record").isNull()).drop("_corrupt_record"), corrupt
 
@@ -130,14 +134,62 @@ def read_projects(spark: SparkSession, path: str) -> DataFrame:
     return raw.selectExpr(stack)
 
 
-def read_snapshot_files(spark: SparkSession, path: str, project: str, release_id: str) -> DataFrame:
-    """S-7 / P-7: the source files of one release checkout, one row per file
-    (whole text), test folders left out: (project, release_id, path, content)."""
+def read_snapshot_files(spark: SparkSession, root: str, releases: DataFrame | None = None) -> DataFrame:
+    """S-7 / P-7: the source files of all release checkouts under ``root``
+    (``<root>/<project>/<release name>/<repository path>``), one row per file
+    (whole text), test folders left out: (project, release_name, path,
+    content); with ``releases`` also release_id.
+
+    Paths are relative to the repository and decoded, as file changes name
+    them; the test filter sees only that part.
+    """
     from ..functions.paths import snapshot_file
-    raw = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path)
-    x = raw.select(F.lit(project).alias("project"), F.lit(release_id).alias("release_id"),
-                   F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
-    return x.filter(snapshot_file("path"))
+    raw = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(root)
+    where = spark._jvm.org.apache.hadoop.fs.Path(root)
+    base = where.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(where).toUri().getPath().rstrip("/")
+    full = F.url_decode(F.regexp_replace(F.col("_metadata.file_path"), r"\+", "%2B"))
+    parts = F.split(F.substring(full, F.instr(full, base + "/") + len(base) + 1, F.length(full)), "/", 3)
+    x = raw.select(F.upper(parts[0]).alias("project"), parts[1].alias("release_name"), parts[2].alias("path"),
+                   F.col("value").alias("content"))
+    x = x.filter(snapshot_file(F.concat(F.lit("/"), "path")))  # a test folder may stand at the root
+    if releases is None:
+        return x
+    names = releases.select("project", "release_id", F.col("name").alias("release_name"))
+    return x.join(names, ["project", "release_name"])
+
+
+#: One line per commit, and one per file that a commit changed, in tab-separated files named by project.
+COMMIT_FIELDS = ("sha", "author", "committed_at", "message")
+CHANGE_FIELDS = ("sha", "change_type", "path", "added", "deleted")
+# Change types of a version-control log and their one-letter forms.
+CHANGE_TYPES = {"A": "ADD", "M": "MODIFY", "D": "DELETE", "R": "RENAME", "C": "COPY"}
+
+
+def _log_lines(spark: SparkSession, path: str, fields: tuple[str, ...]) -> DataFrame:
+    """Tab-separated lines as (project, fields); the last field takes the rest of the line."""
+    raw = spark.read.text(path).select(F.upper(_file_stem()).alias("project"), F.split("value", "\t", len(fields)).alias("v"))
+    return raw.filter(F.size("v") == len(fields)).select("project", *[F.col("v")[i].alias(f) for i, f in enumerate(fields)])
+
+
+def read_commits(spark: SparkSession, path: str) -> DataFrame:
+    """S-4: commit logs, one file per project (``<project>.tsv``), each line sha,
+    author, ISO time, message: (project, sha, author, committed_at, message).
+    Lines with another number of fields or an unreadable time are left out; a
+    commit on several branches counts once."""
+    x = _log_lines(spark, path, COMMIT_FIELDS).withColumn("committed_at", F.try_to_timestamp("committed_at"))
+    return x.filter(F.col("committed_at").isNotNull()).dropDuplicates(["project", "sha"])
+
+
+def read_file_changes(spark: SparkSession, path: str) -> DataFrame:
+    """S-5 / S-6: changed files, one file per project, each line sha, change type
+    (word or letter), path, added and deleted lines: (project, sha,
+    change_type, path, added, deleted).  Binary files (``-``) count 0 lines."""
+    kinds = F.create_map(*[F.lit(x) for kv in CHANGE_TYPES.items() for x in kv])
+    x = _log_lines(spark, path, CHANGE_FIELDS)
+    number = lambda c: F.coalesce(F.col(c).try_cast("long"), F.lit(0)).alias(c)
+    kind = F.upper("change_type")
+    return x.select("project", "sha", F.coalesce(kinds[F.substring(kind, 1, 1)], kind).alias("change_type"), "path",
+                    number("added"), number("deleted")).dropDuplicates(["project", "sha", "path"])
 
 
 def read_dataset(spark: SparkSession, path: str) -> DataFrame:
@@ -146,5 +198,5 @@ def read_dataset(spark: SparkSession, path: str) -> DataFrame:
     return read_dataset_csv(spark, path)
 
 
-__all__ = ["read_projects", "read_snapshot_files", "read_releases", "read_issue_pages", "read_violations", "read_refactored_csv", "read_results",
+__all__ = ["read_projects", "read_commits", "read_file_changes", "read_snapshot_files", "read_releases", "read_issue_pages", "read_violations", "read_refactored_csv", "read_results",
            "read_fold_results", "read_dataset", "DATASET_SCHEMA"]

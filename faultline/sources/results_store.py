@@ -27,13 +27,13 @@ def upsert(existing: DataFrame, new: DataFrame, key: list[str] = KEY, ts: str =
 
 def save(df: DataFrame, path: str) -> None:
     """K-5: write the store, replacing only the projects present in ``df``."""
-    spark = df.sparkSession
-    prev = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    try:
-        df.write.mode("overwrite").partitionBy("project").parquet(path)
-    finally:
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", prev)
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("project").parquet(path)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether ``path`` is there, asked of the file system that Spark will use."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
 
 
 def load(spark: SparkSession, path: str) -> DataFrame:
@@ -43,10 +43,7 @@ def load(spark: SparkSession, path: str) -> DataFrame:
 def append(spark: SparkSession, path: str, new: DataFrame, key: list[str] = KEY, ts: str = "run_ts") -> DataFrame:
     """K-5 append-replacing-same-classifier: read the touched projects, upsert,
     materialise (the source and target are the same table), write back."""
-    import os
-
-    exists = os.path.exists(path) if "://" not in path else True
-    if exists:
+    if exists(spark, path):
         projects = new.select("project").distinct()
         old = load(spark, path).join(projects, "project", "left_semi")
         merged = upsert(old, new, key, ts).checkpoint(eager=True)
@@ -57,7 +54,20 @@ def append(spark: SparkSession, path: str, new: DataFrame, key: list[str] = KEY,
 
 
 def save_model(model, schema_json: str, path: str) -> None:
-    """K-10: the fitted pipeline plus the training schema beside it."""
-    model.write().overwrite().save(f"{path}/model")
+    """K-10: the fitted model plus the training schema beside it."""
+    if hasattr(model, "write"):
+        model.write().overwrite().save(f"{path}/model")
+    else:
+        model.save(f"{path}/model")
     spark = SparkSession.getActiveSession()
     spark.createDataFrame([(schema_json,)], "schema string").coalesce(1).write.mode("overwrite").text(f"{path}/schema")
+
+
+def load_model(spark: SparkSession, path: str):
+    """K-10: (fitted pipeline, feature names) as :func:`save_model` left them."""
+    import json
+
+    from pyspark.ml import PipelineModel
+
+    schema = spark.read.text(f"{path}/schema").first()[0]
+    return PipelineModel.load(f"{path}/model"), [f["name"] for f in json.loads(schema)["fields"]]

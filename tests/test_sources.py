@@ -84,11 +84,6 @@ def test_projects_snapshots_columns_and_sinks(spark, tmpdir_path):
     write(f"{tmpdir_path}/cfg/config.json", json.dumps({"STORM": "https://x/storm.git", "BOOKKEEPER": "https://x/bk.git"}))
     p = {r["project"]: r["url"] for r in landed.read_projects(spark, f"{tmpdir_path}/cfg").collect()}
     assert p == {"STORM": "https://x/storm.git", "BOOKKEEPER": "https://x/bk.git"}
-    write(f"{tmpdir_path}/snap/a/src/main/A.java", "class A {}\n")
-    write(f"{tmpdir_path}/snap/a/src/test/T.java", "class T {}\n")
-    write(f"{tmpdir_path}/snap/a/README.md", "x")
-    s = landed.read_snapshot_files(spark, f"{tmpdir_path}/snap", "P", "r1").collect()
-    assert len(s) == 1 and s[0]["path"].endswith("src/main/A.java") and s[0]["content"].rstrip("\n") == "class A {}"
     df = spark.createDataFrame([(" 'LOC' ", "YES"), ("x", "no")], ["a", "b"]).toDF(" \"LOC\" ", "Bugginess")
     c = columns.clean_columns(df)
     assert c.columns == ["LOC", "Bugginess"] and columns.find_column(c, "loc") == "LOC"
@@ -114,3 +109,59 @@ def test_dataset_column_operations(spark):
     assert columns.distinct_rows(df).count() == 1
     a = models.align_columns(c, ["LOC", "Revisions"])
     assert a.columns == ["LOC", "Revisions"] and a.first()["Revisions"] is None
+
+
+def test_project_case_is_the_same_everywhere(spark, tmpdir_path):
+    write(f"{tmpdir_path}/rel/storm.json", json.dumps({"versions": [{"id": "1", "name": "1.0", "releaseDate": "2020-01-01"}]}))
+    write(f"{tmpdir_path}/pmd/storm/1.0.xml", "<pmd><violation class='A' method='m' rule='R' beginline='1'>x</violation></pmd>")
+    assert landed.read_releases(spark, f"{tmpdir_path}/rel").first()["project"] == "STORM"
+    assert landed.read_violations(spark, f"{tmpdir_path}/pmd/*").first()["project"] == "STORM"
+
+
+@pytest.mark.parametrize("scheme", ["", "file://"])
+def test_snapshot_paths_are_relative_and_decoded(spark, tmpdir_path, scheme):
+    root = f"{tmpdir_path}/src/test/checkouts"  # a test folder above the checkouts is no test folder of theirs
+    write(f"{root}/storm/1.0/src/main/A B+c.java", "class A {}\n")
+    write(f"{root}/storm/1.0/src/test/T.java", "class T {}\n")
+    write(f"{root}/storm/1.1/src/main/D.java", "class D {}\n")
+    write(f"{root}/storm/1.1/README.md", "x")
+    releases = spark.createDataFrame([("STORM", "r0", "1.0"), ("STORM", "r1", "1.1")], "project string, release_id string, name string")
+    s = landed.read_snapshot_files(spark, scheme + root, releases).collect()
+    assert {(r["project"], r["release_id"], r["path"], r["content"].strip()) for r in s} == {
+        ("STORM", "r0", "src/main/A B+c.java", "class A {}"), ("STORM", "r1", "src/main/D.java", "class D {}")}
+
+
+@pytest.mark.parametrize("scheme", ["", "file://"])
+def test_store_keeps_other_classifiers_over_runs(spark, tmpdir_path, scheme):
+    store = f"{scheme}{tmpdir_path}/store"
+    rows = lambda *r: spark.createDataFrame(list(r), "project string, classifier string, run_ts int, auc double")
+    results_store.append(spark, store, rows(("S", "RF", 1, 0.8), ("T", "RF", 1, 0.5)))
+    results_store.append(spark, store, rows(("S", "NB", 2, 0.7)))
+    results_store.append(spark, store, rows(("S", "RF", 3, 0.9)))
+    got = {(r["project"], r["classifier"], r["run_ts"]) for r in results_store.load(spark, store).collect()}
+    assert got == {("S", "RF", 3), ("S", "NB", 2), ("T", "RF", 1)}
+
+
+def test_landed_files_meet(spark, tmpdir_path):
+    """Commits, changes and snapshots of landed files meet on project and path."""
+    from faultline.operators import history
+
+    write(f"{tmpdir_path}/rel/storm.json", json.dumps({"versions": [
+        {"id": str(i), "name": f"1.{i}", "releaseDate": f"2020-0{i + 1}-01"} for i in range(4)]}))
+    write(f"{tmpdir_path}/log/storm.tsv", "c1\tann\t2020-01-10T00:00:00Z\tstart\nc2\tbob\t2020-02-10T00:00:00Z\tmore\n"
+          "c3\tann\t2020-03-10T00:00:00Z\tSTORM-7 fix\tit\nbad line\nc3\tann\t2020-03-10T00:00:00Z\tSTORM-7 fix\tit\n")
+    write(f"{tmpdir_path}/files/storm.tsv", "c1\tA\tsrc/A.java\t10\t0\nc2\tM\tsrc/A.java\t5\t2\nc3\tMODIFY\tsrc/A.java\t3\t1\nc3\tM\tlogo.png\t-\t-\n")
+    for i in range(4):
+        write(f"{tmpdir_path}/snap/storm/1.{i}/src/A.java", "class A {}\n")
+    rel = landed.read_releases(spark, f"{tmpdir_path}/rel")
+    commits = landed.read_commits(spark, f"{tmpdir_path}/log")
+    changes = landed.read_file_changes(spark, f"{tmpdir_path}/files")
+    snaps = landed.read_snapshot_files(spark, f"{tmpdir_path}/snap", rel)
+    assert commits.count() == 3 and commits.filter("sha = 'c3'").first()["message"] == "STORM-7 fix\tit"
+    assert {(r["sha"], r["change_type"], r["added"]) for r in changes.collect()} == {
+        ("c1", "ADD", 10), ("c2", "MODIFY", 5), ("c3", "MODIFY", 3), ("c3", "MODIFY", 0)}
+    keyed = commits.withColumn("ticket_key", history.ticket_key_in_message())
+    assert [r["ticket_key"] for r in keyed.filter("ticket_key IS NOT NULL").collect()] == ["STORM-7"]
+    fixed = history.fix_files(keyed.filter("ticket_key IS NOT NULL"), changes)
+    assert [(r["path"], r["sha"]) for r in fixed.collect()] == [("src/A.java", "c3")]
+    assert snaps.join(fixed, ["project", "path"]).count() == 4

@@ -66,3 +66,12 @@ def test_html_events_nesting(spark):
 def test_line_count_java_split(spark):
     df = spark.createDataFrame([("a\nb",), ("a\n\n",), ("",), ("\n\n",), ("a\r\nb\r\n",), (None,)], "t string")
     assert [r[0] for r in df.select(structure.line_count("t")).collect()] == [2, 1, 1, 0, 2, 0]
+
+
+def test_else_if_continues_the_chain(spark):
+    schema = "unit string, seq int, kind string, phase string, is_else_if boolean"
+    plain = [("u", 1, "if", "enter", False), ("u", 2, "if", "enter", True), ("u", 7, "if", "exit", True), ("u", 8, "if", "exit", False)]
+    inner = plain + [("u", 3, "if", "enter", False), ("u", 4, "if", "exit", False)]
+    for rows, want in ((plain, 2), (inner, 4)):  # the inner if stands one level deep: 1 + 1
+        m = structure.structural_metrics(spark.createDataFrame(rows, schema), structure.rules_frame(spark), ["unit"])
+        assert m.first()["cognitive"] == want
