@@ -11,13 +11,14 @@ from ..functions.paths import fix_file, touched_file
 def ticket_key_in_message(message: str = "message", project: str = "project") -> F.Column:
     """J-5: first ``<PROJECT>-<digits>`` in the message, any case, upper-cased.
 
-    The pattern is built per row from the project column (literal-quoted), so
-    one job serves every project; Spark caches the compiled pattern between
-    rows of the same project.
+    One literal pattern finds every ``word-digits`` in the message (so it is
+    compiled once, whatever project a row has); the first whose word ends with
+    the row's project is the key.
     """
-    pattern = F.concat(F.lit("(?i)\\Q"), F.col(project), F.lit("\\E-[0-9]+"))
-    found = F.regexp_substr(F.col(message), pattern)
-    return F.upper(F.nullif(found, F.lit("")))
+    name = F.upper(F.col(project))
+    found = F.regexp_extract_all(F.upper(F.col(message)), F.lit(r"\S*?-[0-9]+"), F.lit(0))
+    own = F.filter(found, lambda c: F.endswith(F.regexp_replace(c, "-[0-9]+$", ""), name))
+    return F.when(name != "", F.concat(name, F.lit("-"), F.substring_index(F.get(own, F.lit(0)), "-", -1)))
 
 
 def fixing_commits(commits_rel: DataFrame, tickets: DataFrame) -> DataFrame:
