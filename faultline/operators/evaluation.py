@@ -42,14 +42,22 @@ def fold_metrics(pred: DataFrame, top_share: float = 0.2) -> DataFrame:
     r = average_ranks(h.select("_g", "score", "c"), "_g", "score")
     auc = (h.join(r.select("_g", "score", "rank"), ["_g", "score"])
            .groupBy(*GROUP).agg(F.sum(F.col("c1") * F.col("rank")).alias("_rs")))
-    # NPofB20: exact positions by (score desc, id) within each group.
-    pos = row_positions(pred.select(*GROUP, "id", "label", "score"), GROUP, [F.col("score").desc(), F.col("id")])
+    # NPofB20 from the same histogram: scores wholly above the cut count at
+    # once; only the rows tied at the boundary score are ordered by id.
     # conf has one row per (model, rep, fold): bounded by configuration, broadcast.
     sizes = conf.select(*GROUP, (F.col("tp") + F.col("fn")).alias("_nb"),
                         (F.col("tp") + F.col("fn") + F.col("fp") + F.col("tn")).alias("_n"))
-    found = (pos.join(F.broadcast(sizes), GROUP)
-             .filter(F.col("_pos") <= F.least(F.ceil(F.col("_n") * top_share), F.col("_nb")))
-             .groupBy(*GROUP).agg(F.sum("label").alias("_found")))
+    top = h.join(r.select("_g", "score", "rank"), ["_g", "score"]).join(F.broadcast(sizes), GROUP)
+    above = F.col("_n") - (F.col("rank") - (F.col("c") + 1) / 2.0) - F.col("c")
+    top = top.select(*GROUP, "score", "c", "c1", above.cast("long").alias("_above"),
+                     F.least(F.ceil(F.col("_n") * top_share), F.col("_nb")).alias("_k"))
+    whole = top.filter(F.col("_above") + F.col("c") <= F.col("_k")).select(*GROUP, F.col("c1").alias("_found"))
+    edge = top.filter((F.col("_above") < F.col("_k")) & (F.col("_above") + F.col("c") > F.col("_k")))
+    ties = pred.select(*GROUP, "id", "label", "score").join(  # one edge score per group
+        F.broadcast(edge.select(*GROUP, "score", (F.col("_k") - F.col("_above")).alias("_take"))), [*GROUP, "score"])
+    pos = row_positions(ties, GROUP, ["id"]).filter(F.col("_pos") <= F.col("_take"))
+    found = whole.unionByName(pos.select(*GROUP, F.col("label").cast("long").alias("_found")))
+    found = found.groupBy(*GROUP).agg(F.sum("_found").alias("_found"))
     x = conf.join(auc, GROUP, "left").join(found, GROUP, "left")
     tp, fp, fn, tn = (F.col(c).cast("double") for c in ("tp", "fp", "fn", "tn"))
     n = tp + fp + fn + tn

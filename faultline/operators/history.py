@@ -83,7 +83,7 @@ def file_churn(touched_df: DataFrame, snapshots: DataFrame, history: str = "as_o
     auth = t.groupBy("project", "path", "author").agg(F.min("ord").alias("ord")) \
         .groupBy("project", "path", "ord").agg(F.count(F.lit(1)).alias("new_authors"))
     inc = t.groupBy("project", "path", "ord").agg(
-        F.count_distinct("sha").alias("revs"),
+        F.count(F.lit(1)).alias("revs"),  # a commit changes a path once
         F.sum(F.when(F.col("_pair"), F.col("added") + F.col("deleted")).otherwise(0)).alias("churn"),
         F.max(F.when(F.col("_pair"), size)).alias("max_size"),
         F.sum(F.when(F.col("_pair"), size).otherwise(0)).alias("sum_size"),

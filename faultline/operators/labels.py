@@ -9,7 +9,7 @@ commit sets are counted, never listed, and labels come from distinct
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hints import broadcast_if_small
@@ -64,12 +64,24 @@ def buggy_intervals(links: DataFrame, fix_files: DataFrame, releases: DataFrame)
     return x.select("project", "path", "iv_date", "fv_date").distinct()
 
 
+def merged(intervals: DataFrame) -> DataFrame:
+    """Overlapping and touching intervals of a path as one: at most one per
+    release, since intervals of one start are reduced to the longest first."""
+    file = ["project", "path"]
+    x = intervals.groupBy(*file, "iv_date").agg(F.max("fv_date").alias("fv_date")).filter("iv_date < fv_date")
+    w = Window.partitionBy(*file).orderBy("iv_date")
+    upto = F.max("fv_date").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    x = x.withColumn("_new", F.when(F.col("iv_date") <= upto, 0).otherwise(1))
+    x = x.withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return x.groupBy(*file, "_run").agg(F.min("iv_date").alias("iv_date"), F.max("fv_date").alias("fv_date")).drop("_run")
+
+
 def label_snapshots(snapshots: DataFrame, intervals: DataFrame) -> DataFrame:
     """J-7: a snapshot file is buggy when some interval of its path has
-    iv_date ≤ snapshot date < fv_date.  Per path there are at most
-    (releases)² distinct intervals, so the (project, path) join is bounded."""
+    iv_date ≤ snapshot date < fv_date.  Merged intervals are disjoint and at
+    most one per release, so a snapshot meets at most one that holds its date."""
     hit = (snapshots.select("project", "release_id", "release_date", "path")
-           .join(intervals, ["project", "path"])
+           .join(merged(intervals), ["project", "path"])
            .filter((F.col("iv_date") <= F.col("release_date")) & (F.col("release_date") < F.col("fv_date")))
            .select("project", "release_id", "path").distinct()
            .withColumn("buggy", F.lit(True)))

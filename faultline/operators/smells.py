@@ -28,15 +28,16 @@ def match_violations(violations: DataFrame, releases: DataFrame, methods: DataFr
     rel = releases.select("project", F.col("name").alias("release_name"), "release_id")
     v = violations.join(broadcast_if_small(rel), ["project", "release_name"])
     m = methods.withColumn("class", class_of("path"))
-    first_file = (m.groupBy("project", "release_id", "class").agg(F.min("path").alias("path")))
-    m = m.join(first_file, ["project", "release_id", "class", "path"])
+    cls = ["project", "release_id", "class"]
     if match == "first":
-        cand = m.groupBy("project", "release_id", "class", "simple_name").agg(
-            F.min("method_ord").alias("method_ord"), F.min("path").alias("path"))
-        keys = ["project", "release_id", "class", F.col("method").alias("simple_name")]
-        v = v.select(*keys)
-        return v.join(cand, ["project", "release_id", "class", "simple_name"]).select(
-            "project", "release_id", "path", "method_ord")
+        # One row per name, then one per class: the method table is read once and not joined to itself.
+        cand = m.groupBy(*cls, "simple_name").agg(F.min(F.struct("path", "method_ord")).alias("pick"))
+        first = cand.groupBy(*cls).agg(F.min("pick.path").alias("_first"))
+        cand = cand.join(first, cls).filter(F.col("pick.path") == F.col("_first"))
+        v = v.select(*cls, F.col("method").alias("simple_name"))
+        return v.join(cand, [*cls, "simple_name"]).select("project", "release_id", "pick.path", "pick.method_ord")
+    first_file = m.groupBy(*cls).agg(F.min("path").alias("path"))
+    m = m.join(first_file, [*cls, "path"])
     if match == "signature_line":
         v = v.select("project", "release_id", "class", F.col("method").alias("simple_name"),
                      F.col("beginline").alias("begin_line"))

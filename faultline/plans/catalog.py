@@ -113,7 +113,7 @@ class Inputs:
 
     @property
     def fixing(self) -> DataFrame:
-        return self._get("fixing", lambda: hist_ops.fixing_commits(self.commits_rel, self.final_tickets))
+        return self._get("fixing", lambda: hist_ops.fixing_commits(self.commits_rel, self.final_tickets), store=True)
 
     @property
     def fix_files(self) -> DataFrame:
@@ -163,7 +163,7 @@ class Inputs:
 
     @property
     def touched(self) -> DataFrame:
-        return self._get("touched", lambda: hist_ops.touched(self.file_changes, self.commits_rel))
+        return self._get("touched", lambda: hist_ops.touched(self.file_changes, self.commits_rel), store=True)
 
 
 def q_release_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
