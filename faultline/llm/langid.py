@@ -305,7 +305,8 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
                      f"`{id_col}` {kind}, held_out boolean, lang_pred string, score double")
 
 
-MIN_SCORE = 0.4
+#: Only texts in which no language stands out are rejected; code-switched ones stay.
+MIN_SCORE = 0.3
 
 
 def keep_identified(docs: DataFrame, model: Model | None, text_col: str = "text", min_score: float = MIN_SCORE) -> DataFrame:
