@@ -22,6 +22,7 @@ HEADLINE = [
     "release_activity", "ticket_versions", "injected_versions", "fix_commits", "labelled_snapshots",
     "file_churn", "line_churn", "nesting_depth", "smell_counts", "method_dataset", "spearman_ranking",
     "info_gain_fixed_bins", "folds", "fold_metrics", "gaussian_nb_scores", "knn_scores", "whatif_summary",
+    "info_gain_mdl", "smote_balance", "cv_by_project",
 ]
 
 

@@ -69,6 +69,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
 
 
+#: Called with (name, DataFrame) for every stage that is stored (plan reports).
+on_store = None
+
+
 def materialize(df, name: str, run: str | None = None):
     """Write ``df`` as a Parquet table under the shared checkpoint folder and
     read it back: lineage is cut, the data survives executor loss, and the
@@ -78,6 +82,8 @@ def materialize(df, name: str, run: str | None = None):
     root = ensure_checkpoint_dir(spark).rstrip("/")
     folder = f"{root}/tables/{run or uuid.uuid4().hex}"
     path = f"{folder}/{name}"
+    if on_store is not None:
+        on_store(name, df)
     df.write.mode("overwrite").parquet(path)
     _remove_at_exit(spark, folder)
     return spark.read.parquet(path)
