@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # A word is a run of characters other than the six ASCII white-space characters.
@@ -21,6 +21,19 @@ def row_key(df: DataFrame, first: list[str]) -> Column:
     return F.struct(*[F.col(f"`{c}`") for c in first], F.xxhash64(*rest).alias("_tie"))
 
 
+#: Rows in an Arrow batch of whole texts; Spark's default of 10,000 holds too many long ones.
+BATCH_ROWS = 500
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batch size to ``BATCH_ROWS``, so that a Python
+    worker holds a few hundred texts at a time."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    if now <= 0 or now > BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+
+
 def map_texts(df: DataFrame, columns: list[Column], fn, schema: str) -> DataFrame:
     """Apply ``fn(values) -> columns`` to Arrow batches of ``columns``: one list
     per input column in, one list per column of ``schema`` out.  Rows stay in
@@ -30,6 +43,7 @@ def map_texts(df: DataFrame, columns: list[Column], fn, schema: str) -> DataFram
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
+    small_batches(df.sparkSession)
     arrow = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches):

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, text_or_empty
+from .common import map_texts, small_batches, text_or_empty
 
 WORDS = re.compile(r"[^\W\d_]+")
 TRAIN_DOCS = 250
@@ -322,4 +322,5 @@ def keep_identified(docs: DataFrame, model: Model | None, text_col: str = "text"
             state.append(Labeller(model))
         return pd.Series([c != UNKNOWN and s >= min_score for c, s in state[0].documents(list(texts))], dtype=bool)
 
+    small_batches(docs.sparkSession)
     return docs.filter(F.pandas_udf(identified, "boolean")(text_or_empty(text_col)))
