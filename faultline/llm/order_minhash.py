@@ -3,19 +3,20 @@
 A text becomes word k-mers; equal k-mers are told apart by their occurrence
 number, so repeats count.  Occurrence-numbered k-mers are hashed and split by
 hash into ``BINS`` bins (one permutation instead of one per bin); each bin
-selects its ``TUPLE`` smallest hashes, puts them back into text order and
-hashes that tuple.  Equal bins need the same k-mers *in the same order*, so
+selects its two smallest hashes, puts them back into text order and hashes
+that pair.  Equal bins need the same k-mers *in the same order*, so
 the share of equal bins follows edit distance, not only set overlap.
 
 All steps are array functions inside one row: no explode and no shuffle per
 k-mer.  A k-mer and its place are packed into one long, so sorting brings
 equal k-mers together in text order; the occurrence number of a repeated one
-is its distance from the first of its run, found by doubling and halving
-steps.
+is its distance from the first of its run, found by binary search.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,58 +24,62 @@ from ..session import materialize
 from .common import text_or_empty
 
 K = 3
-TUPLE = 2
 BINS = 64
-#: Longer runs of letters or digits are cut, so that a text without spaces still has k-mers.
-TOKEN = r"[\p{L}\p{N}]{1,12}|[^\p{L}\p{N}\s]+"
+#: Longer words are cut, so that a text without spaces still has k-mers.
+TOKEN = r"[^\x20\x09-\x0D]{1,24}"
+#: Most buckets of consecutive ids; beyond, buckets grow and windows spill.
+MAX_BUCKETS = 1 << 16
 PLACE_BITS = 31
 MASK = (1 << PLACE_BITS) - 1
 
 
-def _place(x: Column) -> Column:
-    return x.bitwiseAND(F.lit(MASK))
-
-
 def _value(x: Column) -> Column:
     return F.shiftright(x, PLACE_BITS)
 
 
 def _packed(value: Column, place: Column) -> Column:
-    return F.shiftleft(value, PLACE_BITS).bitwiseOR(place.cast("long"))
+    """32 bits of value above 31 bits of place."""
+    return F.shiftleft(value.bitwiseAND(F.lit((1 << 32) - 1)), PLACE_BITS).bitwiseOR(place)
 
 
-def _low(h: Column, bits: int) -> Column:
-    return h.bitwiseAND(F.lit((1 << bits) - 1))
+def _floor(x: Column, bits: int) -> Column:
+    """``x`` with its lowest bits cleared: in a sorted array, an earlier element
+    shares the upper bits of ``x`` exactly if it is not below this."""
+    return x.bitwiseAND(F.lit(-1 << bits))
 
 
 def _occurrence(run: Column, x: Column, i: Column) -> Column:
-    """Equal k-mers before place ``i`` of the sorted array ``run``.  Only
-    repeated k-mers get past the first comparison."""
-    same = lambda back: _value(F.get(run, i - back)) == _value(x)
+    """Equal k-mers before place ``i`` of the sorted array ``run``."""
     steps = F.array(*[F.lit(1 << b) for b in range(30, -1, -1)])
-    count = F.aggregate(steps, F.lit(0), lambda n, step: F.when(same(n + step), n + step).otherwise(n))
-    return F.when((i > 0) & same(F.lit(1)), count).otherwise(F.lit(0))
+    same = lambda back: F.get(run, i - back) >= _floor(x, PLACE_BITS)
+    return F.aggregate(steps, F.lit(0), lambda n, step: F.when(same(n + step), n + step).otherwise(n))
 
 
-def with_fingerprint(df: DataFrame, text: str, name: str, k: int = K, bins: int = BINS, width: int = TUPLE) -> DataFrame:
+def with_fingerprint(df: DataFrame, text: str, name: str, k: int = K, bins: int = BINS) -> DataFrame:
     """``df`` with ``name``: sorted array of ints, ``bin << 24 | tuple hash``
     for each bin that got a k-mer.  Empty for a text without words."""
-    bin_bits = (bins - 1).bit_length()
     w, s = f"{name}_w", f"{name}_s"
+    bin_at = PLACE_BITS + 32 - (bins - 1).bit_length()
     df = df.withColumn(w, F.transform(F.regexp_extract_all(F.col(text), F.lit(TOKEN), F.lit(0)), lambda x: F.xxhash64(x)))
     kmer = lambda x, i: F.xxhash64(x, *[F.get(F.col(w), i + j) for j in range(1, k)])
-    df = df.withColumn(s, F.array_sort(F.transform(F.col(w), lambda x, i: _packed(_low(kmer(x, i), 32), i))))
-    # bin and hash of each occurrence-numbered k-mer (32 bits), with its place, in bin order
-    mark = lambda x, i: _packed(_low(F.xxhash64(F.lit(bins), _value(x), _occurrence(F.col(s), x, i)), 32), _place(x))
-    df = df.withColumn(s, F.array_sort(F.transform(F.col(s), mark)))
-    bin_of = lambda x: F.shiftright(x, PLACE_BITS + 32 - bin_bits)
-    alike = lambda i, step, x: F.coalesce(bin_of(F.get(F.col(s), i + step)) == bin_of(x), F.lit(False))
-    df = df.withColumn(s, F.filter(F.col(s), lambda x, i: (i < width) | ~alike(i, -width, x)))
-    first = lambda x, i: (i == 0) | ~alike(i, -1, x)
-    inside = lambda i, x: [F.when(alike(i, j, x), F.get(F.col(s), i + j)) for j in range(1, width)]
-    in_order = lambda x, i: F.array_sort(F.transform(F.array_compact(F.array(x, *inside(i, x))), lambda y: _packed(_place(y), F.lit(0)).bitwiseOR(_low(_value(y), 31))))
-    signature = lambda x, i: F.when(first(x, i), F.shiftleft(bin_of(x), 24).bitwiseOR(_low(F.xxhash64(F.transform(in_order(x, i), _place)), 24)).cast("int"))
-    return df.withColumn(name, F.array_compact(F.transform(F.col(s), signature))).drop(w, s)
+    df = df.withColumn(s, F.sort_array(F.transform(F.col(w), lambda x, i: _packed(kmer(x, i), i))))
+    # A first occurrence keeps its hash; later ones get one of their own, by number.
+    again = lambda x, i: F.get(F.col(s), i - 1) >= _floor(x, PLACE_BITS)
+    numbered = lambda x, i: _packed(F.xxhash64(_value(x), _occurrence(F.col(s), x, i)), x.bitwiseAND(F.lit(MASK)))
+    df = df.withColumn(s, F.sort_array(F.transform(F.col(s), lambda x, i: F.when(again(x, i), numbered(x, i)).otherwise(x))))
+    # The upper bits of a hash are its bin: the least two of each bin stay.
+    below = lambda x, i, back: F.coalesce(F.get(F.col(s), i - back) < _floor(x, bin_at), F.lit(True))
+    df = df.withColumn(s, F.filter(F.col(s), lambda x, i: below(x, i, 2)))
+
+    def signature(x: Column, i: Column) -> Column:
+        y = F.get(F.col(s), i + 1)
+        later = x.bitwiseAND(F.lit(MASK)) < y.bitwiseAND(F.lit(MASK))
+        pair = F.when(later, F.xxhash64(_value(x), _value(y))).otherwise(F.xxhash64(_value(y), _value(x)))
+        one = F.when(x.bitwiseXOR(y) < F.lit(1 << bin_at), pair).otherwise(F.xxhash64(_value(x)))
+        return F.shiftleft(F.shiftright(x, bin_at), 24).bitwiseOR(one.bitwiseAND(F.lit((1 << 24) - 1))).cast("int")
+
+    tuples = F.transform(F.col(s), lambda x, i: F.when(below(x, i, 1), signature(x, i)))
+    return df.withColumn(name, F.array_compact(tuples)).drop(w, s)
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -94,10 +99,10 @@ def _bucket_of(order: Column, bounds: list[int]) -> Column:
     if not bounds:
         return F.lit(0)
     step = max(1, int(len(bounds) ** 0.5))
+    longs = lambda x: F.from_json(F.lit(json.dumps(x)), "array<bigint>")  # noqa: E731  one literal, folded once
     below = lambda part: F.size(F.filter(part, lambda b: (order < b) | order.isNull()))
-    coarse = below(F.array(*[F.lit(b) for b in bounds[step - 1::step]]))
-    fine = below(F.slice(F.array(*[F.lit(b) for b in bounds]), coarse * step + 1, F.lit(step)))
-    return coarse * step + fine
+    coarse = below(longs(bounds[step - 1::step]))
+    return coarse * step + below(F.slice(longs(bounds), coarse * step + 1, F.lit(step)))
 
 
 def with_next(df: DataFrame, id_col: str, carried: list[str], buckets: int) -> DataFrame:
@@ -105,26 +110,25 @@ def with_next(df: DataFrame, id_col: str, carried: list[str], buckets: int) -> D
     row by descending id (nulls last; ties by a hash of ``carried``), after the
     last row the first.
 
-    Rows are dealt into buckets of consecutive ids, so one shuffle brings
-    neighbours together and no window spans the table; the first row of each
-    bucket is also sent to the bucket before it.
+    Rows are dealt into buckets of consecutive ids (bounds from approximate
+    quantiles, at most ``MAX_BUCKETS`` of them on the driver), so one shuffle
+    brings neighbours together and no window spans the table; the first row
+    of each bucket is also sent to the bucket before it.
     """
+    buckets = min(buckets, MAX_BUCKETS)
+    number = F.col(f"`{id_col}`").cast("long")
     points = [i / buckets for i in range(buckets - 1, 0, -1)]
-    ids = df.select(F.col(f"`{id_col}`").cast("long").alias("id"))
-    found = ids.agg(F.percentile_approx("id", points, 10_000)).first()[0] if points else None
-    bounds = sorted(set(found or []), reverse=True)
-    x = df.withColumn("_b", _bucket_of(F.col(f"`{id_col}`").cast("long"), bounds)).withColumn("_tie", F.xxhash64(*carried))
-    order = F.struct(F.col(f"`{id_col}`").cast("long").alias("i"), "_tie")
-    # one row per bucket at most, in the number of buckets
-    heads = materialize(x.groupBy("_b").agg(F.max(order).alias("_head")), "bucket_heads")
-    names = sorted(r[0] for r in heads.select("_b").collect())
-    first = (x.join(F.broadcast(heads.withColumnRenamed("_b", "_hb")), (F.col("_b") == F.col("_hb")) & order.eqNullSafe(F.col("_head")))
-             .dropDuplicates(["_b"]).drop("_hb", "_head"))
-    if names:
-        before = F.create_map(*[F.lit(v) for i, b in enumerate(names) for v in (b, names[i - 1])])
-        first = first.withColumn("_b", before[F.col("_b")])
+    found = df.agg(F.percentile_approx(number, points, max(10_000, 4 * buckets))).first()[0] if points else None
+    x = df.withColumn("_b", _bucket_of(number, sorted(set(found or []), reverse=True))).withColumn("_tie", F.xxhash64(*carried))
+    order = F.struct(number.alias("i"), "_tie")
+    heads = materialize(x.groupBy("_b").agg(F.max(order).alias("_head")), "bucket_heads")  # one row per bucket
+    around = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    heads = heads.select(F.col("_b").alias("_hb"), "_head", F.coalesce(
+        F.lag("_b").over(Window.orderBy("_b")), F.max("_b").over(around)).alias("_before"))
+    first = x.join(F.broadcast(heads), (F.col("_b") == F.col("_hb")) & order.eqNullSafe(F.col("_head")))
+    first = first.dropDuplicates(["_hb"]).withColumn("_b", F.col("_before")).drop("_hb", "_head", "_before")
     both = x.withColumn("_copy", F.lit(0)).unionByName(first.withColumn("_copy", F.lit(1)))
-    w = Window.partitionBy("_b").orderBy(F.col("_copy"), F.col(f"`{id_col}`").desc_nulls_last(), F.col("_tie").desc())
+    w = Window.partitionBy("_b").orderBy(F.col("_copy"), number.desc_nulls_last(), F.col("_tie").desc())
     return (both.select("*", *[F.lead(c).over(w).alias(f"next_{c}") for c in carried])
             .filter("_copy = 0").drop("_copy", "_b", "_tie"))
 

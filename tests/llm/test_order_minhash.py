@@ -36,19 +36,6 @@ def test_last_is_followed_by_the_first(spark):
     assert len(one) == 1 and one[0].near_next == 1.0
 
 
-def brute_bins(text, k=om.K, bins=om.BINS, width=om.TUPLE):
-    """Bins by occurrence-numbered k-mers, as sets of (k-mer, occurrence, place)."""
-    import re
-
-    w = re.findall(r"[^\W_]{1,12}|[^\w\s]+", text)
-    seen, out = Counter(), []
-    for i in range(len(w)):
-        g = tuple(w[i:i + k])
-        out.append((g, seen[g], i))
-        seen[g] += 1
-    return out
-
-
 def test_occurrence_numbers(spark):
     import random
 
