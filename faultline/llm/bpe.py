@@ -28,7 +28,9 @@ WINDOW = 16
 CUT_BITS = 9  # a cut every 512 bytes on average
 SHORTEST, LONGEST = 64, 8192
 CHUNKS_KEPT = 30_000
-WORDS_KEPT = 300_000
+WORDS_KEPT = 150_000  # of each of two generations
+#: A word of one token between unknown words that are encoded together, and how many.
+MARK, LINE = "\x01", 256
 PART_CHARS = 4_000_000  # text encoded at once
 #: White space at which the tokenizer surely splits.
 SPACES = bytes.maketrans(b"\t\n\r", b"   ")
@@ -65,6 +67,13 @@ def cuts(data: bytes) -> list[int]:
     return out
 
 
+def joined(parts: list[Encoded]) -> Encoded:
+    counts, ids, plain = zip(*parts) if parts else ((), (), ())
+    if 0 in counts:
+        return joined([e for e in parts if e[0]])
+    return sum(counts), " ".join(ids), " ".join(plain)
+
+
 class Encoder:
     """Encodes byte texts with a tokenizer file; see the module text."""
 
@@ -76,24 +85,39 @@ class Encoder:
         self.tokenizer.no_padding()
         self.chunks: dict[bytes, tuple[bytes, bytes | None, Encoded]] = {}
         self.known: dict[bytes, Encoded] = {}
+        self.before: dict[bytes, Encoded] = {}  # the generation before; what is met again moves on
+        mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
+        self.mark = mark[0] if len(mark) == 1 else None
 
     def learn(self, words: list[bytes]) -> None:
-        """Encode and decode words that are not known yet, in one batch."""
-        new = [w for w in dict.fromkeys(words) if w not in self.known]
-        found = self.tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False)
-        ids = [e.ids for e in found]
+        """Encode and decode words that are not known yet.
+
+        They are laid into lines with a mark between them: the tokenizer splits
+        at white space, so each word gets the ids it has alone.  Words that
+        hold the mark are encoded alone."""
+        new = set(words).difference(self.known)
+        if self.before:
+            again = new.intersection(self.before)
+            self.known.update((w, self.before[w]) for w in again)
+            new -= again
+        alone = [w for w in new if self.mark is None or MARK.encode() in w]
+        new = list(new.difference(alone))
+        ids = [e.ids for e in self.tokenizer.encode_batch([w.decode() for w in alone], add_special_tokens=False)]
+        for i in range(0, len(new), LINE):
+            found = self.tokenizer.encode(f" {MARK} ".join([w.decode() for w in new[i:i + LINE]]), add_special_tokens=False).ids
+            ends = [k for k, x in enumerate(found) if x == self.mark]
+            ids += [found[a:b] for a, b in zip([0, *[k + 1 for k in ends]], [*ends, len(found)], strict=True)]
         plain = self.tokenizer.decode_batch(ids, skip_special_tokens=False)
-        self.known.update((w, (len(i), " ".join(map(str, i)), p)) for w, i, p in zip(new, ids, plain, strict=True))
+        self.known.update((w, (len(i), " ".join(map(str, i)), p)) for w, i, p in zip(alone + new, ids, plain, strict=True))
 
     def together(self, words: list[bytes]) -> Encoded:
-        parts = [e for e in map(self.known.__getitem__, words) if e[0]]
-        return sum(e[0] for e in parts), " ".join([e[1] for e in parts]), " ".join([e[2] for e in parts])
+        return joined([self.known[w] for w in words])
 
     def encode(self, texts: list[bytes]) -> list[Encoded]:
         if len(self.chunks) > CHUNKS_KEPT:
             self.chunks = {}
         if len(self.known) > WORDS_KEPT:
-            self.known = {}
+            self.before, self.known = self.known, {}
         split = []
         fresh: dict[bytes, list[bytes]] = {}
         for data in texts:
@@ -123,9 +147,7 @@ class Encoder:
         self.learn([w for w in joins if w])
         out = []
         for plan in plans:
-            parts = [self.known[x] if isinstance(x, bytes) else x for x in plan if x != b""]
-            parts = [e for e in parts if e[0]]
-            out.append((sum(e[0] for e in parts), " ".join([e[1] for e in parts]), " ".join([e[2] for e in parts])))
+            out.append(joined([self.known[x] if isinstance(x, bytes) else x for x in plan if x != b""]))
         return out
 
 
