@@ -2,7 +2,7 @@
 
 Texts are cut where a rolling hash of the last ``WINDOW`` bytes has a fixed
 pattern, so shared passages fall into the same chunks whatever stands before
-them.  A task encodes a chunk the first time it meets it and keeps the result
+them.  A worker encodes a chunk the first time it meets it and keeps the result
 in a bounded store; later documents with that chunk reuse it.  A cut may fall
 inside a word, so a chunk's first and last pieces are left open, and each join
 is repaired by re-encoding: the span grows over the following chunks until it
@@ -28,7 +28,7 @@ WINDOW = 16
 CUT_BITS = 9  # a cut every 512 bytes on average
 SHORTEST, LONGEST = 64, 8192
 CHUNKS_KEPT = 30_000
-WORDS_KEPT = 150_000  # of each of two generations
+WORDS_KEPT = 400_000  # of each of two generations
 #: A word of one token between unknown words that are encoded together, and how many.
 MARK, LINE = "\x01", 256
 PART_CHARS = 4_000_000  # text encoded at once
@@ -151,6 +151,16 @@ class Encoder:
         return out
 
 
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder_for(path: str) -> Encoder:
+    """The worker's encoder: its stores outlive a task and serve the worker's next ones."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
+
+
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", digests: bool = False) -> DataFrame:
     """(id, n_tokens, ids, decoded), one row per row of ``docs``; with
     ``digests`` instead of ids and decoded text their SHA-256 (ids in decimal,
@@ -158,11 +168,8 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     Null texts count as empty: no ids, empty decoded text.  Repeated rows
     repeat their result; an empty table gives no rows; other columns are
     ignored; texts are read whole."""
-    state: list[Encoder] = []
-
     def work(ids, texts):
-        if not state:
-            state.append(Encoder(path))
+        encoder = encoder_for(path)
         out: list[list] = [[], [], []]
         part: list[bytes] = []
         size = 0
@@ -170,7 +177,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
             part.append(t.encode())
             size += len(t)
             if size >= PART_CHARS or i == len(texts) - 1:
-                for n, tokens, plain in state[0].encode(part):
+                for n, tokens, plain in encoder.encode(part):
                     out[0].append(n)
                     if digests:
                         out[1].append(hashlib.sha256(tokens.encode()).hexdigest())
