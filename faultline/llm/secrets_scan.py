@@ -4,7 +4,8 @@ A subword vocabulary packs ordinary writing into few tokens (four characters a
 token and more) but splits random strings into pieces of one or two
 characters.  Long unbroken strings whose characters-per-token ratio is low are
 reported, after excluding what is random by nature but no secret: digests of
-the usual lengths, UUIDs, numbers, and identifiers made of words.
+the usual lengths, UUIDs, numbers, and identifiers whose words are themselves
+packed into few tokens.
 """
 
 from __future__ import annotations
@@ -26,7 +27,8 @@ HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}+")
 #: Below so many characters a token a string counts as random.
 RATIO = 2.4
 SHORTEST = 20
-LONG = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{%d,}+={0,2}(?![A-Za-z0-9+/_=-])" % SHORTEST)
+#: A string may stand after "="; at its end "=" is padding only if nothing follows.
+LONG = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{%d,}+(?:={1,2}(?![A-Za-z0-9+/_=-]))?" % SHORTEST)
 # Hex digits of MD5, SHA-1, SHA-224, SHA-256, SHA-384 and SHA-512.
 DIGEST_LENGTHS = (32, 40, 56, 64, 96, 128)
 UUID = re.compile(r"[0-9A-Fa-f]{8}-(?:[0-9A-Fa-f]{4}-){3}[0-9A-Fa-f]{12}")
@@ -43,22 +45,24 @@ def find_plain(text: str) -> list[Span]:
     return found
 
 
-def excluded(s: str) -> bool:
-    """Digests, UUIDs, and strings of one kind of character or of words only."""
+def excluded(s: str, tokens_of, ratio: float = RATIO) -> bool:
+    """Digests, UUIDs, strings without letters, and identifiers of token-efficient words."""
     if ALL_HEX.fullmatch(s) and len(s) in DIGEST_LENGTHS or UUID.fullmatch(s):
         return True
-    kinds = any("a" <= c <= "z" for c in s), any("A" <= c <= "Z" for c in s), any("0" <= c <= "9" for c in s)
-    if sum(kinds) < 2:
+    words = re.findall(r"[A-Z]?[a-z]+|[A-Z]+", s)
+    if not words:
         return True
-    pieces = re.findall(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+", s)
-    return bool(IDENTIFIER.fullmatch(s)) and len(s) / len(pieces) >= 4
+    pieces = len(words) + len(re.findall(r"[0-9]+", s))
+    if not IDENTIFIER.fullmatch(s) or len(s) / pieces < 4:
+        return False
+    return sum(map(len, words)) >= ratio * sum(len(tokens_of(w.lower())) for w in words)
 
 
 def find_random(text: str, tokens_of, ratio: float = RATIO) -> list[Span]:
     found = []
     for m in LONG.finditer(text):
         s = m.group()
-        if not excluded(s) and len(s) < ratio * len(tokens_of(s)):
+        if len(s) < ratio * len(tokens_of(s)) and not excluded(s, tokens_of, ratio):
             found.append(("random", *m.span()))
     return found
 

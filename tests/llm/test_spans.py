@@ -96,6 +96,19 @@ def test_random_strings():
         assert secrets_scan.find_random(f"see {s} here", tokens) == []
 
 
+@pytest.mark.parametrize("text,secret", [
+    ("AWS_SECRET_ACCESS_KEY=wJalrXUtnFEMI/K7MDENG/bPxRfiCYzq", "wJalrXUtnFEMI/K7MDENG/bPxRfiCYzq"),
+    ("GITHUB_PAT=ghp_aB3dE5fG7hI9jK1lM3nO5pQ7rS9tU1vW3x", "ghp_aB3dE5fG7hI9jK1lM3nO5pQ7rS9tU1vW3x"),
+    ("https://h.example/x?a=1&sig=xoxb9Kd83jsLq0ZpVn2RtYw7Lm4&b=2", "xoxb9Kd83jsLq0ZpVn2RtYw7Lm4"),
+    ("auth=eyJhbGciOiJIUzI1NiIsInR5cCI6IkpXVCJ9==", "eyJhbGciOiJIUzI1NiIsInR5cCI6IkpXVCJ9=="),
+    ("see qzjxkwvpbnmtrgfhdlcsyoqxjwkzvbpm here", "qzjxkwvpbnmtrgfhdlcsyoqxjwkzvbpm"),
+    ("see qzjxkwvpbnmtrgfhdlcsyoqxjwkz42 here", "qzjxkwvpbnmtrgfhdlcsyoqxjwkz42"),
+])
+def test_random_strings_after_an_equals_sign_or_of_one_letter_case(text, secret):
+    tokens = secrets_scan.tokenizer(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    assert [text[a:b] for _, a, b in secrets_scan.find_random(text, tokens)] == [secret]
+
+
 def test_jobs_over_awkward_rows(awkward, nothing):
     voc = public_tokenizers.path("byte_bpe_50k.tiktoken")
     for job, plain in ((pii.find_pii, plain_pii), (lambda d: secrets_scan.find_secrets(d, voc), plain_secrets)):
