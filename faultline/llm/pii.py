@@ -152,6 +152,10 @@ class SpelledDigits:
     digits, ``plus`` before them ``+``, ``dot`` between them a point; the gaps
     between single digits close.  Words of one language at a time."""
 
+    #: A digit word and what may follow it in a run: every run starts so.
+    GATE = re.compile(r"(?<!\w)(?:" + "|".join(sorted({w for words in DIGIT_WORDS.values() for w in words.split()}, key=len, reverse=True))
+                      + rf")[ -]+(?:[0-9]|(?:{'|'.join([POINT, *DIGIT_WORDS.values()]).replace(' ', '|')})(?!\w))", re.I)
+
     def __init__(self):
         self.runs = []
         for words in DIGIT_WORDS.values():
@@ -163,6 +167,8 @@ class SpelledDigits:
 
     def edits(self, text: str) -> list[tuple[int, int, str]]:
         found: list[tuple[int, int, str]] = []
+        if not self.GATE.search(text):
+            return found
         for run, part, value in self.runs:
             for m in run.finditer(text):
                 parts = list(part.finditer(m.group()))
@@ -186,8 +192,12 @@ class AtDot:
     MARK = re.compile(rf"\s?[\[({{<]\s?(?:(@|{AT})|(\.|{POINT}))\s?[\])}}>]\s?", re.I)
     BARE = re.compile(rf"(?<![\w.+-])(?:[\w%+-]{{1,64}}\s(?:{POINT})\s)?[\w.%+-]{{1,64}}(?P<at>\s(?:{AT})\s|\s?@\s?)[A-Za-z0-9-]{{1,63}}(?:(?:\s(?:{POINT})\s|\.)[A-Za-z0-9-]{{1,63}})*(?:\s(?:{POINT})\s)(?:{SUFFIXES})(?!\w)", re.I)
     DOT = re.compile(rf"\s(?:{POINT})\s", re.I)
+    #: Bare hosts need a spelled dot, marks a bracket.
+    GATE = re.compile(rf"(?<!\w)(?:{POINT})(?!\w)|[\[({{<]\s?(?:@|\.|{AT})\s?[\])}}>]", re.I)
 
     def edits(self, text: str) -> list[tuple[int, int, str]]:
+        if not self.GATE.search(text):
+            return []
         found = [(*m.span(), "@" if m.group(1) else ".") for m in self.MARK.finditer(text)]
         for m in self.BARE.finditer(text):
             found.append((*m.span("at"), "@"))
@@ -203,15 +213,11 @@ def transducers() -> list:
     return [Lookalikes(), SpelledDigits(), AtDot()]
 
 
-#: A cheap test that spelled digits or disguises may occur at all.
-MAYBE = re.compile(r"(?<!\w)(?:" + "|".join([AT, POINT, *[w for words in DIGIT_WORDS.values() for w in words.split()[2:5]]]) + r")(?!\w)|[\[({<]\s?[@.]\s?[\])}>]", re.I)
-
-
 def find_disguised(text: str, chain: list) -> list[Span]:
     """Hits that only show after rewriting, as spans of ``text``."""
     steps, now = [], text
     for t in chain:
-        if (isinstance(t, Lookalikes) or MAYBE.search(now)) and (edits := t.edits(now)):
+        if edits := t.edits(now):
             steps.append(Rewritten(now, edits))
             now = steps[-1].text
     found = []

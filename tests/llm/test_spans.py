@@ -69,6 +69,21 @@ def test_ordinary_prose_has_no_disguise(text):
     assert pii.find(text, pii.transducers()) == ([], [])
 
 
+@pytest.mark.parametrize("text", [
+    "call plus one eight zero zero five five five zero one nine nine",
+    "ruf plus eins acht null null fünf fünf fünf null eins neun neun",
+    "appelez plus un huit zéro zéro cinq cinq cinq zéro un neuf neuf",
+    "llame más uno ocho cero cero cinco cinco cinco cero uno nueve nueve",
+])
+def test_spelled_numbers_of_any_digits(text):
+    chain = pii.transducers()
+    assert pii.find(text, chain) == ([], [("phone", text.index(" ") + 1, len(text))])
+    for words in pii.DIGIT_WORDS.values():
+        for w in words.split():
+            alone = "plus " + " ".join([w] * 11)
+            assert pii.find(alone, chain)[1] == [("phone", 0, len(alone))], alone
+
+
 def test_rewriting_keeps_offsets():
     r = random.Random(1)
     for _ in range(300):
