@@ -3,9 +3,10 @@
 Each page becomes a tree of its block elements, in which siblings of one label
 (tag and class) are one list node.  The commonest tree of a host is its
 reference; every page of the host is aligned with it by simple tree matching,
-and the values seen at each aligned node are counted over all pages.  Nodes
-whose values recur (constant, or rotating among few) are template; varying
-slots are content.  The wrapper of a host - its reference tree and the
+and the values seen at each aligned node are counted over all distinct pages
+(copies of a page are no evidence).  Nodes whose values recur on pages that
+otherwise differ (constant, or rotating between two) are template; varying
+slots are content, on a host of any size.  The wrapper of a host - its reference tree and the
 template nodes - then extracts all its pages.  Elements that HTML itself, or
 their class, names as menus, adverts, forms and so on are never content.
 
@@ -27,10 +28,11 @@ from ..session import materialize
 from .common import map_texts, text_or_empty
 from .urls import host_of
 
-#: A node is template if it was seen on so many pages of the host, with at most
-#: this share of distinct values.
+#: A node is template if it was seen on so many distinct pages of the host, and
+#: two of them have the same value at it with at least this chance.  Unlike the
+#: number of values per page, that chance does not change with a host's size.
 MIN_PAGES = 5
-DISTINCT_SHARE = 0.2
+AGREE_SHARE = 1 / 3
 #: Elements outside an article whose text is mostly links are menus.
 LINK_SHARE = 0.5
 #: An article or main element counts as the whole content if it has this share of what is left.
@@ -237,6 +239,10 @@ def induce(pages: DataFrame, url: Column, html: Column) -> DataFrame:
 
     seen = map_texts(pages, [host_of(url), html], trees, "host string, skeleton string, nodes array<int>, slots array<long>")
     seen = materialize(seen, "page_trees")
+    # Pages of a host with the same values are copies: one of them counts.
+    tree = F.struct("skeleton", "nodes", "slots")
+    seen = seen.groupBy("host", F.xxhash64(F.sort_array("slots")).alias("page")).agg(F.min(tree).alias("tree"))
+    seen = materialize(seen.select("host", "tree.*"), "distinct_pages")
     common = seen.groupBy("host", "skeleton").agg(F.count(F.lit(1)).alias("n"))
     reference = materialize(common.groupBy("host").agg(F.max_by("skeleton", F.struct("n", "skeleton")).alias("reference")), "references")
 
@@ -254,8 +260,9 @@ def induce(pages: DataFrame, url: Column, html: Column) -> DataFrame:
     met = seen.join(broadcast_if_small(reference), "host")
     slots = map_texts(met, [F.col(c) for c in ("host", "skeleton", "reference", "nodes", "slots")], places, "host string, node int, value long")
     counted = slots.groupBy("host", "node", "value").agg(F.count(F.lit(1)).alias("n"))
-    nodes = counted.groupBy("host", "node").agg(F.sum("n").alias("pages"), F.count(F.lit(1)).alias("distinct"))
-    fixed = nodes.filter((F.col("pages") >= MIN_PAGES) & (F.col("distinct") <= DISTINCT_SHARE * F.col("pages")))
+    n = F.col("n").cast("double")
+    nodes = counted.groupBy("host", "node").agg(F.sum(n).alias("pages"), F.sum(n * (n - 1)).alias("agreeing"))
+    fixed = nodes.filter((F.col("pages") >= MIN_PAGES) & (F.col("agreeing") >= AGREE_SHARE * F.col("pages") * (F.col("pages") - 1)))
     fixed = fixed.groupBy("host").agg(F.sort_array(F.collect_set("node")).alias("template"))  # at most the nodes of one tree
     return materialize(reference.join(fixed, "host", "left"), "wrappers")
 

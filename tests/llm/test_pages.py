@@ -37,6 +37,23 @@ def test_constant_and_rotating_nodes_are_template(spark):
     assert "Welcome to our site" in got[99].text and "Your mail" not in got[99].text  # one page: elements alone decide
 
 
+def test_copies_of_a_page_are_no_evidence(spark):
+    rows = [(i, f"http://copies.example/p?utm_source={i}", page(1), "h", "t", 1) for i in range(6)]
+    rows += [(100 + i, "http://mixed.example/p", page(max(i, 300)), "h", "t", 1) for i in range(320)]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, SCHEMA)).collect()}
+    for i in range(6):
+        assert got[i].count("para 1 ") == 3 and "Head 1" in got[i]
+    for i in (100, 399, 400, 419):
+        assert got[i].split("\n")[0] == f"Head {max(i - 100, 300)}" and got[i].count("para ") == 3
+
+
+def test_bounded_slots_are_content_on_hosts_of_any_size(spark):
+    for n in (30, 300):
+        rows = [(i, "http://site.example/p", page(i, extra=f"<div class='by'><p>By author {i % 10}</p></div>"), "h", "t", 1) for i in range(n)]
+        for r in html_text.extract(spark.createDataFrame(rows, SCHEMA)).collect():
+            assert r.text.split("\n")[0] == f"By author {r.page_id % 10}" and "Welcome" not in r.text and "Slogan" not in r.text
+
+
 def test_elements_beside_the_article():
     keep = "<article><header><h1>T</h1></header><p>one &lt;b&gt; two</p><p>three</p>{}</article>"
     beside = ["<aside>x</aside>", "<div class='share-links'>x</div>", "<section id=comments><p>x</p></section>", "<div class='cookie-notice'>x</div>",
