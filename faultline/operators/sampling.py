@@ -70,11 +70,12 @@ def smote(df: DataFrame, features: list[str], label: str = "buggy", id_col: str
     ``floor(n_min · percent / 100)`` synthetic rows are made; each picks one
     minority row (round-robin over an md5 order, so every row is used before
     any is used twice), one of its k nearest minority neighbours (exact,
-    min-max scaled Euclidean, via :func:`faultline.operators.models.knn`) and a
+    min-max scaled Euclidean, via :func:`faultline.operators.models.knn_exact`,
+    which searches by cells beyond ``max_train`` rows) and a
     gap in [0, 1) from md5.  Returns original rows ∪ synthetic rows with a
     ``synthetic`` flag; ids of synthetic rows are ``<id>~s<j>``.
     """
-    from .models import MAX_TRAIN, knn, minmax_scale
+    from .models import MAX_TRAIN, knn_exact, minmax_scale
 
     plain = df.select(id_col, *features, label).withColumn("synthetic", F.lit(False))
     if minority is None:
@@ -89,7 +90,7 @@ def smote(df: DataFrame, features: list[str], label: str = "buggy", id_col: str
     if n_syn == 0 or n_min < 2:
         return plain
     scaled, _ = minmax_scale(mino, features)
-    nn = knn(scaled, scaled, features, id_col, k=k, exclude_self=True, max_train=max_train or MAX_TRAIN, seed=seed)
+    nn = knn_exact(scaled, scaled, features, id_col, k=k, exclude_self=True, whole=max_train or MAX_TRAIN)
     order = row_positions(mino.select(id_col).withColumn("_h", seeded_hash(id_col, seed=seed))
                           .withColumn("_g", F.lit(0)), ["_g"], ["_h", id_col]).select(id_col, "_pos")
     # Synthetic j (0-based) uses the row at position (j mod n_min) + 1.

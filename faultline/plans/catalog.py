@@ -436,7 +436,7 @@ def q_knn_scores(spark, sf_dir):
     emb = Tables(spark, sf_dir).embeddings.select("vec_id", F.col("embedding").cast("array<double>").alias("v"),
                                                   "label")
     scaled = ml_ops.minmax_scale_vector(emb, "v")
-    nn = ml_ops.knn(scaled, scaled, "v", "vec_id", k=5, exclude_self=True)
+    nn = ml_ops.knn_exact(scaled, scaled, "v", "vec_id", k=5, exclude_self=True)
     vote = ml_ops.knn_vote(nn, emb, "vec_id", "label")
     return vote.select(F.col("query_id").cast("bigint").alias("vec_id"), "pred_label",
                        F.round("score", 6).alias("score"))

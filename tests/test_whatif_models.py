@@ -98,6 +98,28 @@ def test_smote_rows_equal_brute_force(spark, data):
     assert got == want and len(want) > 5
 
 
+def test_neighbours_are_exact_beyond_the_rows_that_are_sent(spark):
+    rnd = random.Random(3)
+    pts = [(f"p{i:03}", rnd.choice([rnd.random(), rnd.randrange(4) / 4]), rnd.choice([rnd.random() ** 4, 0.5])) for i in range(300)]
+    pts += [(f"q{i:03}", 0.25, 0.5) for i in range(40)]
+    df = spark.createDataFrame(pts, "id string, x double, y double")
+    want = {}
+    for p, x, y in pts:
+        d = sorted((((x - a) ** 2 + (y - b) ** 2) ** 0.5, q) for q, a, b in pts if q != p)
+        want[p] = [q for _, q in d[:4]]
+    got = {}
+    for r in models.knn_exact(df, df, ["x", "y"], "id", k=4, exclude_self=True, whole=50, cell_rows=12).collect():
+        got.setdefault(r["query_id"], {})[r["nn_rank"]] = r["neighbor_id"]
+    assert {p: [n[i] for i in sorted(n)] for p, n in got.items()} == want
+
+
+def test_smote_rows_do_not_hang_on_the_rows_that_are_sent(spark, data):
+    d = data.fillna(0.0)
+    made = [sorted(map(tuple, sampling.smote(d, ["nest", "loc"], "buggy", "id", percent=65, k=3, max_train=n).filter("synthetic").collect()))
+            for n in (None, 8)]
+    assert made[0] == made[1] and len(made[0]) > 5
+
+
 def test_smote_returns_the_same_columns_on_every_path(spark):
     df = spark.createDataFrame([("a", 1.0, 9, 0), ("b", 2.0, 9, 0), ("c", 3.0, 9, 1)], "id string, x double, extra int, buggy int")
     for percent in (0.0, 65.0):
