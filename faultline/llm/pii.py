@@ -150,11 +150,15 @@ class Lookalikes:
 class SpelledDigits:
     """Runs of three or more digits with digit words among them: words become
     digits, ``plus`` before them ``+``, ``dot`` between them a point; the gaps
-    between single digits close.  Words of one language at a time."""
+    between them (white space, hyphens, commas) close.  Words of one language
+    at a time.  Where a part between commas or line ends is an identifier by
+    itself, the parts of a run are rewritten one by one."""
+
+    BREAK = re.compile(r"[^,\r\n]+")
 
     #: A digit word and what may follow it in a run: every run starts so.
     GATE = re.compile(r"(?<!\w)(?:" + "|".join(sorted({w for words in DIGIT_WORDS.values() for w in words.split()}, key=len, reverse=True))
-                      + rf")[ -]+(?:[0-9]|(?:{'|'.join([POINT, *DIGIT_WORDS.values()]).replace(' ', '|')})(?!\w))", re.I)
+                      + rf")[\s,-]++(?:[0-9]|(?:{'|'.join([POINT, *DIGIT_WORDS.values()]).replace(' ', '|')})(?!\w))", re.I)
 
     def __init__(self):
         self.runs = []
@@ -162,7 +166,7 @@ class SpelledDigits:
             names = words.split()
             value = {w: str(i) for i, w in enumerate(names)}
             word = "|".join(sorted(names, key=len, reverse=True))
-            run = rf"(?<!\w)(?:(?:{PLUS})[ -]+|\+ ?)?(?:{word})(?:[ -]+(?:{word}|{POINT}|[0-9]+))+(?!\w)"
+            run = rf"(?<!\w)(?:(?:{PLUS})[\s,-]++|\+\s*+)?(?:{word})(?:[\s,-]++(?:{word}|{POINT}|[0-9]+))+(?!\w)"
             self.runs.append((re.compile(run, re.I), re.compile(rf"({word})|({POINT})|({PLUS}|\+)|[0-9]+", re.I), value))
 
     def edits(self, text: str) -> list[tuple[int, int, str]]:
@@ -170,36 +174,62 @@ class SpelledDigits:
         if not self.GATE.search(text):
             return found
         for run, part, value in self.runs:
+            def rewritten(a, b):
+                parts = list(part.finditer(text, a, b))
+                new = "".join(value[p.group(1).lower()] if p.group(1) else "." if p.group(2) else "+" if p.group(3) else p.group() for p in parts)
+                return a, b, new, sum(bool(p.group(1)) for p in parts)
+
             for m in run.finditer(text):
-                parts = list(part.finditer(m.group()))
-                if sum(bool(p.group(1)) for p in parts) < 3:
+                pieces = [rewritten(*m.span())]
+                if pieces[0][3] < 3:
                     continue
-                new = "".join(value[p.group(1).lower()] if p.group(1) else "." if p.group(2) else "+" if p.group(3) else p.group() for p in parts)
+                alone = [rewritten(*p.span()) for p in self.BREAK.finditer(text, *m.span())]
+                if len(alone) > 1 and any(n >= 3 and find_plain(new) for _, _, new, n in alone):
+                    pieces = [p for p in alone if p[3] >= 3]
                 if not any(a < m.end() and m.start() < b for a, b, _ in found):
-                    found.append((*m.span(), new))
+                    found += [p[:3] for p in pieces]
         return sorted(found)
 
 
-#: Suffixes that a host without brackets must end in.
-SUFFIXES = "com|org|net|edu|gov|mil|info|biz|io|dev|app|eu|uk|us|de|fr|ch|nl|it|es"
+#: Generic suffixes; of two letters, any is a country's.
+GENERIC = "com|org|net|edu|gov|mil|int|info|biz|name|pro|aero|coop|museum|mobi|jobs|travel|tel|asia|cat|post|dev|app|online|site|website|shop|store|xyz|tech|cloud|blog|email|live|life|world|today|news|space|club|link|group|team|agency|digital|studio|design|media|network|systems|solutions|services|company|support|software|academy|center|global|art|music|wiki|page|top|vip|berlin|london|paris|swiss|eus|gal|bzh|scot"
+#: Those that are no words of prose.
+NO_WORDS = frozenset("com org net edu gov mil info biz dev app".split())
+# Words of prose that name no host, and two-letter words that may follow "at ... point".
+NO_HOST = frozenset("a an the this that these those some any each every one which what no all another his her its my your our their first last least most same".split())
+SHORT_WORDS = frozenset("am an as at be by do go he if in is it me my no of on or so to up us we".split())
 
 
 class AtDot:
     """[at], (dot) and the like anywhere; bare ``at`` and ``dot`` only as
-    ``name at host dot suffix`` with a common suffix, so that ordinary prose
-    stays as it is."""
-
-    MARK = re.compile(rf"\s?[\[({{<]\s?(?:(@|{AT})|(\.|{POINT}))\s?[\])}}>]\s?", re.I)
-    BARE = re.compile(rf"(?<![\w.+-])(?:[\w%+-]{{1,64}}\s(?:{POINT})\s)?[\w.%+-]{{1,64}}(?P<at>\s(?:{AT})\s|\s?@\s?)[A-Za-z0-9-]{{1,63}}(?:(?:\s(?:{POINT})\s|\.)[A-Za-z0-9-]{{1,63}})*(?:\s(?:{POINT})\s)(?:{SUFFIXES})(?!\w)", re.I)
-    DOT = re.compile(rf"\s(?:{POINT})\s", re.I)
+    ``name at host dot suffix`` with a generic or two-letter suffix.  Prose
+    stays as it is by its shape: words such as ``this`` name no host, and
+    ``at ... point`` in English goes on with a word, not with a suffix."""
+
+    GAP = r"[\s,]++"
+    MARK = re.compile(rf"(?<!\s)\s*+[\[({{<]\s*+(?:(@|{AT})|(\.|{POINT}))\s*+[\])}}>]\s*+", re.I)
+    BARE = re.compile(rf"(?<![\w.+-])(?:[\w%+-]{{1,64}}{GAP}(?:{POINT}){GAP})*[\w.%+-]{{1,64}}(?P<at>{GAP}(?P<word>{AT}){GAP}|\s*+@\s*+)(?P<host>[A-Za-z0-9-]{{1,63}})"
+                      rf"(?:(?:{GAP}(?:{POINT}){GAP}|\.)[A-Za-z0-9-]{{1,63}})*?{GAP}(?P<dot>{POINT}){GAP}(?P<suffix>{GENERIC}|[a-z]{{2}})(?![\w-])(?!{GAP}(?:{POINT}){GAP}(?:{GENERIC}|[a-z]{{2}})(?![\w-]))", re.I)
+    DOT = re.compile(rf"{GAP}(?:{POINT}){GAP}", re.I)
     #: Bare hosts need a spelled dot, marks a bracket.
-    GATE = re.compile(rf"(?<!\w)(?:{POINT})(?!\w)|[\[({{<]\s?(?:@|\.|{AT})\s?[\])}}>]", re.I)
+    GATE = re.compile(rf"(?<!\w)(?:{POINT})(?!\w)|[\[({{<]\s*+(?:@|\.|{AT})\s*+[\])}}>]", re.I)
+
+    @staticmethod
+    def prose(m: re.Match) -> bool:
+        suffix = m.group("suffix").lower()
+        if suffix in NO_WORDS:
+            return False
+        if m.group("host").lower() in NO_HOST:
+            return True
+        return (m.group("word") or "").lower() == "at" and m.group("dot").lower() == "point" and (len(suffix) > 2 or suffix in SHORT_WORDS)
 
     def edits(self, text: str) -> list[tuple[int, int, str]]:
         if not self.GATE.search(text):
             return []
         found = [(*m.span(), "@" if m.group(1) else ".") for m in self.MARK.finditer(text)]
         for m in self.BARE.finditer(text):
+            if self.prose(m):
+                continue
             found.append((*m.span("at"), "@"))
             found += [(*d.span(), ".") for d in self.DOT.finditer(text, m.start(), m.end())]
         out: list[tuple[int, int, str]] = []

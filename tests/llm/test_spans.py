@@ -84,6 +84,32 @@ def test_spelled_numbers_of_any_digits(text):
             assert pii.find(alone, chain)[1] == [("phone", 0, len(alone))], alone
 
 
+@pytest.mark.parametrize("text,kind", [
+    *[(f"jane at example dot {x}", "email") for x in ("ca", "au", "co dot jp", "se", "me", "co dot in", "museum", "com")],
+    ("jane\n at  example\tdot\n ca", "email"), ("jane, at, example, dot, ca", "email"), ("j dot r dot doe at mail dot example dot se", "email"),
+    ("john  [at]\n example (  dot ) com", "email"),
+    ("plus one eight zero zero five\nfive five zero one nine nine", "phone"),
+    ("plus one, eight, zero, zero, five, five, five, zero, one, nine, nine", "phone"),
+])
+def test_any_suffix_and_wide_gaps(text, kind):
+    for around in ("{}", "write {}, please", "see {}.\nThen"):
+        whole = around.format(text)
+        a = whole.index(text)
+        assert pii.find(whole, pii.transducers()) == ([], [(kind, a, a + len(text))]), whole
+
+
+def test_whole_numbers_on_lines_of_their_own_stay_apart():
+    words = pii.DIGIT_WORDS["en"].split()
+    card = " ".join(words[int(c)] for c in LUHN_OK if c.isdigit())
+    for between in (", ", "\n"):
+        assert [s[0] for s in pii.find(card + between + card, pii.transducers())[1]] == ["card", "card"]
+
+
+@pytest.mark.parametrize("text", ["look at this point in time", "he stopped at the dot in the middle", "water at boiling point is hot", "at some point we left", "stare at one dot so long", "look at this point today", "at boiling point live steam"])
+def test_prose_with_short_words_has_no_disguise(text):
+    assert pii.find(text, pii.transducers()) == ([], [])
+
+
 def test_rewriting_keeps_offsets():
     r = random.Random(1)
     for _ in range(300):
