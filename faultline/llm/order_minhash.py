@@ -4,7 +4,8 @@ A text becomes word k-mers; equal k-mers are told apart by their occurrence
 number, so repeats count.  Occurrence-numbered k-mers are hashed and split by
 hash into ``BINS`` bins (one permutation instead of one per bin); each bin
 selects its two smallest hashes, puts them back into text order and hashes
-that pair.  Equal bins need the same k-mers *in the same order*, so
+that pair.  A bin with one k-mer borrows the least k-mer of the next filled bin
+(after the last, the first), so that short texts are signed in order, too.  Equal bins need the same k-mers *in the same order*, so
 the share of equal bins follows edit distance, not only set overlap.
 
 All steps are array functions inside one row: no explode and no shuffle per
@@ -72,10 +73,11 @@ def with_fingerprint(df: DataFrame, text: str, name: str, k: int = K, bins: int
     df = df.withColumn(s, F.filter(F.col(s), lambda x, i: below(x, i, 2)))
 
     def signature(x: Column, i: Column) -> Column:
-        y = F.get(F.col(s), i + 1)
+        # Sorted by bin, so the next one is the bin's second, or the least of the next filled bin.
+        y = F.coalesce(F.get(F.col(s), i + 1), F.get(F.col(s), F.lit(0)))
         later = x.bitwiseAND(F.lit(MASK)) < y.bitwiseAND(F.lit(MASK))
         pair = F.when(later, F.xxhash64(_value(x), _value(y))).otherwise(F.xxhash64(_value(y), _value(x)))
-        one = F.when(x.bitwiseXOR(y) < F.lit(1 << bin_at), pair).otherwise(F.xxhash64(_value(x)))
+        one = F.when(F.size(F.col(s)) > 1, pair).otherwise(F.xxhash64(_value(x)))
         return F.shiftleft(F.shiftright(x, bin_at), 24).bitwiseOR(one.bitwiseAND(F.lit((1 << 24) - 1))).cast("int")
 
     tuples = F.transform(F.col(s), lambda x, i: F.when(below(x, i, 1), signature(x, i)))

@@ -64,5 +64,17 @@ def test_order_and_repeats_change_the_fingerprint(spark):
     assert len(fp["same"]) <= om.BINS and len({x >> 24 for x in fp["same"]}) == len(fp["same"])
 
 
+def test_moved_blocks_change_the_fingerprint_of_short_texts(spark):
+    rows = []
+    for n in (30, 50, 80, 100):
+        for seed in range(20):
+            a = prose(seed, n).split()
+            rows.append((n, " ".join(a), " ".join(a[len(a) // 2:] + a[:len(a) // 2])))
+    df = om.with_fingerprint(spark.createDataFrame(rows, "n int, a string, b string"), "a", "fa")
+    got = om.with_fingerprint(df, "b", "fb").groupBy("n").agg(F.avg(om.likeness(F.col("fa"), F.col("fb"))).alias("like")).collect()
+    print({r.n: round(r.like, 3) for r in got})
+    assert len(got) == 4 and all(0.2 < r.like < 0.6 for r in got)
+
+
 def test_empty(nothing):
     assert om.edit_study(nothing).count() == 0
