@@ -47,4 +47,38 @@ SELECT page_id, host, path, rule,
                  ELSE CASE WHEN listed THEN 'block' ELSE 'allow' END END AS verdict, listed FROM v
 """
 
-ORACLE = {"op2_source_mix": OP2, "op4_exact_dedup": OP4, "op6_url_filter": OP6}
+# CRC-32 by its table of bytes; near words by what is left without one code point.
+OP11 = """
+WITH RECURSIVE step(i, k, c) AS (
+  SELECT i, 0, i FROM range(256) t(i)
+  UNION ALL SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM step WHERE k < 8),
+crc AS (SELECT list(c ORDER BY i) AS of FROM step WHERE k = 8),
+occ AS MATERIALIZED (
+  SELECT doc_id, run, count(*) AS n FROM (
+    SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS run FROM documents)
+  GROUP BY ALL),
+bytes AS (SELECT doc_id, run, n, hex(encode(doc_id::VARCHAR || ':' || run)) AS x FROM occ),
+h AS MATERIALIZED (
+  SELECT run, n, xor(list_reduce(list_transform(range(length(x) // 2), lambda j: ('0x' || substr(x, 2 * j + 1, 2))::BIGINT),
+                    lambda c, b: xor(c >> 8, crc.of[xor(c & 255, b) + 1]), 4294967295), 4294967295) AS h FROM bytes CROSS JOIN crc),
+changed AS (SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM h),
+w AS MATERIALIZED (SELECT word, sum(n)::BIGINT AS n FROM changed WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3)
+,cut AS (SELECT word, n, unnest(range(length(word) + 1)) AS i FROM w),
+less AS (SELECT word, n, i, CASE WHEN i = 0 THEN word ELSE substr(word, 1, i - 1) || substr(word, i + 1) END AS less FROM cut),
+pair AS MATERIALIZED (SELECT DISTINCT a.word, a.n, b.word AS other, b.n AS other_n FROM less a JOIN less b USING (less)
+                      WHERE a.word <> b.word AND (a.i = b.i OR (a.i = 0) <> (b.i = 0))),
+near AS (SELECT word, count(*) AS n_near, arg_min(other, (-other_n, encode(other))) AS other, max(other_n) AS other_n FROM pair GROUP BY word),
+form AS MATERIALIZED (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 2 * n THEN other END AS form,
+                             CASE WHEN other_n >= 2 * n THEN other_n END AS form_n FROM w LEFT JOIN near USING (word)),
+chain(word, now) AS (SELECT word, word FROM w UNION ALL SELECT chain.word, form.form FROM chain JOIN form ON chain.now = form.word WHERE form.form IS NOT NULL)
+SELECT f.word, form, chain.now AS root, n, n_near, form_n FROM form f JOIN chain USING (word) JOIN (SELECT word FROM form WHERE form IS NULL) last ON last.word = chain.now
+"""
+
+OP13 = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q FROM embeddings
+           WHERE embedding IS NOT NULL AND list_bool_and(list_transform(embedding, lambda x: coalesce(isfinite(x), false)))),
+s AS (SELECT a.vec_id AS query_id, b.vec_id, list_inner_product(a.q, b.q)::BIGINT AS score FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s QUALIFY rank <= 5
+"""
+
+ORACLE = {"op2_source_mix": OP2, "op4_exact_dedup": OP4, "op6_url_filter": OP6, "op11_spelling": OP11, "op13_topk": OP13}

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
 from ..sources.tables import Tables
-from . import bpe, exact_dedup, html_text, langid, mixing, order_minhash, pii, secrets_scan, simhash, urls
+from . import bpe, exact_dedup, html_text, langid, mixing, order_minhash, periodic, pii, secrets_scan, simhash, spelling, topk, urls
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,4 +74,37 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.col("component").alias("component_id"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_source_mix, op3_html_text, op4_exact_dedup, op5_secrets, op6_url_filter, op7_order_minhash, op8_bpe, op9_language, op10_simhash)}
+def drop_letter(doc_id: int | None, run: str) -> str:
+    """The contract's planted deletion: one code point, where 97 divides the checksum."""
+    h = zlib.crc32(f"{'' if doc_id is None else doc_id}:{run}".encode())
+    at = h % len(run)
+    return run if h % 97 else run[:at] + run[at + 1:]
+
+
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_documents(spark, sf_dir), change=drop_letter)
+
+
+def repeat_tail(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """The contract's planted period: in a tenth of the documents the words from
+    one on repeat."""
+    n = len(words)
+    g, tenth = divmod(zlib.crc32(str("" if doc_id is None else doc_id).encode()), 10)
+    if tenth or not n:
+        return words
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + [words[a + i % p] for i in range(n - a)]
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.periodic(_documents(spark, sf_dir), change=repeat_tail).withColumnRenamed("id", "doc_id")
+
+
+def op13_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ensure_checkpoint_dir(spark)
+    return topk.search(Tables(spark, sf_dir).embeddings, F.col("id") % 50 == 0)
+
+
+QUERIES = {f.__name__: f for f in (op1_pii, op2_source_mix, op3_html_text, op4_exact_dedup, op5_secrets, op6_url_filter, op7_order_minhash, op8_bpe, op9_language, op10_simhash,
+                                      op11_spelling, op12_periodic_runs, op13_topk)}
