@@ -77,8 +77,18 @@ class Powers:
 _powers = Powers()
 
 
+def _long_enough(sums, down, c: np.ndarray, q: np.ndarray, g: int, n: int) -> np.ndarray:
+    """Whether the words from ``c`` recur ``q`` later for as long as they must
+    behind the first boundary of a streak of 3 q."""
+    size = np.maximum(3 * q - g + 1, 2 * g)
+    fits = c + q + size <= n
+    c, q, size = c[fits], q[fits], size[fits]
+    return (sums[c + size] - sums[c]) * down[c] == (sums[c + q + size] - sums[c + q]) * down[c + q]
+
+
 def boundaries(x: np.ndarray):
-    """(G, boundaries): multiples of G whose next 2 G words seem to recur G to 2 G - 1 words later."""
+    """(G, boundaries): multiples of G whose next 2 G words seem to recur G to
+    2 G - 1 words later, for octaves in which one of them does so long enough."""
     n = len(x)
     if n < LEAST_WORDS:
         return
@@ -97,9 +107,9 @@ def boundaries(x: np.ndarray):
             later = later.reshape(rows, g)
             same = later == h[: rows * g: g][:, None]
             same[-1, len(h) - g - (rows - 1) * g:] = False
-            at = np.flatnonzero(same.any(axis=1)) * g
-            if len(at):
-                yield g, at
+            row, place = np.nonzero(same)
+            if len(row) and _long_enough(sums, down, row * g, place + g, g, n).any():
+                yield g, np.unique(row) * g
             g *= 2
 
 
@@ -287,7 +297,8 @@ def periodic(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # A document has fewer runs than words, so its list is bounded by its text.
     lists = runs.groupBy("rid").agg(F.collect_list(F.struct("start", "period", "length")).alias("runs"))
     kind = docs.schema[id_col].dataType.simpleString()
-    some = read.filter("g is null and text is not null").select("rid", "id", "text").join(lists, "rid", "left").select("id", "text", "runs")
+    # Texts with boundaries grow with the input: their join is a shuffle at any size.
+    some = read.filter("g is null and text is not null").select("rid", "id", "text").hint("merge").join(lists, "rid", "left").select("id", "text", "runs")
     some = some.mapInArrow(_sum_up, f"id {kind}, n_runs long, start long, length long, period long, exponent_milli long, runs_sha256 string, collapsed_sha256 string")
     null = F.lit(None).cast("long")
     none = read.filter("g is null and plain is not null").select(
