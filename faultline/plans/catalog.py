@@ -19,6 +19,8 @@ from ..operators import dataset as ds_ops
 from ..operators import history as hist_ops
 from ..operators import smells as smell_ops
 from ..operators import evaluation as ev_ops
+from ..operators import fold_bayes as nb_ops
+from ..operators import linediff as diff_ops
 from ..operators import models as ml_ops
 from ..operators import whatif as wi_ops
 from ..operators import sampling as samp_ops
@@ -387,10 +389,44 @@ def rule_predictions(spark, sf_dir) -> DataFrame:
     return out
 
 
+#: The reference's cross-validation: ten repetitions of ten folds.
+FULL_FOLDS, FULL_REPEATS = 10, 10
+
+
+def _folds_full(spark, sf_dir):
+    return samp_ops.stratified_folds(_rows(spark, sf_dir), "id", "buggy", k=FULL_FOLDS, repeats=FULL_REPEATS)
+
+
 def _r6(df: DataFrame) -> DataFrame:
     return df.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
+def q_folds_10x10(spark, sf_dir):
+    """W-11 at the reference's 10 × 10."""
+    return _folds_full(spark, sf_dir)
+
+
+def _nb_full(spark, sf_dir):
+    """M-9 at 10 × 10: fold measures of the 100 naive-Bayes models."""
+    i = Inputs(spark, sf_dir)
+    pred = i._get("nb_predictions", lambda: nb_ops.cross_validated(_rows(spark, sf_dir), _folds_full(spark, sf_dir), NB_FEATURES), store=True)
+    return i._get("nb_fold_metrics", lambda: ev_ops.fold_metrics(pred), store=True)
+
+
+def q_nb_cv_10x10(spark, sf_dir):
+    return _r6(_nb_full(spark, sf_dir))
+
+
+def q_nb_cv_summary_10x10(spark, sf_dir):
+    """A-11, A-12 over ten repetitions."""
+    return _r6(ev_ops.cv_summary(_nb_full(spark, sf_dir)))
+
+
+def q_line_diff(spark, sf_dir):
+    """C-7: ordered diff of consecutive revisions, one word a line."""
+    return diff_ops.line_diff(analogs.word_revisions(Tables(spark, sf_dir)))
+
+
 def q_folds(spark, sf_dir):
     return _folds(spark, sf_dir)
 
@@ -667,6 +703,10 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "info_gain_fixed_bins": q_info_gain_fixed_bins,
     "text_feature_ranking": q_text_feature_ranking,
     "folds": q_folds,
+    "folds_10x10": q_folds_10x10,
+    "nb_cv_10x10": q_nb_cv_10x10,
+    "nb_cv_summary_10x10": q_nb_cv_summary_10x10,
+    "line_diff": q_line_diff,
     "downsample": q_downsample,
     "fold_metrics": q_fold_metrics,
     "cv_summary": q_cv_summary,

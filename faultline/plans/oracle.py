@@ -409,6 +409,29 @@ derived("fold_metrics_p", "fold_metrics", {"FROM predictions)": "FROM prediction
 derived("cv_summary_p", "cv_summary", {"FROM fold_metrics": "FROM fold_metrics_p"}, "fold_metrics_p")
 
 
+derived("folds_full", "folds", {"% 5": "% 10", "range(2)": "range(10)"}, "method_rows")
+
+
+def _nb_predictions_full() -> str:
+    feats = ("LOC", "NestingDepth", "ParameterCount", "TotalChurn")
+    stats = ", ".join(f"avg({f}) AS m_{f}, greatest(var_pop({f}), 1e-9) AS v_{f}" for f in feats)
+    ll = lambda c: f"ln({c}.n) + " + " + ".join(
+        f"(-0.5 * ln(2 * pi() * {c}.v_{f}) - pow(x.{f} - {c}.m_{f}, 2) / (2 * {c}.v_{f}))" for f in feats)
+    return f"""
+WITH x AS (SELECT f.rep, f.fold, f.id, f.buggy AS label, {", ".join(f"CAST(m.{f} AS DOUBLE) AS {f}" for f in feats)}
+           FROM folds_full f JOIN method_rows m ON m.id = f.id),
+t AS (SELECT x.rep, k.fold, x.label, count(*) AS n, {stats}
+      FROM x JOIN (SELECT CAST(range AS INTEGER) AS fold FROM range(10)) k ON x.fold <> k.fold GROUP BY 1, 2, 3)
+SELECT 'NaiveBayes' AS model, x.rep, x.fold, x.id, x.label, 1.0 / (1.0 + exp(({ll('n')}) - ({ll('y')}))) AS score,
+       CAST(1.0 / (1.0 + exp(({ll('n')}) - ({ll('y')}))) >= 0.5 AS INTEGER) AS pred
+FROM x JOIN t y ON y.rep = x.rep AND y.fold = x.fold AND y.label = 1 JOIN t n ON n.rep = x.rep AND n.fold = x.fold AND n.label = 0"""
+
+
+view("nb_predictions_full", "folds_full", "method_rows")(_nb_predictions_full())
+derived("nb_fold_metrics_full", "fold_metrics", {"FROM predictions)": "FROM nb_predictions_full)"}, "nb_predictions_full")
+derived("nb_summary_full", "cv_summary", {"FROM fold_metrics": "FROM nb_fold_metrics_full"}, "nb_fold_metrics_full")
+
+
 def line_count(c: str) -> str:
     return (f"CAST(CASE WHEN {c} IS NULL THEN 0 WHEN {c} = '' THEN 1 "
             f"WHEN regexp_replace({c}, '(\r?\n)+$', '') = '' THEN 0 "
@@ -551,6 +574,26 @@ SELECT path, rev, CAST(sum(greatest(d, 0)) AS BIGINT) AS added, CAST(sum(greates
 FROM d GROUP BY 1, 2"""
 
 
+def _line_diff() -> str:
+    """Longest common subsequence by its table, a row of it for each line of the older side."""
+    return """
+WITH RECURSIVE rv AS (SELECT 'conv/' || CAST(conv_id AS VARCHAR) AS path, turn AS rev, translate(text, ' ', chr(10)) AS content FROM conversations),
+ln AS (SELECT path, rev, list_filter(list_transform(string_split(content, chr(10)), lambda x, i: CASE WHEN i < len(string_split(content, chr(10)))
+              THEN x || chr(10) ELSE x END), lambda x: x <> '') AS l, content IS NULL AS gone FROM rv),
+pr AS MATERIALIZED (SELECT path, rev, l AS b, a FROM (SELECT *, lag(l) OVER o AS a, lag(gone) OVER o AS agone FROM ln WINDOW o AS (PARTITION BY path ORDER BY rev))
+                    WHERE NOT gone AND NOT agone),
+cells(path, rev, i, j, v) AS (
+  SELECT path, rev, 0, unnest(range(1, len(b) + 1)), 0 FROM pr
+  UNION ALL
+  SELECT path, rev, i + 1, j, max(greatest(v, CASE WHEN hit THEN before + 1 ELSE 0 END)) OVER (PARTITION BY path, rev ORDER BY j)
+  FROM (SELECT c.path, c.rev, c.i, c.j, c.v, p.a[c.i + 1] = p.b[c.j] AS hit,
+               coalesce(lag(c.v) OVER (PARTITION BY c.path, c.rev ORDER BY c.j), 0) AS before
+        FROM cells c JOIN pr p ON p.path = c.path AND p.rev = c.rev WHERE c.i < len(p.a))),
+lcs AS (SELECT path, rev, max(v) AS n FROM cells GROUP BY 1, 2)
+SELECT path, rev, CAST(len(b) - coalesce(n, 0) AS BIGINT) AS added, CAST(len(a) - coalesce(n, 0) AS BIGINT) AS deleted
+FROM pr LEFT JOIN lcs USING (path, rev)"""
+
+
 def _release_snapshot() -> str:
     return with_views("commit_release") + """
 SELECT project, release_id, sha, CAST(committed_at AS DATE) AS commit_day, n_commits
@@ -797,6 +840,12 @@ FROM (SELECT *, CASE WHEN p_mean >= 0 THEN p_mean ELSE 0.5 END AS p_cold
     "labelled_snapshots": _labelled_snapshots,
     "label_counters": _label_counters,
     "file_history": _file_history,
+    "line_diff": _line_diff,
+    "folds_10x10": lambda: with_views("folds_full") + "SELECT * FROM folds_full",
+    "nb_cv_10x10": lambda: with_views("nb_fold_metrics_full") + "SELECT model, rep, fold, " + ", ".join(
+        f"round({m}, 6) AS {m}" for m in _METRICS) + " FROM nb_fold_metrics_full",
+    "nb_cv_summary_10x10": lambda: with_views("nb_summary_full") + "SELECT model, " + ", ".join(
+        f"round(avg_{m}, 6) AS avg_{m}, round(last_{m}, 6) AS last_{m}" for m in _METRICS) + ", runs FROM nb_summary_full",
     "file_churn": _file_churn,
     "line_churn": _line_churn,
     "release_snapshot": _release_snapshot,

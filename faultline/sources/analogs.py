@@ -154,6 +154,11 @@ def revisions(t: Tables) -> DataFrame:
                                   F.col("turn").alias("rev"), F.col("text").alias("content"))
 
 
+def word_revisions(t: Tables) -> DataFrame:
+    """:func:`revisions` with one word a line, so that files have tens of lines."""
+    return revisions(t).withColumn("content", F.translate("content", " ", "\n"))
+
+
 def method_rows(t: Tables) -> DataFrame:
     """A method-level dataset on lineitem with a planted label.
 
