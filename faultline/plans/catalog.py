@@ -25,6 +25,7 @@ from ..operators import models as ml_ops
 from ..operators import whatif as wi_ops
 from ..operators import sampling as samp_ops
 from ..operators import stats as stat_ops
+from ..operators import trees as tree_ops
 from ..operators import structure as st_ops
 from ..operators import labels as lab_ops
 from ..operators import proportion as prop_ops
@@ -422,6 +423,28 @@ def q_nb_cv_summary_10x10(spark, sf_dir):
     return _r6(ev_ops.cv_summary(_nb_full(spark, sf_dir)))
 
 
+TREE_FEATURES = ["LOC", "NestingDepth", "ParameterCount", "TotalChurn"]
+
+
+def _grown(spark, sf_dir):
+    """M-6: one un-bagged tree, grown to purity on all folds but the first."""
+    i = Inputs(spark, sf_dir)
+    rows = i._get("tree_input", lambda: _folds(spark, sf_dir).filter("rep = 0").drop("buggy").join(_rows(spark, sf_dir), "id"), store=True)
+    return rows, tree_ops.grow(rows.filter("fold <> 0"), TREE_FEATURES, "buggy", "id", criterion="gini")
+
+
+def q_tree_nodes(spark, sf_dir):
+    """M-6: every node of the tree."""
+    return _grown(spark, sf_dir)[1].select("node", "feature", "value", "n0", "n1")
+
+
+def q_tree_holdout(spark, sf_dir):
+    """M-6: the leaf that each row of the first fold reaches, and its classes."""
+    rows, nodes = _grown(spark, sf_dir)
+    nodes = materialize(nodes, "tree")
+    return tree_ops.score(nodes, rows.filter("fold = 0"), TREE_FEATURES).drop("tree")
+
+
 def q_line_diff(spark, sf_dir):
     """C-7: ordered diff of consecutive revisions, one word a line."""
     return diff_ops.line_diff(analogs.word_revisions(Tables(spark, sf_dir)))
@@ -707,6 +730,8 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "nb_cv_10x10": q_nb_cv_10x10,
     "nb_cv_summary_10x10": q_nb_cv_summary_10x10,
     "line_diff": q_line_diff,
+    "tree_nodes": q_tree_nodes,
+    "tree_holdout": q_tree_holdout,
     "downsample": q_downsample,
     "fold_metrics": q_fold_metrics,
     "cv_summary": q_cv_summary,

@@ -594,6 +594,30 @@ SELECT path, rev, CAST(len(b) - coalesce(n, 0) AS BIGINT) AS added, CAST(len(a)
 FROM pr LEFT JOIN lcs USING (path, rev)"""
 
 
+def _tree() -> str:
+    """One level of the tree per round: rows of mixed nodes are cut at the best
+    value and sent on; rows of the first fold follow without a say."""
+    feats = ("LOC", "NestingDepth", "ParameterCount", "TotalChurn")
+    long = " UNION ALL ".join(f"SELECT node, y, {i} AS f, x{i} AS v FROM cur WHERE t" for i in range(len(feats)))
+    return with_views("folds", "method_rows").replace("WITH ", "WITH RECURSIVE ", 1) + f""",
+lv(node, id, t, y, {", ".join(f"x{i}" for i in range(len(feats)))}, f, v, n0, n1, up) AS (
+  SELECT '', m.id, o.fold <> 0, m.buggy, {", ".join(f"CAST(m.{f} AS DOUBLE)" for f in feats)}, NULL::INTEGER, NULL::DOUBLE, 0::BIGINT, 0::BIGINT, NULL::VARCHAR
+  FROM method_rows m JOIN folds o ON o.id = m.id AND o.rep = 0
+  UNION ALL
+  SELECT * FROM (
+    WITH cur AS MATERIALIZED (SELECT * FROM lv WHERE node IS NOT NULL),
+    size AS (SELECT node, count(*) FILTER (y = 0) AS n0, count(*) FILTER (y = 1) AS n1 FROM cur WHERE t GROUP BY node),
+    hist AS (SELECT l.node, f, v, count(*) FILTER (y = 0) AS c0, count(*) FILTER (y = 1) AS c1 FROM ({long}) l
+             JOIN size s ON s.node = l.node AND s.n0 > 0 AND s.n1 > 0 GROUP BY ALL),
+    run AS (SELECT node, f, v, CAST(sum(c0) OVER w AS DOUBLE) AS l0, CAST(sum(c1) OVER w AS DOUBLE) AS l1 FROM hist WINDOW w AS (PARTITION BY node, f ORDER BY v)),
+    cut AS (SELECT r.node, f, v FROM run r JOIN size s ON s.node = r.node WHERE s.n0 + s.n1 > l0 + l1
+            QUALIFY row_number() OVER (PARTITION BY r.node ORDER BY l0 * l1 / (l0 + l1) + (s.n0 - l0) * (s.n1 - l1) / ((s.n0 - l0) + (s.n1 - l1)), f, v) = 1)
+    SELECT CASE WHEN cut.f IS NOT NULL THEN cur.node || CASE WHEN [{", ".join(f"x{i}" for i in range(len(feats)))}][cut.f + 1] <= cut.v THEN '0' ELSE '1' END END,
+           cur.id, cur.t, cur.y, {", ".join(f"x{i}" for i in range(len(feats)))}, cut.f, cut.v, s.n0, s.n1, cur.node
+    FROM cur JOIN size s ON s.node = cur.node LEFT JOIN cut ON cut.node = cur.node))
+"""
+
+
 def _release_snapshot() -> str:
     return with_views("commit_release") + """
 SELECT project, release_id, sha, CAST(committed_at AS DATE) AS commit_day, n_commits
@@ -841,6 +865,8 @@ FROM (SELECT *, CASE WHEN p_mean >= 0 THEN p_mean ELSE 0.5 END AS p_cold
     "label_counters": _label_counters,
     "file_history": _file_history,
     "line_diff": _line_diff,
+    "tree_nodes": lambda: _tree() + "SELECT DISTINCT up AS node, f AS feature, v AS value, n0, n1 FROM lv WHERE up IS NOT NULL",
+    "tree_holdout": lambda: _tree() + "SELECT id, up AS node, n0, n1 FROM lv WHERE up IS NOT NULL AND f IS NULL AND NOT t",
     "folds_10x10": lambda: with_views("folds_full") + "SELECT * FROM folds_full",
     "nb_cv_10x10": lambda: with_views("nb_fold_metrics_full") + "SELECT model, rep, fold, " + ", ".join(
         f"round({m}, 6) AS {m}" for m in _METRICS) + " FROM nb_fold_metrics_full",
