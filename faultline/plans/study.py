@@ -56,9 +56,9 @@ def train_and_choose(spark: SparkSession, inputs: Inputs, ds: DataFrame, out: st
                      models: tuple[str, ...] = ml_ops.CLASSIFIERS, k: int = 10, repeats: int = 10,
                      cut: float = 0.34, select: float | None = 0.01, smote_percent: float | None = None,
                      leaky: bool = False, np_scale: float = 1.0, projects: list[str] | None = None,
-                     max_rows: int | None = 20_000) -> dict[str, dict]:
+                     max_rows: int | None = None) -> dict[str, dict]:
     """Every step per project, as the reference has it: ranking, worst method
-    of the last release, CV (a project above ``max_rows`` rows is thinned),
+    of the last release, CV (of all rows; with ``max_rows`` a larger project is thinned to them),
     store, choice and best model.  Returns what was chosen for each project."""
     a = _with_id(dataset_a(ds, inputs.releases, cut))
     if projects is not None:

@@ -54,20 +54,26 @@ def append(spark: SparkSession, path: str, new: DataFrame, key: list[str] = KEY,
 
 
 def save_model(model, schema_json: str, path: str) -> None:
-    """K-10: the fitted model plus the training schema beside it."""
+    """K-10: the fitted model, its kind and the training schema beside it."""
     if hasattr(model, "write"):
         model.write().overwrite().save(f"{path}/model")
     else:
         model.save(f"{path}/model")
     spark = SparkSession.getActiveSession()
-    spark.createDataFrame([(schema_json,)], "schema string").coalesce(1).write.mode("overwrite").text(f"{path}/schema")
+    for name, text in (("kind", type(model).__name__), ("schema", schema_json)):
+        spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/{name}")
 
 
 def load_model(spark: SparkSession, path: str):
-    """K-10: (fitted pipeline, feature names) as :func:`save_model` left them."""
+    """K-10: (fitted model of any kind, feature names) as :func:`save_model` left them."""
     import json
 
     from pyspark.ml import PipelineModel
 
+    from ..operators.models import Forest, Neighbours, Prior
+
     schema = spark.read.text(f"{path}/schema").first()[0]
-    return PipelineModel.load(f"{path}/model"), [f["name"] for f in json.loads(schema)["fields"]]
+    kind = spark.read.text(f"{path}/kind").first()[0]
+    features = [f["name"] for f in json.loads(schema)["fields"]]
+    own = {c.__name__: c for c in (Forest, Neighbours, Prior)}
+    return own[kind].load(spark, f"{path}/model") if kind in own else PipelineModel.load(f"{path}/model"), features
