@@ -200,38 +200,81 @@ NO_HOST = frozenset("a an the this that these those some any each every one whic
 SHORT_WORDS = frozenset("am an as at be by do go he if in is it me my no of on or so to up us we".split())
 
 
+#: Bounds of mail addresses: labels of a host, parts of a name, characters of a part.
+LABELS, PARTS, PART = 126, 32, 64
+
+
 class AtDot:
     """[at], (dot) and the like anywhere; bare ``at`` and ``dot`` only as
     ``name at host dot suffix`` with a generic or two-letter suffix.  Prose
     stays as it is by its shape: words such as ``this`` name no host, and
-    ``at ... point`` in English goes on with a word, not with a suffix."""
+    ``at ... point`` in English goes on with a word, not with a suffix.  Each
+    ``at`` reads a bounded number of parts to both sides, so the time is linear
+    in the text."""
 
     GAP = r"[\s,]++"
     MARK = re.compile(rf"(?<!\s)\s*+[\[({{<]\s*+(?:(@|{AT})|(\.|{POINT}))\s*+[\])}}>]\s*+", re.I)
-    BARE = re.compile(rf"(?<![\w.+-])(?:[\w%+-]{{1,64}}{GAP}(?:{POINT}){GAP})*[\w.%+-]{{1,64}}(?P<at>{GAP}(?P<word>{AT}){GAP}|\s*+@\s*+)(?P<host>[A-Za-z0-9-]{{1,63}})"
-                      rf"(?:(?:{GAP}(?:{POINT}){GAP}|\.)[A-Za-z0-9-]{{1,63}})*?{GAP}(?P<dot>{POINT}){GAP}(?P<suffix>{GENERIC}|[a-z]{{2}})(?![\w-])(?!{GAP}(?:{POINT}){GAP}(?:{GENERIC}|[a-z]{{2}})(?![\w-]))", re.I)
+    #: A bare ``at`` or @ right behind a name; what stands before and behind it is read from there.
+    HERE = re.compile(rf"(?<=[\w.%+-])(?:{GAP}(?P<word>{AT})(?=[\s,])|\s*+@)", re.I)
+    BEHIND = re.compile(rf"(?P<gap>[\s,]*+)(?P<host>[A-Za-z0-9-]{{1,63}}+)(?:(?:{GAP}(?:{POINT}){GAP}|\.)[A-Za-z0-9-]{{1,63}}+){{0,{LABELS}}}?"
+                        rf"{GAP}(?P<dot>{POINT}){GAP}(?P<suffix>{GENERIC}|[a-z]{{2}})(?![\w-])(?!{GAP}(?:{POINT}){GAP}(?:{GENERIC}|[a-z]{{2}})(?![\w-]))", re.I)
     DOT = re.compile(rf"{GAP}(?:{POINT}){GAP}", re.I)
     #: Bare hosts need a spelled dot, marks a bracket.
     GATE = re.compile(rf"(?<!\w)(?:{POINT})(?!\w)|[\[({{<]\s*+(?:@|\.|{AT})\s*+[\])}}>]", re.I)
 
     @staticmethod
-    def prose(m: re.Match) -> bool:
+    def prose(mark: re.Match, m: re.Match) -> bool:
         suffix = m.group("suffix").lower()
         if suffix in NO_WORDS:
             return False
         if m.group("host").lower() in NO_HOST:
             return True
-        return (m.group("word") or "").lower() == "at" and m.group("dot").lower() == "point" and (len(suffix) > 2 or suffix in SHORT_WORDS)
+        return (mark.group("word") or "").lower() == "at" and m.group("dot").lower() == "point" and (len(suffix) > 2 or suffix in SHORT_WORDS)
+
+    @staticmethod
+    def name_start(text: str, end: int, least: int) -> int | None:
+        """Where the name that ends at ``end`` starts: one part, or several with
+        a spelled dot between them, no further left than ``least``."""
+        def part(at: int, extra: str) -> int:
+            i = at
+            while i > least and at - i <= PART and (text[i - 1].isalnum() or text[i - 1] in extra):
+                i -= 1
+            return i
+
+        def gap(at: int) -> int:
+            while at > least and (text[at - 1].isspace() or text[at - 1] == ","):
+                at -= 1
+            return at
+
+        found, at, extra = None, end, "_.%+-"
+        for _ in range(PARTS):
+            i = part(at, extra)
+            if not 0 < at - i <= PART:
+                break
+            if i == 0 or not (text[i - 1].isalnum() or text[i - 1] in "_.+-"):
+                found = i
+            word_end = gap(i)
+            word = next((w for w in POINT.split("|") if text[max(least, word_end - len(w)):word_end].lower() == w), "")
+            at = gap(word_end - len(word))
+            if word_end == i or not word or at == word_end - len(word):
+                break
+            extra = "_%+-"
+        return found
 
     def edits(self, text: str) -> list[tuple[int, int, str]]:
         if not self.GATE.search(text):
             return []
         found = [(*m.span(), "@" if m.group(1) else ".") for m in self.MARK.finditer(text)]
-        for m in self.BARE.finditer(text):
-            if self.prose(m):
+        done = 0
+        for mark in self.HERE.finditer(text):
+            if mark.start() < done or not (m := self.BEHIND.match(text, mark.end())) or (not mark.group("word") and "," in m.group("gap")):
+                continue
+            if (start := self.name_start(text, mark.start(), done)) is None:
                 continue
-            found.append((*m.span("at"), "@"))
-            found += [(*d.span(), ".") for d in self.DOT.finditer(text, m.start(), m.end())]
+            done = m.end()
+            if not self.prose(mark, m):
+                found.append((mark.start(), m.end("gap"), "@"))
+                found += [(*d.span(), ".") for d in self.DOT.finditer(text, start, done)]
         out: list[tuple[int, int, str]] = []
         for e in sorted(found):
             if not out or e[0] >= out[-1][1]:

@@ -2,7 +2,8 @@
 
 A listed entry is a canonical URL prefix ``host/path``; it fits its host, all
 subdomains, and paths that start with its path.  A URL therefore has one
-candidate key per host suffix and listed path length.  Each key probes the
+candidate key per listed path length and host suffix, of as many labels as a
+listed host has at most.  Each key probes the
 filter - one block of 256 bits - and only possible hits go on to an exact hash
 join with the listed entries, which removes false positives.
 
@@ -67,10 +68,11 @@ def possible_hits(keys: DataFrame, entries: DataFrame) -> DataFrame:
     return x.drop("_block", *LANES)
 
 
-def candidate_keys(urls: DataFrame, lengths: list[int]) -> DataFrame:
-    """``urls`` (host, path) with one row per key it may be listed under."""
-    labels = F.split("host", r"\.")
-    parts = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+def candidate_keys(urls: DataFrame, lengths: list[int], labels: int) -> DataFrame:
+    """``urls`` (host, path) with one row per key it may be listed under: host
+    suffixes of up to ``labels`` labels, the most a listed host has."""
+    # Counted from the end; a host of fewer labels gives its whole self more than once.
+    parts = F.array_distinct(F.array(*[F.substring_index("host", ".", -n) for n in range(1, labels + 1)]))
     path = F.when(F.col("path") == "", F.lit("/")).otherwise(F.col("path"))
     sizes = F.filter(F.array(*[F.lit(n) for n in lengths]), lambda n: n <= F.length(path))
     keys = F.flatten(F.transform(parts, lambda h: F.transform(sizes, lambda n: F.concat(h, F.substring(path, F.lit(1), n)))))
@@ -94,8 +96,9 @@ def judge(pages: DataFrame, entries: DataFrame, id_col: str = "page_id", url_col
     entries = materialize(entries, "listed")
     sizes = entries.select(F.length("key") - F.instr("key", "/") + 1)
     lengths = sorted(r[0] for r in sizes.distinct().collect())  # at most the longest listed path
+    labels = entries.agg(F.max(F.size(F.split(F.substring_index("key", "/", 1), r"\.")))).first()[0] or 0  # a number
     urls = materialize(pages.filter("host <> ''").select("host", "path").distinct(), "urls")
-    hits = possible_hits(candidate_keys(urls, lengths), entries.select("key").distinct())
+    hits = possible_hits(candidate_keys(urls, lengths, labels), entries.select("key").distinct())
     exact = hits.join(broadcast_if_small(entries), "key").filter("NOT is_rule OR path <> ''")
     longest = F.struct(F.length("key"), F.instr("key", "/"), "key")
     best = exact.groupBy("host", "path").agg(

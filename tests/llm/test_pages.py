@@ -130,3 +130,14 @@ def test_filter_has_no_false_negative(spark):
     keys = spark.range(4000).select(F.concat(F.lit("h"), "id", F.lit("/")).alias("key"))
     found = {r.key for r in urls.possible_hits(keys, entries).collect()}
     assert {r.key for r in entries.collect()} <= found and len(found) < 800
+
+
+def test_hosts_of_very_many_labels(spark):
+    """A host gives no more keys than the listed hosts have labels."""
+    long = "a." * 100_000
+    rows = [(1, f"http://{long}example.com/x"), (2, f"http://{long}b/x"), (3, "http://com/"), (4, "http://" + "c" * 50_000 + ".net")]
+    entries = spark.createDataFrame([("example.com/", "block", False), ("com/", "allow", True)], "key string, verdict string, is_rule boolean")
+    got = {r.page_id: (r.rule, r.verdict, r.listed) for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string"), entries).collect()}
+    assert got == {1: ("com/", "allow", True), 2: (None, "allow", False), 3: ("com/", "allow", False), 4: (None, "allow", False)}
+    keys = urls.candidate_keys(spark.createDataFrame([(long + "example.com", "/x")], "host string, path string"), [1], 2)
+    assert sorted(r.key for r in keys.collect()) == ["com/", "example.com/"]

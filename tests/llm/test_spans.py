@@ -169,3 +169,18 @@ def test_query_results_on_the_documents(spark, sf, small_docs):
     assert {i: r.spans for i, r in got.items()} == {d["doc_id"]: plain_pii(d["text"] or "") for d in small_docs}
     got = {r.doc_id: r for r in QUERIES["op5_secrets"](spark, sf).collect()}
     assert {i: r.spans for i, r in got.items()} == {d["doc_id"]: plain_secrets(d["text"] or "") for d in small_docs}
+
+
+def test_long_texts_of_marks_take_linear_time():
+    import time
+
+    for piece in ("a dot ", "a at ", "a at b dot ", "dot at ", " @"):
+        began = time.process_time()
+        pii.find(piece * (1_000_000 // len(piece)), pii.transducers())
+        assert time.process_time() - began < 10, piece  # seconds for 1 MB; the time was hours when each word was retried
+
+
+def test_marks_side_by_side():
+    edits = pii.AtDot().edits
+    assert edits("jane dot doe at example dot com") == [(4, 9, "."), (12, 16, "@"), (23, 28, ".")]
+    assert edits("a at b dot org, c at d dot net") == [(1, 5, "@"), (6, 11, "."), (17, 21, "@"), (22, 27, ".")]
