@@ -112,3 +112,79 @@ def smote(df: DataFrame, features: list[str], label: str = "buggy", id_col: str
                    *[(F.col(f) + F.col("_gap") * (F.col(f"_n_{f}") - F.col(f))).alias(f) for f in features],
                    F.lit(minority).alias(label), F.lit(True).alias("synthetic"))
     return plain.unionByName(syn)
+
+
+#: Neighbours kept beyond k, so that enough remain once a fold's rows are gone.
+SPARE = 10
+
+
+def neighbour_graph(mino: DataFrame, features: list[str], id_col: str = "id", k: int = 5, spare: int = SPARE) -> DataFrame:
+    """(base, neighbour, dist): the ``k + spare`` nearest minority rows of each,
+    by plain Euclidean distance.  The distance needs no fit, so one graph serves
+    every fold of every repetition."""
+    from .models import knn_exact
+
+    near = knn_exact(mino, mino, features, id_col, k=k + spare, exclude_self=True)
+    return near.select(F.col("query_id").alias("base"), F.col("neighbor_id").alias("neighbour"), "dist")
+
+
+def smote_rows(df: DataFrame, folds: DataFrame, features: list[str], label: str = "buggy", id_col: str = "id", minority: int = 1,
+               percent: float = 65.0, k: int = 5, seed: int = 42, spare: int = SPARE) -> DataFrame:
+    """M-3 inside M-9: (rep, fold, id, base, neighbour, gap, features…), the
+    synthetic rows of every training side of ``folds`` (id, rep, fold).
+
+    Each training side has ``floor(n · percent / 100)`` of them for its n
+    minority rows: these are taken in the order of md5(id, seed), again from the
+    first when all were taken; synthetic j of a base goes towards the one of its
+    k nearest minority rows *of the training side* (fewer: all) that a hash of
+    (id, j) picks, by a gap from the same hash.  A training side with less than
+    two minority rows has none.
+
+    Neighbours come from one graph over all minority rows: a list of
+    ``k + spare`` without the fold's rows still starts with the nearest of the
+    training side.  Only where less than k remain, and the list left some rows
+    out, those bases are searched again, against their own training side.
+    """
+    from ..session import materialize
+    from .models import knn_exact
+
+    mino = materialize(df.filter(F.col(label) == F.lit(minority)).select(F.col(id_col).cast("string").alias("id"), *[F.col(f).cast("double").alias(f) for f in features]), "minority")
+    at = materialize(folds.select(F.col(id_col).cast("string").alias("id"), "rep", "fold").join(mino.select("id"), "id"), "minority_folds")
+    graph = materialize(neighbour_graph(mino, features, "id", k, spare), "neighbour_graph")
+    # A row trains for every fold of its repetition but its own.
+    every = folds.select("rep", "fold").distinct()  # one row a fold
+    train = at.withColumnRenamed("fold", "own").join(F.broadcast(every), "rep").filter("own <> fold")
+    order = row_positions(train.withColumn("_h", seeded_hash("id", seed=seed)), ["rep", "fold"], ["_h", "id"]).select("rep", "fold", "id", "_pos")
+    total = train.groupBy("rep", "fold").agg(F.count(F.lit(1)).alias("n"))
+    made = total.filter("n > 1").withColumn("made", F.floor(F.col("n") * percent / 100))
+    base = order.join(F.broadcast(made), ["rep", "fold"]).filter(F.col("_pos") <= F.col("made"))  # one row a fold
+    again = F.floor((F.col("made") - F.col("_pos")) / F.col("n"))
+    base = base.withColumn("j", F.explode(F.sequence(F.lit(0), again))).withColumn("j", F.col("j") * F.col("n") + F.col("_pos") - 1)
+    base = materialize(base.select("rep", "fold", F.col("id").alias("base"), "j", "n"), "smote_bases")
+
+    used = base.select("rep", "fold", "base", "n").distinct()
+    near = used.join(graph, "base").join(at.select("rep", F.col("id").alias("neighbour"), F.col("fold").alias("own")), ["rep", "neighbour"]).filter("own <> fold")
+    place = lambda of: F.expr(f"transform(slice({of}, 1, {k}), x -> x.neighbour)")
+    lists = near.groupBy("rep", "fold", "base", "n").agg(F.array_sort(F.collect_list(F.struct("dist", "neighbour"))).alias("all"))  # at most k + spare each
+    lists = used.join(lists.select("rep", "fold", "base", place("all").alias("near")), ["rep", "fold", "base"], "left")
+    lists = materialize(lists.withColumn("near", F.coalesce("near", F.array().cast("array<string>"))), "training_neighbours")
+    # Enough, or all there are.
+    whole = lists.filter(F.size("near") >= F.least(F.lit(k), F.col("n") - 1)).select("rep", "fold", "base", "near")
+    short = materialize(lists.filter(F.size("near") < F.least(F.lit(k), F.col("n") - 1)).select("rep", "fold", "base"), "short_lists")
+    for r in short.select("rep", "fold").distinct().collect():  # folds that have such rows, mostly none
+        own = (F.col("rep") == r["rep"]) & (F.col("fold") == r["fold"])
+        asked = mino.join(short.filter(own).select(F.col("base").alias("id")), "id", "left_semi")
+        side = mino.join(train.filter(own).select("id"), "id", "left_semi")
+        found = knn_exact(asked, side, features, "id", k=k, exclude_self=True).groupBy(F.col("query_id").alias("base")).agg(
+            F.array_sort(F.collect_list(F.struct("dist", F.col("neighbor_id").alias("neighbour")))).alias("all"))
+        whole = whole.unionByName(found.select(F.lit(r["rep"]).alias("rep"), F.lit(r["fold"]).alias("fold"), "base", place("all").alias("near")))
+
+    pick = seeded_hash("base", F.col("j").cast("string"), seed=seed)
+    part = lambda i: F.conv(F.substring(pick, i, 8), 16, 10).cast("double") / 4294967296.0
+    x = base.join(whole, ["rep", "fold", "base"]).withColumn("gap", part(9))
+    x = x.withColumn("neighbour", F.get("near", F.floor(part(1) * F.size("near")).cast("int")))
+    a = mino.select(F.col("id").alias("base"), *[F.col(f).alias(f"_a_{f}") for f in features])
+    b = mino.select(F.col("id").alias("neighbour"), *[F.col(f).alias(f"_b_{f}") for f in features])
+    x = x.join(a, "base").join(b, "neighbour")
+    return x.select("rep", "fold", F.concat("base", F.lit("~s"), F.col("j").cast("string")).alias("id"), "base", "neighbour", "gap",
+                    *[(F.col(f"_a_{f}") + F.col("gap") * (F.col(f"_b_{f}") - F.col(f"_a_{f}"))).alias(f) for f in features])

@@ -423,6 +423,12 @@ def q_nb_cv_summary_10x10(spark, sf_dir):
     return _r6(ev_ops.cv_summary(_nb_full(spark, sf_dir)))
 
 
+def q_smote_rows(spark, sf_dir):
+    """M-3: the synthetic rows of every training side, from one neighbour graph."""
+    made = samp_ops.smote_rows(_rows(spark, sf_dir), _folds(spark, sf_dir), NB_FEATURES)
+    return _r6(made)
+
+
 TREE_FEATURES = ["LOC", "NestingDepth", "ParameterCount", "TotalChurn"]
 
 
@@ -743,6 +749,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "whatif_summary": q_whatif_summary,
     "whatif_verdict": q_whatif_verdict,
     "smote_balance": q_smote_balance,
+    "smote_rows": q_smote_rows,
     "forest_cv": q_forest_cv,
     "whatif_forest": q_whatif_forest,
     "spearman_by_project": q_spearman_by_project,

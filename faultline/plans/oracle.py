@@ -594,6 +594,25 @@ SELECT path, rev, CAST(len(b) - coalesce(n, 0) AS BIGINT) AS added, CAST(len(a)
 FROM pr LEFT JOIN lcs USING (path, rev)"""
 
 
+def _smote_rows() -> str:
+    """All pairs of minority rows; of the nearest of each, those of the training side."""
+    feats = ("LOC", "NestingDepth", "ParameterCount", "TotalChurn")
+    dist = " + ".join(f"(a.{f} - b.{f}) * (a.{f} - b.{f})" for f in feats)
+    return with_views("folds", "method_rows") + f"""
+, mino AS MATERIALIZED (SELECT id, {", ".join(f"CAST({f} AS DOUBLE) AS {f}" for f in feats)} FROM method_rows WHERE buggy = 1),
+near AS MATERIALIZED (SELECT base, p.d AS d, p.id AS neighbour FROM (
+  SELECT base, unnest(l) AS p FROM (SELECT a.id AS base, min({{'d': sqrt({dist}), 'id': b.id}}, 40) AS l FROM mino a JOIN mino b ON a.id <> b.id GROUP BY a.id))),
+train AS (SELECT f.rep, k.fold, f.id FROM folds f JOIN mino USING (id) JOIN (SELECT CAST(range AS INTEGER) AS fold FROM range(5)) k ON k.fold <> f.fold),
+base AS (SELECT *, row_number() OVER (PARTITION BY rep, fold ORDER BY md5(id || '-42'), id) - 1 AS j, count(*) OVER (PARTITION BY rep, fold) AS n FROM train),
+used AS (SELECT rep, fold, id AS base, j FROM base WHERE j < floor(n * 65.0 / 100)),
+own AS (SELECT u.rep, u.fold, u.base, u.j, x.neighbour, row_number() OVER (PARTITION BY u.rep, u.fold, u.base ORDER BY x.d, x.neighbour) AS r
+        FROM used u JOIN near x ON x.base = u.base JOIN train t ON t.rep = u.rep AND t.fold = u.fold AND t.id = x.neighbour),
+pick AS (SELECT *, CAST('0x' || substr(md5(base || '-' || j || '-42'), 1, 8) AS BIGINT) / 4294967296.0 AS u1,
+                CAST('0x' || substr(md5(base || '-' || j || '-42'), 9, 8) AS BIGINT) / 4294967296.0 AS gap FROM own WHERE r <= 5)
+SELECT p.rep, p.fold, p.base || '~s' || p.j AS id, p.base, p.neighbour, round(gap, 6) AS gap, {", ".join(f"round(a.{f} + gap * (b.{f} - a.{f}), 6) AS {f}" for f in feats)}
+FROM pick p JOIN mino a ON a.id = p.base JOIN mino b ON b.id = p.neighbour WHERE r = floor(u1 * 5) + 1"""
+
+
 def _tree() -> str:
     """One level of the tree per round: rows of mixed nodes are cut at the best
     value and sent on; rows of the first fold follow without a say."""
@@ -865,6 +884,7 @@ FROM (SELECT *, CASE WHEN p_mean >= 0 THEN p_mean ELSE 0.5 END AS p_cold
     "label_counters": _label_counters,
     "file_history": _file_history,
     "line_diff": _line_diff,
+    "smote_rows": _smote_rows,
     "tree_nodes": lambda: _tree() + "SELECT DISTINCT up AS node, f AS feature, v AS value, n0, n1 FROM lv WHERE up IS NOT NULL",
     "tree_holdout": lambda: _tree() + "SELECT id, up AS node, n0, n1 FROM lv WHERE up IS NOT NULL AND f IS NULL AND NOT t",
     "folds_10x10": lambda: with_views("folds_full") + "SELECT * FROM folds_full",
