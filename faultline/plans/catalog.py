@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.paths import snapshot_file
+from ..operators import commit_graph as graph_ops
 from ..operators import dataset as ds_ops
 from ..operators import history as hist_ops
 from ..operators import smells as smell_ops
@@ -22,6 +23,7 @@ from ..operators import evaluation as ev_ops
 from ..operators import fold_bayes as nb_ops
 from ..operators import linediff as diff_ops
 from ..operators import models as ml_ops
+from ..operators import ownership as own_ops
 from ..operators import whatif as wi_ops
 from ..operators import sampling as samp_ops
 from ..operators import stats as stat_ops
@@ -423,6 +425,36 @@ def q_nb_cv_summary_10x10(spark, sf_dir):
     return _r6(ev_ops.cv_summary(_nb_full(spark, sf_dir)))
 
 
+# Kinds of the page events that stand for methods, which nest.
+METHOD_KINDS = ("article", "lambda", "for", "li", "p", "footer")
+
+
+def q_method_owner(spark, sf_dir):
+    """C-1: events of each method itself, without those of the methods in it."""
+    ev = st_ops.html_events(Tables(spark, sf_dir).pages)
+    x = own_ops.owners(ev, ["page_id"], F.col("kind").isin(*METHOD_KINDS))
+    return x.groupBy("page_id", "owner", "level").agg(F.count(F.lit(1)).alias("n_events"), F.max("seq").alias("last_seq"))
+
+
+def q_nested_method_metrics(spark, sf_dir):
+    """C-1, C-4…C-6 of every method, nested ones on their own and within theirs."""
+    ev = st_ops.html_events(Tables(spark, sf_dir).pages)
+    x = materialize(own_ops.owners(ev, ["page_id"], F.col("kind").isin(*METHOD_KINDS), count="all"), "owned_events")
+    return st_ops.structural_metrics(x, st_ops.rules_frame(spark), ["page_id", "owner"])
+
+
+def q_first_parent_order(spark, sf_dir):
+    """S-4: root and depth of each commit along first parents."""
+    return graph_ops.first_parent_order(analogs.commit_parents(Tables(spark, sf_dir)))
+
+
+def q_snapshot_tree(spark, sf_dir):
+    """S-7 / J-9: the files at each release, deleted ones gone."""
+    i = Inputs(spark, sf_dir)
+    changes = i.file_changes.join(i.commits_rel.filter("ord is not null").select("project", "sha", "committed_at", "ord"), ["project", "sha"])
+    return graph_ops.snapshot_tree(changes, i.release_ord)
+
+
 def q_smote_rows(spark, sf_dir):
     """M-3: the synthetic rows of every training side, from one neighbour graph."""
     made = samp_ops.smote_rows(_rows(spark, sf_dir), _folds(spark, sf_dir), NB_FEATURES)
@@ -736,6 +768,10 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "nb_cv_10x10": q_nb_cv_10x10,
     "nb_cv_summary_10x10": q_nb_cv_summary_10x10,
     "line_diff": q_line_diff,
+    "method_owner": q_method_owner,
+    "nested_method_metrics": q_nested_method_metrics,
+    "first_parent_order": q_first_parent_order,
+    "snapshot_tree": q_snapshot_tree,
     "tree_nodes": q_tree_nodes,
     "tree_holdout": q_tree_holdout,
     "downsample": q_downsample,

@@ -594,6 +594,60 @@ SELECT path, rev, CAST(len(b) - coalesce(n, 0) AS BIGINT) AS added, CAST(len(a)
 FROM pr LEFT JOIN lcs USING (path, rev)"""
 
 
+view("page_levels", "page_events")("""
+SELECT page_id, seq, kind, phase, m, was - low + CASE WHEN m AND phase = 'enter' THEN 1 ELSE 0 END AS level
+FROM (SELECT *, min(was) OVER (PARTITION BY page_id ORDER BY seq) AS low
+      FROM (SELECT *, sum(step) OVER (PARTITION BY page_id ORDER BY seq) - step AS was
+            FROM (SELECT *, kind IN ('article', 'lambda', 'for', 'li', 'p', 'footer') AS m,
+                         CASE WHEN kind NOT IN ('article', 'lambda', 'for', 'li', 'p', 'footer') THEN 0 WHEN phase = 'enter' THEN 1 ELSE -1 END AS step
+                  FROM page_events) a) b) c""")
+
+# Each event with every method whose first and last event lie around it.
+view("page_enclosing", "page_levels")("""
+SELECT e.page_id, e.seq, e.kind, e.phase, o.seq AS owner, o.level
+FROM page_levels e
+JOIN (SELECT o.page_id, o.seq, o.level, min(x.seq) AS until FROM page_levels o
+      LEFT JOIN page_levels x ON x.page_id = o.page_id AND x.m AND x.phase = 'exit' AND x.seq > o.seq AND x.level = o.level
+      WHERE o.m AND o.phase = 'enter' GROUP BY 1, 2, 3) o
+  ON o.page_id = e.page_id AND o.seq <= e.seq AND (o.until IS NULL OR e.seq <= o.until)""")
+
+
+def _method_owner() -> str:
+    return with_views("page_enclosing") + """
+SELECT page_id, owner, CAST(level AS INTEGER) AS level, count(*) AS n_events, CAST(max(seq) AS INTEGER) AS last_seq
+FROM (SELECT *, row_number() OVER (PARTITION BY page_id, seq ORDER BY owner DESC) AS rn FROM page_enclosing) x
+WHERE rn = 1 GROUP BY 1, 2, 3"""
+
+
+def _nested_method_metrics() -> str:
+    body = VIEWS["page_metrics"][1]
+    body = body[body.index("SELECT page_id, count(CASE"):body.index(") m ON m.page_id")]
+    for old, new in {"SELECT page_id, count": "SELECT page_id, owner, count", "SELECT e.page_id, e.seq": "SELECT e.page_id, e.owner, e.seq",
+                     "FROM page_events e": "FROM page_enclosing e", "PARTITION BY page_id": "PARTITION BY page_id, owner", "GROUP BY page_id": "GROUP BY page_id, owner"}.items():
+        body = body.replace(old, new)
+    return with_views("page_enclosing") + body
+
+
+def _first_parent_order() -> str:
+    return with_views("commits").replace("WITH ", "WITH RECURSIVE ", 1) + """,
+c AS MATERIALIZED (SELECT project, sha, CAST(sha AS BIGINT) % 4 AS branch, committed_at FROM commits),
+p AS MATERIALIZED (SELECT project, sha, lag(sha) OVER (PARTITION BY project, branch ORDER BY committed_at, sha) AS parent FROM c),
+walk(project, sha, root, depth) AS (
+  SELECT project, sha, sha, 0::BIGINT FROM p WHERE parent IS NULL
+  UNION ALL SELECT p.project, p.sha, walk.root, walk.depth + 1 FROM walk JOIN p ON p.project = walk.project AND p.parent = walk.sha)
+SELECT * FROM walk"""
+
+
+def _snapshot_tree() -> str:
+    return with_views("file_changes", "commit_release", "release_ord") + """
+SELECT project, release_id, path, sha
+FROM (SELECT r.project, r.release_id, f.path, f.sha, f.change_type,
+             row_number() OVER (PARTITION BY r.project, r.release_id, f.path ORDER BY c.ord DESC, c.committed_at DESC, f.sha DESC) AS rn
+      FROM release_ord r JOIN commit_release c ON c.project = r.project AND c.ord <= r.ord
+      JOIN file_changes f ON f.project = c.project AND f.sha = c.sha) x
+WHERE rn = 1 AND change_type <> 'DELETE'"""
+
+
 def _smote_rows() -> str:
     """All pairs of minority rows; of the nearest of each, those of the training side."""
     feats = ("LOC", "NestingDepth", "ParameterCount", "TotalChurn")
@@ -884,6 +938,10 @@ FROM (SELECT *, CASE WHEN p_mean >= 0 THEN p_mean ELSE 0.5 END AS p_cold
     "label_counters": _label_counters,
     "file_history": _file_history,
     "line_diff": _line_diff,
+    "method_owner": _method_owner,
+    "nested_method_metrics": _nested_method_metrics,
+    "first_parent_order": _first_parent_order,
+    "snapshot_tree": _snapshot_tree,
     "smote_rows": _smote_rows,
     "tree_nodes": lambda: _tree() + "SELECT DISTINCT up AS node, f AS feature, v AS value, n0, n1 FROM lv WHERE up IS NOT NULL",
     "tree_holdout": lambda: _tree() + "SELECT id, up AS node, n0, n1 FROM lv WHERE up IS NOT NULL AND f IS NULL AND NOT t",

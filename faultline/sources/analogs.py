@@ -115,6 +115,26 @@ def issues(t: Tables, rel: DataFrame | None = None) -> DataFrame:
     return x.select("project", "ticket_key", "created", "resolved", names.alias("affected_names"))
 
 
+#: Lines of development that the commits of a project are dealt to.
+BRANCHES = 4
+
+
+def commit_parents(t: Tables, cm: DataFrame | None = None) -> DataFrame:
+    """commit_parents(project, sha, parent, parent_no): commits of one project
+    and of orders with equal key modulo ``BRANCHES`` follow each other by date;
+    every 16th commit also merges the order with the next key."""
+    from ..operators.sampling import row_positions
+
+    cm = commits(t) if cm is None else cm
+    key = F.col("sha").cast("long")
+    c = cm.select("project", "sha", "committed_at", (key % BRANCHES).alias("branch"))
+    pos = row_positions(c, ["project", "branch"], ["committed_at", "sha"], broadcast_offsets=False)
+    before = pos.select("project", "branch", (F.col("_pos") + 1).alias("_pos"), F.col("sha").alias("parent"))
+    first = pos.join(before, ["project", "branch", "_pos"], "left").select("project", "sha", "parent", F.lit(0).alias("parent_no"))
+    merged = c.filter(key % 16 == 0).select("project", "sha", (key + 1).cast("string").alias("parent"), F.lit(1).alias("parent_no"))
+    return first.unionByName(merged)
+
+
 def release_ordinals(rel: DataFrame) -> DataFrame:
     """releases + ``ord`` (1-based, by date then id) and ``n_releases`` per project.
 
