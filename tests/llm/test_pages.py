@@ -141,3 +141,76 @@ def test_hosts_of_very_many_labels(spark):
     assert got == {1: ("com/", "allow", True), 2: (None, "allow", False), 3: ("com/", "allow", False), 4: (None, "allow", False)}
     keys = urls.candidate_keys(spark.createDataFrame([(long + "example.com", "/x")], "host string, path string"), [1], 2)
     assert sorted(r.key for r in keys.collect()) == ["com/", "example.com/"]
+
+
+# --- the wrapper decides ---------------------------------------------------
+
+def shop_pages(body, n=12):
+    """Pages of one host: a varying article within what ``body`` makes of it."""
+    return [(i, "http://news.example/x", body(i, f"<p>First story number{i} of word{i * 7}.</p>", f"<p>Second part about thing{i * 13}.</p>")) for i in range(n)]
+
+
+def texts_of(spark, rows):
+    return {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+def story(i):
+    return f"First story number{i} of word{i * 7}.\nSecond part about thing{i * 13}."
+
+
+def test_constant_notice_inside_an_article_goes(spark):
+    got = texts_of(spark, shop_pages(lambda i, a, b: f"<body><article>{a}<p>We use small files to make this site work.</p>{b}</article></body>"))
+    assert got == {i: story(i) for i in range(12)}
+    few = texts_of(spark, shop_pages(lambda i, a, b: f"<article>{a}<p>Only here.</p>{b}</article>", 3))  # too few pages to tell
+    assert few[0].split("\n")[1] == "Only here."
+
+
+def test_rotating_block_and_menu_without_an_article_go(spark):
+    got = texts_of(spark, shop_pages(lambda i, a, b: f'<body class="post postid-{i}"><div class="m{i}">Home News Sport</div><div class="text">{a}{b}</div>'
+                                                     f'<div class="box">{["Buy this.", "Buy that."][i % 2]}</div></body>'))
+    assert got == {i: story(i) for i in range(12)}
+
+
+def test_words_of_a_class_do_not_cut_articles(spark):
+    got = texts_of(spark, shop_pages(lambda i, a, b: f'<article>{a}<div class="market-share">Share {i} of the market rose.</div>{b}'
+                                                     f'<div class="related-work">Work {i} of others.</div></article>'))
+    assert got[3] == "First story number3 of word21.\nShare 3 of the market rose.\nSecond part about thing39.\nWork 3 of others."
+    links = "".join(f'<p><a href="/{k}">Story {k}</a></p>' for k in range(3))
+    got = texts_of(spark, shop_pages(lambda i, a, b: f'<article>{a}{b}<div class="related-posts">{links}</div><div class="share">Send {i}</div></article>'))
+    assert got[3] == story(3)
+
+
+def test_near_copies_keep_their_text(spark):
+    """An article that several pages of a small host repeat is no template."""
+    same = "".join(f"<p>Paragraph {k} of the same report.</p>" for k in range(6))
+    rows = [(i, "http://a.example/", f"<article><p>Edition {i}.</p>{same}</article>") for i in range(8)]
+    got = texts_of(spark, rows)
+    assert all(got[i] == "\n".join([f"Edition {i}.", *[f"Paragraph {k} of the same report." for k in range(6)]]) for i in range(8))
+
+
+def test_texts_depend_on_the_template(sf):
+    for row in pq.read_table(f"{sf}/pages.parquet").to_pylist()[:40]:
+        page = html_text.Page(row["html"] or "")
+        to = html_text.aligned(page.skeleton(), page.skeleton())
+        assert to == tuple(range(len(to)))
+        assert page.content(frozenset(range(len(to)))) == ""
+
+
+def test_matching_by_tag_prefers_equal_classes():
+    read = lambda h: html_text.Page(h).skeleton()
+    a, b = read("<div class=x>1</div><div class=y>2</div>"), read("<div class=z>0</div><div class=x>1</div><div class=q>2</div>")
+    assert html_text.aligned(a, b) == (0, 2, 3)
+    assert html_text.aligned(read("<body class='post id-7'><p>1</p></body>"), read("<body class='post id-81'><p>1</p></body>")) == (0, 1, 2)
+
+
+def test_deep_pages_are_aligned_in_little_memory():
+    import time
+    import tracemalloc
+
+    began = time.process_time()
+    page = html_text.Page("<div>" * 5000 + "text")
+    tracemalloc.start()
+    to = html_text.aligned(page.skeleton(), page.skeleton() + "\n1\tp")
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert to == tuple(range(5001)) and peak < 100_000_000 and time.process_time() - began < 20
