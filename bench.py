@@ -23,6 +23,7 @@ HEADLINE = [
     "file_churn", "line_churn", "nesting_depth", "smell_counts", "method_dataset", "spearman_ranking",
     "info_gain_fixed_bins", "folds", "fold_metrics", "gaussian_nb_scores", "knn_scores", "whatif_summary",
     "info_gain_mdl", "smote_balance", "cv_by_project",
+    "line_diff", "snapshot_tree", "method_owner", "first_parent_order", "tree_nodes",
 ]
 
 
