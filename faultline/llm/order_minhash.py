@@ -17,6 +17,7 @@ is its distance from the first of its run, found by binary search.
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -107,10 +108,12 @@ def _bucket_of(order: Column, bounds: list[int]) -> Column:
     return coarse * step + below(F.slice(longs(bounds), coarse * step + 1, F.lit(step)))
 
 
-def with_next(df: DataFrame, id_col: str, carried: list[str], buckets: int) -> DataFrame:
+def with_next(df: DataFrame, id_col: str, carried: list[str], buckets: int,
+              derive: Callable[[DataFrame], DataFrame] = lambda x: x, derived: tuple[str, ...] = ()) -> DataFrame:
     """``df`` with ``next_<c>`` for each carried column: its value in the next
     row by descending id (nulls last; ties by a hash of ``carried``), after the
-    last row the first.
+    last row the first.  ``derive`` adds the ``derived`` columns, which get a
+    ``next_`` column, too; it runs behind the shuffle, once for each row.
 
     Rows are dealt into buckets of consecutive ids (bounds from approximate
     quantiles, at most ``MAX_BUCKETS`` of them on the driver), so one shuffle
@@ -130,8 +133,9 @@ def with_next(df: DataFrame, id_col: str, carried: list[str], buckets: int) -> D
     first = x.join(F.broadcast(heads), (F.col("_b") == F.col("_hb")) & order.eqNullSafe(F.col("_head")))
     first = first.dropDuplicates(["_hb"]).withColumn("_b", F.col("_before")).drop("_hb", "_head", "_before")
     both = x.withColumn("_copy", F.lit(0)).unionByName(first.withColumn("_copy", F.lit(1)))
+    both = derive(both.repartition("_b"))  # the window below keeps this partitioning
     w = Window.partitionBy("_b").orderBy(F.col("_copy"), number.desc_nulls_last(), F.col("_tie").desc())
-    return (both.select("*", *[F.lead(c).over(w).alias(f"next_{c}") for c in carried])
+    return (both.select("*", *[F.lead(c).over(w).alias(f"next_{c}") for c in [*carried, *derived]])
             .filter("_copy = 0").drop("_copy", "_b", "_tie"))
 
 
@@ -149,8 +153,8 @@ def edit_study(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     x = docs.select(F.col(f"`{id_col}`").alias("doc"), text_or_empty(text_col).alias("text"))
     chars = docs.select(F.sum(F.length(text_or_empty(text_col)))).first()[0] or 0
     shuffles = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    x = with_fingerprint(x, "text", "fp")
-    x = with_next(x, "doc", ["text", "fp"], max(4 * shuffles, chars // bucket_chars))
+    x = with_next(x, "doc", ["text"], max(4 * shuffles, chars // bucket_chars),
+                  lambda rows: with_fingerprint(rows, "text", "fp"), ("fp",))
     n = F.length("text")
     third = F.floor(n / 3).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - third), F.substring(F.col("next_text"), F.lit(1), third))

@@ -78,3 +78,53 @@ def test_moved_blocks_change_the_fingerprint_of_short_texts(spark):
 
 def test_empty(nothing):
     assert om.edit_study(nothing).count() == 0
+
+
+def brute_fingerprint(text, k=om.K, bins=om.BINS):
+    """The signature by dictionaries: Spark's hash is XXH64 with seed 42, each further value seeded by the hash so far."""
+    import re
+    import struct
+
+    import xxhash
+
+    def h(*values):
+        seed = 42
+        for v in values:
+            seed = xxhash.xxh64_intdigest(v, seed)
+        return seed
+
+    long = lambda v: struct.pack("<Q", v % 2**64)
+    words = [h(w.encode()) for w in re.findall(om.TOKEN, text)]
+    seen, by_bin = Counter(), {}
+    for i in range(len(words)):
+        v = h(*map(long, words[i:i + k])) % 2**32
+        seen[v] += 1
+        value = v if seen[v] == 1 else h(long(v), struct.pack("<i", seen[v] - 1)) % 2**32
+        by_bin.setdefault(value * bins >> 32, []).append((value, i))
+    least = {b: sorted(x)[:2] for b, x in by_bin.items()}
+    out, order = [], sorted(least)
+    for at, b in enumerate(order):
+        pair = [least[b][0], least[b][1] if len(least[b]) > 1 else least[order[(at + 1) % len(order)]][0]]
+        chosen = [long(v) for v, _ in sorted(pair, key=lambda p: p[1])]
+        out.append(f"{b << 24 | h(*(chosen if len(words) > 1 else chosen[:1])) % 2**24:08x}")
+    return "".join(out)
+
+
+def test_fingerprints_equal_brute_force(awkward, spark, sf):
+    want = Counter((r[0], brute_fingerprint(r[1] or "")) for r in awkward_rows())
+    assert Counter((r.doc_id, r.fingerprint) for r in om.edit_study(awkward).collect()) == want
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = sorted(docs.select("doc_id", "text").collect(), key=lambda r: -r.doc_id)
+    got = {r.doc_id: r for r in om.edit_study(docs).collect()}
+    bits = lambda f: {f[i:i + 8] for i in range(0, len(f), 8)}
+
+    def like(a, b):
+        return len(bits(a) & bits(b)) / len({x[:2] for x in bits(a) | bits(b)}) if a or b else 1.0
+
+    for r, after in zip(rows, rows[1:] + rows[:1], strict=True):
+        a, b = r.text or "", after.text or ""
+        edited = a[:len(a) - len(a) // 3] + b[:len(a) // 3]
+        have = got[r.doc_id]
+        assert (have.fingerprint, have.edited_fingerprint) == (brute_fingerprint(a), brute_fingerprint(edited))
+        assert abs(have.near_edited - like(have.fingerprint, have.edited_fingerprint)) < 1e-9
+        assert abs(have.near_next - like(have.fingerprint, brute_fingerprint(b))) < 1e-9
