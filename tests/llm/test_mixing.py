@@ -77,3 +77,33 @@ def test_mixed_rows_agree_with_sizes(awkward):
 def test_empty(nothing):
     assert mixing.mix_sizes(nothing).count() == 0
     assert mixing.mix(nothing).count() == 0
+
+
+def check_targets(rows, got, each):
+    """``got``: (source key, taken words) pairs; every source comes within half a document of its target."""
+    want = {}
+    for _, n, total, target, _ in brute(rows, lambda i: i % 3 + 1):
+        want[total] = (target, n)
+    taken = defaultdict(int)
+    for total, n in got:
+        taken[total] += n
+    for total, (target, _) in want.items():
+        assert abs(taken[total] - target) <= each / 2 + 1e-6, (total, taken[total], target)
+
+
+def test_rows_that_share_an_id_meet_the_target(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 50)
+    monkeypatch.setattr(mixing, "CHUNK", 100)
+    for ids, texts in ((lambda i: 7, lambda i: "w w w w"), (lambda i: None, lambda i: f"w w w w{i}"), (lambda i: i % 2, lambda i: f"w w w w{i % 30}")):
+        rows = [(ids(i), texts(i), "a" if i % 3 else "b") for i in range(1200)]
+        df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+        got = mixing.mix_sizes(df).collect()
+        assert len(got) == len(rows)
+        check_targets(rows, [(r.source_size, r.taken) for r in got], 4)
+        assert all(r.taken <= 3 * r.size for r in got)
+        mixed = Counter(map(tuple, mixing.mix(df).collect()))
+        total = {"a": 3200, "b": 1600}
+        check_targets(rows, [(total[r[2]], 4 * n) for r, n in mixed.items()], 4)
+        held = Counter(rows)
+        assert all(n <= 3 * held[r] for r, n in mixed.items())
+        assert mixed == Counter(map(tuple, mixing.mix(df.repartition(7)).collect()))  # reruns agree
