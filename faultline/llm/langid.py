@@ -21,7 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import map_texts, small_batches, text_or_empty
@@ -217,17 +217,23 @@ def held_out(id_col: str) -> Column:
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
           per_language: int = TRAIN_DOCS, max_chars: int = TRAIN_CHARS) -> Model | None:
     """Fit on documents with a language that are not held out.  Each language
-    is thinned by a hash of the id to ``per_language`` documents on average,
-    so the sample that reaches the driver does not grow with the table."""
+    is thinned by a hash of id and text to about ``per_language`` documents.
+    Rows that repeat both fall together; they are cut at twice that number a
+    language, so the sample that reaches the driver does not grow with the table."""
     lang, text = F.col(f"`{lang_col}`").cast("string"), F.col(f"`{text_col}`").cast("string")
     pool = docs.filter(lang.isNotNull() & text.isNotNull() & ~held_out(id_col) & (F.length(text) <= max_chars))
     counts = {r[0]: r[1] for r in pool.groupBy(lang.alias("l")).agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return None
     rate = F.create_map(*[F.lit(x) for c, n in counts.items() for x in (c, min(1.0, per_language / n))])[lang]
-    place = F.pmod(F.xxhash64(F.col(f"`{id_col}`"), F.lit(SEED)), F.lit(1 << 20)) / (1 << 20)
-    rows = pool.filter(place < rate).select(text, lang).collect()
-    rows = sorted((r[0], r[1]) for r in rows)
+    place = F.pmod(F.xxhash64(F.col(f"`{id_col}`"), text, F.lit(SEED)), F.lit(1 << 20)) / (1 << 20)
+    sample = pool.filter(place < rate).groupBy(text.alias("t"), lang.alias("l")).agg(F.count(F.lit(1)).alias("n"))
+    # Equal rows travel as one; texts stay in the order of their hash until a language has enough.
+    upto = F.sum("n").over(Window.partitionBy("l").orderBy(F.xxhash64("t", F.lit(SEED)), "t").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    most = 2 * per_language
+    sample = sample.withColumn("before", upto - F.col("n")).filter(F.col("before") < most)
+    rows = sample.select("t", "l", F.least("n", most - F.col("before")).alias("n")).collect()
+    rows = sorted((r[0], r[1]) for r in rows for _ in range(r[2]))
     return fit([r[0] for r in rows], [r[1] for r in rows])
 
 

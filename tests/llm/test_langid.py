@@ -93,3 +93,16 @@ def test_jobs_over_awkward_rows(awkward, nothing):
     assert langid.train(nothing) is None
     assert {r.lang_pred for r in langid.predict(awkward, None).collect()} == {"und"}
     assert langid.predict(nothing, m).count() == 0 and langid.keep_identified(nothing, None).count() == 0
+
+
+def test_sample_is_bounded_for_repeated_ids_and_rows(spark, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(langid, "fit", lambda texts, langs: seen.update(n=len(texts), langs=set(langs)))
+    free = [i for i in range(60) if zlib.crc32(str(i).encode()) % 5][:6]
+    for doc in free:
+        rows = [(doc, f"text number {i}", "en") for i in range(3000)]
+        langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), per_language=100)
+        assert 50 < seen["n"] <= 200 and seen["langs"] == {"en"}
+    rows = [(i, "one text", "en") for i in free for _ in range(2000)] + [(free[0], f"t {i}", "de") for i in range(40)]
+    langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), per_language=100)
+    assert seen["n"] <= 240 and "de" in seen["langs"]
