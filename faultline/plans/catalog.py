@@ -303,6 +303,13 @@ def q_smell_counts(spark, sf_dir):
     return Inputs(spark, sf_dir).smells
 
 
+def q_range_smell_counts(spark, sf_dir):
+    """Violations per innermost method by line range (J-8)."""
+    i = Inputs(spark, sf_dir)
+    methods = i.methods.join(analogs.method_lines(i.t), "method_ord")
+    return smell_ops.range_smell_counts(analogs.violations(i.t), i.releases, methods)
+
+
 def q_method_dataset(spark, sf_dir):
     return Inputs(spark, sf_dir).dataset
 
@@ -753,6 +760,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "weighted_complexity": q_weighted_complexity,
     "text_size": q_text_size,
     "smell_counts": q_smell_counts,
+    "range_smell_counts": q_range_smell_counts,
     "method_dataset": q_method_dataset,
     "dataset_cut": q_dataset_cut,
     "dataset_cut_by_name": q_dataset_cut_by_name,

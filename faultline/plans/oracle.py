@@ -279,6 +279,22 @@ JOIN (SELECT m.project, m.release_id, m.class, m.simple_name, min(m.method_ord)
   ON c.project = v.project AND c.release_id = v.release_id AND c.class = v.class AND c.simple_name = v.method
 GROUP BY 1, 2, 3, 4""")
 
+view("range_smells", "violations", "methods", "releases")(r"""
+SELECT project, release_id, path, method_ord, count(*) AS n_smells
+FROM (SELECT v.project, v.release_id, m.path, m.method_ord, row_number() OVER (
+               PARTITION BY v.event_id ORDER BY m.end_line - m.begin_line, m.begin_line DESC, m.method_ord) AS place
+      FROM (SELECT row_number() OVER () AS event_id, v.project, r.release_id, v.class, v.beginline FROM violations v
+            JOIN releases r ON r.project = v.project AND r.name = v.release_name) v
+      JOIN (SELECT s.*, p.page_id % 100 AS begin_line, p.page_id % 100 + length(coalesce(p.html, '')) // 500 AS end_line
+            FROM (SELECT *, regexp_replace(regexp_extract(path, '([^/]*)$', 1), '\.java$', '') AS class FROM methods) s
+            JOIN pages p ON p.page_id = s.method_ord) m
+        ON m.project = v.project AND m.release_id = v.release_id AND m.class = v.class
+           AND v.beginline BETWEEN m.begin_line AND m.end_line
+      JOIN (SELECT project, release_id, regexp_replace(regexp_extract(path, '([^/]*)$', 1), '\.java$', '') AS class,
+                   min(path) AS path FROM methods GROUP BY 1, 2, 3) f
+        ON f.project = m.project AND f.release_id = m.release_id AND f.class = m.class AND f.path = m.path) x
+WHERE place = 1 GROUP BY 1, 2, 3, 4""")
+
 view("dataset", "methods", "page_metrics", "file_churn", "labelled", "smells", "releases")("""
 SELECT m.project AS ProjectName, r.name AS Release, m.path || '/' || m.signature AS MethodName,
        CAST(coalesce(pm.loc, 0) AS BIGINT) AS LOC, CAST(coalesce(pm.params, 0) AS BIGINT) AS ParameterCount,
@@ -969,6 +985,7 @@ GROUP BY s.project, s.release_id, s.path""",
     "weighted_complexity": _weighted_complexity,
     "text_size": _text_size,
     "smell_counts": lambda: with_views("smells") + "SELECT * FROM smells",
+    "range_smell_counts": lambda: with_views("range_smells") + "SELECT * FROM range_smells",
     "method_dataset": lambda: with_views("dataset") + "SELECT * FROM dataset",
     "dataset_cut": lambda: _cut("date"),
     "dataset_cut_by_name": lambda: _cut("name"),

@@ -267,5 +267,12 @@ def snapshot_methods(java_snapshots: DataFrame, pm: DataFrame) -> DataFrame:
     return s.join(pm, "class").select("project", "release_id", "path", "method_ord", "simple_name", "signature")
 
 
+def method_lines(t: Tables) -> DataFrame:
+    """Line ranges of page methods: from line ``page % 100``, one line more per 500 characters."""
+    begin = F.col("page_id") % 100
+    size = F.floor(F.length(F.coalesce("html", F.lit(""))) / 500)
+    return t.pages.select(F.col("page_id").alias("method_ord"), begin.alias("begin_line"), (begin + size).alias("end_line"))
+
+
 # The market segments of the test data, which act as projects.
 PROJECTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
