@@ -9,7 +9,9 @@ decides exactly.  False positives cost a shuffle, never a wrong row.
 The filter holds one row of four longs (256 bits) per block.  Its size follows
 the number of rows (``BITS_PER_ROW``); up to ``BROADCAST_BLOCKS`` blocks it is
 broadcast, beyond that the probe is a shuffled join on the block number, with
-the same result.
+the same result.  That join holds digests only: the rows and their texts meet
+the possibly repeated digests, as 8-byte hashes, which are broadcast while their
+stored size allows.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.hints import broadcast_if_small
 from ..session import materialize
 from .common import row_key, text_or_empty
 
@@ -62,6 +65,18 @@ def flag_repeats(df: DataFrame, digest: str, digests: DataFrame) -> DataFrame:
             .withColumn("_again", F.coalesce(hit, F.lit(False))).drop("_block", *LANES))
 
 
+def flag_rows(df: DataFrame, digest: str, digests: DataFrame) -> DataFrame:
+    """Pass 2 for wide rows: as :func:`flag_repeats`, but beyond the broadcast
+    bound ``digests`` are probed in place of ``df``, and ``df`` joins the hashes of
+    those that are possibly repeated.  Two digests of one hash are both flagged."""
+    if digests.count() * BITS_PER_ROW // BLOCK_BITS <= BROADCAST_BLOCKS:
+        return flag_repeats(df, digest, digests)
+    again = flag_repeats(digests, "_digest", digests).filter("_again").select(F.xxhash64("_digest").alias("_hash")).distinct()
+    again = broadcast_if_small(materialize(again, "repeated").withColumn("_again", F.lit(True)))
+    joined = df.withColumn("_hash", F.xxhash64(F.col(f"`{digest}`"))).join(again, "_hash", "left")
+    return joined.withColumn("_again", F.coalesce("_again", F.lit(False))).drop("_hash")
+
+
 def _is_set(word: Column, bit: Column) -> Column:
     return F.call_function("bit_get", word, bit.bitwiseAND(F.lit(63))) == 1
 
@@ -93,11 +108,12 @@ def group_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each group of equal texts (all its columns):
     the row with the largest id, ties by a hash of the row.  Rows whose text
-    is not repeated do not shuffle; repeated ones are reduced in the map tasks
+    is not repeated do not shuffle (while the hashes of the repeated ones can be
+    broadcast; see :func:`flag_rows`); repeated ones are reduced in the map tasks
     before they do, so a hot text sends one row per task."""
     # The caller's columns travel in one struct: no name can clash.
     row, key = F.struct(*[F.col(f"`{c}`") for c in docs.columns]), row_key(docs, [id_col])
     held = docs.select(row.alias("_row"), key.alias("_key"), F.sha2(text_or_empty(text_col), 256).alias("_digest"))
-    seen = flag_repeats(held, "_digest", materialize(held.select("_digest"), "digests"))
+    seen = flag_rows(held, "_digest", materialize(held.select("_digest"), "digests"))
     best = seen.filter("_again").groupBy("_digest").agg(F.max_by("_row", "_key").alias("_row"))
     return seen.filter(~F.col("_again")).select("_row").unionByName(best.select("_row")).select("_row.*")

@@ -51,6 +51,19 @@ def test_beyond_the_broadcast_bound(awkward, monkeypatch):
     assert rows_of(exact_dedup.group_copies(awkward), "doc_id", "keep_id", "group_size", "kept") == want
 
 
+def test_rows_beyond_the_broadcast_bound_do_not_join_the_filter(awkward, monkeypatch):
+    want = rows_of(exact_dedup.drop_copies(awkward), "doc_id", "text")
+    monkeypatch.setattr(exact_dedup, "BROADCAST_BLOCKS", -1)
+    joined = []
+    probe = exact_dedup.flag_repeats
+    monkeypatch.setattr(exact_dedup, "flag_repeats", lambda df, *a: joined.append(df.columns) or probe(df, *a))
+    got = exact_dedup.drop_copies(awkward)
+    assert rows_of(got, "doc_id", "text") == want and got.columns == awkward.columns
+    assert joined == [["_digest"]]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastHashJoin") >= 1 and "SortMergeJoin" not in plan
+
+
 def test_empty(nothing):
     assert exact_dedup.group_copies(nothing).count() == 0
     assert exact_dedup.drop_copies(nothing).count() == 0
