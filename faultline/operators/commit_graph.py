@@ -1,4 +1,4 @@
-"""Commit graph and tree state: first-parent order, files at a release (S-4, S-7, J-9)."""
+"""Commit graph and tree state: first-parent order, commits a release holds, files at a release (S-4, S-7, J-9)."""
 
 from __future__ import annotations
 
@@ -40,6 +40,67 @@ def first_parent_order(parents: DataFrame) -> DataFrame:
     return up.select("project", "sha", F.col("at").alias("root"), "depth")
 
 
+def _jumps(first: DataFrame, limit: int) -> list[DataFrame]:
+    """Stored pointers (project, sha, at) 1, 2, 4, … steps up the first-parent
+    forest, until no commit has an ancestor that far.  ``limit`` rounds reach
+    further than any chain, so pointers left after them follow a cycle."""
+    out = [first]
+    while len(out) <= limit:
+        over = out[-1].select("project", F.col("sha").alias("at"), F.col("at").alias("_at"))
+        up = materialize(out[-1].join(over, ["project", "at"]).select("project", "sha", F.col("_at").alias("at")), "jumps")
+        if up.isEmpty():
+            return out
+        out.append(up)
+    raise ValueError("first parents form a cycle")
+
+
+def first_releases(parents: DataFrame, tips: DataFrame) -> DataFrame:
+    """(project, sha, ord): the first release that holds each commit, null where none does.
+
+    ``parents`` is as for :func:`first_parent_order`; ``tips`` has (project, sha,
+    ord), the commit each release was made from.  A release holds its commit and
+    all ancestors of it, along first and merged parents.  Tips that are no commit
+    of the table count for nothing; a commit with several tips takes the least.
+
+    The least ordinal travels from tips to ancestors.  Along first parents it
+    takes log2(length of the longest chain) joins by jump pointers; over merged
+    parents one join, from those commits alone whose ordinal fell.  The two
+    alternate until none falls: as often as a path to a commit leaves a
+    first-parent chain.  Each join meets a commit once, and ordinals are reduced
+    in the map tasks, so a commit with very many children gathers in no task.
+    """
+    key = ["project", "sha"]
+    nodes = materialize(parents.groupBy(*key).agg(F.min(F.when(F.col("parent_no") == 0, F.col("parent"))).alias("first")), "commits")
+    known = nodes.select("project", F.col("sha").alias("at"))
+    first = materialize(nodes.select(*key, F.col("first").alias("at")).join(known, ["project", "at"], "left_semi").select(*key, "at"), "first_parents")
+    merged = parents.filter("parent_no > 0").select(*key, F.col("parent").alias("at")).distinct()
+    merged = materialize(merged.join(known, ["project", "at"], "left_semi").select(*key, "at"), "merged_parents")
+    jumps = _jumps(first, max(1, nodes.count()).bit_length() + 1)
+
+    def over(edges, found):
+        return edges.join(found, key).select("project", F.col("at").alias("sha"), "ord")
+
+    def least(x):
+        return x.groupBy(*key).agg(F.min("ord").alias("ord"))
+
+    found = materialize(least(tips.filter("ord is not null").join(nodes.select(*key), key, "left_semi").select(*key, "ord")), "tips")
+    held = found.limit(0)
+    while not found.isEmpty():
+        for up in jumps:
+            found = materialize(least(found.unionByName(over(up, found))), "held")
+        before = held.select(*key, F.col("ord").alias("_ord"))
+        fell = materialize(found.join(before, key, "left").filter("_ord is null or ord < _ord").select(*key, "ord"), "fell")
+        held = materialize(least(held.unionByName(fell)), "held")
+        now = held.select(*key, F.col("ord").alias("_ord"))
+        found = materialize(least(over(merged, fell)).join(now, key, "left").filter("_ord is null or ord < _ord").select(*key, "ord"), "found")
+    return nodes.select(*key).join(held, key, "left")
+
+
+def commits_not_in_release(parents: DataFrame, tips: DataFrame) -> DataFrame:
+    """(project, sha): commits that no release holds (see :func:`first_releases`)."""
+    return first_releases(parents, tips).filter("ord is null").select("project", "sha")
+
+
 def path_events(changes: DataFrame) -> DataFrame:
     """(project, path, ord, at, present, sha): one row per path a change touches.
     A rename (``old_path`` of a RENAME) removes the old path and adds the new."""

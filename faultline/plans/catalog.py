@@ -455,6 +455,24 @@ def q_first_parent_order(spark, sf_dir):
     return graph_ops.first_parent_order(analogs.commit_parents(Tables(spark, sf_dir)))
 
 
+def _release_tips(i: Inputs) -> DataFrame:
+    """The last commit of each release, as the one it was made from."""
+    c = i.commits_rel.filter("ord is not null")
+    return c.groupBy("project", "ord").agg(F.max(F.struct("committed_at", "sha")).alias("c")).select("project", F.col("c.sha").alias("sha"), "ord")
+
+
+def q_first_releases(spark, sf_dir):
+    """S-4: the first release that holds each commit, by ancestry."""
+    i = Inputs(spark, sf_dir)
+    return graph_ops.first_releases(analogs.commit_parents(i.t), _release_tips(i))
+
+
+def q_commits_not_in_release(spark, sf_dir):
+    """S-4: commits that no release holds, by ancestry."""
+    i = Inputs(spark, sf_dir)
+    return graph_ops.commits_not_in_release(analogs.commit_parents(i.t), _release_tips(i))
+
+
 def q_snapshot_tree(spark, sf_dir):
     """S-7 / J-9: the files at each release, deleted ones gone."""
     i = Inputs(spark, sf_dir)
@@ -779,6 +797,8 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "method_owner": q_method_owner,
     "nested_method_metrics": q_nested_method_metrics,
     "first_parent_order": q_first_parent_order,
+    "first_releases": q_first_releases,
+    "commits_not_in_release": q_commits_not_in_release,
     "snapshot_tree": q_snapshot_tree,
     "tree_nodes": q_tree_nodes,
     "tree_holdout": q_tree_holdout,

@@ -654,6 +654,23 @@ walk(project, sha, root, depth) AS (
 SELECT * FROM walk"""
 
 
+def _first_releases() -> str:
+    """Every commit that each release's commit reaches, release by release."""
+    return with_views("commit_release").replace("WITH ", "WITH RECURSIVE ", 1) + """,
+c AS MATERIALIZED (SELECT project, sha, CAST(sha AS BIGINT) AS k, committed_at FROM commits),
+e AS MATERIALIZED (
+  SELECT project, sha, lag(sha) OVER (PARTITION BY project, k % 4 ORDER BY committed_at, sha) AS parent FROM c
+  UNION ALL SELECT c.project, c.sha, d.sha FROM c JOIN c d ON d.project = c.project AND d.k = c.k + 1 WHERE c.k % 16 = 0),
+tip AS MATERIALIZED (
+  SELECT project, ord, sha FROM (SELECT project, ord, sha, row_number() OVER (PARTITION BY project, ord ORDER BY committed_at DESC, sha DESC) AS rn
+                                 FROM commit_release WHERE ord IS NOT NULL) x WHERE rn = 1),
+walk(project, ord, sha) AS (
+  SELECT project, ord, sha FROM tip
+  UNION SELECT walk.project, walk.ord, e.parent FROM walk JOIN e ON e.project = walk.project AND e.sha = walk.sha WHERE e.parent IS NOT NULL),
+first_releases AS (SELECT c.project, c.sha, min(walk.ord) AS ord FROM c LEFT JOIN walk ON walk.project = c.project AND walk.sha = c.sha GROUP BY 1, 2)
+"""
+
+
 def _snapshot_tree() -> str:
     return with_views("file_changes", "commit_release", "release_ord") + """
 SELECT project, release_id, path, sha
@@ -957,6 +974,8 @@ FROM (SELECT *, CASE WHEN p_mean >= 0 THEN p_mean ELSE 0.5 END AS p_cold
     "method_owner": _method_owner,
     "nested_method_metrics": _nested_method_metrics,
     "first_parent_order": _first_parent_order,
+    "first_releases": lambda: _first_releases() + "SELECT * FROM first_releases",
+    "commits_not_in_release": lambda: _first_releases() + "SELECT project, sha FROM first_releases WHERE ord IS NULL",
     "snapshot_tree": _snapshot_tree,
     "smote_rows": _smote_rows,
     "tree_nodes": lambda: _tree() + "SELECT DISTINCT up AS node, f AS feature, v AS value, n0, n1 FROM lv WHERE up IS NOT NULL",

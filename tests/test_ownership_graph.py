@@ -54,6 +54,35 @@ def test_cycles_are_refused(spark):
         commit_graph.first_parent_order(spark.createDataFrame(rows, "project string, sha string, parent string, parent_no int"))
 
 
+def test_first_release_that_holds_a_commit(spark):
+    r = random.Random(5)
+    parents = {i: sorted({r.randrange(max(0, i - r.choice([1, 1, 1, 40])), i) for _ in range(r.choice([1, 1, 2, 3]))}, key=lambda _: r.random()) for i in range(3, 90)}
+    rows = [("p", str(i), None, 0) for i in range(3)] + [("p", str(i), str(p), no) for i, ps in parents.items() for no, p in enumerate(ps)]
+    rows += [("q", "1", "not there", 0), ("q", "1", "nor there", 1), ("q", "2", "1", 0), ("q", "3", "0", 0), ("q", "0", None, None)]
+    tips = [(str(r.randrange(90)), o) for o in range(1, 9)] + [("17", 30), ("17", 20), ("no commit", 1), ("4", None)]
+    want = {("p", str(i)): None for i in range(90)} | {("q", "0"): None, ("q", "1"): 2, ("q", "2"): 2, ("q", "3"): None}
+    for sha, o in tips:
+        reach, seen = [int(sha)] if sha.isdigit() and o else [], set()
+        while reach:
+            if (at := reach.pop()) not in seen:
+                seen.add(at)
+                reach += parents.get(at, [])
+        for at in seen:
+            want["p", str(at)] = min(want["p", str(at)] or o, o)
+    graph = spark.createDataFrame(rows, "project string, sha string, parent string, parent_no int")
+    at = spark.createDataFrame([("p", *t) for t in tips] + [("q", "2", 2)], "project string, sha string, ord int")
+    assert {(x.project, x.sha): x.ord for x in commit_graph.first_releases(graph, at).collect()} == want
+    assert {tuple(x) for x in commit_graph.commits_not_in_release(graph, at).collect()} == {k for k, v in want.items() if v is None}
+    assert commit_graph.commits_not_in_release(graph, at.limit(0)).count() == len(want)
+    assert commit_graph.first_releases(graph.limit(0), at).count() == 0
+
+
+def test_cycles_below_a_tip_are_refused(spark):
+    graph = spark.createDataFrame([("p", "a", "b", 0), ("p", "b", "a", 0)], "project string, sha string, parent string, parent_no int")
+    with pytest.raises(ValueError, match="cycle"):
+        commit_graph.first_releases(graph, spark.createDataFrame([("p", "a", 1)], "project string, sha string, ord int"))
+
+
 def test_deleted_and_renamed_files_leave_the_tree(spark):
     rows = [("p", "a", None, "ADD", 1, "1", 1), ("p", "b", None, "ADD", 1, "1", 1), ("p", "a", None, "DELETE", 2, "2", 2),
             ("p", "c", "b", "RENAME", 3, "3", 3), ("p", "a", None, "ADD", 4, "4", 4), ("p", "d", "c", "RENAME", 5, "5", 4), ("p", "e", None, "ADD", 2, "2", 2),
