@@ -35,8 +35,8 @@ from ..operators.asof import asof_release
 from ..operators import releases as rel_ops
 from ..operators import tickets as tk_ops
 from ..sources import analogs
-from ..session import ensure_checkpoint_dir, materialize
-from ..sources import results_store, sinks
+from ..session import ensure_checkpoint_dir, materialize, scratch_folder
+from ..sources import results_store, sinks, versioned_store
 from ..sources.tables import Tables
 
 
@@ -714,6 +714,24 @@ def q_project_results_upsert(spark, sf_dir):
                      F.round("avg_recall", 6).alias("avg_recall"), "runs")
 
 
+def q_results_versions(spark, sf_dir):
+    """K-5 / S-11: both versions of a store that received the runs of
+    :func:`q_project_results_upsert`, the project of each record its classifier's
+    first letter; read back by number."""
+    fm = materialize(_fold_metrics(spark, sf_dir), "fold_metrics")
+
+    def results(folds, ts):
+        s = ev_ops.cv_summary(folds)
+        return s.select(F.substring("model", 1, 1).alias("project"), F.col("model").alias("classifier"),
+                        F.lit(ts).alias("run_ts"), "avg_auc", "avg_recall", "runs")
+    store = scratch_folder(spark, "results_versions")
+    versioned_store.append(spark, store, results(fm.filter(F.col("rep") == 0), 1))
+    versioned_store.append(spark, store, results(fm.filter(F.col("model") == "rule_mix"), 2))
+    one, two = (versioned_store.load(spark, store, n).withColumn("version", F.lit(n)) for n in (1, 2))
+    return one.unionByName(two).select("version", "project", "classifier", "run_ts", F.round("avg_auc", 6).alias("avg_auc"),
+                                       F.round("avg_recall", 6).alias("avg_recall"), "runs")
+
+
 def q_info_gain_mdl(spark, sf_dir):
     ig = stat_ops.info_gain_mdl(_rows(spark, sf_dir), ML_FEATURES, "buggy")
     return ig.select("feature", "n_bins", F.round("info_gain", 6).alias("info_gain"))
@@ -822,6 +840,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "refactor_verdict": q_refactor_verdict,
     "prediction_report": q_prediction_report,
     "project_results_upsert": q_project_results_upsert,
+    "results_versions": q_results_versions,
     "info_gain_mdl": q_info_gain_mdl,
     "method_feature_ranking": q_method_feature_ranking,
     "tickets_per_release": q_tickets_per_release,

@@ -1077,4 +1077,18 @@ new AS (SELECT 'method_rows' AS project, model AS classifier, 2 AS run_ts,
 SELECT project, classifier, run_ts, round(avg_auc, 6) AS avg_auc, round(avg_recall, 6) AS avg_recall, runs
 FROM (SELECT *, row_number() OVER (PARTITION BY project, classifier ORDER BY run_ts DESC) AS rn
       FROM (SELECT * FROM old UNION ALL SELECT * FROM new) u) x WHERE rn = 1""",
+    "results_versions": lambda: with_views("fold_metrics") + """
+, per_rep AS (SELECT model, rep, avg(auc) AS auc, avg(recall) AS recall FROM fold_metrics GROUP BY 1, 2),
+old AS (SELECT substr(model, 1, 1) AS project, model AS classifier, 1 AS run_ts,
+               avg(CASE WHEN NOT isnan(auc) THEN auc END) AS avg_auc,
+               avg(CASE WHEN NOT isnan(recall) THEN recall END) AS avg_recall, count(*) AS runs
+        FROM per_rep WHERE rep = 0 GROUP BY model),
+new AS (SELECT substr(model, 1, 1) AS project, model AS classifier, 2 AS run_ts,
+               avg(CASE WHEN NOT isnan(auc) THEN auc END) AS avg_auc,
+               avg(CASE WHEN NOT isnan(recall) THEN recall END) AS avg_recall, count(*) AS runs
+        FROM per_rep WHERE model = 'rule_mix' GROUP BY model)
+SELECT 2 AS version, project, classifier, run_ts, round(avg_auc, 6) AS avg_auc, round(avg_recall, 6) AS avg_recall, runs
+FROM (SELECT *, row_number() OVER (PARTITION BY project, classifier ORDER BY run_ts DESC) AS rn
+      FROM (SELECT * FROM old UNION ALL SELECT * FROM new) u) x WHERE rn = 1
+UNION ALL SELECT 1, project, classifier, run_ts, round(avg_auc, 6), round(avg_recall, 6), runs FROM old""",
 }

@@ -27,7 +27,7 @@ from ..operators import models as ml_ops
 from ..operators import sampling as samp_ops
 from ..operators import stats as stat_ops
 from ..operators import whatif as wi_ops
-from ..sources import landed, results_store, sinks
+from ..sources import landed, results_store, sinks, versioned_store
 from .catalog import Inputs
 
 FEATURES = ["LOC", "ParameterCount", "CycloComplexity", "CognitiveComplexity", "NestingDepth", "Revisions",
@@ -78,7 +78,7 @@ def train_and_choose(spark: SparkSession, inputs: Inputs, ds: DataFrame, out: st
     summary = ev_ops.cv_summary(fm).withColumn("project", at[0]).withColumn("model", at[1]).checkpoint(eager=True)
     new = summary.select("project", F.col("model").alias("classifier"), F.lit(int(time.time())).alias("run_ts"),
                          *[c for c in summary.columns if c not in ("model", "project")])
-    results_store.append(spark, f"{out}/results_store", new)
+    versioned_store.append(spark, f"{out}/results_store", new)
     info = {}
     for p in names:
         own = F.col("ProjectName") == F.lit(p)

@@ -89,6 +89,15 @@ def materialize(df, name: str, run: str | None = None):
     return spark.read.parquet(path)
 
 
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder's path under the shared checkpoint folder, removed when the driver ends."""
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(where)
+    _remove_at_exit(spark, folder)
+    return f"{folder}/{name}"
+
+
 def _remove_at_exit(spark: SparkSession, path: str) -> None:
     """Hadoop removes ``path`` when the driver ends: results may be read lazily
     until then, and no folder of stored stages is left behind after it."""
