@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,6 +37,19 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, BATCH_ROWS)
 
 
+def release() -> None:
+    """Give memory that a task has freed back to the system.  Workers live on
+    idle after a task; without this they keep its peak while later stages run."""
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # not glibc
+
+
 def map_texts(df: DataFrame, columns: list[Column], fn, schema: str) -> DataFrame:
     """Apply ``fn(values) -> columns`` to Arrow batches of ``columns``: one list
     per input column in, one list per column of ``schema`` out.  Rows stay in
@@ -47,9 +63,13 @@ def map_texts(df: DataFrame, columns: list[Column], fn, schema: str) -> DataFram
     arrow = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches):
-        for batch in batches:
-            if batch.num_rows:
-                out = fn(*[c.to_pylist() for c in batch.columns])
-                yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(out, arrow, strict=True)], schema=arrow)
+        try:
+            for batch in batches:
+                if batch.num_rows:
+                    out = fn(*[c.to_pylist() for c in batch.columns])
+                    yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(out, arrow, strict=True)], schema=arrow)
+        finally:
+            batch = out = None
+            release()
 
     return df.select(*[c.alias(f"_{i}") for i, c in enumerate(columns)]).mapInArrow(run, schema)

@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_texts, small_batches, text_or_empty
+from .common import map_texts, release, small_batches, text_or_empty
 
 WORDS = re.compile(r"[^\W\d_]+")
 TRAIN_DOCS = 250
@@ -319,14 +320,17 @@ def keep_identified(docs: DataFrame, model: Model | None, text_col: str = "text"
     """Rows of ``docs`` (all columns) whose text has a language with at least
     ``min_score``; null texts, texts without a letter, and everything when
     nothing could be learned go.  Rows are judged where they are read."""
-    state: list = []
-
-    def identified(texts: pd.Series) -> pd.Series:
-        if model is None:
-            return pd.Series([False] * len(texts))
-        if not state:
-            state.append(Labeller(model))
-        return pd.Series([c != UNKNOWN and s >= min_score for c, s in state[0].documents(list(texts))], dtype=bool)
+    def identified(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        lab = None if model is None else Labeller(model)
+        try:
+            for texts in batches:
+                if lab is None:
+                    yield pd.Series([False] * len(texts))
+                else:
+                    yield pd.Series([c != UNKNOWN and s >= min_score for c, s in lab.documents(list(texts))], dtype=bool)
+        finally:
+            lab = texts = None  # remembered words go with the task
+            release()
 
     small_batches(docs.sparkSession)
     return docs.filter(F.pandas_udf(identified, "boolean")(text_or_empty(text_col)))
