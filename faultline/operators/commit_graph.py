@@ -21,33 +21,35 @@ def first_parent_order(parents: DataFrame) -> DataFrame:
     nor commits with very many children gather in a task.  A cycle is an error.
     """
     own = parents.filter("parent is null or parent_no = 0").groupBy("project", "sha").agg(F.min("parent").alias("parent"))
-    known = own.select("project", F.col("sha").alias("parent"), F.lit(True).alias("_known"))
-    first = own.join(known, ["project", "parent"], "left").select("project", "sha", F.when(F.col("_known"), F.col("parent")).alias("at"))
+    # Commits go by numbers from here on: names are long, and every round shuffles them.
+    own = materialize(own.withColumn("id", F.monotonically_increasing_id()), "commits")
+    known = own.select("project", F.col("sha").alias("parent"), F.col("id").alias("at"))
     root = F.col("at").isNull()
-    up = materialize(first.select("project", "sha", F.coalesce("at", "sha").alias("at"), F.when(root, 0).otherwise(1).cast("long").alias("depth"), root.alias("done")), "first_parents")
+    up = own.join(known, ["project", "parent"], "left").select("id", F.coalesce("at", "id").alias("at"), F.when(root, 0).otherwise(1).cast("long").alias("depth"), root.alias("done"))
+    up = materialize(up, "first_parents")
     rounds = max(1, up.count()).bit_length() + 1
-    finished = up.filter("done")
-    while not up.filter("NOT done").isEmpty():
+    # Finished rows are stored once and stay as targets of the others' pointers.
+    finished, open_ = up.filter("done"), up.filter("NOT done")
+    while not open_.isEmpty():
         if rounds == 0:
             raise ValueError("first parents form a cycle")
         rounds -= 1
-        over = up.select("project", F.col("sha").alias("at"), F.col("at").alias("_at"), F.col("depth").alias("_depth"), F.col("done").alias("_done"))
-        open_ = up.filter("NOT done").drop("done")
-        next_ = open_.join(over, ["project", "at"]).select("project", "sha", F.col("_at").alias("at"), (F.col("depth") + F.col("_depth")).alias("depth"), F.col("_done").alias("done"))
-        # Finished rows stay as targets of the others' pointers.
-        up = materialize(next_.unionByName(finished), "first_parents")
-        finished = up.filter("done")
-    return up.select("project", "sha", F.col("at").alias("root"), "depth")
+        over = finished.unionByName(open_).select(F.col("id").alias("at"), F.col("at").alias("_at"), F.col("depth").alias("_depth"), F.col("done").alias("_done"))
+        next_ = open_.drop("done").join(over, "at").select("id", F.col("_at").alias("at"), (F.col("depth") + F.col("_depth")).alias("depth"), F.col("_done").alias("done"))
+        up = materialize(next_, "first_parents")
+        finished, open_ = finished.unionByName(up.filter("done")), up.filter("NOT done")
+    roots = own.select(F.col("id").alias("at"), F.col("sha").alias("root"))
+    return finished.join(roots, "at").join(own.select("project", "sha", "id"), "id").select("project", "sha", "root", "depth")
 
 
 def _jumps(first: DataFrame, limit: int) -> list[DataFrame]:
-    """Stored pointers (project, sha, at) 1, 2, 4, … steps up the first-parent
+    """Stored pointers (id, at) 1, 2, 4, … steps up the first-parent
     forest, until no commit has an ancestor that far.  ``limit`` rounds reach
     further than any chain, so pointers left after them follow a cycle."""
     out = [first]
     while len(out) <= limit:
-        over = out[-1].select("project", F.col("sha").alias("at"), F.col("at").alias("_at"))
-        up = materialize(out[-1].join(over, ["project", "at"]).select("project", "sha", F.col("_at").alias("at")), "jumps")
+        over = out[-1].select(F.col("id").alias("at"), F.col("at").alias("_at"))
+        up = materialize(out[-1].join(over, "at").select("id", F.col("_at").alias("at")), "jumps")
         if up.isEmpty():
             return out
         out.append(up)
@@ -70,30 +72,34 @@ def first_releases(parents: DataFrame, tips: DataFrame) -> DataFrame:
     in the map tasks, so a commit with very many children gathers in no task.
     """
     key = ["project", "sha"]
-    nodes = materialize(parents.groupBy(*key).agg(F.min(F.when(F.col("parent_no") == 0, F.col("parent"))).alias("first")), "commits")
-    known = nodes.select("project", F.col("sha").alias("at"))
-    first = materialize(nodes.select(*key, F.col("first").alias("at")).join(known, ["project", "at"], "left_semi").select(*key, "at"), "first_parents")
-    merged = parents.filter("parent_no > 0").select(*key, F.col("parent").alias("at")).distinct()
-    merged = materialize(merged.join(known, ["project", "at"], "left_semi").select(*key, "at"), "merged_parents")
+    nodes = parents.groupBy(*key).agg(F.min(F.when(F.col("parent_no") == 0, F.col("parent"))).alias("first"))
+    # Commits go by numbers from here on: names are long, and every join shuffles them.
+    nodes = materialize(nodes.withColumn("id", F.monotonically_increasing_id()), "commits")
+    ids = nodes.select(*key, "id")
+    known = nodes.select("project", F.col("sha").alias("_sha"), F.col("id").alias("at"))
+    first = nodes.select("project", "id", F.col("first").alias("_sha")).join(known, ["project", "_sha"]).select("id", "at")
+    first = materialize(first, "first_parents")
+    merged = parents.filter("parent_no > 0").select(*key, F.col("parent").alias("_sha")).distinct()
+    merged = materialize(merged.join(known, ["project", "_sha"]).join(ids, key).select("id", "at"), "merged_parents")
     jumps = _jumps(first, max(1, nodes.count()).bit_length() + 1)
 
     def over(edges, found):
-        return edges.join(found, key).select("project", F.col("at").alias("sha"), "ord")
+        return edges.join(found, "id").select(F.col("at").alias("id"), "ord")
 
     def least(x):
-        return x.groupBy(*key).agg(F.min("ord").alias("ord"))
+        return x.groupBy("id").agg(F.min("ord").alias("ord"))
 
-    found = materialize(least(tips.filter("ord is not null").join(nodes.select(*key), key, "left_semi").select(*key, "ord")), "tips")
+    found = materialize(least(tips.filter("ord is not null").join(ids, key).select("id", "ord")), "tips")
     held = found.limit(0)
     while not found.isEmpty():
         for up in jumps:
             found = materialize(least(found.unionByName(over(up, found))), "held")
-        before = held.select(*key, F.col("ord").alias("_ord"))
-        fell = materialize(found.join(before, key, "left").filter("_ord is null or ord < _ord").select(*key, "ord"), "fell")
+        before = held.select("id", F.col("ord").alias("_ord"))
+        fell = materialize(found.join(before, "id", "left").filter("_ord is null or ord < _ord").select("id", "ord"), "fell")
         held = materialize(least(held.unionByName(fell)), "held")
-        now = held.select(*key, F.col("ord").alias("_ord"))
-        found = materialize(least(over(merged, fell)).join(now, key, "left").filter("_ord is null or ord < _ord").select(*key, "ord"), "found")
-    return nodes.select(*key).join(held, key, "left")
+        now = held.select("id", F.col("ord").alias("_ord"))
+        found = materialize(least(over(merged, fell)).join(now, "id", "left").filter("_ord is null or ord < _ord").select("id", "ord"), "found")
+    return nodes.select(*key, "id").join(held, "id", "left").select(*key, "ord")
 
 
 def commits_not_in_release(parents: DataFrame, tips: DataFrame) -> DataFrame:
