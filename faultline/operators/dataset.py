@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.hints import broadcast_if_small
+from ..session import materialize
 
 # Column order of the dataset file.
 DATASET_COLUMNS = ("ProjectName", "Release", "MethodName", "LOC", "ParameterCount", "CycloComplexity",
@@ -30,13 +31,16 @@ def assemble(methods: DataFrame, metrics: DataFrame, churn: DataFrame, labelled:
     ``metrics``: metric_key, loc, params, cyclomatic, cognitive, nesting;
     ``churn``/``labelled``: per (project, release_id, path);
     ``smells``: per (project, release_id, path, method_ord).
-    All joins are equi-joins on the method's or the file's key.
+    All joins are equi-joins on the method's or the file's key.  Churn and
+    labels meet first, one row per file and release, and are stored as the
+    smells are: where the stored tables are small, the methods (files × methods
+    of a file, by far the largest table) are joined without a shuffle.
     """
     k_file = ["project", "release_id", "path"]
-    x = (methods.join(metrics, metric_key, "left")
-         .join(churn, k_file, "left")
-         .join(labelled.select(*k_file, "buggy"), k_file, "left")
-         .join(smells, [*k_file, "method_ord"], "left")
+    files = materialize(churn.join(labelled.select(*k_file, "buggy"), k_file, "full"), "file_facts")
+    x = (methods.join(broadcast_if_small(metrics), metric_key, "left")
+         .join(broadcast_if_small(files), k_file, "left")
+         .join(broadcast_if_small(materialize(smells, "method_smells")), [*k_file, "method_ord"], "left")
          .join(broadcast_if_small(releases.select("project", "release_id", F.col("name").alias("Release"))),
                ["project", "release_id"]))
     z = F.lit(0)
@@ -99,15 +103,17 @@ def coerce_numeric(df: DataFrame, cols: list[str]) -> DataFrame:
 
 def column_profile(df: DataFrame, max_nominal: int = 49) -> DataFrame:
     """P-13: for every string column, distinct non-null values and whether it is
-    nominal (1…``max_nominal`` distinct values) or free text; one aggregate
-    pass over all columns, then ``stack`` to one row per column."""
+    nominal (1…``max_nominal`` distinct values) or free text.  Each column is
+    reduced to its distinct values on its own, so a stored table is read by
+    columns and a column of few values shuffles next to nothing."""
     strings = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
     if not strings:
         return df.sparkSession.createDataFrame([], "column_name string, n_distinct bigint, kind string")
-    agg = df.agg(*[F.count_distinct(F.col(c)).alias(f"d{i}") for i, c in enumerate(strings)])
-    stack = "stack({}, {}) as (column_name, n_distinct)".format(
-        len(strings), ", ".join(f"'{c}', d{i}" for i, c in enumerate(strings)))
-    out = agg.selectExpr(stack)
+    out = None
+    for c in strings:
+        one = df.select(F.col(f"`{c}`").alias("v")).distinct().agg(F.count("v").alias("n_distinct"))
+        one = one.select(F.lit(c).alias("column_name"), "n_distinct")
+        out = one if out is None else out.unionByName(one)
     kind = F.when((F.col("n_distinct") >= 1) & (F.col("n_distinct") <= max_nominal), "nominal").otherwise("text")
     return out.select("column_name", F.col("n_distinct").cast("bigint").alias("n_distinct"), kind.alias("kind"))
 
