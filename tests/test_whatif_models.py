@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -153,3 +154,37 @@ def test_naive_bayes_of_one_and_three_classes(spark):
     for c, want in ((1, 1.0), (0, 0.0)):
         one = df.filter(f"buggy = {c}")
         assert {r["score"] for r in models.gaussian_nb_score(one, models.gaussian_nb_fit(one, ["x"], "buggy"), ["x"]).collect()} == {want}
+
+
+@pytest.mark.parametrize("dims", [2, 9])
+def test_blocks_find_the_least_pairs_and_skip_far_ones(dims, monkeypatch):
+    r = np.random.default_rng(4)
+    p = np.unique(np.r_[r.random((900, dims)), r.integers(0, 3, (300, dims)) / 2], axis=0)
+    q = np.r_[p[::2], r.random((30, dims))]
+    ids = [[f"{i % 7}-{i}-{j}" for j in range(1 + i % 3)] for i in range(len(p))]
+    seen = []
+    plain = models._distances
+    monkeypatch.setattr(models, "BLOCK_ROWS", 32)
+    monkeypatch.setattr(models, "_distances", lambda a, b: seen.append(len(a) * len(b)) or plain(a, b))
+    for bound in (np.inf, 0.2):
+        got = {}
+        for rows, d, i in models._nearest(q, np.full(len(q), bound), p, ids, 5):
+            for a, b, c in zip(rows, d, i, strict=True):
+                got.setdefault(a, []).append((b, c))
+        d = plain(q, p)
+        want = {a: sorted((d[a, c], i) for c in range(len(p)) if d[a, c] <= bound for i in ids[c])[:5] for a in range(len(q))}
+        assert {a: x for a, x in want.items() if x} == got
+    assert max(seen) <= models.BLOCK_ROWS ** 2 and (dims > 2 or sum(seen) < 2 * d.size * 0.9)
+
+
+def test_neighbours_in_many_dimensions_by_cells(spark):
+    r = np.random.default_rng(5)
+    pts = [(f"p{i:03}", [float(x) for x in v]) for i, v in enumerate(r.random((260, 12)))]
+    df = spark.createDataFrame(pts, "id string, v array<double>")
+    got = {}
+    for x in models.knn_exact(df, df, "v", "id", k=3, exclude_self=True, whole=50, cell_rows=20).collect():
+        got.setdefault(x["query_id"], {})[x["nn_rank"]] = x["neighbor_id"]
+    v = np.array([x for _, x in pts])
+    d = models._distances(v, v)
+    np.fill_diagonal(d, np.inf)
+    assert {p: [n[i] for i in sorted(n)] for p, n in got.items()} == {pts[i][0]: [pts[j][0] for j in np.argsort(d[i])[:3]] for i in range(len(v))}
