@@ -27,8 +27,8 @@ from .common import map_texts, text_or_empty
 WINDOW = 16
 CUT_BITS = 9  # a cut every 512 bytes on average
 SHORTEST, LONGEST = 64, 8192
-CHUNKS_KEPT = 30_000
-WORDS_KEPT = 400_000  # of each of two generations
+CHUNKS_KEPT = 20_000
+WORDS_KEPT = 200_000  # of each of two generations
 #: A word of one token between unknown words that are encoded together, and how many.
 MARK, LINE = "\x01", 256
 PART_CHARS = 4_000_000  # text encoded at once

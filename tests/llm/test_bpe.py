@@ -46,6 +46,15 @@ def test_chunks_are_reused_and_cuts_follow_content(monkeypatch):
     check(texts + texts, encoder)
 
 
+def test_the_store_of_a_worker_stays_small():
+    encoder = bpe.Encoder(PATH)
+    for i in range(600_000):
+        encoder.known[b"%d" % i] = (1, "1", "a")
+        if i % 1000 == 0:
+            assert encoder.encode([]) == []
+    assert len(encoder.known) + len(encoder.before) < 450_000 and bpe.CHUNKS_KEPT <= 20_000
+
+
 def test_cuts_cover_the_text_at_character_ends():
     for t in (prose(1, 4000), "é" * 30000, "日" * 9000, "a" * 20000, "x"):
         data = t.encode()
