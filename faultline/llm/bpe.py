@@ -31,6 +31,7 @@ CHUNKS_KEPT = 20_000
 WORDS_KEPT = 200_000  # of each of two generations
 #: A word of one token between unknown words that are encoded together, and how many.
 MARK, LINE = "\x01", 256
+MARK_BYTES = MARK.encode()
 PART_CHARS = 4_000_000  # text encoded at once
 #: White space at which the tokenizer surely splits.
 SPACES = bytes.maketrans(b"\t\n\r", b"   ")
@@ -45,10 +46,13 @@ def cuts(data: bytes) -> list[int]:
     if len(b) <= SHORTEST:
         return [len(b)] if len(b) else []
     g = GEAR[b]
-    h = g.copy()
-    for k in range(1, WINDOW):
+    h, k = g, 1
+    while k < WINDOW:  # the sum over 2k bytes is that over k bytes and, shifted, the one k bytes before
+        g, h = h, h.copy()
         h[k:] += g[:-k] << np.uint32(k)
-    whole = np.r_[(b[1:] & 0xC0) != 0x80, True]
+        k *= 2
+    whole = np.ones(len(b), bool)
+    whole[:-1] = (b[1:] & 0xC0) != 0x80
     # The upper bits have seen the whole window.
     marks = np.flatnonzero(((h >> np.uint32(32 - CUT_BITS)) == 0) & whole) + 1
     out, last = [], 0
@@ -88,6 +92,11 @@ class Encoder:
         self.before: dict[bytes, Encoded] = {}  # the generation before; what is met again moves on
         mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
         self.mark = mark[0] if len(mark) == 1 else None
+        # Ids in decimal, and the mark as it stands in lines of ids and of decoded
+        # tokens; without a decoder those are the tokens, joined by spaces.
+        self.decimal = [str(i) for i in range(max(self.tokenizer.get_vocab().values(), default=-1) + 1)]
+        self.between = f" {self.mark} ", f" {self.tokenizer.decode(mark, skip_special_tokens=False)} "
+        self.plain_lines = self.tokenizer.decoder is None
 
     def learn(self, words: list[bytes]) -> None:
         """Encode and decode words that are not known yet.
@@ -100,18 +109,31 @@ class Encoder:
             again = new.intersection(self.before)
             self.known.update((w, self.before[w]) for w in again)
             new -= again
-        alone = [w for w in new if self.mark is None or MARK.encode() in w]
-        new = list(new.difference(alone))
-        ids = [e.ids for e in self.tokenizer.encode_batch([w.decode() for w in alone], add_special_tokens=False)]
+        alone = [w for w in new if self.mark is None or MARK_BYTES in w]
+        new = list(new.difference(alone) if alone else new)
         for i in range(0, len(new), LINE):
-            found = self.tokenizer.encode(f" {MARK} ".join([w.decode() for w in new[i:i + LINE]]), add_special_tokens=False).ids
-            ends = [k for k, x in enumerate(found) if x == self.mark]
-            ids += [found[a:b] for a, b in zip([0, *[k + 1 for k in ends]], [*ends, len(found)], strict=True)]
+            self.learn_line(new[i:i + LINE])
+        ids = [e.ids for e in self.tokenizer.encode_batch([w.decode() for w in alone], add_special_tokens=False)]
+        self.keep(alone, ids)
+
+    def learn_line(self, words: list[bytes]) -> None:
+        found = self.tokenizer.encode_batch_fast([(b" " + MARK_BYTES + b" ").join(words).decode()], add_special_tokens=False)[0].ids
+        if self.plain_lines and found:
+            # A word without ids leaves two marks side by side, or one at an end, and so too few parts.
+            tokens = " ".join([self.decimal[i] for i in found]).split(self.between[0])
+            plain = self.tokenizer.decode(found, skip_special_tokens=False).split(self.between[1])
+            if len(tokens) == len(plain) == len(words):
+                self.known.update((w, (t.count(" ") + 1, t, p)) for w, t, p in zip(words, tokens, plain, strict=True))
+                return
+        ends = [k for k, x in enumerate(found) if x == self.mark]
+        self.keep(words, [found[a:b] for a, b in zip([0, *[k + 1 for k in ends]], [*ends, len(found)], strict=True)])
+
+    def keep(self, words: list[bytes], ids: list[list[int]]) -> None:
         plain = self.tokenizer.decode_batch(ids, skip_special_tokens=False)
-        self.known.update((w, (len(i), " ".join(map(str, i)), p)) for w, i, p in zip(alone + new, ids, plain, strict=True))
+        self.known.update((w, (len(i), " ".join(map(str, i)), p)) for w, i, p in zip(words, ids, plain, strict=True))
 
     def together(self, words: list[bytes]) -> Encoded:
-        return joined([self.known[w] for w in words])
+        return joined(list(map(self.known.__getitem__, words)))
 
     def encode(self, texts: list[bytes]) -> list[Encoded]:
         if len(self.chunks) > CHUNKS_KEPT:

@@ -46,6 +46,41 @@ def test_chunks_are_reused_and_cuts_follow_content(monkeypatch):
     check(texts + texts, encoder)
 
 
+class Counting:
+    """A tokenizer that counts the texts and the lists of ids given to it."""
+
+    def __init__(self, tokenizer):
+        self.of, self.given = tokenizer, 0
+
+    def __getattr__(self, name):
+        def call(x, **how):
+            self.given += len(x) if "batch" in name else 1
+            return getattr(self.of, name)(x, **how)
+
+        return call
+
+
+def test_new_words_meet_the_tokenizer_by_lines():
+    words = [b"w%dx%d" % (i, i * i) for i in range(3 * bpe.LINE)]
+    encoder = bpe.Encoder(PATH)
+    encoder.tokenizer = counting = Counting(encoder.tokenizer)
+    encoder.learn(words)
+    assert counting.given <= 6
+    tok = library()
+    for w in words:
+        want = tok.encode(w.decode(), add_special_tokens=False).ids
+        assert encoder.known[w] == (len(want), " ".join(map(str, want)), tok.decode(want, skip_special_tokens=False))
+
+
+def test_words_without_ids_share_a_line():
+    check(["\u00a0", "\u2003", "a \u00a0 b", " ".join(f"\u00a0 v{i} \u2003 \u00a0" for i in range(900)), "\x01 a\x01 \x01b \u00a0 \x01"])
+    for words in ([], ["\u00a0"], ["\u00a0", "a"], ["a", "\u00a0"], ["\u00a0", "\u2003"], ["a", "\u00a0", "\x01", "b"]):
+        encoder = bpe.Encoder(PATH)
+        encoder.learn([w.encode() for w in words])
+        for w in words:
+            assert encoder.known[w.encode()][0] == len(library().encode(w, add_special_tokens=False).ids)
+
+
 def test_the_store_of_a_worker_stays_small():
     encoder = bpe.Encoder(PATH)
     for i in range(600_000):
