@@ -188,3 +188,10 @@ def test_neighbours_in_many_dimensions_by_cells(spark):
     d = models._distances(v, v)
     np.fill_diagonal(d, np.inf)
     assert {p: [n[i] for i in sorted(n)] for p, n in got.items()} == {pts[i][0]: [pts[j][0] for j in np.argsort(d[i])[:3]] for i in range(len(v))}
+
+
+def test_knn_classifier_searches_all_training_rows(spark):
+    rows = spark.range(models.MAX_TRAIN + 4_000).selectExpr("string(id) AS id", "double(id) AS x", "double(id % 2) AS label")
+    asked = rows.filter("id % 80 = 1 OR id % 80 = 2").select("id", "x", F.col("label").alias("want"))
+    got = models.build_classifier("IBk", ["x"]).fit(rows).transform(asked).select("want", "prediction", "_positive").collect()
+    assert len(got) == 600 and all(r.prediction == r.want and abs(r._positive - r.want) < 0.1 for r in got)  # each meets itself
